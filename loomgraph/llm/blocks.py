@@ -140,10 +140,10 @@ def _shingles(h: np.ndarray, width: int) -> np.ndarray:
     if not n:
         return h
     if n < width:
-        out = _U(n) * _U(0xA0761D6478BD642F)
-        for x in h:
-            out = _mix(np.array([out * _U(0x9E3779B97F4A7C15) + x]))[0]
-        return np.array([out], dtype=np.uint64)
+        out = n
+        for x in h.tolist():
+            out = (out * 0x9E3779B97F4A7C15 + x + 0x632BE59BD9B4E019) & 0xFFFFFFFFFFFFFFFF
+        return _mix(np.array([out], dtype=np.uint64))
     m = n - width + 1
     out = np.zeros(m, dtype=np.uint64)
     for k in range(width):

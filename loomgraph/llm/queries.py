@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import blocks, decontaminate, language, packing, token_counts, token_files, toxicity
+from loomgraph.llm import blocks, decontaminate, jaccard, language, packing, token_counts, token_files, toxicity
 from loomgraph.llm.blocks import remainder
 
 
@@ -49,6 +49,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(_table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), "word", end_id=1)
 
@@ -60,6 +64,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_token_binary": op3_token_binary,
         "op5_language": op5_language,
         "op7_token_counts": op7_token_counts,
+        "op9_jaccard": op9_jaccard,
         "op10_packing": op10_packing,
     }
 
