@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import blocks, decontaminate, jaccard, language, packing, token_counts, token_files, toxicity
+from loomgraph.llm import blocks, compaction, decontaminate, jaccard, language, language_model, near_vectors, packing, token_counts, token_files, toxicity
 from loomgraph.llm.blocks import remainder
 
 
@@ -40,15 +40,28 @@ def op3_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_digests(spark, files)
 
 
+def op4_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = compaction.compacted(_table(spark, sf_dir, "documents"), blocks.shared_path(spark, "shards"))
+    return rows.select("doc_id", "lang", "source", "n_chars", F.octet_length("text").cast("long").alias("n_bytes"), F.md5("text").alias("text_md5"))
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return _held_out(language.identify(docs, language.train(docs))).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op6_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_components(_table(spark, sf_dir, "embeddings"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.interpolated_scores(_table(spark, sf_dir, "documents"))
+
+
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(_table(spark, sf_dir, "documents"))
 
@@ -62,12 +75,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_toxicity": op1_toxicity,
         "op2_decontamination": op2_decontamination,
         "op3_token_binary": op3_token_binary,
+        "op4_compaction": op4_compaction,
         "op5_language": op5_language,
+        "op6_near_vectors": op6_near_vectors,
         "op7_token_counts": op7_token_counts,
+        "op8_language_model": op8_language_model,
         "op9_jaccard": op9_jaccard,
         "op10_packing": op10_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        # the compacted shards hold each row once, unchanged
+        "op4_compaction": "SELECT doc_id, lang, source, n_chars, CAST(strlen(text) AS BIGINT) AS n_bytes, md5(text) AS text_md5 FROM documents",
+    }
