@@ -14,6 +14,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -151,6 +152,20 @@ def _shingles(h: np.ndarray, width: int) -> np.ndarray:
     return np.unique(_mix(out))
 
 
+# --- packed integers ----------------------------------------------------------------------------------------------------
+
+
+def squeeze(x: np.ndarray) -> bytes:
+    """Bytes of integers, by planes, compressed."""
+    x = np.ascontiguousarray(x)
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes())
+
+
+def spread(raw: bytes, dtype) -> np.ndarray:
+    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), dtype=np.uint8)
+    return np.ascontiguousarray(flat.reshape(np.dtype(dtype).itemsize, -1).T).view(dtype).ravel()
+
+
 # --- folders that driver and executors share ---------------------------------------------------------------------
 
 

@@ -28,15 +28,15 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm import blocks
+from loomgraph.llm.blocks import spread, squeeze
 
 FOLDS, HELD_OUT, DELETED = 7, 2, 3
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
 BUCKETS = 24
 #: Weights (bigram, word, uniform) where nothing is held out to learn from.
 PRIOR = (0.6, 0.3, 0.1)
@@ -46,17 +46,6 @@ _START = _U(0x7F4A7C159E3779B9)
 _RATIO = 2.0  # bins a doubling
 
 
-def squeeze(x: np.ndarray) -> bytes:
-    """Bytes of integers, by planes, compressed."""
-    x = np.ascontiguousarray(x)
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes())
-
-
-def spread(raw: bytes, dtype) -> np.ndarray:
-    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), dtype=np.uint8)
-    return np.ascontiguousarray(flat.reshape(np.dtype(dtype).itemsize, -1).T).view(dtype).ravel()
-
-
 def _steps(x: np.ndarray) -> np.ndarray:
     return np.diff(x, prepend=_U(0))
 
@@ -128,8 +117,9 @@ class _Block:
 
 
 def _blocks_in(batch: pa.RecordBatch):
-    for row in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
-        yield row[0], _Block(*row[1:])
+    for i in range(batch.num_rows):  # one at a time: a row is a block
+        number, *parts = (batch.column(k)[i].as_py() for k in range(6))
+        yield number, _Block(*parts)
 
 
 def corpus_counts(stored: DataFrame, deal: int) -> DataFrame:
@@ -182,9 +172,8 @@ def corpus_counts(stored: DataFrame, deal: int) -> DataFrame:
 
 def _with_counts(batch: pa.RecordBatch):
     """(block, word counts, deleted, pair counts, deleted) of joined rows."""
-    got = batch.column(6).to_pylist()
-    for (_, b), found in zip(_blocks_in(batch), got, strict=True):
-        found = sorted((r["kind"], r["deal"], r["c"], r["d"]) for r in found)
+    for i, (_, b) in enumerate(_blocks_in(batch)):
+        found = sorted((r["kind"], r["deal"], r["c"], r["d"]) for r in batch.column(6)[i].as_py())
         out = [np.concatenate([spread(r[k], np.uint64) for r in found if r[0] == kind]).astype(np.float64) for kind in (0, 1) for k in (2, 3)]
         yield b, *out
 
