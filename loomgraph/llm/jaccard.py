@@ -3,8 +3,8 @@
 A document's shingles are hashed into a bit sketch by exclusive or: each
 shingle flips one bit, so two sketches differ in at most as many bits as the
 sets differ in shingles. Sketches are made for each size band (sizes within
-4/3 of each other; a document also enters the bands whose sets may be up to
-4/3 its size). For sets of sizes a and b that are similar enough, at most
+twice of each other; a document also enters the next band if a set there may be
+similar enough). For sets of sizes a and b that are similar enough, at most
 d = (a + b)(1 - t)/(1 + t) shingles differ, so of a document's parts of the
 sketch that hold a shingle all but d must be equal in its partner. Equal parts
 are joined (pigeonhole), candidates are verified on the whole shingle sets.
@@ -12,14 +12,14 @@ The sketch is wide (``BITS`` bits a part) and kept sparse: a part is the
 exclusive or of the codes of its set bits.
 
 Equal sets are one class from the start. Parts that more than ``HOT`` classes
-share (a passage found in many documents) are hot. A document with more
-selective parts than d meets all its partners there; only documents without
-(near copies of a very common document) are joined through hot parts too. So
-every partner is found, without all pairs of a common passage.
-
-In each group of equal parts the smallest class is compared with the others;
-classes that these links leave apart are compared afterwards. Links inside one
-component are not listed.
+share (a passage found in many documents) are hot. For the other parts the
+pairs of the at most ``HOT`` classes are counted; a pair with fewer equal
+parts than either set must share with a partner, hot parts allowed for, is no
+candidate. A document with more parts to spare than hot ones meets all its
+partners so; only documents without (near copies of a very common document)
+are joined through hot parts too. There the smallest class of a part is
+compared with the others, and classes that these links leave apart are
+compared afterwards; links inside one component are not listed.
 
 Defined cases: null texts and texts without words have no shingles and link
 with nothing, not even with each other (component_id is the doc_id); texts of
@@ -41,15 +41,15 @@ from loomgraph.llm.components import components
 WIDTH, NUMERATOR, DENOMINATOR = 5, 75, 100
 BITS = 1 << 26
 #: Classes that may share a part before it counts as hot.
-HOT = 32
+HOT = 16
 _U = np.uint64
 
 
 def _bands(top: int = 1 << 40) -> np.ndarray:
-    """Smallest size of each band."""
-    out = [1]
+    """Smallest size of each band; sizes double from band to band."""
+    out = [1, 2, 3]
     while out[-1] < top:
-        out.append(max(out[-1] + 1, -(-out[-1] * 4 // 3)))
+        out.append(out[-1] * 2)
     return np.array(out, dtype=np.int64)
 
 
@@ -94,7 +94,7 @@ def sketch_parts(flat: np.ndarray, bounds: np.ndarray, num: int = NUMERATOR, den
         keys.append(blocks.mix(parity ^ blocks.mix((band[d] + up).astype(np.uint64) << _U(40) | part)))
         owners.append(d)
         full = np.bincount(d, minlength=len(size))
-        differ = (size + top) * (den - num) // (den + num)
+        differ = (size + np.minimum(top, size * den // num)) * (den - num) // (den + num)
         spare[own] = np.minimum(spare[own], (full - differ)[own])
     if not keys:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), spare
@@ -126,87 +126,100 @@ def digests(docs: DataFrame, id_col: str, text_col: str, width: int, num: int, d
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, n_shingles long, class long, spare long")
 
 
-_PART = np.dtype([("class", "<i8"), ("key", "<u8")])
+def _pairs(rows_class: np.ndarray, begin: np.ndarray, count: np.ndarray):
+    """(a, b, number of groups) of the pairs within groups of sorted classes."""
+    left, right = [], []
+    for m in np.unique(count).tolist():
+        members = rows_class[begin[count == m][:, None] + np.arange(m)]
+        i, j = np.triu_indices(m, 1)
+        left.append(members[:, i].ravel())
+        right.append(members[:, j].ravel())
+    a, b = np.concatenate(left), np.concatenate(right)
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.ones(len(a), dtype=bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    at = np.flatnonzero(new)
+    return a[at], b[at], np.diff(np.append(at, len(a)))
 
 
 def equal_parts(docs: DataFrame, text_col: str, width: int, num: int, den: int) -> DataFrame:
-    """(group, class, hot): the classes that share a part, for parts of two or more classes.
+    """(a, b, n): pairs of classes with n equal parts that are not hot; (a, part) of classes that hold a hot part.
 
     Parts travel as packed arrays. A part that is hot within one batch goes on
     as it is, dealt by batch, so that no task gathers all of a very common one.
     """
-    spark = docs.sparkSession
-    deal = blocks.parts_of(spark)
+    deal = blocks.parts_of(docs.sparkSession)
+
+    def pack(key: np.ndarray, mark: np.ndarray) -> tuple[bytes, bytes, bytes]:
+        table, index = np.unique(mark, return_inverse=True)
+        return blocks.squeeze(np.diff(key, prepend=_U(0))), blocks.squeeze(index.astype(np.uint32)), table.tobytes()
 
     def send(batches):
         salt = 0
         for batch in batches:
-            keys, classes = [], []
+            keys, classes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
             for _, flat, bounds in _sets(batch, 0, width):
                 key, owner, _ = sketch_parts(flat, bounds, num, den)
                 keys.append(key)
                 classes.append(fingerprints(flat, bounds)[owner])
-            rows = np.empty(sum(map(len, keys)), dtype=_PART)
-            rows["class"], rows["key"] = np.concatenate(classes) if classes else (), np.concatenate(keys) if keys else ()
-            rows = rows[np.lexsort((rows["class"], rows["key"]))]
-            new = np.ones(len(rows), dtype=bool)
-            new[1:] = rows[1:] != rows[:-1]
-            rows = rows[new]
-            begin = np.flatnonzero(np.concatenate(([True], rows["key"][1:] != rows["key"][:-1]))) if len(rows) else np.zeros(0, np.int64)
-            count = np.diff(np.append(begin, len(rows)))
-            rank = np.arange(len(rows)) - np.repeat(begin, count)
+            key, mark = np.concatenate(keys), np.concatenate(classes)
+            order = np.lexsort((mark, key))
+            key, mark = key[order], mark[order]
+            new = np.ones(len(key), dtype=bool)
+            new[1:] = (key[1:] != key[:-1]) | (mark[1:] != mark[:-1])
+            key, mark = key[new], mark[new]
+            begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+            count = np.diff(np.append(begin, len(key)))
+            rank = np.arange(len(key)) - np.repeat(begin, count)
             late = (np.repeat(count, count) > 2 * HOT) & (rank > HOT)  # HOT + 1 classes stay to mark the part as hot
             salt += 1
-            out = [(False, rows[~late], ((rows["key"][~late] >> _U(32)) * _U(deal)) >> _U(32))]
-            if late.any():
-                out.append((True, rows[late], np.full(int(late.sum()), (salt + int(rows["class"][0])) % deal, dtype=np.uint64)))
-            for hot, own, to in out:
-                # the rows are in the order of their keys, so those of a part of the deal follow each other
-                cut = np.concatenate(([0], np.flatnonzero(to[1:] != to[:-1]) + 1, [len(own)])) if len(own) else np.zeros(1, np.int64)
-                ends = list(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array([int(to[a]) for a, _ in ends], pa.int32()), pa.array([hot] * len(ends), pa.bool_()), pa.array([own[a:b].tobytes() for a, b in ends], pa.binary())], ["deal", "hot", "rows"])
+            to = ((key >> _U(32)) * _U(deal)) >> _U(32)
+            out = []
+            for hot, own in ((False, ~late), (True, late)):
+                k, m, t = key[own], mark[own], to[own]
+                cut = np.concatenate(([0], np.flatnonzero(t[1:] != t[:-1]) + 1, [len(k)])).tolist() if len(k) else []
+                for x, y in zip(cut[:-1], cut[1:], strict=True):
+                    out.append(((int(t[x]) + (salt if hot else 0)) % deal, hot, *pack(k[x:y] >> _U(10), m[x:y])))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["deal", "hot", "keys", "marks", "classes"])
+
+    def found(a, b, n, part):
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b, n, part)], ["a", "b", "n", "part"])
 
     def meet(batches):
         held = []
         for batch in batches:
-            for hot, raw in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                rows = np.frombuffer(raw, dtype=_PART)
+            for _, hot, keys, marks, classes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                key = np.cumsum(blocks.spread(keys, np.uint64))
+                mark = np.frombuffer(classes, dtype=np.int64)[blocks.spread(marks, np.uint32)]
                 if hot:
-                    yield _groups(rows["key"].view(np.int64), rows["class"], np.ones(len(rows), dtype=bool))
+                    none = [None] * len(key)
+                    yield found(mark, none, none, key.view(np.int64))
                 else:
-                    held.append(rows)
+                    held.append((key, mark))
         if not held:
             return
-        rows = np.concatenate(held)
+        key, mark = (np.concatenate(x) for x in zip(*held, strict=True))
         held.clear()
-        order = np.lexsort((rows["class"], rows["key"]))
-        rows = rows[order]
-        keep = np.ones(len(rows), dtype=bool)
-        keep[1:] = rows[1:] != rows[:-1]
-        rows = rows[keep]
-        begin = np.flatnonzero(np.concatenate(([True], rows["key"][1:] != rows["key"][:-1])))
-        count = np.diff(np.append(begin, len(rows)))
-        many = count > 1
-        rows, begin, count = rows[np.repeat(many, count)], begin[many], count[many]
-        if not len(rows):
-            return
-        # groups of the same classes are one; a hot part keeps its key as its name
-        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(blocks.mix(rows["class"].view(np.uint64)))))
-        ends = np.cumsum(count)
-        name = blocks.mix(total[ends] - total[ends - count] + count.astype(np.uint64)).view(np.int64)
-        hot = count > HOT
-        name[hot] = rows["key"][(ends - count)[hot]].view(np.int64)
-        _, first = np.unique(name, return_index=True)
-        chosen = np.zeros(len(name), dtype=bool)
-        chosen[first] = True
-        pick = np.repeat(chosen, count)
-        yield _groups(np.repeat(name, count)[pick], rows["class"][pick], np.repeat(hot, count)[pick])
-
-    def _groups(name, classes, hot):
-        return pa.RecordBatch.from_arrays([pa.array(name), pa.array(classes), pa.array(hot)], ["group", "class", "hot"])
-
-    sent = docs.select(F.col(text_col).alias("text")).mapInArrow(send, "deal int, hot boolean, rows binary")
-    return sent.repartitionById(deal, F.col("deal")).mapInArrow(meet, "group long, class long, hot boolean")
+        order = np.lexsort((mark, key))
+        key, mark = key[order], mark[order]
+        new = np.ones(len(key), dtype=bool)
+        new[1:] = (key[1:] != key[:-1]) | (mark[1:] != mark[:-1])
+        key, mark = key[new], mark[new]
+        begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        count = np.diff(np.append(begin, len(key)))
+        few = (count > 1) & (count <= HOT)
+        if few.any():
+            a, b, n = _pairs(mark, begin[few], count[few])
+            yield found(a, b, n, [None] * len(a))
+        hot = np.repeat(count > HOT, count)
+        if hot.any():
+            none = [None] * int(hot.sum())
+            yield found(mark[hot], none, none, key[hot].view(np.int64))
+
+    sent = docs.select(F.col(text_col).alias("text")).mapInArrow(send, "deal int, hot boolean, keys binary, marks binary, classes binary")
+    return sent.repartitionById(deal, F.col("deal")).mapInArrow(meet, "a long, b long, n long, part long")
 
 
 def shingle_tables(docs: DataFrame, wanted: DataFrame, text_col: str, width: int, filter_bits: int = 1 << 23) -> DataFrame:
@@ -289,17 +302,21 @@ def _stars(groups: DataFrame) -> DataFrame:
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, num: int = NUMERATOR, den: int = DENOMINATOR) -> DataFrame:
     """doc_id, n_shingles, class and component_id of every row of docs."""
     own, _ = blocks.stored(digests(docs, id_col, text_col, width, num, den), "digests")
-    shared, path = blocks.stored(equal_parts(docs, text_col, width, num, den), "parts")
+    shared, _ = blocks.stored(equal_parts(docs, text_col, width, num, den), "parts")
+    hot = shared.where("part is not null").select("part", F.col("a").alias("class")).distinct()
+    # equal parts that a partner must share, hot ones left out
+    common = hot.groupBy("class").agg(F.count(F.lit(1)).alias("hot"))
+    spare = own.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("spare").alias("spare")).join(common, "class", "left")
+    least, _ = blocks.stored(spare.select("class", (F.col("spare") - F.coalesce("hot", F.lit(0))).alias("least")), "least")
+    counted = shared.where("part is null").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    counted = counted.join(least.select(F.col("class").alias("a"), F.col("least").alias("x")), "a").where("n >= x")
+    likely = counted.join(least.select(F.col("class").alias("b"), F.col("least").alias("y")), "b").where("n >= y").select("a", "b")
     # documents that hot parts may keep from their partners
-    common = shared.where("hot").groupBy("class").agg(F.count(F.lit(1)).alias("n"))
-    spare = own.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("spare").alias("spare"))
-    crowded = common.join(spare, "class").where(F.col("n") >= F.col("spare")).select("class")
-    groups, _ = blocks.stored(shared.where(~F.col("hot")).select("group", "class").distinct().unionByName(shared.where("hot").select("group", "class").distinct().join(crowded, "class", "left_semi").select("group", "class")), "groups")
-    blocks.drop_path(docs.sparkSession, path)
-    tried, _ = blocks.stored(_stars(groups), "pairs")
+    groups, _ = blocks.stored(hot.join(least.where("least <= 0").select("class"), "class", "left_semi").select(F.col("part").alias("group"), "class"), "groups")
+    tried, _ = blocks.stored(likely.unionByName(_stars(groups)).distinct(), "pairs")
     links, _ = blocks.stored(verify(tried, docs, text_col, width, num, den), "links")
-    # classes of a group that are still apart
     parts = components(links)
+    # classes of a hot part that are still apart
     placed = groups.join(parts.select(F.col("node").alias("class"), "component"), "class", "left").select("group", "class", F.coalesce("component", "class").alias("component"))
     mixed = placed.groupBy("group").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("group")
     apart = placed.join(mixed, "group", "left_semi")
