@@ -87,18 +87,19 @@ def write_records(rows: DataFrame, path: str, mode: str = "errorifexists") -> No
     rows.write.mode(mode).json(path)
 
 
-def read_records(spark: SparkSession, path: str, kind: T.StructType, strict: bool = False) -> tuple[DataFrame, DataFrame]:
+def read_records(spark: SparkSession, path: str, kind: str, strict: bool = False) -> tuple[DataFrame, DataFrame]:
     """(records, lines that can't be read); strict raises at such a line instead."""
     if strict:
         return spark.read.schema(kind).option("mode", "FAILFAST").json(path), spark.createDataFrame([], "line string")
     return parse_records(spark.read.text(path).select(F.col("value").alias("line")), kind)
 
 
-def parse_records(lines: DataFrame, kind: T.StructType) -> tuple[DataFrame, DataFrame]:
-    wide = T.StructType([*kind.fields, T.StructField("_bad", T.StringType())])
+def parse_records(lines: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
+    wide = f"{kind}, _bad string"
+    names = T.StructType.fromDDL(kind).names
     parsed = lines.where("trim(line) != ''").withColumn("r", F.from_json("line", wide, {"columnNameOfCorruptRecord": "_bad"}))
     bad = F.col("r").isNull() | F.col("r._bad").isNotNull()
-    return parsed.where(~bad).select(*[F.col(f"r.{f.name}") for f in kind.fields]), parsed.where(bad).select("line")
+    return parsed.where(~bad).select(*[F.col(f"r.{n}") for n in names]), parsed.where(bad).select("line")
 
 
 def log_steps(log: DataFrame, chunk: int, first: int = 0, last: int | None = None) -> DataFrame:
