@@ -16,10 +16,12 @@ share (a passage found in many documents) are hot. For the other parts the
 pairs of the at most ``HOT`` classes are counted; a pair with fewer equal
 parts than either set must share with a partner, hot parts allowed for, is no
 candidate. A document with more parts to spare than hot ones meets all its
-partners so; only documents without (near copies of a very common document)
-are joined through hot parts too. There the smallest class of a part is
-compared with the others, and classes that these links leave apart are
-compared afterwards; links inside one component are not listed.
+partners so. A document without (a near copy of a very common document) is
+also joined through as many of its hot parts, the rarest first, as leave fewer
+than it must share: two such partners have one of these in common. There the
+smallest class of a part is compared with the others, and classes that these
+links leave apart are compared afterwards if their sizes allow it; links inside
+one component are not listed.
 
 Defined cases: null texts and texts without words have no shingles and link
 with nothing, not even with each other (component_id is the doc_id); texts of
@@ -33,6 +35,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomgraph.llm import blocks
@@ -54,6 +57,7 @@ def _bands(top: int = 1 << 40) -> np.ndarray:
 
 
 _LOW = _bands()
+_NONE = np.int64(1 << 40)
 
 
 def fingerprints(flat: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -64,14 +68,15 @@ def fingerprints(flat: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def sketch_parts(flat: np.ndarray, bounds: np.ndarray, num: int = NUMERATOR, den: int = DENOMINATOR):
-    """(key, set) of every part that holds a shingle, in all bands of a set, and each set's spare parts.
+    """(key, set) of every part that holds a shingle, in both bands of a set, and each set's spare parts in even and odd bands.
 
-    spare: parts that must be equal in a partner, at least; the fewest over the bands.
+    spare: parts that must be equal in a partner, at least; ``_NONE`` where a
+    set is not in such a band. Bit 10 of a key says whether its band is odd.
     """
     size = np.diff(bounds)
     band = np.searchsorted(_LOW, size, side="right") - 1
     keys, owners = [], []
-    spare = np.full(len(size), np.iinfo(np.int64).max)
+    spare = np.full((2, len(size)), _NONE)
     doc = np.repeat(np.arange(len(size)), size)
     high, low = flat >> _U(32), flat & _U(BITS - 1)
     code = blocks.mix(low + _U(0x27D4EB2F165667C5))
@@ -80,7 +85,8 @@ def sketch_parts(flat: np.ndarray, bounds: np.ndarray, num: int = NUMERATOR, den
         if not own.any():
             break
         top = _LOW[band + up + 1] - 1
-        parts = (np.ceil(0.38 * top) + 12).astype(np.uint64)
+        # small sets have room for a part a shingle, so that a passage they share leaves other parts
+        parts = np.where(top < 192, 2 * top, np.where(top < 384, top, np.ceil(0.38 * top))).astype(np.uint64) + _U(12)
         inside = np.flatnonzero(own[doc])
         d = doc[inside]
         part = (high[inside] * parts[d]) >> _U(32)
@@ -91,11 +97,14 @@ def sketch_parts(flat: np.ndarray, bounds: np.ndarray, num: int = NUMERATOR, den
             continue
         parity = np.bitwise_xor.reduceat(code[inside], at)
         d, part = d[at], part[at]
-        keys.append(blocks.mix(parity ^ blocks.mix((band[d] + up).astype(np.uint64) << _U(40) | part)))
+        odd = ((band + up) & 1).astype(np.uint64)
+        key = blocks.mix(parity ^ blocks.mix((band[d] + up).astype(np.uint64) << _U(40) | part))
+        keys.append(key & ~_U(1 << 10) | odd[d] << _U(10))
         owners.append(d)
         full = np.bincount(d, minlength=len(size))
         differ = (size + np.minimum(top, size * den // num)) * (den - num) // (den + num)
-        spare[own] = np.minimum(spare[own], (full - differ)[own])
+        at = np.flatnonzero(own)
+        spare[odd[at].astype(np.int64), at] = (full - differ)[at]
     if not keys:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), spare
     return np.concatenate(keys), np.concatenate(owners), spare
@@ -110,20 +119,20 @@ def _sets(batch: pa.RecordBatch, column: int, width: int):
 
 
 def digests(docs: DataFrame, id_col: str, text_col: str, width: int, num: int, den: int) -> DataFrame:
-    """doc_id, n_shingles, class (null without shingles) and spare of every row."""
+    """doc_id, n_shingles, class (null without shingles), spare0 and spare1 of every row."""
 
     def run(batches):
         for batch in batches:
-            sizes, marks, spares = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            sizes, marks, spares = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros((2, 0), np.int64)]
             for _, flat, bounds in _sets(batch, 1, width):
                 sizes.append(np.diff(bounds))
                 marks.append(fingerprints(flat, bounds))
                 spares.append(sketch_parts(flat, bounds, num, den)[2])
-            n = np.concatenate(sizes)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(np.concatenate(marks), mask=n == 0), pa.array(np.concatenate(spares), mask=n == 0)], ["doc_id", "n_shingles", "class", "spare"])
+            n, spare = np.concatenate(sizes), np.concatenate(spares, axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(np.concatenate(marks), mask=n == 0), *(pa.array(x, mask=x == _NONE) for x in spare)], ["doc_id", "n_shingles", "class", "spare0", "spare1"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, n_shingles long, class long, spare long")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, n_shingles long, class long, spare0 long, spare1 long")
 
 
 def _pairs(rows_class: np.ndarray, begin: np.ndarray, count: np.ndarray):
@@ -304,25 +313,32 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     own, _ = blocks.stored(digests(docs, id_col, text_col, width, num, den), "digests")
     shared, _ = blocks.stored(equal_parts(docs, text_col, width, num, den), "parts")
     hot = shared.where("part is not null").select("part", F.col("a").alias("class")).distinct()
-    # equal parts that a partner must share, hot ones left out
-    common = hot.groupBy("class").agg(F.count(F.lit(1)).alias("hot"))
-    spare = own.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("spare").alias("spare")).join(common, "class", "left")
-    least, _ = blocks.stored(spare.select("class", (F.col("spare") - F.coalesce("hot", F.lit(0))).alias("least")), "least")
+    # equal parts that a partner must share in a band, hot ones left out
+    common = hot.withColumn("odd", F.col("part").bitwiseAND(1)).groupBy("class", "odd").agg(F.count(F.lit(1)).alias("hot"))
+    spare = own.where(F.col("class").isNotNull()).groupBy("class").agg(*[F.min(c).alias(c) for c in ("n_shingles", "spare0", "spare1")])
+    bands = spare.select("class", "n_shingles", F.explode(F.array(*[F.struct(F.lit(k).alias("odd"), F.col(f"spare{k}").alias("spare")) for k in (0, 1)])).alias("s"))
+    bands = bands.select("class", "n_shingles", F.col("s.odd").cast("long").alias("odd"), F.col("s.spare").alias("spare")).where("spare is not null")
+    bands, _ = blocks.stored(bands.join(common, ["class", "odd"], "left").select("class", "n_shingles", "odd", (F.col("spare") - F.coalesce("hot", F.lit(0))).alias("least")), "bands")
+    least = bands.groupBy("class").agg(F.min("least").alias("least"))
     counted = shared.where("part is null").groupBy("a", "b").agg(F.sum("n").alias("n"))
     counted = counted.join(least.select(F.col("class").alias("a"), F.col("least").alias("x")), "a").where("n >= x")
     likely = counted.join(least.select(F.col("class").alias("b"), F.col("least").alias("y")), "b").where("n >= y").select("a", "b")
-    # documents that hot parts may keep from their partners
-    groups, _ = blocks.stored(hot.join(least.where("least <= 0").select("class"), "class", "left_semi").select(F.col("part").alias("group"), "class"), "groups")
+    # hot parts, the rarest first, of documents that cold parts may keep from their partners
+    crowded = hot.withColumn("odd", F.col("part").bitwiseAND(1)).join(bands.where("least <= 0"), ["class", "odd"])
+    sized = crowded.join(hot.groupBy("part").agg(F.count(F.lit(1)).alias("m")), "part")
+    place = F.row_number().over(W.partitionBy("class", "odd").orderBy("m", "part"))
+    groups, _ = blocks.stored(sized.withColumn("place", place).where(F.col("place") <= 1 - F.col("least")).select(F.col("part").alias("group"), "class", "n_shingles"), "groups")
     tried, _ = blocks.stored(likely.unionByName(_stars(groups)).distinct(), "pairs")
     links, _ = blocks.stored(verify(tried, docs, text_col, width, num, den), "links")
     parts = components(links)
     # classes of a hot part that are still apart
-    placed = groups.join(parts.select(F.col("node").alias("class"), "component"), "class", "left").select("group", "class", F.coalesce("component", "class").alias("component"))
+    placed = groups.join(parts.select(F.col("node").alias("class"), "component"), "class", "left").select("group", "class", "n_shingles", F.coalesce("component", "class").alias("component"))
     mixed = placed.groupBy("group").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("group")
     apart = placed.join(mixed, "group", "left_semi")
-    x = apart.select("group", F.col("class").alias("a"), F.col("component").alias("ca"))
-    y = apart.select("group", F.col("class").alias("b"), F.col("component").alias("cb"))
-    more = x.join(y, "group").where((F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b"))).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
+    x = apart.select("group", F.col("class").alias("a"), F.col("component").alias("ca"), F.col("n_shingles").alias("na"))
+    y = apart.select("group", F.col("class").alias("b"), F.col("component").alias("cb"), F.col("n_shingles").alias("nb"))
+    sizes = (F.col("na") * den >= F.col("nb") * num) & (F.col("nb") * den >= F.col("na") * num)
+    more = x.join(y, "group").where((F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b")) & sizes).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
     more, _ = blocks.stored(more, "pairs")
     if not more.isEmpty():
         links = links.unionByName(verify(more, docs, text_col, width, num, den))
