@@ -209,6 +209,17 @@ def drop_path(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: Bytes of an Arrow batch: bounds what a Python worker holds of texts of any length.
+BATCH_BYTES = 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lowers Spark's bound of an Arrow batch to BATCH_BYTES, unless the session has a lower one."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(name, f"{BATCH_BYTES}b")
+
+
 def remainder(column: str, by: int):
     """crc32 of an id as text, modulo by; null for a null id."""
     return F.pmod(F.crc32(F.col(column).cast("string")), F.lit(by))

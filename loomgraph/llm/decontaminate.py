@@ -152,6 +152,7 @@ def _blocks_of(benchmark: DataFrame, item_col: str, text_col: str, block_words:
 
 def find_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", width: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, n_words, n_hit (words inside a window's occurrence), item_ids and the longest matches of every row of docs."""
+    blocks.bound_batches(docs.sparkSession)
     context = docs.sparkSession.sparkContext
     tests = [context.broadcast(test_suffixes(rows, width)) for rows in _blocks_of(benchmark, item_col, text_col, block_words)]  # bounded by block_words each
 
@@ -193,6 +194,7 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", width: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The rows of docs, all columns, in which no window of the benchmark occurs; in one scan."""
+    blocks.bound_batches(docs.sparkSession)
     context = docs.sparkSession.sparkContext
     tests = [context.broadcast(test_suffixes(rows, width)) for rows in _blocks_of(benchmark, item_col, text_col, block_words)]  # bounded by block_words each
     column = docs.columns.index(text_col)

@@ -33,11 +33,11 @@ def word_ngrams(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, orders:
     codes, grams, owners = BYTE_CODES[padded], [], []
     for n in orders:
         count = np.maximum(length + 3 - n, 0)
-        owner = np.repeat(np.arange(len(length)), count)
+        owner = np.repeat(np.arange(len(length), dtype=np.int32), count)
         at = np.repeat(base, count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-        grams.append(span_hashes(codes, at, at + n) >> np.uint64(64 - bits))
+        grams.append((span_hashes(codes, at, at + n) >> np.uint64(64 - bits)).astype(np.int32))
         owners.append(owner)
-    return np.concatenate(grams).astype(np.int64), np.concatenate(owners)
+    return np.concatenate(grams), np.concatenate(owners)
 
 
 def distinct_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
@@ -65,8 +65,8 @@ def linear_machine(x: np.ndarray, positive: np.ndarray, c: float = 10.0, rounds:
     return (alpha * y) @ x, float((alpha * y).sum())
 
 
-def bounded_sample(rows: DataFrame, id_col: str, by: str, per_class: int, folds: int = 5) -> list:
-    """Ids of at most per_class rows of each class outside the held-out fold, by the order of a hash of the id.
+def bounded_sample(rows: DataFrame, id_col: str, by: str, per_class: int, folds: int = 5) -> tuple[list, dict]:
+    """Ids and classes of at most per_class rows of each class outside the held-out fold, by the order of a hash of the id; all sizes.
 
     A hash threshold from the class sizes bounds what comes to the driver.
     """
@@ -82,4 +82,4 @@ def bounded_sample(rows: DataFrame, id_col: str, by: str, per_class: int, folds:
         if seen[r["y"]] < per_class:
             seen[r["y"]] += 1
             out.append((r["id"], r["y"]))
-    return out
+    return out, sizes

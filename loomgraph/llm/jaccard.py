@@ -45,6 +45,8 @@ WIDTH, NUMERATOR, DENOMINATOR = 5, 75, 100
 BITS = 1 << 26
 #: Classes that may share a part before it counts as hot.
 HOT = 16
+#: Parts packed at once.
+SEND = 1_000_000
 _U = np.uint64
 
 
@@ -167,31 +169,38 @@ def equal_parts(docs: DataFrame, text_col: str, width: int, num: int, den: int)
     def send(batches):
         salt = 0
         for batch in batches:
-            keys, classes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+            keys, classes, size = [], [], 0
             for _, flat, bounds in _sets(batch, 0, width):
                 key, owner, _ = sketch_parts(flat, bounds, num, den)
                 keys.append(key)
                 classes.append(fingerprints(flat, bounds)[owner])
-            key, mark = np.concatenate(keys), np.concatenate(classes)
-            order = np.lexsort((mark, key))
-            key, mark = key[order], mark[order]
-            new = np.ones(len(key), dtype=bool)
-            new[1:] = (key[1:] != key[:-1]) | (mark[1:] != mark[:-1])
-            key, mark = key[new], mark[new]
-            begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
-            count = np.diff(np.append(begin, len(key)))
-            rank = np.arange(len(key)) - np.repeat(begin, count)
-            late = (np.repeat(count, count) > 2 * HOT) & (rank > HOT)  # HOT + 1 classes stay to mark the part as hot
-            salt += 1
-            to = ((key >> _U(32)) * _U(deal)) >> _U(32)
-            out = []
-            for hot, own in ((False, ~late), (True, late)):
-                k, m, t = key[own], mark[own], to[own]
-                cut = np.concatenate(([0], np.flatnonzero(t[1:] != t[:-1]) + 1, [len(k)])).tolist() if len(k) else []
-                for x, y in zip(cut[:-1], cut[1:], strict=True):
-                    out.append(((int(t[x]) + (salt if hot else 0)) % deal, hot, *pack(k[x:y] >> _U(10), m[x:y])))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["deal", "hot", "keys", "marks", "classes"])
+                size += len(key)
+                if size >= SEND:
+                    salt += 1
+                    yield dealt(np.concatenate(keys), np.concatenate(classes), salt)
+                    keys, classes, size = [], [], 0
+            if size:
+                salt += 1
+                yield dealt(np.concatenate(keys), np.concatenate(classes), salt)
+
+    def dealt(key, mark, salt):
+        order = np.lexsort((mark, key))
+        key, mark = key[order], mark[order]
+        new = np.ones(len(key), dtype=bool)
+        new[1:] = (key[1:] != key[:-1]) | (mark[1:] != mark[:-1])
+        key, mark = key[new], mark[new]
+        begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        count = np.diff(np.append(begin, len(key)))
+        rank = np.arange(len(key)) - np.repeat(begin, count)
+        late = (np.repeat(count, count) > 2 * HOT) & (rank > HOT)  # HOT + 1 classes stay to mark the part as hot
+        to = ((key >> _U(32)) * _U(deal)) >> _U(32)
+        out = []
+        for hot, own in ((False, ~late), (True, late)):
+            k, m, t = key[own], mark[own], to[own]
+            cut = np.concatenate(([0], np.flatnonzero(t[1:] != t[:-1]) + 1, [len(k)])).tolist() if len(k) else []
+            for x, y in zip(cut[:-1], cut[1:], strict=True):
+                out.append(((int(t[x]) + (salt if hot else 0)) % deal, hot, *pack(k[x:y] >> _U(10), m[x:y])))
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["deal", "hot", "keys", "marks", "classes"])
 
     def found(a, b, n, part):
         return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b, n, part)], ["a", "b", "n", "part"])
@@ -310,6 +319,7 @@ def _stars(groups: DataFrame) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, num: int = NUMERATOR, den: int = DENOMINATOR) -> DataFrame:
     """doc_id, n_shingles, class and component_id of every row of docs."""
+    blocks.bound_batches(docs.sparkSession)
     own, _ = blocks.stored(digests(docs, id_col, text_col, width, num, den), "digests")
     shared, _ = blocks.stored(equal_parts(docs, text_col, width, num, den), "parts")
     hot = shared.where("part is not null").select("part", F.col("a").alias("class")).distinct()

@@ -106,7 +106,7 @@ def family_of(lang: str) -> str:
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> LanguageModel:
     """Fits the model on a bounded sample of labelled documents outside the held-out fold."""
-    chosen = bounded_sample(docs.where(F.col(text_col).isNotNull()), id_col, lang_col, per_language)
+    chosen, _ = bounded_sample(docs.where(F.col(text_col).isNotNull()), id_col, lang_col, per_language)
     texts = {}
     if chosen:
         ids = docs.sparkSession.createDataFrame([(i,) for i, _ in chosen], T.StructType([T.StructField("id", docs.schema[id_col].dataType)]))
@@ -152,7 +152,7 @@ def _has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def label_batches(model: LanguageModel, text_at: int, batches, limit: int = 2 * blocks.SLICE_BYTES):
+def label_batches(model: LanguageModel, text_at: int, batches, limit: int = blocks.SLICE_BYTES // 2):
     """(batch, predicted languages, scores) of Arrow batches whose column text_at holds the texts."""
     for batch in batches:
         data, offsets, _ = blocks.buffer_of(batch.column(text_at))
@@ -168,6 +168,7 @@ def label_batches(model: LanguageModel, text_at: int, batches, limit: int = 2 *
 
 def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred and score of every row of docs; a scan without a shuffle."""
+    blocks.bound_batches(docs.sparkSession)
 
     def run(batches):
         for batch, names, scores in label_batches(model, 1, batches):
@@ -179,6 +180,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
 
 def keep_identified(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, whose text has a language; in one scan."""
+    blocks.bound_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
 
     def run(batches):

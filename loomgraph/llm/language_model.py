@@ -225,6 +225,7 @@ def learn_weights(histogram: list[tuple[int, float, float, float]], rounds: int
 
 def interpolated_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of docs."""
+    blocks.bound_batches(docs.sparkSession)
     spark = docs.sparkSession
     deal = blocks.parts_of(spark)
     # stored in buckets by block, so that later joins move the counts and not the blocks

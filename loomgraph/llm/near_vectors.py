@@ -163,6 +163,7 @@ def link_counts(classes: DataFrame, threshold: float, tables: int, depth: int, c
 
 def near_components(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD, tables: int = TABLES, depth: int = DEPTH, cell: float = CELL, block: int = BLOCK) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row."""
+    blocks.bound_batches(vectors.sparkSession)
     own, classes = vector_classes(vectors, id_col, vector_col, label_col)
     classes, _ = blocks.stored(classes, "classes")
     found, _ = blocks.stored(link_counts(classes, threshold, tables, depth, cell, block), "found")

@@ -90,6 +90,7 @@ def pack_lengths(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
 
 def cut(docs: DataFrame, tokenizer: str, style: str, end_id: int, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, piece, start, length and ids_crc32 of the pieces of all rows; a scan without a shuffle."""
+    blocks.bound_batches(docs.sparkSession)
 
     def run(batches):
         for batch in batches:

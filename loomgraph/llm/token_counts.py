@@ -36,7 +36,8 @@ class PieceCounter:
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         if not blank_pieces_lead(self.model):
             raise ValueError("a piece of this vocabulary crosses blanks; its counts don't add up over pre-tokens")
-        self.young: dict[bytes, int] = {}
+        # the model puts a blank before a text, but none before an empty one
+        self.young: dict[bytes, int] = {b" ": 1}
         self.old: dict[bytes, int] = {}
 
     def pieces(self, tokens: list[bytes]) -> np.ndarray:
@@ -48,7 +49,7 @@ class PieceCounter:
                 self.young[t] = got[t] if t in got else self.old[t]
         out = np.fromiter((self.young[t] for t in tokens), dtype=np.int64, count=len(tokens))
         if len(self.young) > _KEPT // 2:
-            self.young, self.old = {}, self.young
+            self.young, self.old = {b" ": 1}, self.young
         return out
 
     def counts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -86,6 +87,7 @@ _counters: dict[str, PieceCounter] = {}
 
 def count_tokens(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit of every row; a scan without a shuffle."""
+    blocks.bound_batches(docs.sparkSession)
 
     def run(batches):
         counter = _counters.setdefault(model_path, PieceCounter(model_path) if model_path not in _counters else None)

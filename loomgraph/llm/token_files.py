@@ -78,6 +78,7 @@ def train_dictionary(docs: DataFrame, id_col: str, text_col: str, tokenizer: str
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, style: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None, block_bytes: int = BLOCK_BYTES) -> TokenFiles:
     """Encodes, compresses and writes all rows of docs; ids are integers."""
+    blocks.bound_batches(docs.sparkSession)
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     parts = parts or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))

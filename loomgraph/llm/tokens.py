@@ -56,7 +56,7 @@ _LETTERS = _byte_letters()
 class PretokenEncoder:
     """ids of texts; style "byte" is the byte-level pattern with blanks kept, "word" lower-cases and drops white space."""
 
-    def __init__(self, path: str, style: str, cache: int = 600_000):
+    def __init__(self, path: str, style: str, cache: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

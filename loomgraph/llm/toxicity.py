@@ -148,12 +148,12 @@ def _summary(p: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.stack([np.ones(n), np.log(most / (1 - most)), np.log(np.clip(total, 1e-6, None))], axis=1)
 
 
-def _curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Logistic regression with a small ridge, by Newton's method."""
+def _curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Weighted logistic regression with a small ridge, by Newton's method."""
     w = np.zeros(x.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
-        step = np.linalg.solve((x.T * (p * (1 - p))) @ x + 0.05 * np.eye(len(w)), x.T @ (y - p) - 0.05 * w)
+        step = np.linalg.solve((x.T * (weight * p * (1 - p))) @ x + 0.05 * np.eye(len(w)), x.T @ (weight * (y - p)) - 0.05 * w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
@@ -174,18 +174,19 @@ def _evidence(a, b, na, nb):
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_label: int = PER_LABEL) -> ToxicModel | None:
     """Fits the field and the curve on a bounded sample of labelled documents outside the held-out fold."""
     marked = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).alias("toxic"))
-    chosen = dict(bounded_sample(marked, "id", "toxic", per_label))
+    found, sizes = bounded_sample(marked, "id", "toxic", per_label)
+    chosen = dict(found)
     if len(set(chosen.values())) < 2:
         return None
     ids = docs.sparkSession.createDataFrame([(i,) for i in chosen], T.StructType([T.StructField("id", docs.schema[id_col].dataType)]))
     got = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "id", "left_semi")  # at most per_label ids a label
     texts = sorted(((r["id"], r["text"] or "") for r in got.toLocalIterator()))
     y = np.array([chosen[i] for i, _ in texts], dtype=float)
-    return fit([t for _, t in texts], y)
+    return fit([t for _, t in texts], y, share=sizes[1] / (sizes[0] + sizes[1]))
 
 
-def fit(texts: list[str], y: np.ndarray, rounds: int = 45) -> ToxicModel | None:
-    """The model of texts with labels 0 and 1."""
+def fit(texts: list[str], y: np.ndarray, rounds: int = 45, share: float | None = None) -> ToxicModel | None:
+    """The model of texts with labels 0 and 1; share: of toxic texts among all, where the texts are not in that proportion."""
     if len(set(y.tolist())) < 2:
         return None
     raw = [t.encode("utf-8", "replace") for t in texts]
@@ -213,7 +214,8 @@ def fit(texts: list[str], y: np.ndarray, rounds: int = 45) -> ToxicModel | None:
         if again:
             tag |= toxic & (p > 0.5)  # noqa: F821  marginals of the first round
         model, p = _field(tag.astype(float), word, len(s), gram, owner, size, begins, rounds)
-    model.curve = _curve(_summary(p, first), y)
+    share = y.mean() if share is None else share
+    model.curve = _curve(_summary(p, first), y, np.where(y > 0, share / y.mean(), (1 - share) / (1 - y.mean())))
     return model
 
 
@@ -258,7 +260,7 @@ def _field(tag, word, n_words, gram, owner, size, begins, rounds):
     return model, marginals(u, begins, transition, start)[0]
 
 
-def tag_batches(model: ToxicModel | None, text_at: int, batches, limit: int = 2 * blocks.SLICE_BYTES, spans: bool = True):
+def tag_batches(model: ToxicModel | None, text_at: int, batches, limit: int = blocks.SLICE_BYTES // 2, spans: bool = True):
     """(batch, scores, list of (start, end, probability) of each text) of Arrow batches; offsets count characters."""
     for batch in batches:
         data, offsets, _ = blocks.buffer_of(batch.column(text_at))
@@ -285,6 +287,7 @@ def tag_batches(model: ToxicModel | None, text_at: int, batches, limit: int = 2
 
 def score(docs: DataFrame, model: ToxicModel | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score, predicted and the offending spans of every row; a scan without a shuffle."""
+    blocks.bound_batches(docs.sparkSession)
     span = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())])
 
     def run(batches):
@@ -299,6 +302,7 @@ def score(docs: DataFrame, model: ToxicModel | None, id_col: str = "doc_id", tex
 
 def keep_clean(docs: DataFrame, model: ToxicModel | None, text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, that score below 0.5; in one scan."""
+    blocks.bound_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
 
     def run(batches):
