@@ -219,6 +219,15 @@ def fit(texts: list[str], y: np.ndarray, rounds: int = 45, share: float | None =
     return model
 
 
+def _sums(index, weights, n: int, step: int = 1 << 19) -> np.ndarray:
+    """np.bincount by pieces; weights: of a slice of index. Bounds the memory of the driver."""
+    out = np.zeros(n)
+    for k in range(0, len(index), step):
+        part = slice(k, k + step)
+        out += np.bincount(index[part], weights=weights(part), minlength=n)
+    return out
+
+
 def _field(tag, word, n_words, gram, owner, size, begins, rounds):
     """Maximum likelihood of the tags by Adam with a ridge."""
     theta = np.zeros((1 << BITS) + 1 + 4 + 2)
@@ -238,17 +247,18 @@ def _field(tag, word, n_words, gram, owner, size, begins, rounds):
 
     for k in range(1, rounds + 1):
         w, bias, transition, start = unpack()
-        u = (bias + np.bincount(owner, weights=w[gram], minlength=n_words) / root)[word]
+        u = (bias + _sums(owner, lambda part: w[gram[part]], n_words) / root)[word]  # noqa: B023
         p, alpha, beta = marginals(u, begins, transition, start)
         gap = np.bincount(word, weights=tag - p, minlength=n_words)
         g = np.zeros_like(theta)
-        g[: 1 << BITS] = np.bincount(gram, weights=(gap / root)[owner], minlength=1 << BITS)
+        share = gap / root
+        g[: 1 << BITS] = _sums(gram, lambda part: share[owner[part]], 1 << BITS)  # noqa: B023
         g[1 << BITS] = gap.sum()
-        e = np.exp(np.clip(u[before], -30, 30))
-        pair = np.exp(transition)[:, :, None] * alpha[:, None, before - 1] * beta[None, :, before]
-        pair[:, 1] *= e
-        pair /= pair.sum(axis=(0, 1))
-        g[-6:-2] = (seen - pair.sum(axis=2)).ravel()
+        e, weigh = np.exp(np.clip(u[before], -30, 30)), np.exp(transition)
+        ahead = (beta[0, before], beta[1, before] * e)
+        rows = [[weigh[i, j] * alpha[i, before - 1] * ahead[j] for j in (0, 1)] for i in (0, 1)]
+        total = rows[0][0] + rows[0][1] + rows[1][0] + rows[1][1]
+        g[-6:-2] = (seen - np.array([[(x / total).sum() for x in r] for r in rows])).ravel()
         g[-2:] = first - np.array([(1 - p[begins]).sum(), p[begins].sum()])
         g = g * weight
         g[: 1 << BITS] -= 1e-4 * w
@@ -256,7 +266,7 @@ def _field(tag, word, n_words, gram, owner, size, begins, rounds):
         theta = theta + 0.25 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-6)
     w, bias, transition, start = unpack()
     model = ToxicModel(w.astype(np.float32), float(bias), transition.copy(), start.copy(), np.zeros(3))
-    u = (bias + np.bincount(owner, weights=w[gram], minlength=n_words) / root)[word]
+    u = (bias + _sums(owner, lambda part: w[gram[part]], n_words) / root)[word]
     return model, marginals(u, begins, transition, start)[0]
 
 
