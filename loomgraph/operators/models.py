@@ -142,7 +142,8 @@ def listwise_surrogate(rows: DataFrame, answers: DataFrame, k: int = 200, tau: f
     top = F.least(F.lit(float(k)), F.size("all").cast("double"))
     p = sigmoid((top + 0.5 - F.col("soft_rank")) / tau)
     own = W.partitionBy(KEY)
-    out = rows.join(logits, KEY).withColumn("soft_rank", rank).withColumn("p", p).withColumn("pos", F.sum("touch").over(own)).withColumn("n", F.size("all")).drop("all")
+    # the array ends with the projection, before anything is sorted or kept
+    out = rows.join(logits, KEY).withColumn("soft_rank", rank).withColumn("p", p).withColumn("n", F.size("all")).drop("all").withColumn("pos", F.sum("touch").over(own))
     weight = F.when(F.col("touch") > 0.5, F.least((F.col("n") - F.col("pos")) / F.greatest(F.col("pos"), F.lit(1e-6)), F.lit(cap))).otherwise(1.0)
     log = lambda v: F.ln(F.greatest(v, F.lit(1e-6)))
     edge = out.groupBy(KEY).agg(F.avg(-weight * (F.col("touch") * log(F.col("p")) + (1 - F.col("touch")) * log(1 - F.col("p")))).alias("edge"), F.max("pos").alias("pos"))

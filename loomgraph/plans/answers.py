@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomgraph.functions import scores, text
 from loomgraph.operators import episodes, joins, metrics, models, prompts, ranking
 from loomgraph.plans.registry import query
-from loomgraph.plans.retrieval import _DISTINCT, _FIRST, _SCORED, _SOFT, KEY, TRIPLE, soft_rows
+from loomgraph.plans.retrieval import _DISTINCT, _FIRST, _SCORED, _SOFT, KEY, TRIPLE, pairwise, soft_rows
 from loomgraph.sources.views import Views
 
 _NORM = "trim(regexp_replace(regexp_replace(regexp_replace(lower({0}), '[!-/:-@\\[-`{{-~]', '', 'g'), '\\b(a|an|the)\\b', ' ', 'g'), '\\s+', ' ', 'g'))"
@@ -217,16 +216,13 @@ def _(v: Views) -> DataFrame:
 
 @query("m8_listwise", "M8", f"WITH {_TOUCH}, t AS (SELECT * FROM tc WHERE triple_id < 60), r AS (SELECT a.sample_id, a.triple_id, a.y, 1 + sum(1 / (1 + exp(-(a.x - b.x)))) AS sr, count(*) AS n FROM t a JOIN t b USING (sample_id) GROUP BY 1, 2, 3), p AS (SELECT *, 1 / (1 + exp(-(least(20.0, n) + 0.5 - sr))) AS p, sum(y) OVER (PARTITION BY sample_id) AS pos FROM r), e AS (SELECT sample_id, max(pos) AS pos, avg(-(CASE WHEN y > 0.5 THEN least((n - pos) / greatest(pos, 1e-6), 50) ELSE 1 END) * (y * ln(greatest(p, 1e-6)) + (1 - y) * ln(greatest(1 - p, 1e-6)))) AS edge FROM p GROUP BY 1), c AS (SELECT a.sample_id, a.answer, product(1 - p.p) AS q FROM kg_answer a JOIN t ON t.sample_id = a.sample_id AND (t.head = a.answer OR t.tail = a.answer) JOIN p ON p.sample_id = t.sample_id AND p.triple_id = t.triple_id GROUP BY 1, 2), d AS (SELECT sample_id, avg(-ln(greatest(1 - q, 1e-6))) AS cover FROM c GROUP BY 1) SELECT e.sample_id, round(CASE WHEN pos < 0.5 THEN 0 ELSE edge + 0.5 * coalesce(cover, 0) END, 4)::DOUBLE AS loss FROM e LEFT JOIN d USING (sample_id)")
 def _(v: Views) -> DataFrame:
-    return models.listwise_surrogate(_touched(v).where("triple_id < 60"), v.answers, 20).select(KEY, F.round("loss", 4).alias("loss"))
+    return models.listwise_surrogate(_touched(v), v.answers, 20).select(KEY, F.round("loss", 4).alias("loss"))
 
 
 @query("m9_pairwise", "M9", f"WITH {_SOFT}, p AS (SELECT * FROM (SELECT sample_id, logit, row_number() OVER (PARTITION BY sample_id ORDER BY triple_id) AS k FROM soft WHERE label = 1) WHERE k <= 32), g AS (SELECT * FROM (SELECT sample_id, logit, row_number() OVER (PARTITION BY sample_id ORDER BY triple_id) AS k FROM soft WHERE label = 0 AND triple_id < 30) WHERE k <= 32) SELECT p.sample_id, round(avg(ln(1 + exp(g.logit - p.logit))), 5)::DOUBLE AS loss FROM p JOIN g USING (sample_id) GROUP BY 1")
 def _(v: Views) -> DataFrame:
     rows = soft_rows(v)
-    first = F.row_number().over(W.partitionBy(KEY).orderBy("triple_id"))
-    pos = rows.where("label = 1").withColumn("place", first).where("place <= 32").select(KEY, "triple_id", F.lit("pos").alias("side"))
-    neg = rows.where("label = 0 and triple_id < 30").withColumn("place", first).where("place <= 32").select(KEY, "triple_id", F.lit("neg").alias("side"))
-    return models.pairwise_logistic(pos.unionByName(neg), rows).select(KEY, F.round("loss", 5).alias("loss"))
+    return models.pairwise_logistic(pairwise(rows), rows).select(KEY, F.round("loss", 5).alias("loss"))
 
 
 @query("m2_m3_scorers", "M2 M3", None)

@@ -155,6 +155,13 @@ def soft_rows(v: Views) -> DataFrame:
     return rows.withColumn("label", scores.soft_label(F.col("is_direct"), F.col("is_bridge"), F.col("is_weak"), F.lit(False)))
 
 
+def pairwise(rows: DataFrame) -> DataFrame:
+    """Examples of pairwise learning from all rows of soft_rows."""
+    rows = ranking.rank_share(ranking.rank_by_score(rows, "logit")).withColumn("is_bridge", F.col("label") == 0.7)
+    rows = rows.withColumn("topic_distance", F.when(F.col("relation").isin("supplier.part", "supplier.nation"), 0).otherwise(1))
+    return ranking.pairwise_examples(rows)
+
+
 @query("c3_label_join", "C3 H15", f"WITH {_SOFT} SELECT sample_id, triple_id, d = 1 AS is_direct, b = 1 AS is_bridge, w = 1 AS is_weak, label FROM soft WHERE label > 0")
 def _(v: Views) -> DataFrame:
     return soft_rows(v).where("label > 0").select(KEY, "triple_id", "is_direct", "is_bridge", "is_weak", "label")
@@ -326,9 +333,7 @@ def _(v: Views) -> DataFrame:
 p AS (SELECT sample_id, triple_id, row_number() OVER (PARTITION BY sample_id ORDER BY triple_id) AS place FROM x WHERE label = 1 OR br), g AS (SELECT sample_id, triple_id, row_number() OVER (PARTITION BY sample_id ORDER BY CASE WHEN triple_id BETWEEN least(49, n - 1) AND least(249, n - 1) THEN 0 ELSE 1 END, triple_id) AS place FROM x WHERE label = 0 AND (triple_id BETWEEN least(49, n - 1) AND least(249, n - 1) OR k <= least(50, greatest(1, floor(n * 0.1)))))
 SELECT sample_id, triple_id, 'pos' AS side, CAST(place AS INT) AS place FROM p WHERE place <= 32 UNION ALL SELECT sample_id, triple_id, 'neg', CAST(place AS INT) FROM g WHERE place <= 32""")
 def _(v: Views) -> DataFrame:
-    rows = ranking.rank_share(ranking.rank_by_score(soft_rows(v), "logit")).withColumn("is_bridge", F.col("label") == 0.7)
-    rows = rows.withColumn("topic_distance", F.when(F.col("relation").isin("supplier.part", "supplier.nation"), 0).otherwise(1))
-    return ranking.pairwise_examples(rows)
+    return pairwise(soft_rows(v))
 
 
 @query("f7_prefix_states", "F7 B8 K7", """WITH t AS (SELECT sample_id, path, list(triple_id ORDER BY triple_id) AS ids FROM (SELECT DISTINCT sample_id, triple_id % 7 AS path, triple_id FROM kg_edge WHERE triple_id < 60) GROUP BY 1, 2), s AS (SELECT sample_id, ids, unnest(range(0, len(ids) + 1)) AS n FROM t)

@@ -7,7 +7,7 @@ from types import SimpleNamespace
 import duckdb
 import pytest
 from loomgraph.plans import QUERIES
-from loomgraph.sources.views import TABLES
+from loomgraph.sources.views import TABLES, with_views
 
 
 @pytest.fixture(scope="module")
@@ -68,3 +68,19 @@ def test_losses_see_answers_touched_late(long_sample):
     w = min((len(y) - sum(y)) / sum(y), 50)
     mean = sum(w * softplus(-r[5]) if t else softplus(r[5]) for r, t in zip(rows, y, strict=True)) / len(y)
     assert QUERIES["m6_touch_bce"].build(v).first()["loss"] == pytest.approx(mean * 1.2, abs=2e-5)
+
+
+def test_listwise_ranks_all_triples(spark, data_dir, oracle):
+    got, want = by_key(found(spark, data_dir, "m8_listwise"), "sample_id"), by_key(wanted(oracle, uncut("m8_listwise", " WHERE triple_id < 400", " WHERE triple_id < 60")), "sample_id")
+    assert got.keys() == want.keys()
+    assert all(got[k]["loss"] == pytest.approx(want[k]["loss"], abs=2e-4) for k in want)
+
+
+def test_pairwise_loss_takes_the_selected_examples(spark, data_dir, oracle):
+    logit = {(r["sample_id"], r["triple_id"]): r["logit"] for r in wanted(oracle, with_views("SELECT sample_id, triple_id, logit FROM kg_edge"))}
+    sides: dict = {}
+    for r in wanted(oracle, QUERIES["f6_pairwise"].sql):
+        sides.setdefault(r["sample_id"], {"pos": [], "neg": []})[r["side"]].append(logit[r["sample_id"], r["triple_id"]])
+    want = {k: sum(math.log1p(math.exp(n - p)) for p in s["pos"] for n in s["neg"]) / (len(s["pos"]) * len(s["neg"])) for k, s in sides.items() if s["pos"] and s["neg"]}
+    got = {r["sample_id"]: r["loss"] for r in found(spark, data_dir, "m9_pairwise")}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=2e-5) for k in want)
