@@ -84,3 +84,29 @@ def test_pairwise_loss_takes_the_selected_examples(spark, data_dir, oracle):
     want = {k: sum(math.log1p(math.exp(n - p)) for p in s["pos"] for n in s["neg"]) / (len(s["pos"]) * len(s["neg"])) for k, s in sides.items() if s["pos"] and s["neg"]}
     got = {r["sample_id"]: r["loss"] for r in found(spark, data_dir, "m9_pairwise")}
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=2e-5) for k in want)
+
+
+@pytest.mark.parametrize(
+    ("name", "cut", "keys"),
+    [
+        ("b4_normalised_triples", " WHERE triple_id < 20", ("sample_id", "triple_id")),
+        ("b8_selected_rest", " WHERE triple_id < 100", ("sample_id",)),
+        ("b12_candidates", "triple_id < 50 AND ", ("sample_id", "idx")),
+        ("c14_same_relation", " WHERE triple_id < 100", ("sample_id", "triple_id")),
+    ],
+)
+def test_all_edges_are_taken(spark, data_dir, oracle, name, cut, keys):
+    assert by_key(found(spark, data_dir, name), *keys) == by_key(wanted(oracle, uncut(name, cut)), *keys)
+
+
+def test_prefix_states_of_whole_gold_paths(spark, data_dir, oracle):
+    place: dict = {}
+    for r in wanted(oracle, with_views("SELECT * FROM kg_edge ORDER BY sample_id, triple_id")):
+        own = place.setdefault(r["sample_id"], {})
+        own.setdefault((r["head"], r["relation"], r["tail"]), len(own) + 1)
+    paths: dict = {}
+    for r in wanted(oracle, with_views("SELECT * FROM gold_path ORDER BY sample_id, path, place")):
+        paths.setdefault((r["sample_id"], r["path"]), []).append(place[r["sample_id"]][r["head"], r["relation"], r["tail"]])
+    want = {(s, ",".join(map(str, ids[:n])), str(ids[n]) if n < len(ids) else "STOP", 1 if n < len(ids) else 2) for (s, _), ids in paths.items() for n in range(len(ids) + 1)}
+    got = [(r["sample_id"], r["state"], r["action"], r["copies"]) for r in found(spark, data_dir, "f7_prefix_states")]
+    assert len(got) == len(want) and set(got) == want
