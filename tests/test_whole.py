@@ -110,3 +110,15 @@ def test_prefix_states_of_whole_gold_paths(spark, data_dir, oracle):
     want = {(s, ",".join(map(str, ids[:n])), str(ids[n]) if n < len(ids) else "STOP", 1 if n < len(ids) else 2) for (s, _), ids in paths.items() for n in range(len(ids) + 1)}
     got = [(r["sample_id"], r["state"], r["action"], r["copies"]) for r in found(spark, data_dir, "f7_prefix_states")]
     assert len(got) == len(want) and set(got) == want
+
+
+def test_vector_search_takes_all_stated_queries_and_all_rows(spark, data_dir, oracle):
+    rows = {r["vec_id"]: r["embedding"] for r in wanted(oracle, "SELECT vec_id, embedding FROM embeddings")}
+    got = by_key(found(spark, data_dir, "h20_vectors"), "q", "item")
+    assert got.keys() == {(q, i) for q in rows if q % 20 == 0 for i in rows}
+    assert all(r["score"] == pytest.approx(sum(float(x) * float(y) for x, y in zip(rows[q], rows[i], strict=True)), abs=2e-5) for (q, i), r in got.items())
+
+
+def test_vector_search_broadcasts_nothing(spark, data_dir):
+    plan = QUERIES["h20_vectors"](spark, data_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Broadcast" not in plan
