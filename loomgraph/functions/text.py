@@ -12,18 +12,21 @@ NOT_AVAILABLE = ("ans: not available", "ans: no information available")
 #: Signs of explanations in an answer. Fixed values.
 VERBOSE_MARKS = ("because", "therefore", "triples:", "reasoning", "analysis:")
 PUNCTUATION = r"[!-/:-@\[-`{-~]"
+#: White space and word characters as Python has them in texts of any language; those of Java's \s and \b differ.
+SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+WORD = r"[\p{L}\p{N}_]"
 
 
 def normalize(text: Column) -> Column:
     """Lower case, no ASCII punctuation, no articles, single blanks."""
     out = F.regexp_replace(F.lower(text), PUNCTUATION, "")
-    out = F.regexp_replace(out, r"\b(a|an|the)\b", " ")
-    return F.trim(F.regexp_replace(out, r"\s+", " "))
+    out = F.regexp_replace(out, rf"(?<!{WORD})(a|an|the)(?!{WORD})", " ")
+    return F.trim(F.regexp_replace(out, rf"{SPACE}+", " "))
 
 
 def strip(text: Column) -> Column:
     """Trims all white space, not only blanks."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.regexp_replace(text, rf"\A{SPACE}+|{SPACE}+\z", "")
 
 
 def safe_text(text: Column) -> Column:

@@ -23,7 +23,7 @@ def _norm(column: str) -> str:
 
 @query("h1_normalise", "H1", f"SELECT doc_id, md5({_norm('text')}) AS normal FROM documents WHERE lang = 'en' AND NOT regexp_matches(text, '[^\\x00-\\x7F]')")
 def _(v: Views) -> DataFrame:
-    return v.table("documents").where(r"lang = 'en' and not text rlike '[^\\x00-\\x7F]'").select("doc_id", F.md5(text.normalize(F.col("text"))).alias("normal"))
+    return v.table("documents").select("doc_id", F.md5(text.normalize(F.col("text"))).alias("normal"))
 
 
 @query("h2_h4_lines", "H2 H4 H3", "SELECT id, count(DISTINCT line)::BIGINT AS n_lines, false AS none FROM qa_pred GROUP BY 1")
@@ -52,8 +52,7 @@ def _(v: Views) -> DataFrame:
 
 @query("h7_strip", "H7", "SELECT conv_id, turn, md5(trim(text)) AS h FROM conversations WHERE NOT regexp_matches(text, '[^\\x21-\\x7E ]')")
 def _(v: Views) -> DataFrame:
-    rows = v.table("conversations").where(r"not text rlike '[^\\x21-\\x7E ]'")
-    return rows.select("conv_id", "turn", F.md5(text.strip_tagged(F.concat(F.lit("<think>a\nb</think> "), "text"))).alias("h"))
+    return v.table("conversations").select("conv_id", "turn", F.md5(text.strip_tagged(F.concat(F.lit("<think>a\nb</think> "), "text"))).alias("h"))
 
 
 @query("h13_format", "H13", "SELECT id, CASE WHEN count(DISTINCT line) = 1 THEN 1.0 WHEN count(DISTINCT line) <= 5 THEN 0.8 ELSE 0.4 END::DOUBLE AS reward FROM qa_pred GROUP BY 1")

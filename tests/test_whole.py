@@ -1,13 +1,19 @@
 """Queries over all rows of a sample: the Spark form against the registered SQL with its id cut taken out."""
 
+import hashlib
 import math
 import os
+import re
+import string
+from collections import Counter
 from types import SimpleNamespace
 
 import duckdb
 import pytest
+from loomgraph.functions import text
 from loomgraph.plans import QUERIES
 from loomgraph.sources.views import TABLES, with_views
+from pyspark.sql import functions as F
 
 
 @pytest.fixture(scope="module")
@@ -122,3 +128,31 @@ def test_vector_search_takes_all_stated_queries_and_all_rows(spark, data_dir, or
 def test_vector_search_broadcasts_nothing(spark, data_dir):
     plan = QUERIES["h20_vectors"](spark, data_dir)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" in plan and "Broadcast" not in plan
+
+
+def normal(s: str) -> str:
+    s = "".join(c for c in s.lower() if c not in string.punctuation)
+    return " ".join(re.sub(r"\b(a|an|the)\b", " ", s).split())
+
+
+def md5(s: str) -> str:
+    return hashlib.md5(s.encode()).hexdigest()
+
+
+def test_every_document_is_normalised(spark, data_dir, oracle):
+    want = Counter((r["doc_id"], None if r["text"] is None else md5(normal(r["text"]))) for r in wanted(oracle, "SELECT doc_id, text FROM documents"))
+    assert Counter((r["doc_id"], r["normal"]) for r in found(spark, data_dir, "h1_normalise")) == want
+
+
+def test_every_turn_is_stripped(spark, data_dir, oracle):
+    plain = lambda s: re.sub(r"<think>.*?</think>", "", s, flags=re.DOTALL).strip()
+    want = Counter((r["conv_id"], r["turn"], md5(plain("<think>a\nb</think> " + r["text"]))) for r in wanted(oracle, "SELECT conv_id, turn, text FROM conversations WHERE text IS NOT NULL"))
+    got = Counter((r["conv_id"], r["turn"], r["h"]) for r in found(spark, data_dir, "h7_strip"))
+    assert want <= got and all(h == md5("") for _, _, h in (got - want))
+
+
+def test_texts_of_any_language(spark):
+    texts = ["café a theé éa", "“The” ’a’ ań ä", "ΑΣ ΣA a² a_ the中文 a 中", "x the　y z\x85", "\x1c a\x1d​b﻿", "İstanbul THE İ", " x \u0085", "line\r\nthe ", "", " 　 ", "\U0001f600a \U0001d400n the\U0001f600"]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", text.normalize(F.col("t")).alias("n"), text.strip(F.col("t")).alias("s"), text.strip_tagged(F.concat(F.lit("<think> </think>"), "t")).alias("g"))
+    got = {r["k"]: (r["n"], r["s"], r["g"]) for r in rows.collect()}
+    assert [got[k] for k in range(len(texts))] == [(normal(t), t.strip(), t.strip()) for t in texts]
