@@ -42,7 +42,7 @@ def _relax(links: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
     return known.withColumnRenamed("node", "src").join(links, [KEY, "src"]).groupBy(*keys, F.col("dst").alias("node")).agg(F.min(F.col("distance") + F.col("cost")).alias("distance"))
 
 
-def distances(links: DataFrame, sources: DataFrame, depth: int | None = None, most: int = 64, by_source: bool = False) -> DataFrame:
+def distances(links: DataFrame, sources: DataFrame, depth: int | None = None, by_source: bool = False) -> DataFrame:
     """(sample_id[, source], node, distance) along links (sample_id, src, dst) from sources (sample_id, node).
 
     Sources have distance 0 even where no edge touches them. With a depth, that
@@ -59,14 +59,13 @@ def distances(links: DataFrame, sources: DataFrame, depth: int | None = None, mo
         for _ in range(depth):
             known = _relax(cost, known, keys)
         return known
-    before = None
-    for _ in range(most):
+    cost, before = cost.checkpoint(), None
+    while True:
         known = _relax(cost, known, keys).checkpoint()
         total = known.agg(F.count(F.lit(1)).alias("n"), F.sum("distance").alias("d")).first()
         if total == before:
             return known
         before = total
-    raise RuntimeError(f"distances did not settle in {most} rounds")
 
 
 def with_hop(triples: DataFrame, found: DataFrame) -> DataFrame:
@@ -77,8 +76,8 @@ def with_hop(triples: DataFrame, found: DataFrame) -> DataFrame:
     return out.withColumn("hop", (F.least("_h", "_t") + 1).cast("int")).drop("_h", "_t")
 
 
-def path_edges(edges: DataFrame, pairs: DataFrame, depth: int) -> DataFrame:
-    """(sample_id, source, target, length, head, tail): edges on a shortest directed path of each pair, up to depth."""
+def path_edges(edges: DataFrame, pairs: DataFrame, depth: int | None = None) -> DataFrame:
+    """(sample_id, source, target, length, head, tail): edges on a shortest directed path of each pair, of any length or up to depth."""
     links = directed(edges)
     forward = distances(links, pairs.select(KEY, F.col("source").alias("node")), depth, by_source=True)
     backward = distances(reversed_edges(links), pairs.select(KEY, F.col("target").alias("node")), depth, by_source=True).withColumnRenamed("source", "target")
@@ -89,7 +88,7 @@ def path_edges(edges: DataFrame, pairs: DataFrame, depth: int) -> DataFrame:
     return out.select(KEY, "source", "target", "length", F.col("src").alias("head"), F.col("dst").alias("tail"))
 
 
-def shortest_path_triples(edges: DataFrame, topics: DataFrame, answers: DataFrame, depth: int = 4, parallel: str = "all") -> DataFrame:
+def shortest_path_triples(edges: DataFrame, topics: DataFrame, answers: DataFrame, depth: int | None = None, parallel: str = "all") -> DataFrame:
     """(sample_id, triple_id): triples on the shorter direction(s) between topics and answers.
 
     parallel "all" takes every triple between two nodes, "last" the greatest
@@ -101,7 +100,7 @@ def shortest_path_triples(edges: DataFrame, topics: DataFrame, answers: DataFram
     return out.select(KEY, "head", "tail").distinct().join(triples, [KEY, "head", "tail"]).select(KEY, "triple_id")
 
 
-def _pair_paths(edges: DataFrame, topics: DataFrame, answers: DataFrame, depth: int, globally: bool) -> DataFrame:
+def _pair_paths(edges: DataFrame, topics: DataFrame, answers: DataFrame, depth: int | None, globally: bool) -> DataFrame:
     nodes = edges.select(KEY, F.explode(F.array("head", "tail")).alias("node")).distinct()
     q = topics.join(nodes, [KEY, "node"], "left_semi").select(KEY, F.col("node").alias("q"))
     a = answers.join(nodes, [KEY, "node"], "left_semi").select(KEY, F.col("node").alias("a"))
@@ -112,13 +111,13 @@ def _pair_paths(edges: DataFrame, topics: DataFrame, answers: DataFrame, depth:
     return found.withColumn("best", best).where("length = best").drop("best")
 
 
-def weak_labels(edges: DataFrame, topics: DataFrame, answers: DataFrame, depth: int = 4) -> DataFrame:
+def weak_labels(edges: DataFrame, topics: DataFrame, answers: DataFrame, depth: int | None = None) -> DataFrame:
     """(sample_id, triple_id, label) of every edge: 1 on a retained shortest path (the last parallel edge), else 0."""
     hits = shortest_path_triples(edges, topics, answers, depth, parallel="last").withColumn("hit", F.lit(1.0))
     return edges.select(KEY, "triple_id").join(hits, [KEY, "triple_id"], "left").select(KEY, "triple_id", F.coalesce("hit", F.lit(0.0)).alias("label"))
 
 
-def max_path_length(edges: DataFrame, topics: DataFrame, answers: DataFrame, depth: int = 4) -> DataFrame:
+def max_path_length(edges: DataFrame, topics: DataFrame, answers: DataFrame, depth: int | None = None) -> DataFrame:
     return _pair_paths(edges, topics, answers, depth, globally=True).groupBy(KEY).agg(F.max("length").alias("max_path_length"))
 
 
@@ -207,7 +206,7 @@ def connectivity(pairs: list[tuple[str, str]]) -> float:
     return max(sizes.values()) / len(root)
 
 
-def reachable_answers(gold: DataFrame, topics: DataFrame, answers: DataFrame, retained: DataFrame, depth: int = 16) -> DataFrame:
+def reachable_answers(gold: DataFrame, topics: DataFrame, answers: DataFrame, retained: DataFrame, depth: int | None = None) -> DataFrame:
     """(sample_id, answer): answers in the undirected closure of the topic over gold triples.
 
     Where no gold triple touches the topic, the answers that retained paths name.

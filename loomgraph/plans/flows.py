@@ -12,7 +12,7 @@ from loomgraph.plans.retrieval import _BOTH, _DISTINCT, _SCORED, KEY, TRIPLE, _w
 from loomgraph.sources.views import Views
 
 
-def retrieve(scored: DataFrame, topics: DataFrame, k: int = 500, depth: int = 2) -> DataFrame:
+def retrieve(scored: DataFrame, topics: DataFrame, k: int = 500, depth: int | None = None) -> DataFrame:
     """Top-k distinct triples of each sample with their rank and hop over the retrieved triples."""
     top = ranking.top_distinct(scored, k)
     return graph.with_hop(top, graph.distances(graph.undirected(top), topics, depth))
@@ -50,7 +50,7 @@ def trajectories(edges: DataFrame, paths: DataFrame, answers: DataFrame, topics:
     gold = paths.join(kept.select(KEY, "path"), [KEY, "path"], "left_semi").select(KEY, *TRIPLE).distinct()
     filled = ranking.inject_gold(ranking.first_distinct(edges, k), gold).where("ok")
     ids = filled.join(gold, [KEY, *TRIPLE], "left_semi").groupBy(KEY).agg(F.sort_array(F.collect_list("idx")).alias("gold_path_indices"))
-    reached = graph.reachable_answers(gold, topics, answers, answers.where("false"), 6).groupBy(KEY).agg(F.sort_array(F.collect_list("answer")).alias("answers"))
+    reached = graph.reachable_answers(gold, topics, answers, answers.where("false")).groupBy(KEY).agg(F.sort_array(F.collect_list("answer")).alias("answers"))
     return kept.select(KEY, "reason").distinct().join(ids, KEY).join(reached, KEY, "left")
 
 

@@ -247,7 +247,7 @@ def _(v: Views) -> DataFrame:
 
 @query("d3_d4_hops", "D3 D4", f"WITH RECURSIVE {_BOTH}, {_walk('reach', 'topic', 3)} SELECT e.sample_id, e.triple_id, CAST(least(h.distance, t.distance) + 1 AS INT) AS hop FROM kg_edge e LEFT JOIN reach h ON h.sample_id = e.sample_id AND h.node = e.head LEFT JOIN reach t ON t.sample_id = e.sample_id AND t.node = e.tail")
 def _(v: Views) -> DataFrame:
-    return graph.with_hop(v.edges, graph.distances(graph.undirected(v.edges), v.topics, 3)).select(KEY, "triple_id", "hop")
+    return graph.with_hop(v.edges, graph.distances(graph.undirected(v.edges), v.topics)).select(KEY, "triple_id", "hop")
 
 
 # topics reach answers in two steps here, and no edge leads back
@@ -256,17 +256,17 @@ _PATHS = f"{_LINK}, hit AS (SELECT DISTINCT a.sample_id, l1.src, l1.dst AS mid,
 
 @query("d5_weak_labels", "D5", f"WITH {_PATHS}, last AS (SELECT sample_id, head, tail, max(triple_id) AS triple_id FROM kg_edge GROUP BY 1, 2, 3) SELECT last.sample_id, last.triple_id FROM last JOIN used USING (sample_id, head, tail)")
 def _(v: Views) -> DataFrame:
-    return graph.weak_labels(v.edges, v.topics, v.answers.withColumnRenamed("answer", "node"), 3).where("label = 1").select(KEY, "triple_id")
+    return graph.weak_labels(v.edges, v.topics, v.answers.withColumnRenamed("answer", "node")).where("label = 1").select(KEY, "triple_id")
 
 
 @query("d5_path_length", "D5", f"WITH {_PATHS} SELECT DISTINCT sample_id, 2 AS max_path_length FROM hit")
 def _(v: Views) -> DataFrame:
-    return graph.max_path_length(v.edges, v.topics, v.answers.withColumnRenamed("answer", "node"), 3)
+    return graph.max_path_length(v.edges, v.topics, v.answers.withColumnRenamed("answer", "node"))
 
 
 @query("d7_shortest_triples", "D6 D7", f"WITH {_PATHS} SELECT e.sample_id, e.triple_id FROM kg_edge e JOIN used USING (sample_id, head, tail)")
 def _(v: Views) -> DataFrame:
-    return graph.shortest_path_triples(v.edges, v.topics, v.answers.withColumnRenamed("answer", "node"), 3)
+    return graph.shortest_path_triples(v.edges, v.topics, v.answers.withColumnRenamed("answer", "node"))
 
 
 @query("d8_directions", "D8", f"WITH RECURSIVE {_LINK}, {_walk('fore', 'topic', 6)}, {_walk('back', 'topic', 6, flip=True)} SELECT e.sample_id, e.triple_id, CAST(coalesce(fh.distance, 6) AS INT) AS topic_to_head, CAST(coalesce(ft.distance, 6) AS INT) AS topic_to_tail, CAST(coalesce(bh.distance, 6) AS INT) AS head_to_topic, CAST(coalesce(bt.distance, 6) AS INT) AS tail_to_topic FROM kg_edge e LEFT JOIN fore fh ON fh.sample_id = e.sample_id AND fh.node = e.head LEFT JOIN fore ft ON ft.sample_id = e.sample_id AND ft.node = e.tail LEFT JOIN back bh ON bh.sample_id = e.sample_id AND bh.node = e.head LEFT JOIN back bt ON bt.sample_id = e.sample_id AND bt.node = e.tail")
@@ -293,7 +293,7 @@ def _(v: Views) -> DataFrame:
 @query("d11_reachable", "D11", "SELECT DISTINCT a.sample_id, a.answer FROM kg_answer a JOIN gold_path p ON p.sample_id = a.sample_id AND p.tail = a.answer")
 def _(v: Views) -> DataFrame:
     gold = v.view("gold_path").select(KEY, *TRIPLE).distinct()
-    return graph.reachable_answers(gold, v.topics, v.answers, v.answers.where("false"), 6)
+    return graph.reachable_answers(gold, v.topics, v.answers, v.answers.where("false"))
 
 
 @query("d12_structure", "D12", """WITH o AS (SELECT sample_id, head AS k, count(*) AS n FROM kg_edge GROUP BY 1, 2), i AS (SELECT sample_id, tail AS k, count(*) AS n FROM kg_edge GROUP BY 1, 2), r AS (SELECT sample_id, relation AS k, count(*) AS n FROM kg_edge GROUP BY 1, 2),

@@ -2,6 +2,8 @@
 
 import pytest
 from loomgraph.operators import graph, ranking
+from loomgraph.plans.flows import retrieve, trajectories
+from pyspark.sql import functions as F
 
 EDGES = [(0, "A", "r1", "B", 0.9), (1, "B", "r2", "C", 0.8), (2, "A", "r3", "B", 0.8), (3, "C", "r4", "D", 0.3), (4, "D", "r5", "A", 0.2), (5, "E", "r6", "F", 0.1), (6, "B", "r2", "C", 0.7)]
 
@@ -101,3 +103,32 @@ def test_injection_needs_slots(spark):
     gold = spark.createDataFrame([(1, "c", "r", "d"), (1, "x", "r", "y"), (2, "x", "r", "y"), (2, "z", "r", "y")], "sample_id long, head string, relation string, tail string")
     got = {(r["sample_id"], r["idx"]): (r["head"], r["ok"]) for r in ranking.inject_gold(candidates, gold).collect()}
     assert got == {(1, 1): ("x", True), (1, 2): ("c", True), (2, 1): ("a", False)}
+
+
+def chain(spark, n):
+    ddl = "sample_id long, triple_id int, head string, relation string, tail string, score double"
+    return spark.createDataFrame([(1, k, f"N{k}", "r", f"N{k + 1}", 1 - k / 100) for k in range(n)], ddl), *[spark.createDataFrame([(1, x)], "sample_id long, node string") for x in ("N0", f"N{n}")]
+
+
+def test_paths_have_no_depth_of_their_own(spark):
+    edges, start, end = chain(spark, 6)
+    found = graph.path_edges(edges, spark.createDataFrame([(1, "N0", "N6")], "sample_id long, source string, target string"))
+    assert {(r["head"], r["length"]) for r in found.collect()} == {(f"N{k}", 6) for k in range(6)}
+    assert graph.max_path_length(edges, start, end).first()["max_path_length"] == 6
+    assert {r["label"] for r in graph.weak_labels(edges, start, end).collect()} == {1.0}
+    assert set(by_id(graph.shortest_path_triples(edges, start, end))) == set(range(6))
+    assert by_id(retrieve(edges, start), "hop") == {k: (k + 1,) for k in range(6)}
+
+
+def test_closure_has_no_depth_of_its_own(spark):
+    edges, start, end = chain(spark, 18)
+    answers = end.withColumnRenamed("node", "answer")
+    assert [r["answer"] for r in graph.reachable_answers(edges, start, answers, answers.where("false")).collect()] == ["N18"]
+
+
+def test_trajectories_keep_answers_far_from_the_topic(spark):
+    rows = [(1, k, f"N{k}", "r", f"N{k + 1}") for k in range(9)]
+    edges = spark.createDataFrame(rows, "sample_id long, triple_id int, head string, relation string, tail string")
+    paths = edges.select("sample_id", F.lit(0).alias("path"), F.col("triple_id").alias("place"), "head", "relation", "tail")
+    start, answers = spark.createDataFrame([(1, "N0")], "sample_id long, node string"), spark.createDataFrame([(1, "N9")], "sample_id long, answer string")
+    assert trajectories(edges, paths, answers, start).first()["answers"] == ["N9"]
