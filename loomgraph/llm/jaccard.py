@@ -37,6 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomgraph.llm import blocks
 from loomgraph.llm.components import components
@@ -317,8 +318,8 @@ def _stars(groups: DataFrame) -> DataFrame:
     return groups.join(least, "group").where(F.col("class") != F.col("a")).select("a", F.col("class").alias("b")).distinct()
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, num: int = NUMERATOR, den: int = DENOMINATOR) -> DataFrame:
-    """doc_id, n_shingles, class and component_id of every row of docs."""
+def _placed(docs: DataFrame, id_col: str, text_col: str, width: int, num: int, den: int) -> DataFrame:
+    """doc_id, n_shingles, class and component (a class; null without shingles) of every row of docs."""
     blocks.bound_batches(docs.sparkSession)
     own, _ = blocks.stored(digests(docs, id_col, text_col, width, num, den), "digests")
     shared, _ = blocks.stored(equal_parts(docs, text_col, width, num, den), "parts")
@@ -353,13 +354,47 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     if not more.isEmpty():
         links = links.unionByName(verify(more, docs, text_col, width, num, den))
         parts = components(links)
-    placed = own.join(parts.select(F.col("node").alias("class"), "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    return own.join(parts.select(F.col("node").alias("class"), "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, num: int = NUMERATOR, den: int = DENOMINATOR) -> DataFrame:
+    """doc_id, n_shingles, class and component_id of every row of docs."""
+    placed = _placed(docs, id_col, text_col, width, num, den)
     least = placed.where(F.col("component").isNotNull()).groupBy("component").agg(F.min("doc_id").alias("least"))
     return placed.join(least, "component", "left").select("doc_id", "n_shingles", "class", F.coalesce("least", "doc_id").alias("component_id"))
 
 
+def _with_class(docs: DataFrame, text_col: str, width: int) -> DataFrame:
+    """docs with _class, null without shingles."""
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            sizes, marks = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for _, flat, bounds in _sets(batch, at, width):
+                sizes.append(np.diff(bounds))
+                marks.append(fingerprints(flat, bounds))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(marks), mask=np.concatenate(sizes) == 0)], [*batch.schema.names, "_class"])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_class", T.LongType())]))
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, but for those whose component has a smaller id."""
-    found = jaccard_components(docs, id_col, text_col)
-    extra = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(extra, id_col, "left_anti").select(*docs.columns)
+    """One row of docs a component, all columns: that with the smallest id, null last; rows without shingles all stay.
+
+    Where ids are there and differ, rows are chosen by id; rows without an id or with a repeated one by id and class.
+    """
+    placed, _ = blocks.stored(_placed(docs, id_col, text_col, WIDTH, NUMERATOR, DENOMINATOR), "placed")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "class")).alias("first")
+    best = placed.where(F.col("component").isNotNull()).groupBy("component").agg(first).select(F.col("component").alias("_component"), F.col("first.doc_id").alias("_id"), F.col("first.class").alias("_class"))
+    extra = placed.join(best, F.col("component") == F.col("_component")).where((F.col("doc_id") != F.col("_id")) | (F.col("class") != F.col("_class"))).select(F.col("doc_id").alias(id_col))
+    doubtful = placed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null").select(F.col("doc_id").alias(id_col))
+    if doubtful.isEmpty():
+        return docs.join(extra.distinct(), id_col, "left_anti").select(*docs.columns)
+    named = docs.where(F.col(id_col).isNotNull())
+    plain = named.join(extra.unionByName(doubtful).distinct(), id_col, "left_anti").select(*docs.columns)
+    rows = named.join(doubtful, id_col, "left_semi").select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
+    rows = _with_class(rows, text_col, WIDTH)
+    chosen = rows.join(best, "_class").where(F.col(id_col).eqNullSafe(F.col("_id")))
+    chosen = chosen.withColumn("_place", F.row_number().over(W.partitionBy("_component").orderBy(text_col))).where("_place = 1")
+    return plain.unionByName(rows.where("_class is null").select(*docs.columns)).unionByName(chosen.select(*docs.columns))
