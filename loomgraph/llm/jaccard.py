@@ -6,22 +6,31 @@ sets differ in shingles. Sketches are made for each size band (sizes within
 twice of each other; a document also enters the next band if a set there may be
 similar enough). For sets of sizes a and b that are similar enough, at most
 d = (a + b)(1 - t)/(1 + t) shingles differ, so of a document's parts of the
-sketch that hold a shingle all but d must be equal in its partner. Equal parts
-are joined (pigeonhole), candidates are verified on the whole shingle sets.
-The sketch is wide (``BITS`` bits a part) and kept sparse: a part is the
-exclusive or of the codes of its set bits.
-
-Equal sets are one class from the start. Parts that more than ``HOT`` classes
-share (a passage found in many documents) are hot. For the other parts the
-pairs of the at most ``HOT`` classes are counted; a pair with fewer equal
-parts than either set must share with a partner, hot parts allowed for, is no
-candidate. A document with more parts to spare than hot ones meets all its
-partners so. A document without (a near copy of a very common document) is
-also joined through as many of its hot parts, the rarest first, as leave fewer
-than it must share: two such partners have one of these in common. There the
-smallest class of a part is compared with the others, and classes that these
-links leave apart are compared afterwards if their sizes allow it; links inside
-one component are not listed.
+sketch that hold a shingle all but d must be equal in its partner: its spare
+parts. This sketch is wide (``BITS`` bits a part) and sparse: a part is the
+exclusive or of the codes of its set bits. In bands of small sets every shingle
+is a part of its own. Where parts that several shingles fall into leave a
+larger set no part to spare, it also takes part with one part a shingle; two
+sets without spare parts meet there.
+
+Equal sets are one class from the start. Then, by pigeonhole:
+
+1. parts are dealt by key and counted; those that one class alone holds go. A
+   class with fewer parts left than it must share has no partner and goes too;
+2. the parts of a class are put into one order for all classes: by the number
+   of classes that hold them, then by key. Of n parts at least s are common to
+   a pair, so both hold the first common one among their first n - s + 1;
+3. a part that at most ``HOT`` classes hold gives their pairs; of a hot one the
+   smallest class is compared with the others. Candidates are verified by the
+   Hamming distance of dense sketches, then on the whole sets;
+4. the classes of a hot part that are still in several components are packed
+   into blocks of bounded bytes, clustered by component and size. Blocks that
+   share such a part are compared with each other, first by Hamming distance,
+   then exactly where the two components are still apart; only links that join
+   components become rows. The work grows with the square of the classes that
+   share a common text without being copies of it, by ``BLOCK_BYTES`` pieces.
+
+Links inside one component are not listed.
 
 Defined cases: null texts and texts without words have no shingles and link
 with nothing, not even with each other (component_id is the doc_id); texts of
@@ -34,6 +43,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -46,8 +56,13 @@ WIDTH, NUMERATOR, DENOMINATOR = 5, 75, 100
 BITS = 1 << 26
 #: Classes that may share a part before it counts as hot.
 HOT = 16
-#: Parts packed at once.
-SEND = 1_000_000
+#: Parts packed at once, and shingles whose parts one task sorts.
+SEND, DEAL = 1_000_000, 2_000_000
+#: Sizes of the bands below this have one part a shingle.
+SMALL = 96
+#: Bits of a part's key that are not sent; the lowest two of those that are tell the slot: odd band, one part a shingle.
+DROP, SLOTS = 10, 4
+BLOCK_BYTES, BLOCK_CLASSES = 512 << 10, 512
 _U = np.uint64
 
 
@@ -61,6 +76,7 @@ def _bands(top: int = 1 << 40) -> np.ndarray:
 
 _LOW = _bands()
 _NONE = np.int64(1 << 40)
+_SPARES = [f"spare{k}" for k in range(SLOTS)]
 
 
 def fingerprints(flat: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -71,48 +87,76 @@ def fingerprints(flat: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def sketch_parts(flat: np.ndarray, bounds: np.ndarray, num: int = NUMERATOR, den: int = DENOMINATOR):
-    """(key, set) of every part that holds a shingle, in both bands of a set, and each set's spare parts in even and odd bands.
+    """(key, set) of every part that holds a shingle, in all bands of a set, and each set's spare parts by slot.
 
     spare: parts that must be equal in a partner, at least; ``_NONE`` where a
-    set is not in such a band. Bit 10 of a key says whether its band is odd.
+    set has no parts of that slot.
     """
     size = np.diff(bounds)
     band = np.searchsorted(_LOW, size, side="right") - 1
     keys, owners = [], []
-    spare = np.full((2, len(size)), _NONE)
+    spare = np.full((SLOTS, len(size)), _NONE)
     doc = np.repeat(np.arange(len(size)), size)
     high, low = flat >> _U(32), flat & _U(BITS - 1)
     code = blocks.mix(low + _U(0x27D4EB2F165667C5))
+
+    def add(key, d, slot):
+        keys.append(key & ~_U((SLOTS - 1) << DROP) | slot.astype(np.uint64)[d] << _U(DROP))
+        owners.append(d)
+
     for up in range(4):
         own = size * den >= num * _LOW[band + up] if up else size > 0
         if not own.any():
             break
         top = _LOW[band + up + 1] - 1
-        # small sets have room for a part a shingle, so that a passage they share leaves other parts
-        parts = np.where(top < 192, 2 * top, np.where(top < 384, top, np.ceil(0.38 * top))).astype(np.uint64) + _U(12)
-        inside = np.flatnonzero(own[doc])
-        d = doc[inside]
-        part = (high[inside] * parts[d]) >> _U(32)
-        begin = np.ones(len(inside), dtype=bool)
-        begin[1:] = (d[1:] != d[:-1]) | (part[1:] != part[:-1])
-        at = np.flatnonzero(begin)
-        if not len(at):
-            continue
-        parity = np.bitwise_xor.reduceat(code[inside], at)
-        d, part = d[at], part[at]
-        odd = ((band + up) & 1).astype(np.uint64)
-        key = blocks.mix(parity ^ blocks.mix((band[d] + up).astype(np.uint64) << _U(40) | part))
-        keys.append(key & ~_U(1 << 10) | odd[d] << _U(10))
-        owners.append(d)
-        full = np.bincount(d, minlength=len(size))
+        odd = (band + up) & 1
         differ = (size + np.minimum(top, size * den // num)) * (den - num) // (den + num)
-        at = np.flatnonzero(own)
-        spare[odd[at].astype(np.int64), at] = (full - differ)[at]
+        # middling sets have room for a part a shingle, so that a passage they share leaves other parts
+        parts = np.where(top < 192, 2 * top, np.where(top < 384, top, np.ceil(0.38 * top))).astype(np.uint64) + _U(12)
+        single = own & (top < SMALL)
+        inside = np.flatnonzero((own & ~single)[doc])
+        if len(inside):
+            d = doc[inside]
+            part = (high[inside] * parts[d]) >> _U(32)
+            begin = np.ones(len(inside), dtype=bool)
+            begin[1:] = (d[1:] != d[:-1]) | (part[1:] != part[:-1])
+            at = np.flatnonzero(begin)
+            parity = np.bitwise_xor.reduceat(code[inside], at)
+            d, part = d[at], part[at]
+            add(blocks.mix(parity ^ blocks.mix((band[d] + up).astype(np.uint64) << _U(40) | part)), d, odd)
+            left = np.bincount(d, minlength=len(size)) - differ
+            at = np.flatnonzero(own & ~single)
+            spare[odd[at], at] = left[at]
+            single |= own & (left <= 0)
+        inside = np.flatnonzero(single[doc])
+        if len(inside):
+            d = doc[inside]
+            add(blocks.mix(flat[inside] ^ blocks.mix((band[d] + up).astype(np.uint64) << _U(40) | _U(1 << 39))), d, odd + 2)
+            at = np.flatnonzero(single)
+            spare[odd[at] + 2, at] = (size - differ)[at]
     if not keys:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), spare
     return np.concatenate(keys), np.concatenate(owners), spare
 
 
+def dense_sketch(shingles: np.ndarray, bits: int) -> np.ndarray:
+    """Parity sketch of one set as 64-bit words; bits is a power of two of at least 64."""
+    flips = np.bincount((blocks.mix(shingles ^ _U(0xA24BAED4963EE407)) & _U(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits((flips & 1).astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def sketch_bits(size: int, most: int = 1 << 62) -> int:
+    return min(1 << max(9, (8 * max(size, 1) - 1).bit_length()), most)
+
+
+def fold(sketch: np.ndarray, words: int) -> np.ndarray:
+    """The sketch of the same set in fewer words: the halves' exclusive or."""
+    while len(sketch) > words:
+        half = len(sketch) // 2
+        sketch = sketch[:half] ^ sketch[half:]
+    return sketch
+
+
 def _sets(batch: pa.RecordBatch, column: int, width: int):
     """(first row, flat hashes, bounds) of slices of a batch."""
     data, offsets, _ = blocks.buffer_of(batch.column(column))
@@ -122,50 +166,63 @@ def _sets(batch: pa.RecordBatch, column: int, width: int):
 
 
 def digests(docs: DataFrame, id_col: str, text_col: str, width: int, num: int, den: int) -> DataFrame:
-    """doc_id, n_shingles, class (null without shingles), spare0 and spare1 of every row."""
+    """doc_id, n_shingles, class (null without shingles) and spare0 to spare3 of every row."""
 
     def run(batches):
         for batch in batches:
-            sizes, marks, spares = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros((2, 0), np.int64)]
+            sizes, marks, spares = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros((SLOTS, 0), np.int64)]
             for _, flat, bounds in _sets(batch, 1, width):
                 sizes.append(np.diff(bounds))
                 marks.append(fingerprints(flat, bounds))
                 spares.append(sketch_parts(flat, bounds, num, den)[2])
             n, spare = np.concatenate(sizes), np.concatenate(spares, axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(np.concatenate(marks), mask=n == 0), *(pa.array(x, mask=x == _NONE) for x in spare)], ["doc_id", "n_shingles", "class", "spare0", "spare1"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(np.concatenate(marks), mask=n == 0), *(pa.array(x, mask=x == _NONE) for x in spare)], ["doc_id", "n_shingles", "class", *_SPARES])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, n_shingles long, class long, spare0 long, spare1 long")
-
-
-def _pairs(rows_class: np.ndarray, begin: np.ndarray, count: np.ndarray):
-    """(a, b, number of groups) of the pairs within groups of sorted classes."""
-    left, right = [], []
-    for m in np.unique(count).tolist():
-        members = rows_class[begin[count == m][:, None] + np.arange(m)]
-        i, j = np.triu_indices(m, 1)
-        left.append(members[:, i].ravel())
-        right.append(members[:, j].ravel())
-    a, b = np.concatenate(left), np.concatenate(right)
-    order = np.lexsort((b, a))
-    a, b = a[order], b[order]
-    new = np.ones(len(a), dtype=bool)
-    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    at = np.flatnonzero(new)
-    return a[at], b[at], np.diff(np.append(at, len(a)))
-
-
-def equal_parts(docs: DataFrame, text_col: str, width: int, num: int, den: int) -> DataFrame:
-    """(a, b, n): pairs of classes with n equal parts that are not hot; (a, part) of classes that hold a hot part.
-
-    Parts travel as packed arrays. A part that is hot within one batch goes on
-    as it is, dealt by batch, so that no task gathers all of a very common one.
-    """
-    deal = blocks.parts_of(docs.sparkSession)
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, n_shingles long, class long, {', '.join(f'{x} long' for x in _SPARES)}")
+
+
+def _cuts(x: np.ndarray) -> list:
+    """Bounds of the runs of equal values."""
+    return np.concatenate(([0], np.flatnonzero(x[1:] != x[:-1]) + 1, [len(x)])).tolist() if len(x) else []
 
-    def pack(key: np.ndarray, mark: np.ndarray) -> tuple[bytes, bytes, bytes]:
-        table, index = np.unique(mark, return_inverse=True)
-        return blocks.squeeze(np.diff(key, prepend=_U(0))), blocks.squeeze(index.astype(np.uint32)), table.tobytes()
+
+def _distinct(key: np.ndarray, mark: np.ndarray):
+    """Distinct (key, class), sorted, the first of each key, and its number of classes."""
+    order = np.lexsort((mark, key))
+    key, mark = key[order], mark[order]
+    new = np.ones(len(key), dtype=bool)
+    new[1:] = (key[1:] != key[:-1]) | (mark[1:] != mark[:-1])
+    key, mark = key[new], mark[new]
+    begin = np.flatnonzero(np.concatenate((np.ones(min(1, len(key)), dtype=bool), key[1:] != key[:-1])))
+    return key, mark, begin, np.diff(np.append(begin, len(key)))
+
+
+_PIECE = "deal int, hot boolean, keys binary, marks binary, classes binary, counts binary"
+_PIECE_TYPES = (pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+
+
+def _piece(deal: int, hot: bool, key: np.ndarray, mark: np.ndarray, count: np.ndarray | None = None) -> tuple:
+    """A row of sorted keys with their classes, packed."""
+    table, index = np.unique(mark, return_inverse=True)
+    return deal, hot, blocks.squeeze(np.diff(key, prepend=_U(0))), blocks.squeeze(index.astype(np.uint32)), table.tobytes(), None if count is None else blocks.squeeze(count)
+
+
+def _pieces(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _PIECE_TYPES, strict=True)], [c.split()[0] for c in _PIECE.split(", ")])
+
+
+def _unpacked(keys: bytes, marks: bytes, classes: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.cumsum(blocks.spread(keys, np.uint64)), np.frombuffer(classes, dtype=np.int64)[blocks.spread(marks, np.uint32)]
+
+
+def shared_parts(docs: DataFrame, text_col: str, width: int, num: int, den: int, deals: int) -> DataFrame:
+    """Pieces of (part, class, number of classes that hold the part) of parts that several classes hold, dealt by class; 255 classes stand for more than HOT.
+
+    Parts travel packed. A part that is hot within one batch goes on dealt by
+    batch, but for a few classes that mark it, so that no task gathers all of
+    a very common one.
+    """
 
     def send(batches):
         salt = 0
@@ -185,64 +242,102 @@ def equal_parts(docs: DataFrame, text_col: str, width: int, num: int, den: int)
                 yield dealt(np.concatenate(keys), np.concatenate(classes), salt)
 
     def dealt(key, mark, salt):
-        order = np.lexsort((mark, key))
-        key, mark = key[order], mark[order]
-        new = np.ones(len(key), dtype=bool)
-        new[1:] = (key[1:] != key[:-1]) | (mark[1:] != mark[:-1])
-        key, mark = key[new], mark[new]
-        begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        count = np.diff(np.append(begin, len(key)))
+        key, mark, begin, count = _distinct(key, mark)
         rank = np.arange(len(key)) - np.repeat(begin, count)
         late = (np.repeat(count, count) > 2 * HOT) & (rank > HOT)  # HOT + 1 classes stay to mark the part as hot
-        to = ((key >> _U(32)) * _U(deal)) >> _U(32)
+        to = ((key >> _U(32)) * _U(deals)) >> _U(32)
         out = []
         for hot, own in ((False, ~late), (True, late)):
             k, m, t = key[own], mark[own], to[own]
-            cut = np.concatenate(([0], np.flatnonzero(t[1:] != t[:-1]) + 1, [len(k)])).tolist() if len(k) else []
+            cut = _cuts(t)
             for x, y in zip(cut[:-1], cut[1:], strict=True):
-                out.append(((int(t[x]) + (salt if hot else 0)) % deal, hot, *pack(k[x:y] >> _U(10), m[x:y])))
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["deal", "hot", "keys", "marks", "classes"])
+                out.append(_piece((int(t[x]) + (salt if hot else 0)) % deals, hot, k[x:y] >> _U(DROP), m[x:y]))
+        return _pieces(out)
 
-    def found(a, b, n, part):
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b, n, part)], ["a", "b", "n", "part"])
+    def by_class(key, mark, count):
+        to = np.mod(mark, _class_deals(deals))
+        order = np.lexsort((key, to))
+        key, mark, count, to = key[order], mark[order], count[order], to[order]
+        cut = _cuts(to)
+        return _pieces([_piece(int(to[x]), False, key[x:y], mark[x:y], count[x:y]) for x, y in zip(cut[:-1], cut[1:], strict=True)])
 
     def meet(batches):
         held = []
         for batch in batches:
-            for _, hot, keys, marks, classes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                key = np.cumsum(blocks.spread(keys, np.uint64))
-                mark = np.frombuffer(classes, dtype=np.int64)[blocks.spread(marks, np.uint32)]
+            for _, hot, keys, marks, classes, _ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                key, mark = _unpacked(keys, marks, classes)
                 if hot:
-                    none = [None] * len(key)
-                    yield found(mark, none, none, key.view(np.int64))
+                    yield by_class(key, mark, np.full(len(key), 255, dtype=np.uint8))
                 else:
                     held.append((key, mark))
         if not held:
             return
         key, mark = (np.concatenate(x) for x in zip(*held, strict=True))
         held.clear()
-        order = np.lexsort((mark, key))
-        key, mark = key[order], mark[order]
-        new = np.ones(len(key), dtype=bool)
-        new[1:] = (key[1:] != key[:-1]) | (mark[1:] != mark[:-1])
-        key, mark = key[new], mark[new]
-        begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        count = np.diff(np.append(begin, len(key)))
-        few = (count > 1) & (count <= HOT)
-        if few.any():
-            a, b, n = _pairs(mark, begin[few], count[few])
-            yield found(a, b, n, [None] * len(a))
-        hot = np.repeat(count > HOT, count)
-        if hot.any():
-            none = [None] * int(hot.sum())
-            yield found(mark[hot], none, none, key[hot].view(np.int64))
+        key, mark, _, count = _distinct(key, mark)
+        count = np.repeat(np.where(count > HOT, 255, count).astype(np.uint8), count)
+        several = count > 1
+        if several.any():
+            yield by_class(key[several], mark[several], count[several])
+
+    sent = docs.select(F.col(text_col).alias("text")).mapInArrow(send, _PIECE)
+    return sent.repartitionById(deals, F.col("deal")).mapInArrow(meet, _PIECE)
+
 
-    sent = docs.select(F.col(text_col).alias("text")).mapInArrow(send, "deal int, hot boolean, keys binary, marks binary, classes binary")
-    return sent.repartitionById(deal, F.col("deal")).mapInArrow(meet, "a long, b long, n long, part long")
+def _class_deals(deals: int) -> int:
+    return max(8, deals // 2)
 
 
-def shingle_tables(docs: DataFrame, wanted: DataFrame, text_col: str, width: int, filter_bits: int = 1 << 23) -> DataFrame:
-    """(class, shingles) of the wanted classes, once each.
+def prefixes(shared: DataFrame, own: DataFrame, deals: int) -> DataFrame:
+    """(class, part, need) of the first parts of each class that may have a partner.
+
+    need is null for parts of few classes; the hot parts of a class all come,
+    with the number of them that belong to its first parts.
+    """
+    to = _class_deals(deals)
+
+    def run(batches):
+        held, marks, spares = [], [np.zeros(0, np.int64)], [np.zeros((0, SLOTS), np.int64)]
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            known = rows.filter(rows["class"].is_valid())
+            marks.append(known["class"].to_numpy())
+            spares.append(np.stack([known[c].fill_null(int(_NONE)).to_numpy() for c in _SPARES], axis=1))
+            for keys, index, classes, counts in zip(*(rows.filter(rows["keys"].is_valid())[c].to_pylist() for c in ("keys", "marks", "classes", "counts")), strict=True):
+                held.append((*_unpacked(keys, index, classes), blocks.spread(counts, np.uint8)))
+        if not held:
+            return
+        key, mark, count = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
+        slot = (key & _U(SLOTS - 1)).astype(np.uint8)
+        order = np.lexsort((key, count, slot, mark))
+        key, mark, count, slot = key[order], mark[order], count[order], slot[order]
+        new = np.ones(len(key), dtype=bool)
+        new[1:] = (key[1:] != key[:-1]) | (mark[1:] != mark[:-1])
+        key, mark, count, slot = key[new], mark[new], count[new], slot[new]
+        first = np.ones(len(key), dtype=bool)
+        first[1:] = (mark[1:] != mark[:-1]) | (slot[1:] != slot[:-1])
+        begin = np.flatnonzero(first)
+        n = np.diff(np.append(begin, len(key)))
+        cold = np.add.reduceat((count < 255).astype(np.int64), begin)
+        names, at = np.unique(np.concatenate(marks), return_index=True)
+        spare = np.concatenate(spares)[at][np.searchsorted(names, mark[begin]), slot[begin]]
+        take = np.where(n >= np.maximum(spare, 1), np.minimum(n - spare + 1, n), 0)
+        place = np.arange(len(key)) - np.repeat(begin, n)
+        few = (place < np.repeat(np.minimum(take, cold), n)) & (count < 255)
+        need = np.repeat(take - cold, n)
+        many = (need > 0) & (count == 255)
+        both = few | many
+        yield pa.RecordBatch.from_arrays([pa.array(mark[both]), pa.array(key[both].view(np.int64)), pa.array(need[both], mask=few[both])], ["class", "part", "need"])
+
+    none = [F.lit(None).cast("long").alias(c) for c in ("class", *_SPARES)]
+    parts = shared.select("deal", "keys", "marks", "classes", "counts", *none)
+    sizes = own.where(F.col("class").isNotNull()).select(F.pmod("class", F.lit(to)).cast("int").alias("deal"), *[F.lit(None).cast("binary").alias(c) for c in ("keys", "marks", "classes", "counts")], "class", *_SPARES)
+    return parts.unionByName(sizes).repartitionById(to, F.col("deal")).mapInArrow(run, "class long, part long, need long")
+
+
+def cards(docs: DataFrame, wanted: DataFrame, text_col: str, width: int, filter_bits: int = 1 << 23) -> DataFrame:
+    """(class, n, sketch, shingles) of the wanted classes, once each.
 
     A bitmap of filter_bits bits of the wanted classes, of fixed size, keeps
     most other sets from leaving their scan; the join drops the rest.
@@ -265,12 +360,13 @@ def shingle_tables(docs: DataFrame, wanted: DataFrame, text_col: str, width: int
                 for i in np.flatnonzero(ok).tolist():
                     if int(marks[i]) not in seen:
                         seen.add(int(marks[i]))
-                        out.append((int(marks[i]), flat[bounds[i] : bounds[i + 1]].tobytes()))
+                        own = flat[bounds[i] : bounds[i + 1]]
+                        out.append((int(marks[i]), len(own), dense_sketch(own, sketch_bits(len(own))).tobytes(), own.tobytes()))
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array([m for m, _ in out], pa.int64()), pa.array([s for _, s in out], pa.binary())], ["class", "shingles"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["class", "n", "sketch", "shingles"])
 
-    found = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "class long, shingles binary")
-    return found.groupBy("class").agg(F.first("shingles").alias("shingles")).join(wanted, "class", "left_semi")
+    found = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "class long, n long, sketch binary, shingles binary").join(wanted, "class", "left_semi")
+    return found.groupBy("class").agg(*[F.first(c).alias(c) for c in ("n", "sketch", "shingles")])
 
 
 class _SparkHash:
@@ -291,69 +387,170 @@ class _SparkHash:
         return np.mod(h.view(np.int64), self.n)
 
 
-def verify(pairs: DataFrame, docs: DataFrame, text_col: str, width: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of classes whose sets are similar enough."""
-    wanted = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
-    tables, _ = blocks.stored(shingle_tables(docs, wanted, text_col, width), "shingles")
+def _alike(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
+    """Whether two sorted sets are similar enough."""
+    if den * min(len(x), len(y)) < num * max(len(x), len(y)):
+        return False
+    same = len(x) - int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] != x).sum())
+    return den * same >= num * (len(x) + len(y) - same)
 
-    def run(batches):
+
+def verify(pairs: DataFrame, known: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) of classes whose sets are similar enough: by the Hamming distance of their sketches first, then by their shingles."""
+
+    def near(batches):
         for batch in batches:
-            a, b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            ok = np.zeros(batch.num_rows, dtype=bool)
-            for i, (x, y) in enumerate(zip(a, b, strict=True)):
-                x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-                if den * min(len(x), len(y)) >= num * max(len(x), len(y)):
-                    same = len(x) - int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] != x).sum())
-                    ok[i] = den * same >= num * (len(x) + len(y) - same)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok)), batch.column(1).filter(pa.array(ok))], ["a", "b"])
+            a, b, na, nb, x, y = (c.to_pylist() for c in batch.columns)
+            ok = np.zeros(len(a), dtype=bool)
+            for i, (p, q) in enumerate(zip(x, y, strict=True)):
+                p, q = np.frombuffer(p, dtype=np.uint64), np.frombuffer(q, dtype=np.uint64)
+                words = min(len(p), len(q))
+                ok[i] = int(np.bitwise_count(fold(p, words) ^ fold(q, words)).sum()) * (den + num) <= (na[i] + nb[i]) * (den - num)
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(ok)) for k in (0, 1)], ["a", "b"])
+
+    def exact(batches):
+        for batch in batches:
+            x, y = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            ok = pa.array([_alike(np.frombuffer(p, dtype=np.uint64), np.frombuffer(q, dtype=np.uint64), num, den) for p, q in zip(x, y, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(ok) for k in (0, 1)], ["a", "b"])
+
+    def of(name, *columns):
+        return known.select(F.col("class").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in columns])
 
-    left = tables.select(F.col("class").alias("a"), F.col("shingles").alias("x"))
-    right = tables.select(F.col("class").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    sized = (F.col("n_a") * den >= F.col("n_b") * num) & (F.col("n_b") * den >= F.col("n_a") * num)
+    close = pairs.join(of("a", "n", "sketch"), "a").join(of("b", "n", "sketch"), "b").where(sized).select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(near, "a long, b long")
+    close, _ = blocks.stored(close, "close")
+    return close.join(of("a", "shingles"), "a").join(of("b", "shingles"), "b").select("a", "b", "shingles_a", "shingles_b").mapInArrow(exact, "a long, b long")
 
 
 def _stars(groups: DataFrame) -> DataFrame:
-    """(a, b): the smallest class of each group with each other one."""
-    least = groups.groupBy("group").agg(F.min("class").alias("a"))
-    return groups.join(least, "group").where(F.col("class") != F.col("a")).select("a", F.col("class").alias("b")).distinct()
+    """(a, b): the smallest class of each part with each other one."""
+    least = groups.groupBy("part").agg(F.min("class").alias("a"))
+    return groups.join(least, "part").where(F.col("class") != F.col("a")).select("a", F.col("class").alias("b")).distinct()
+
+
+def packed_blocks(rows: DataFrame) -> DataFrame:
+    """Blocks of rows (place, n, class, component, shingles), clustered by place and size: block, classes, components, sizes and sets, and the least and greatest size and component."""
+
+    def run(batches):
+        number, held, size = 0, [], 0
+        base = TaskContext.get().partitionId() << 32
+
+        def block():
+            n = [len(r[3]) // 8 for r in held]
+            parts = [r[2] for r in held]
+            return pa.RecordBatch.from_arrays(
+                [pa.array([x], k) for x, k in ((base + number, pa.int64()), ([r[1] for r in held], pa.list_(pa.int64())), (np.array(parts, dtype=np.int64).tobytes(), pa.binary()), (np.array(n, dtype=np.int64).tobytes(), pa.binary()), (b"".join(r[3] for r in held), pa.binary()), (min(n), pa.int64()), (max(n), pa.int64()), (min(parts), pa.int64()), (max(parts), pa.int64()))],
+                _BLOCK_NAMES,
+            )
+
+        for batch in batches:
+            for row in zip(*(batch.column(k).to_pylist() for k in (0, 1, 2, 3)), strict=True):
+                if held and (size + len(row[3]) > BLOCK_BYTES or len(held) == BLOCK_CLASSES):
+                    yield block()
+                    number, held, size = number + 1, [], 0
+                held.append(row)
+                size += len(row[3])
+        if held:
+            yield block()
+
+    dealt = rows.repartitionByRange("place", "n", "class").sortWithinPartitions("place", "n", "class")
+    return dealt.select("place", "class", "component", "shingles").mapInArrow(run, "block long, classes array<long>, components binary, sizes binary, sets binary, least long, most long, low long, high long")
+
+
+_BLOCK_NAMES = ["block", "classes", "components", "sizes", "sets", "least", "most", "low", "high"]
+
+
+def joining_links(first: tuple, second: tuple, same: bool, num: int, den: int) -> list[tuple[int, int]]:
+    """Links between two blocks (classes, components, sizes, sets) that join components: one for each two that are still apart."""
+    sides = []
+    for classes, parts, sizes, sets in (first, second):
+        n = np.frombuffer(sizes, dtype=np.int64)
+        sides.append((classes, np.frombuffer(parts, dtype=np.int64), n, np.frombuffer(sets, dtype=np.uint64), np.concatenate(([0], np.cumsum(n)))))
+    (ca, pa_, na, sa, ba), (cb, pb, nb, sb, bb) = sides
+    bits = sketch_bits(int(max(na.max(), nb.max())), 1 << 16)
+    ka, kb = (np.stack([dense_sketch(s[b[i] : b[i + 1]], bits) for i in range(len(n))]) for n, s, b in ((na, sa, ba), (nb, sb, bb)))
+    left, right, far = [], [], []
+    for i in range(len(na)):
+        ok = (pb != pa_[i]) & (nb * den >= na[i] * num) & (na[i] * den >= nb * num)
+        if same:
+            ok[: i + 1] = False
+        at = np.flatnonzero(ok)
+        if len(at):
+            differ = np.bitwise_count(kb[at] ^ ka[i]).sum(axis=1, dtype=np.int64)
+            close = differ * (den + num) <= (nb[at] + na[i]) * (den - num)
+            left.append(np.full(int(close.sum()), i))
+            right.append(at[close])
+            far.append(differ[close])
+    if not left:
+        return []
+    left, right, far = (np.concatenate(x) for x in (left, right, far))
+    root: dict[int, int] = {}
+
+    def find(x):
+        while (y := root.get(x, x)) != x:
+            root[x] = root.get(y, y)
+            x = y
+        return x
+
+    out = []
+    for k in np.argsort(far, kind="stable").tolist():
+        i, j = int(left[k]), int(right[k])
+        x, y = find(int(pa_[i])), find(int(pb[j]))
+        if x != y and _alike(sa[ba[i] : ba[i + 1]], sb[bb[j] : bb[j + 1]], num, den):
+            root[x] = y
+            out.append((ca[i], cb[j]))
+    return out
+
+
+def links_of_hot(groups: DataFrame, parts: DataFrame, known: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b): links that join the components of hot parts whose classes are in several. groups: (part, class); parts: (node, component)."""
+    placed = groups.join(parts.select(F.col("node").alias("class"), "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    mixed = placed.groupBy("part").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("part", "low")
+    apart, _ = blocks.stored(placed.join(mixed, "part"), "apart")
+    rows = apart.groupBy("class").agg(F.min("low").alias("place"), F.first("component").alias("component"))
+    packed, _ = blocks.stored(packed_blocks(rows.join(known.select("class", "n", "shingles"), "class")), "blocks")
+    where = packed.select("block", F.explode("classes").alias("class"))
+    sites = apart.select("part", "class").join(where, "class").select("part", "block").distinct()
+    spans = packed.select("block", "least", "most", "low", "high")
+    met = sites.join(sites.withColumnRenamed("block", "other"), "part").where("block <= other").select("block", "other").distinct()
+    met = met.join(spans, "block").join(spans.select(*[F.col(c).alias("other" if c == "block" else f"{c}_") for c in spans.columns]), "other")
+    met = met.where((F.col("most") * den >= F.col("least_") * num) & (F.col("most_") * den >= F.col("least") * num) & ((F.col("low") != F.col("high")) | (F.col("low_") != F.col("high_")) | (F.col("low") != F.col("low_"))))
+
+    def run(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                block, other, *content = (batch.column(c)[k].as_py() for c in range(batch.num_columns))
+                if out := joining_links(tuple(content[:4]), tuple(content[4:]), block == other, num, den):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
+
+    content = ["classes", "components", "sizes", "sets"]
+    both = met.select("block", "other").join(packed.select("block", *content), "block").join(packed.select(F.col("block").alias("other"), *[F.col(c).alias(f"{c}_") for c in content]), "other")
+    return both.select("block", "other", *content, *[f"{c}_" for c in content]).mapInArrow(run, "a long, b long")
 
 
 def _placed(docs: DataFrame, id_col: str, text_col: str, width: int, num: int, den: int) -> DataFrame:
     """doc_id, n_shingles, class and component (a class; null without shingles) of every row of docs."""
     blocks.bound_batches(docs.sparkSession)
     own, _ = blocks.stored(digests(docs, id_col, text_col, width, num, den), "digests")
-    shared, _ = blocks.stored(equal_parts(docs, text_col, width, num, den), "parts")
-    hot = shared.where("part is not null").select("part", F.col("a").alias("class")).distinct()
-    # equal parts that a partner must share in a band, hot ones left out
-    common = hot.withColumn("odd", F.col("part").bitwiseAND(1)).groupBy("class", "odd").agg(F.count(F.lit(1)).alias("hot"))
-    spare = own.where(F.col("class").isNotNull()).groupBy("class").agg(*[F.min(c).alias(c) for c in ("n_shingles", "spare0", "spare1")])
-    bands = spare.select("class", "n_shingles", F.explode(F.array(*[F.struct(F.lit(k).alias("odd"), F.col(f"spare{k}").alias("spare")) for k in (0, 1)])).alias("s"))
-    bands = bands.select("class", "n_shingles", F.col("s.odd").cast("long").alias("odd"), F.col("s.spare").alias("spare")).where("spare is not null")
-    bands, _ = blocks.stored(bands.join(common, ["class", "odd"], "left").select("class", "n_shingles", "odd", (F.col("spare") - F.coalesce("hot", F.lit(0))).alias("least")), "bands")
-    least = bands.groupBy("class").agg(F.min("least").alias("least"))
-    counted = shared.where("part is null").groupBy("a", "b").agg(F.sum("n").alias("n"))
-    counted = counted.join(least.select(F.col("class").alias("a"), F.col("least").alias("x")), "a").where("n >= x")
-    likely = counted.join(least.select(F.col("class").alias("b"), F.col("least").alias("y")), "b").where("n >= y").select("a", "b")
-    # hot parts, the rarest first, of documents that cold parts may keep from their partners
-    crowded = hot.withColumn("odd", F.col("part").bitwiseAND(1)).join(bands.where("least <= 0"), ["class", "odd"])
-    sized = crowded.join(hot.groupBy("part").agg(F.count(F.lit(1)).alias("m")), "part")
-    place = F.row_number().over(W.partitionBy("class", "odd").orderBy("m", "part"))
-    groups, _ = blocks.stored(sized.withColumn("place", place).where(F.col("place") <= 1 - F.col("least")).select(F.col("part").alias("group"), "class", "n_shingles"), "groups")
-    tried, _ = blocks.stored(likely.unionByName(_stars(groups)).distinct(), "pairs")
-    links, _ = blocks.stored(verify(tried, docs, text_col, width, num, den), "links")
+    deals = max(16, -(-(own.agg(F.sum("n_shingles")).first()[0] or 0) // DEAL))
+    first, path = blocks.stored(prefixes(shared_parts(docs, text_col, width, num, den, deals), own, deals), "parts")
+    cold = first.where("need is null").select("part", "class")
+    hot = first.where("need is not null")
+    place = F.row_number().over(W.partitionBy("class", F.col("part").bitwiseAND(SLOTS - 1)).orderBy("m", "part"))
+    hot = hot.join(hot.groupBy("part").agg(F.count(F.lit(1)).alias("m")), "part").withColumn("place", place).where(F.col("place") <= F.col("need"))
+    hot, hot_path = blocks.stored(hot.select("part", "class"), "hot")
+    pairs = cold.withColumnRenamed("class", "a").join(cold.withColumnRenamed("class", "b"), "part").where("a < b").select("a", "b").distinct()
+    tried, tried_path = blocks.stored(pairs.unionByName(_stars(hot)).distinct(), "pairs")
+    wanted = tried.select(F.col("a").alias("class")).unionByName(tried.select(F.col("b").alias("class"))).distinct()  # a hot part's smallest class meets all others
+    known, known_path = blocks.stored(cards(docs, wanted, text_col, width), "cards")
+    links, _ = blocks.stored(verify(tried, known, num, den), "links")
     parts = components(links)
-    # classes of a hot part that are still apart
-    placed = groups.join(parts.select(F.col("node").alias("class"), "component"), "class", "left").select("group", "class", "n_shingles", F.coalesce("component", "class").alias("component"))
-    mixed = placed.groupBy("group").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("group")
-    apart = placed.join(mixed, "group", "left_semi")
-    x = apart.select("group", F.col("class").alias("a"), F.col("component").alias("ca"), F.col("n_shingles").alias("na"))
-    y = apart.select("group", F.col("class").alias("b"), F.col("component").alias("cb"), F.col("n_shingles").alias("nb"))
-    sizes = (F.col("na") * den >= F.col("nb") * num) & (F.col("nb") * den >= F.col("na") * num)
-    more = x.join(y, "group").where((F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b")) & sizes).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-    more, _ = blocks.stored(more, "pairs")
+    more, _ = blocks.stored(links_of_hot(hot, parts, known, num, den), "links")
     if not more.isEmpty():
-        links = links.unionByName(verify(more, docs, text_col, width, num, den))
-        parts = components(links)
+        parts = components(links.unionByName(more))
+    for done in (path, hot_path, tried_path, known_path):
+        blocks.drop_path(docs.sparkSession, done)
     return own.join(parts.select(F.col("node").alias("class"), "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))
 
 

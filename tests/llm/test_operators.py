@@ -393,6 +393,67 @@ def test_sketches_bound_the_difference():
             ka, _, sa = jaccard.sketch_parts(a, np.array([0, len(a)]))
             kb, _, sb = jaccard.sketch_parts(b, np.array([0, len(b)]))
             shared = np.intersect1d(ka, kb)
-            odd = (shared >> np.uint64(10)) & np.uint64(1)
-            assert any((odd == p).sum() >= max(sa[p, 0], sb[p, 0]) for p in (0, 1))
-            assert min(sa.min(), sb.min()) >= 1
+            slot = (shared >> np.uint64(jaccard.DROP)) & np.uint64(jaccard.SLOTS - 1)
+            assert any((slot == k).sum() >= max(sa[k, 0], sb[k, 0]) >= 1 and jaccard._NONE not in (sa[k, 0], sb[k, 0]) for k in range(jaccard.SLOTS))
+            wide = max(map(jaccard.sketch_bits, (len(a), len(b))))
+            pa, pb = jaccard.dense_sketch(a, wide), jaccard.dense_sketch(b, wide)
+            half = jaccard.fold(pa, len(pa) // 2)
+            assert (half == jaccard.dense_sketch(a, wide // 2)).all()
+            assert int(np.bitwise_count(half ^ jaccard.fold(pb, len(half))).sum()) <= int(np.bitwise_count(pa ^ pb).sum()) <= len(a) + len(b) - 2 * same
+
+
+def test_every_small_size_has_parts_to_spare():
+    rng = np.random.default_rng(3)
+    for n in [*range(1, 200), 300, 383, 384, 500, 767, 768, 1500]:
+        for _ in range(40 if n < 65 else 4):
+            # the larger set has n shingles; as many as may be are left out, then as many as may be are exchanged
+            b = np.sort(rng.integers(0, 2**64, n, dtype=np.uint64))
+            for kept, extra in ((-(-3 * n // 4), 0), (-(-6 * n // 7), n - -(-6 * n // 7))):
+                a = np.sort(np.concatenate((b[rng.permutation(n)[:kept]], rng.integers(0, 2**64, extra, dtype=np.uint64))))
+                assert 100 * kept >= 75 * (len(a) + n - kept)
+                ka, _, sa = jaccard.sketch_parts(a, np.array([0, len(a)]))
+                kb, _, sb = jaccard.sketch_parts(b, np.array([0, n]))
+                shared = np.intersect1d(ka, kb)
+                slot = (shared >> np.uint64(jaccard.DROP)) & np.uint64(jaccard.SLOTS - 1)
+                assert any((slot == k).sum() >= max(sa[k, 0], sb[k, 0], 1) and jaccard._NONE not in (sa[k, 0], sb[k, 0]) for k in range(jaccard.SLOTS))
+
+
+def test_jaccard_of_sets_without_spare_parts(spark):
+    # in a sketch with two parts a shingle, shingles of these sets fall into one part
+    a = "w745546905 w245282770 w697832818 w934287682 w825058394 w834945434 w53373944"
+    rng = np.random.default_rng(4)
+    rows = [(1, a), (2, a + " w882760860")]
+    for k in range(3, 603, 2):
+        t = " ".join(f"w{x}" for x in rng.integers(0, 10**9, 7))
+        rows += [(k, t), (k + 1, t + f" w{rng.integers(0, 10**9)}")]
+    got = by_id(jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert {k: r["component_id"] for k, r in got.items()} == {k: k - (k % 2 == 0) for k, _ in rows}
+
+
+def test_jaccard_of_crowded_groups(spark, monkeypatch):
+    # many variants of one text, most of them no copies of each other, and chains among them
+    rng = np.random.default_rng(5)
+    base = [f"b{k}" for k in range(120)]
+    texts = []
+    for k in range(260):
+        w = list(base)
+        for at in rng.choice(120, int(rng.integers(0, 8)), replace=False):
+            w[at] = f"x{rng.integers(0, 40)}"
+        texts.append(" ".join(w))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    least = list(range(260))
+    for _ in range(260):
+        before = list(least)
+        for i in range(260):
+            for j in range(i):
+                if least[i] != least[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                    p, q = sorted((least[i], least[j]))
+                    least = [p if x == q else x for x in least]
+        if before == least:
+            break
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(jaccard, "BLOCK_CLASSES", 20)
+    for hot in (16, 4):
+        monkeypatch.setattr(jaccard, "HOT", hot)
+        got = by_id(jaccard.jaccard_components(docs))
+        assert [got[k]["component_id"] for k in range(260)] == least
