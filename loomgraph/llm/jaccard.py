@@ -41,9 +41,10 @@ null; an empty table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -429,44 +430,27 @@ def _stars(groups: DataFrame) -> DataFrame:
     return groups.join(least, "part").where(F.col("class") != F.col("a")).select("a", F.col("class").alias("b")).distinct()
 
 
-def packed_blocks(rows: DataFrame) -> DataFrame:
-    """Blocks of rows (place, n, class, component, shingles), clustered by place and size: block, classes, components, sizes and sets, and the least and greatest size and component."""
-
-    def run(batches):
-        number, held, size = 0, [], 0
-        base = TaskContext.get().partitionId() << 32
+def packed_blocks(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """(block, least, most, low, high, held) of rows (place, class, component, n, shingles).
 
-        def block():
-            n = [len(r[3]) // 8 for r in held]
-            parts = [r[2] for r in held]
-            return pa.RecordBatch.from_arrays(
-                [pa.array([x], k) for x, k in ((base + number, pa.int64()), ([r[1] for r in held], pa.list_(pa.int64())), (np.array(parts, dtype=np.int64).tobytes(), pa.binary()), (np.array(n, dtype=np.int64).tobytes(), pa.binary()), (b"".join(r[3] for r in held), pa.binary()), (min(n), pa.int64()), (max(n), pa.int64()), (min(parts), pa.int64()), (max(parts), pa.int64()))],
-                _BLOCK_NAMES,
-            )
-
-        for batch in batches:
-            for row in zip(*(batch.column(k).to_pylist() for k in (0, 1, 2, 3)), strict=True):
-                if held and (size + len(row[3]) > BLOCK_BYTES or len(held) == BLOCK_CLASSES):
-                    yield block()
-                    number, held, size = number + 1, [], 0
-                held.append(row)
-                size += len(row[3])
-        if held:
-            yield block()
-
-    dealt = rows.repartitionByRange("place", "n", "class").sortWithinPartitions("place", "n", "class")
-    return dealt.select("place", "class", "component", "shingles").mapInArrow(run, "block long, classes array<long>, components binary, sizes binary, sets binary, least long, most long, low long, high long")
-
-
-_BLOCK_NAMES = ["block", "classes", "components", "sizes", "sets", "least", "most", "low", "high"]
+    A block holds classes of one place and of sizes within a factor den / num,
+    about ``BLOCK_BYTES`` of shingles or ``BLOCK_CLASSES`` classes at most; least and most are its sizes, low and
+    high its components.
+    """
+    rows = rows.withColumn("step", F.floor(F.log("n") / math.log(den / num)))
+    pieces = F.ceil(F.greatest(F.sum("n") * 8 / BLOCK_BYTES, F.count(F.lit(1)) / BLOCK_CLASSES))
+    rows = rows.join(rows.groupBy("place", "step").agg(pieces.alias("pieces")), ["place", "step"])
+    rows = rows.withColumn("block", F.xxhash64("place", "step", F.pmod(F.xxhash64("class"), F.col("pieces"))))
+    held = F.collect_list(F.struct("class", "component", "shingles")).alias("held")
+    return rows.groupBy("block").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("component").alias("low"), F.max("component").alias("high"), held)
 
 
-def joining_links(first: tuple, second: tuple, same: bool, num: int, den: int) -> list[tuple[int, int]]:
-    """Links between two blocks (classes, components, sizes, sets) that join components: one for each two that are still apart."""
+def joining_links(first: list[dict], second: list[dict], same: bool, num: int, den: int) -> list[tuple[int, int]]:
+    """Links between the classes of two blocks that join components: one for each two that are still apart."""
     sides = []
-    for classes, parts, sizes, sets in (first, second):
-        n = np.frombuffer(sizes, dtype=np.int64)
-        sides.append((classes, np.frombuffer(parts, dtype=np.int64), n, np.frombuffer(sets, dtype=np.uint64), np.concatenate(([0], np.cumsum(n)))))
+    for held in (first, second):
+        n = np.array([len(r["shingles"]) // 8 for r in held])
+        sides.append(([r["class"] for r in held], np.array([r["component"] for r in held]), n, np.frombuffer(b"".join(r["shingles"] for r in held), dtype=np.uint64), np.concatenate(([0], np.cumsum(n)))))
     (ca, pa_, na, sa, ba), (cb, pb, nb, sb, bb) = sides
     bits = sketch_bits(int(max(na.max(), nb.max())), 1 << 16)
     ka, kb = (np.stack([dense_sketch(s[b[i] : b[i + 1]], bits) for i in range(len(n))]) for n, s, b in ((na, sa, ba), (nb, sb, bb)))
@@ -509,8 +493,8 @@ def links_of_hot(groups: DataFrame, parts: DataFrame, known: DataFrame, num: int
     mixed = placed.groupBy("part").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("part", "low")
     apart, _ = blocks.stored(placed.join(mixed, "part"), "apart")
     rows = apart.groupBy("class").agg(F.min("low").alias("place"), F.first("component").alias("component"))
-    packed, _ = blocks.stored(packed_blocks(rows.join(known.select("class", "n", "shingles"), "class")), "blocks")
-    where = packed.select("block", F.explode("classes").alias("class"))
+    packed, _ = blocks.stored(packed_blocks(rows.join(known.select("class", "n", "shingles"), "class"), num, den), "blocks")
+    where = packed.select("block", F.explode("held.class").alias("class"))
     sites = apart.select("part", "class").join(where, "class").select("part", "block").distinct()
     spans = packed.select("block", "least", "most", "low", "high")
     met = sites.join(sites.withColumnRenamed("block", "other"), "part").where("block <= other").select("block", "other").distinct()
@@ -519,14 +503,13 @@ def links_of_hot(groups: DataFrame, parts: DataFrame, known: DataFrame, num: int
 
     def run(batches):
         for batch in batches:
-            for k in range(batch.num_rows):
-                block, other, *content = (batch.column(c)[k].as_py() for c in range(batch.num_columns))
-                if out := joining_links(tuple(content[:4]), tuple(content[4:]), block == other, num, den):
+            for k in range(batch.num_rows):  # one at a time: a row is two blocks
+                block, other, first, second = (batch.column(c)[k].as_py() for c in range(4))
+                if out := joining_links(first, second, block == other, num, den):
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
 
-    content = ["classes", "components", "sizes", "sets"]
-    both = met.select("block", "other").join(packed.select("block", *content), "block").join(packed.select(F.col("block").alias("other"), *[F.col(c).alias(f"{c}_") for c in content]), "other")
-    return both.select("block", "other", *content, *[f"{c}_" for c in content]).mapInArrow(run, "a long, b long")
+    both = met.select("block", "other").join(packed.select("block", F.col("held").alias("first")), "block").join(packed.select(F.col("block").alias("other"), F.col("held").alias("second")), "other")
+    return both.select("block", "other", "first", "second").mapInArrow(run, "a long, b long")
 
 
 def _placed(docs: DataFrame, id_col: str, text_col: str, width: int, num: int, den: int) -> DataFrame:
