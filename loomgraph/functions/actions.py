@@ -1,176 +1,187 @@
-"""Parsing of free-form agent output into actions. Plain Python: JSON inside text needs a scanner."""
+"""Actions in free-form agent output.
+
+Output is read in three steps: ``messages`` cuts a dialogue at its role lines,
+``objects`` finds the JSON objects of a text, and ``SHAPES`` is the table of
+objects that state an action. JSON inside text needs a scanner, so this is
+plain Python, to be called for Arrow batches.
+"""
 
 from __future__ import annotations
 
 import json
 import re
-from dataclasses import dataclass
+from collections.abc import Iterator
+from itertools import pairwise
+from typing import NamedTuple
+
+Action = int | str | None
 
-STOP = "STOP"
-ADD = "ADD_TRIPLE"
-ROLES = frozenset({"assistant", "user", "system", "tool"})
-#: Token patterns: up to three digits, or any number of them. Fixed values.
+#: Action words, role lines, source tags, and tokens of up to three digits or of any number.
+STOP, ADD = "STOP", "ADD_TRIPLE"
+ROLES = {"assistant", "user", "system", "tool"}
+FALLBACK, TOKEN = "_fallback", "token_fallback"
 SHORT_TOKENS = re.compile(r"\bSTOP\b|\b\d{1,3}\b", re.IGNORECASE)
 LONG_TOKENS = re.compile(r"\bSTOP\b|\b\d+\b", re.IGNORECASE)
+
 _THINK = re.compile(r"<think>.*?</think>", re.DOTALL)
-_DECODER = json.JSONDecoder()
+_TRIPLE_AT_END = re.compile(r"\([^()]+\)$")
+_NUMBERED = re.compile(r"\s*\[(\d+)\]\s*\(")
 
-Action = int | str | None
+
+class Found(NamedTuple):
+    value: dict
+    begin: int
+    end: int
+
+
+class Parsed(NamedTuple):
+    action: int | str
+    source: str
+    segment: str
 
 
 def without_thoughts(text: str | None) -> str:
     return _THINK.sub("", text or "").strip()
 
 
-def json_objects(text: str | None):
-    """(object, begin, end) of every decodable ``{...}`` in text, from each opening brace."""
-    text = text or ""
-    at = text.find("{")
-    while at >= 0:
+def objects(text: str | None) -> Iterator[Found]:
+    """JSON objects of a text: every opening brace from which one can be read, those inside another one too."""
+    decoder = json.JSONDecoder()
+    for brace in re.finditer(r"\{", text or ""):
         try:
-            value, end = _DECODER.raw_decode(text, at)
-            yield value, at, end
+            value, end = decoder.raw_decode(text, brace.start())
         except json.JSONDecodeError:
-            pass
-        at = text.find("{", at + 1)
+            continue
+        yield Found(value, brace.start(), end)
 
 
-def first_object(text: str | None) -> tuple[dict, int, int] | None:
-    return next(((v, a, b) for v, a, b in json_objects(text) if isinstance(v, dict)), None)
+def _word(value) -> str:
+    return value.strip().upper() if isinstance(value, str) else ""
 
 
-def as_id(value) -> int | None:
-    """An integer, an integral float or a string of digits; never a boolean."""
-    match value:
-        case bool():
-            return None
-        case int():
-            return value
-        case float() if value.is_integer():
-            return int(value)
-        case str() if value.strip().isdigit():
-            return int(value.strip())
-    return None
+def _number(value) -> int | None:
+    """Integers, integral floats and digits in a string name a triple; truth values do not."""
+    if isinstance(value, str):
+        return int(value) if value.strip().isdecimal() else None
+    integral = isinstance(value, int | float) and not isinstance(value, bool) and value % 1 == 0
+    return int(value) if integral else None
 
 
-def as_action(value) -> Action:
-    if isinstance(value, str) and value.strip().upper() == STOP:
-        return STOP
-    return as_id(value)
+def choice(value) -> Action:
+    return STOP if _word(value) == STOP else _number(value)
+
 
+#: What states an action: the keys of the object, how its action is read, and the source tag.
+SHAPES = (
+    ({"action", "triple_id"}, lambda o: _number(o.get("triple_id")) if _word(o.get("action")) == ADD else None, "json_action_sft"),
+    ({"action"}, lambda o: choice(o.get("action")), "json_action"),
+    ({"triple_id"}, lambda o: None if "action" in o else _number(o.get("triple_id")), "json_action_sft"),
+)
 
-def object_action(obj: dict) -> tuple[Action, bool, str]:
-    """(action, strict, source) of a JSON object: {"action": ...}, {"action": "ADD_TRIPLE", "triple_id": n} or {"triple_id": n}.
 
-    Strict means that the object has no other key.
+def segment_action(segment: str) -> Parsed | None:
+    """The action of one message or line: of its first object if that states one, else its first token.
+
+    An object with other keys, or with text around it, is a fallback; an object
+    alone that states no action is none, whatever numbers it holds.
     """
-    keys, raw = set(map(str, obj)), obj.get("action")
-    if raw is not None:
-        if isinstance(raw, str) and raw.strip().upper() == ADD:
-            chosen = as_id(obj.get("triple_id"))
-            return (chosen, keys <= {"action", "triple_id"}, "json_action_sft") if chosen is not None else (None, False, "")
-        chosen = as_action(raw)
-        return (chosen, keys <= {"action"}, "json_action") if chosen is not None else (None, False, "")
-    chosen = as_id(obj.get("triple_id")) if "action" not in obj else None
-    return (chosen, keys <= {"triple_id"}, "json_action_sft") if chosen is not None else (None, False, "")
-
-
-@dataclass(frozen=True)
-class Parsed:
-    action: int | str
-    source: str
-    segment: str
+    text = without_thoughts(segment)
+    first = next(objects(text), None)
+    if first:
+        alone = first.end - first.begin == len(text)
+        for keys, read, tag in SHAPES:
+            action = read(first.value)
+            if action is not None:
+                strict = alone and keys.issuperset(first.value)
+                return Parsed(action, tag if strict else tag + FALLBACK, text)
+        if alone:
+            return None
+    token = LONG_TOKENS.search(text)
+    return Parsed(choice(token[0]), TOKEN, token[0]) if token else None
 
 
-def segment_action(segment: str) -> Parsed | None:
-    """The action of one message or line: JSON first, else the first token."""
-    clean = without_thoughts(segment)
-    if not clean:
-        return None
-    value, begin, end = next(json_objects(clean), (None, 0, 0))
-    if isinstance(value, dict):
-        chosen, strict, source = object_action(value)
-        if chosen is not None:
-            alone = not clean[:begin].strip() and not clean[end:].strip()
-            return Parsed(chosen, source, clean[begin:end].strip()) if strict and alone else Parsed(chosen, f"{source}_fallback", clean)
-        if begin == 0 and end == len(clean):
-            return None  # JSON that is no action
-    token = LONG_TOKENS.search(clean)
-    chosen = as_action(token.group(0)) if token else None
-    return Parsed(chosen, "token_fallback", token.group(0)) if chosen is not None else None
-
-
-def assistant_segments(text: str | None) -> tuple[list[str], bool]:
-    """What follows each ``assistant`` marker line, and whether there are marker lines at all."""
-    role, marked, out, lines = None, False, [], []
-    for line in [*(text or "").splitlines(), None]:
-        name = line.strip().lower() if line is not None else None
-        if name is not None and name not in ROLES:
-            lines.append(line)
-            continue
-        if role == "assistant" and (body := "\n".join(lines).strip()):
-            out.append(body)
-        lines, role = [], name
-        marked = marked or name is not None
-    return out, marked
+def messages(text: str | None) -> list[tuple[str, str]]:
+    """(role, body) of a dialogue whose roles stand on lines of their own; empty without such lines."""
+    lines = (text or "").splitlines()
+    roles = [(k, name) for k, line in enumerate(lines) if (name := line.strip().lower()) in ROLES]
+    return [(name, "\n".join(lines[k + 1 : end]).strip()) for (k, name), (end, _) in pairwise([*roles, (len(lines), "")])]
 
 
 def action_trace(text: str | None, most: int = 256) -> tuple[list[Parsed], bool]:
-    """Actions by assistant segment where there are role markers, else by line, else by token."""
-    segments, marked = assistant_segments(text)
-    pieces = segments if marked else [s for line in (text or "").splitlines() if (s := line.strip())]
-    found = [p for s in pieces if (p := segment_action(s)) is not None][:most]
-    if not found and not marked:
-        found = [Parsed(as_action(t), "token_fallback", t) for t in SHORT_TOKENS.findall(text or "")][:most]
-    return found, marked
+    """At most ``most`` actions, and whether there are role lines: one an assistant message; without roles one a line, else each token."""
+    dialogue = messages(text)
+    said = [body for role, body in dialogue if role == "assistant"] if dialogue else (text or "").splitlines()
+    trace = [p for p in map(segment_action, said) if p]
+    if not trace and not dialogue:
+        trace = [Parsed(choice(t), TOKEN, t) for t in SHORT_TOKENS.findall(text or "")]
+    return trace[:most], bool(dialogue)
 
 
 def accepted_history(text: str | None) -> list | None:
-    """The list of accepted actions in the last JSON object that carries one."""
-    found = [v["accepted_action_history"] for v, _, _ in json_objects(text) if isinstance(v, dict) and isinstance(v.get("accepted_action_history"), list)]
-    return found[-1] if found else None
+    """The list of accepted actions in the last object that carries one."""
+    lists = (o.value.get("accepted_action_history") for o in objects(text))
+    return next((x for x in reversed(list(lists)) if isinstance(x, list)), None)
 
 
 def solution_text(full: str | None, solution: str | None) -> str:
-    """The text to replay: the first of the two with role markers, else the first that isn't blank."""
+    """The text to replay: one with role lines before one without, the full text before the solution; blank ones only if there is no other."""
     texts = [t for t in (full, solution) if isinstance(t, str) and t.strip()]
-    return next((t for t in texts if assistant_segments(t)[1]), texts[0] if texts else solution or "")
+    return max(texts, key=lambda t: bool(messages(t)), default=solution or "")
 
 
 def canonical_triple(text: str) -> str:
     """``(h, r, t)`` of ``h|r|t``, ``n|h|r|t`` and ``[n] (h, r, t)``."""
-    out = re.sub(r"^\[\d+\]\s*", "", " ".join(text.split()))
-    parts = [p.strip() for p in out.split("|")]
-    if len(parts) == 4 and parts[0].isdigit():
-        parts = parts[1:]
-    return f"({', '.join(parts)})" if len(parts) == 3 else out
+    plain = re.sub(r"^\[\d+\]\s*", "", " ".join(text.split()))
+    bars = re.fullmatch(r"(?:\s*\d+\s*\|(?=(?:[^|]*\|){2}[^|]*$))?([^|]*)\|([^|]*)\|([^|]*)", plain)
+    return f"({', '.join(x.strip() for x in bars.groups())})" if bars else plain
 
 
-def agent_action(text: str, candidates: dict[int, tuple[str, str, str]]) -> Action:
-    """An agent's choice: an ``[n] (`` or STOP line, JSON (id or triple text), the first valid token, else STOP for an id out of range."""
-    clean = without_thoughts(text)
-    for line in clean.splitlines():
-        if line.strip().upper() == STOP:
+# --- an agent's choice among numbered candidates -------------------------------------------------------------------------
+
+Candidates = dict[int, tuple[str, str, str]]
+
+
+def _line_choice(text: str, stated: dict, known: Candidates) -> Action:
+    """The first line that is STOP or begins with ``[n] (``."""
+    for line in text.splitlines():
+        if _word(line) == STOP:
             return STOP
-        if m := re.match(r"^\s*\[(\d+)\]\s*\(", line):
-            if int(m.group(1)) in candidates:
-                return int(m.group(1))
-    found = first_object(clean)
-    obj = found[0] if found else {}
-    kind = obj.get("action").strip().upper() if isinstance(obj.get("action"), str) else ""
-    if kind == STOP:
+        if (m := _NUMBERED.match(line)) and int(m[1]) in known:
+            return int(m[1])
+    return None
+
+
+def _object_choice(text: str, stated: dict, known: Candidates) -> Action:
+    """STOP or the id of the first object."""
+    if _word(stated.get("action")) == STOP:
         return STOP
-    chosen = as_id(obj.get("triple_id"))
-    if kind == ADD:
-        if chosen in candidates:
-            return chosen
-        if isinstance(obj.get("triple"), str):
-            known = {canonical_triple(f"({h}, {r}, {t})"): i for i, (h, r, t) in sorted(candidates.items(), reverse=True)}
-            for form in (obj["triple"], *re.findall(r"\([^()]+\)$", obj["triple"].strip())):
-                if canonical_triple(form) in known:
-                    return known[canonical_triple(form)]
-    for token in SHORT_TOKENS.findall(clean):
-        option = as_action(token)
-        if option == STOP or option in candidates:
-            return option
-    return STOP if kind == ADD and chosen is not None else None
+    number = _number(stated.get("triple_id"))
+    return number if _word(stated.get("action")) == ADD and number in known else None
+
+
+def _text_choice(text: str, stated: dict, known: Candidates) -> Action:
+    """The candidate that the first object writes out, the smallest id of equal ones."""
+    triple = stated.get("triple")
+    if _word(stated.get("action")) != ADD or not isinstance(triple, str):
+        return None
+    names = {canonical_triple(f"({', '.join(parts)})"): i for i, parts in sorted(known.items(), reverse=True)}
+    forms = map(canonical_triple, (triple, *_TRIPLE_AT_END.findall(triple.strip())))
+    return next((names[f] for f in forms if f in names), None)
+
+
+def _token_choice(text: str, stated: dict, known: Candidates) -> Action:
+    """The first token that is STOP or a candidate."""
+    return next((c for c in map(choice, SHORT_TOKENS.findall(text)) if c == STOP or c in known), None)
+
+
+def _missing_choice(text: str, stated: dict, known: Candidates) -> Action:
+    """An id that is no candidate ends the selection."""
+    return STOP if _word(stated.get("action")) == ADD and _number(stated.get("triple_id")) is not None else None
+
+
+def agent_action(text: str, candidates: Candidates) -> Action:
+    """An agent's choice, by the first reading that finds one; None if none does."""
+    clean = without_thoughts(text)
+    stated = next((o.value for o in objects(clean)), {})
+    readings = (_line_choice, _object_choice, _text_choice, _token_choice, _missing_choice)
+    return next((c for read in readings if (c := read(clean, stated, candidates)) is not None), None)
