@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions import scores, text
 from loomgraph.operators import episodes, joins, metrics, models, prompts, ranking
 from loomgraph.plans.registry import query
-from loomgraph.plans.retrieval import _DISTINCT, _FIRST, _SCORED, _SOFT, KEY, TRIPLE, pairwise, soft_rows
+from loomgraph.plans.retrieval import _DISTINCT, _EXAMPLES, _FIRST, _SCORED, _SOFT, KEY, TRIPLE, pairwise, soft_rows
 from loomgraph.sources.views import Views
 
 _NORM = "trim(regexp_replace(regexp_replace(regexp_replace(lower({0}), '[!-/:-@\\[-`{{-~]', '', 'g'), '\\b(a|an|the)\\b', ' ', 'g'), '\\s+', ' ', 'g'))"
@@ -21,7 +21,14 @@ def _norm(column: str) -> str:
 # --- text
 
 
-@query("h1_normalise", "H1", f"SELECT doc_id, md5({_norm('text')}) AS normal FROM documents WHERE lang = 'en' AND NOT regexp_matches(text, '[^\\x00-\\x7F]')")
+#: White space and word characters of any script, written out since the oracle's own classes are ASCII.
+_BLANKS = "[\\s\\x0B\\x1C-\\x1F\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+"
+_BARE = "regexp_replace(lower(text), '[!-/:-@\\[-`{-~]', '', 'g')"
+# adjacent articles share a separator, hence twice
+_ARTICLES = "regexp_replace({0}, '(^|[^\\pL\\pN_])(a|an|the)($|[^\\pL\\pN_])', '\\1 \\3', 'g')"
+
+
+@query("h1_normalise", "H1", f"SELECT doc_id, md5(trim(regexp_replace({_ARTICLES.format(_ARTICLES.format(_BARE))}, '{_BLANKS}', ' ', 'g'))) AS normal FROM documents")
 def _(v: Views) -> DataFrame:
     return v.table("documents").select("doc_id", F.md5(text.normalize(F.col("text"))).alias("normal"))
 
@@ -50,7 +57,7 @@ def _(v: Views) -> DataFrame:
     return parsed.select(KEY, "path", F.get("t", F.lit(0))["head"].alias("first"), F.element_at("t", -1)["tail"].alias("last"), F.size("t").cast("long").alias("n"))
 
 
-@query("h7_strip", "H7", "SELECT conv_id, turn, md5(trim(text)) AS h FROM conversations WHERE NOT regexp_matches(text, '[^\\x21-\\x7E ]')")
+@query("h7_strip", "H7", "SELECT conv_id, turn, md5(trim(text)) AS h FROM conversations")
 def _(v: Views) -> DataFrame:
     return v.table("conversations").select("conv_id", "turn", F.md5(text.strip_tagged(F.concat(F.lit("<think>a\nb</think> "), "text"))).alias("h"))
 
@@ -194,7 +201,7 @@ def _touched(v: Views) -> DataFrame:
 
 
 _BCE = "(1 - y) * x + (1 + (w - 1) * y) * (ln(1 + exp(-abs(x))) + greatest(-x, 0))"
-_TOUCH = "tc AS (SELECT e.sample_id, e.triple_id, e.head, e.tail, e.logit AS x, CASE WHEN EXISTS (SELECT 1 FROM kg_answer a WHERE a.sample_id = e.sample_id AND (a.answer = e.head OR a.answer = e.tail)) THEN 1.0 ELSE 0.0 END::DOUBLE AS y FROM kg_edge e WHERE triple_id < 400)"
+_TOUCH = "tc AS (SELECT e.sample_id, e.triple_id, e.head, e.tail, e.logit AS x, CASE WHEN EXISTS (SELECT 1 FROM kg_answer a WHERE a.sample_id = e.sample_id AND (a.answer = e.head OR a.answer = e.tail)) THEN 1.0 ELSE 0.0 END::DOUBLE AS y FROM kg_edge e)"
 
 
 @query("m5_soft_bce", "M5", f"WITH {_SOFT} SELECT sample_id, round(avg((1 - label) * logit + ln(1 + exp(-abs(logit))) + greatest(-logit, 0)), 5)::DOUBLE AS loss FROM soft GROUP BY 1")
@@ -213,12 +220,12 @@ def _(v: Views) -> DataFrame:
     return models.min_answer_coverage(_touched(v), v.answers).select(KEY, F.round("loss", 5).alias("loss"))
 
 
-@query("m8_listwise", "M8", f"WITH {_TOUCH}, t AS (SELECT * FROM tc WHERE triple_id < 60), r AS (SELECT a.sample_id, a.triple_id, a.y, 1 + sum(1 / (1 + exp(-(a.x - b.x)))) AS sr, count(*) AS n FROM t a JOIN t b USING (sample_id) GROUP BY 1, 2, 3), p AS (SELECT *, 1 / (1 + exp(-(least(20.0, n) + 0.5 - sr))) AS p, sum(y) OVER (PARTITION BY sample_id) AS pos FROM r), e AS (SELECT sample_id, max(pos) AS pos, avg(-(CASE WHEN y > 0.5 THEN least((n - pos) / greatest(pos, 1e-6), 50) ELSE 1 END) * (y * ln(greatest(p, 1e-6)) + (1 - y) * ln(greatest(1 - p, 1e-6)))) AS edge FROM p GROUP BY 1), c AS (SELECT a.sample_id, a.answer, product(1 - p.p) AS q FROM kg_answer a JOIN t ON t.sample_id = a.sample_id AND (t.head = a.answer OR t.tail = a.answer) JOIN p ON p.sample_id = t.sample_id AND p.triple_id = t.triple_id GROUP BY 1, 2), d AS (SELECT sample_id, avg(-ln(greatest(1 - q, 1e-6))) AS cover FROM c GROUP BY 1) SELECT e.sample_id, round(CASE WHEN pos < 0.5 THEN 0 ELSE edge + 0.5 * coalesce(cover, 0) END, 4)::DOUBLE AS loss FROM e LEFT JOIN d USING (sample_id)")
+@query("m8_listwise", "M8", f"WITH {_TOUCH}, t AS (SELECT * FROM tc), r AS (SELECT a.sample_id, a.triple_id, a.y, 1 + sum(1 / (1 + exp(-(a.x - b.x)))) AS sr, count(*) AS n FROM t a JOIN t b USING (sample_id) GROUP BY 1, 2, 3), p AS (SELECT *, 1 / (1 + exp(-(least(20.0, n) + 0.5 - sr))) AS p, sum(y) OVER (PARTITION BY sample_id) AS pos FROM r), e AS (SELECT sample_id, max(pos) AS pos, avg(-(CASE WHEN y > 0.5 THEN least((n - pos) / greatest(pos, 1e-6), 50) ELSE 1 END) * (y * ln(greatest(p, 1e-6)) + (1 - y) * ln(greatest(1 - p, 1e-6)))) AS edge FROM p GROUP BY 1), c AS (SELECT a.sample_id, a.answer, product(1 - p.p) AS q FROM kg_answer a JOIN t ON t.sample_id = a.sample_id AND (t.head = a.answer OR t.tail = a.answer) JOIN p ON p.sample_id = t.sample_id AND p.triple_id = t.triple_id GROUP BY 1, 2), d AS (SELECT sample_id, avg(-ln(greatest(1 - q, 1e-6))) AS cover FROM c GROUP BY 1) SELECT e.sample_id, round(CASE WHEN pos < 0.5 THEN 0 ELSE edge + 0.5 * coalesce(cover, 0) END, 4)::DOUBLE AS loss FROM e LEFT JOIN d USING (sample_id)")
 def _(v: Views) -> DataFrame:
     return models.listwise_surrogate(_touched(v), v.answers, 20).select(KEY, F.round("loss", 4).alias("loss"))
 
 
-@query("m9_pairwise", "M9", f"WITH {_SOFT}, p AS (SELECT * FROM (SELECT sample_id, logit, row_number() OVER (PARTITION BY sample_id ORDER BY triple_id) AS k FROM soft WHERE label = 1) WHERE k <= 32), g AS (SELECT * FROM (SELECT sample_id, logit, row_number() OVER (PARTITION BY sample_id ORDER BY triple_id) AS k FROM soft WHERE label = 0 AND triple_id < 30) WHERE k <= 32) SELECT p.sample_id, round(avg(ln(1 + exp(g.logit - p.logit))), 5)::DOUBLE AS loss FROM p JOIN g USING (sample_id) GROUP BY 1")
+@query("m9_pairwise", "M9", f"WITH {_EXAMPLES}, y AS (SELECT ex.sample_id, ex.side, soft.logit FROM ex JOIN soft USING (sample_id, triple_id)) SELECT p.sample_id, round(avg(ln(1 + exp(g.logit - p.logit))), 5)::DOUBLE AS loss FROM y p JOIN y g ON g.sample_id = p.sample_id AND g.side = 'neg' WHERE p.side = 'pos' GROUP BY 1")
 def _(v: Views) -> DataFrame:
     rows = soft_rows(v)
     return models.pairwise_logistic(pairwise(rows), rows).select(KEY, F.round("loss", 5).alias("loss"))

@@ -83,7 +83,7 @@ def _(v: Views) -> DataFrame:
     return v.topics.select(KEY).join(touched, KEY, "left").fillna(False, ["answerable"])
 
 
-@query("b4_normalised_triples", "B4 B5 B7 H21", "SELECT sample_id, triple_id, concat(CAST(triple_id AS VARCHAR), '|', head, '|', relation, '|', tail) AS indexed, concat('(', head, ', ', relation, ', ', tail, ')') AS shown, concat('what is ', tail, '?') AS question FROM kg_edge WHERE triple_id < 20")
+@query("b4_normalised_triples", "B4 B5 B7 H21", "SELECT sample_id, triple_id, concat(CAST(triple_id AS VARCHAR), '|', head, '|', relation, '|', tail) AS indexed, concat('(', head, ', ', relation, ', ', tail, ')') AS shown, concat('what is ', tail, '?') AS question FROM kg_edge")
 def _(v: Views) -> DataFrame:
     rows = v.edges.select(KEY, "triple_id", *[text.safe_text(F.concat(F.lit("\t "), c, F.lit(" \n"))).alias(c) for c in TRIPLE])
     return rows.select(KEY, "triple_id", text.indexed_text(F.col("triple_id"), *[F.col(c) for c in TRIPLE]).alias("indexed"), text.triple_text(*[F.col(c) for c in TRIPLE]).alias("shown"), text.question_mark(F.concat(F.lit("what is "), "tail")).alias("question"))
@@ -96,7 +96,7 @@ def _(v: Views) -> DataFrame:
     return rows.select(KEY, F.get(text.first_nonempty(F.col("none"), F.col("a"), F.col("q")), F.lit(0)).alias("entity"))
 
 
-@query("b8_selected_rest", "B8", "SELECT sample_id, sum(CASE WHEN triple_id % 3 = 0 THEN 1 ELSE 0 END)::BIGINT AS selected, sum(CASE WHEN triple_id % 3 <> 0 THEN 1 ELSE 0 END)::BIGINT AS remaining FROM kg_edge WHERE triple_id < 100 GROUP BY 1")
+@query("b8_selected_rest", "B8", "SELECT sample_id, sum(CASE WHEN triple_id % 3 = 0 THEN 1 ELSE 0 END)::BIGINT AS selected, sum(CASE WHEN triple_id % 3 <> 0 THEN 1 ELSE 0 END)::BIGINT AS remaining FROM kg_edge GROUP BY 1")
 def _(v: Views) -> DataFrame:
     rows = v.edges.groupBy(KEY).agg(F.sort_array(F.collect_list("triple_id")).alias("ids"))
     chosen = F.filter("ids", lambda i: i % 3 == 0)
@@ -113,7 +113,7 @@ def _(v: Views) -> DataFrame:
     return ranking.drop_same_ends(v.edges.select(KEY, *TRIPLE, "triple_id"), "triple_id")
 
 
-@query("b12_candidates", "B12 B13 H18", "SELECT sample_id, triple_id AS idx, round(logit, 6) AS score FROM kg_edge WHERE triple_id < 50 AND triple_id % 5 <> 0")
+@query("b12_candidates", "B12 B13 H18", "SELECT sample_id, triple_id AS idx, round(logit, 6) AS score FROM kg_edge WHERE triple_id % 5 <> 0")
 def _(v: Views) -> DataFrame:
     rows = v.edges.select(KEY, *TRIPLE, F.when(F.col("triple_id") % 5 == 0, F.lit("x")).otherwise(F.col("triple_id").cast("string")).alias("raw"), F.col("logit").cast("string").alias("s"), "triple_id")
     good = rows.withColumn("idx", F.col("raw").try_cast("int")).where("idx is not null and head != '' and relation != '' and tail != ''")
@@ -213,7 +213,7 @@ def _(v: Views) -> DataFrame:
     return joins.touches_answer(v.edges, v.answers).where("touch = 1").select(KEY, "triple_id")
 
 
-@query("c14_same_relation", "C14", "SELECT sample_id, triple_id, row_number() OVER (PARTITION BY sample_id, head, relation ORDER BY triple_id) > 1 AS repeats FROM kg_edge WHERE triple_id < 100")
+@query("c14_same_relation", "C14", "SELECT sample_id, triple_id, row_number() OVER (PARTITION BY sample_id, head, relation ORDER BY triple_id) > 1 AS repeats FROM kg_edge")
 def _(v: Views) -> DataFrame:
     rank = F.row_number().over(W.partitionBy(KEY, "head", "relation").orderBy("triple_id"))
     return v.edges.select(KEY, "triple_id", (rank > 1).alias("repeats"))
@@ -329,14 +329,17 @@ def _(v: Views) -> DataFrame:
     return ranking.prefix_budget(v.view("gold_path"), 12)
 
 
-@query("f6_pairwise", "F6", f"""WITH {_SOFT}, x AS (SELECT sample_id, triple_id, label, b = 1 AND label = 0.7 AS br, CASE WHEN relation IN ('supplier.part', 'supplier.nation') THEN 0 ELSE 1 END AS dist, count(*) OVER (PARTITION BY sample_id) AS n, row_number() OVER (PARTITION BY sample_id ORDER BY logit DESC, triple_id) AS k FROM soft),
-p AS (SELECT sample_id, triple_id, row_number() OVER (PARTITION BY sample_id ORDER BY triple_id) AS place FROM x WHERE label = 1 OR br), g AS (SELECT sample_id, triple_id, row_number() OVER (PARTITION BY sample_id ORDER BY CASE WHEN triple_id BETWEEN least(49, n - 1) AND least(249, n - 1) THEN 0 ELSE 1 END, triple_id) AS place FROM x WHERE label = 0 AND (triple_id BETWEEN least(49, n - 1) AND least(249, n - 1) OR k <= least(50, greatest(1, floor(n * 0.1)))))
-SELECT sample_id, triple_id, 'pos' AS side, CAST(place AS INT) AS place FROM p WHERE place <= 32 UNION ALL SELECT sample_id, triple_id, 'neg', CAST(place AS INT) FROM g WHERE place <= 32""")
+_EXAMPLES = f"""{_SOFT}, x AS (SELECT sample_id, triple_id, label, b = 1 AND label = 0.7 AS br, CASE WHEN relation IN ('supplier.part', 'supplier.nation') THEN 0 ELSE 1 END AS dist, count(*) OVER (PARTITION BY sample_id) AS n, row_number() OVER (PARTITION BY sample_id ORDER BY logit DESC, triple_id) AS k FROM soft),
+p AS (SELECT sample_id, triple_id, row_number() OVER (PARTITION BY sample_id ORDER BY triple_id) AS place FROM x WHERE label = 1 OR br), g AS (SELECT sample_id, triple_id, row_number() OVER (PARTITION BY sample_id ORDER BY CASE WHEN triple_id BETWEEN least(49, n - 1) AND least(249, n - 1) THEN 0 ELSE 1 END, triple_id) AS place FROM x WHERE label = 0 AND (triple_id BETWEEN least(49, n - 1) AND least(249, n - 1) OR k <= least(50, greatest(1, floor(n * 0.1))))),
+ex AS (SELECT sample_id, triple_id, 'pos' AS side, CAST(place AS INT) AS place FROM p WHERE place <= 32 UNION ALL SELECT sample_id, triple_id, 'neg', CAST(place AS INT) FROM g WHERE place <= 32)"""
+
+
+@query("f6_pairwise", "F6", f"WITH {_EXAMPLES} SELECT sample_id, triple_id, side, place FROM ex")
 def _(v: Views) -> DataFrame:
     return pairwise(soft_rows(v))
 
 
-@query("f7_prefix_states", "F7 B8 K7", """WITH t AS (SELECT sample_id, path, list(triple_id ORDER BY triple_id) AS ids FROM (SELECT DISTINCT sample_id, triple_id % 7 AS path, triple_id FROM kg_edge WHERE triple_id < 60) GROUP BY 1, 2), s AS (SELECT sample_id, ids, unnest(range(0, len(ids) + 1)) AS n FROM t)
+@query("f7_prefix_states", "F7 B8 K7", f"""WITH {_FIRST}, m AS (SELECT p.sample_id, p.path, list(c.idx ORDER BY p.place) AS ids, bool_and(c.idx IS NOT NULL) AS whole FROM gold_path p LEFT JOIN cand c USING (sample_id, head, relation, tail) GROUP BY 1, 2), s AS (SELECT sample_id, ids, unnest(range(0, len(ids) + 1)) AS n FROM m WHERE whole)
 SELECT DISTINCT sample_id, array_to_string(ids[1:n], ',') AS state, CASE WHEN n < len(ids) THEN CAST(ids[n + 1] AS VARCHAR) ELSE 'STOP' END AS action, CASE WHEN n < len(ids) THEN 1 ELSE 2 END AS copies FROM s""")
 def _(v: Views) -> DataFrame:
     # one trajectory a gold path, over all candidates and without a budget
@@ -350,7 +353,7 @@ def _(v: Views) -> DataFrame:
     return ranking.first_over(rows, "q", 60)
 
 
-@query("f10_rebuilt", "F10 A18", f"""WITH {_DISTINCT}, sel AS (SELECT DISTINCT sample_id, head, relation, tail FROM gold_label WHERE label = 'direct_support'), pool AS (SELECT * FROM top WHERE rank < 150), a AS (SELECT sample_id, head, relation, tail, 0 AS g, row_number() OVER (PARTITION BY sample_id ORDER BY tail) AS o FROM sel UNION ALL SELECT p.sample_id, p.head, p.relation, p.tail, 1, p.rank FROM pool p WHERE NOT EXISTS (SELECT 1 FROM sel s WHERE s.sample_id = p.sample_id AND s.head = p.head AND s.relation = p.relation AND s.tail = p.tail)), k AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY g, o) - 1 AS rank FROM a)
+@query("f10_rebuilt", "F10 A18", f"""WITH {_DISTINCT}, sel AS (SELECT DISTINCT sample_id, head, relation, tail FROM gold_label WHERE label = 'direct_support'), pool AS (SELECT * FROM top WHERE rank < 150), a AS (SELECT sample_id, head, relation, tail, 0 AS g, row_number() OVER (PARTITION BY sample_id ORDER BY tail) AS o FROM sel UNION ALL SELECT p.sample_id, p.head, p.relation, p.tail, 1, p.rank FROM pool p ANTI JOIN sel s USING (sample_id, head, relation, tail)), k AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY g, o) - 1 AS rank FROM a)
 SELECT k.sample_id, CAST(k.rank AS INT) AS rank, k.tail, round(CASE WHEN g = 0 THEN greatest(1.0 - k.rank * 0.001, 0.9) ELSE p.score END, 6)::DOUBLE AS score FROM k LEFT JOIN pool p USING (sample_id, head, relation, tail) WHERE k.rank < 100""")
 def _(v: Views) -> DataFrame:
     chosen = v.view("gold_label").where("label = 'direct_support'").select(KEY, *TRIPLE).distinct()
@@ -359,13 +362,13 @@ def _(v: Views) -> DataFrame:
     return ranking.rebuilt_scores(chosen, pool, 100).select(KEY, "rank", "tail", F.round("score", 6).alias("score"))
 
 
-@query("g3_inject_front", "G3", f"""WITH {_FIRST}, c AS (SELECT * FROM cand WHERE idx <= 100), g AS (SELECT DISTINCT sample_id, head, relation, tail FROM gold_label WHERE label = 'direct_support'), m AS (SELECT g.*, row_number() OVER (PARTITION BY sample_id ORDER BY head, relation, tail) AS n FROM g WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.sample_id = g.sample_id AND c.head = g.head AND c.relation = g.relation AND c.tail = g.tail)), f AS (SELECT c.sample_id, c.idx, row_number() OVER (PARTITION BY c.sample_id ORDER BY c.idx) AS n FROM c WHERE NOT EXISTS (SELECT 1 FROM g WHERE c.sample_id = g.sample_id AND c.head = g.head AND c.relation = g.relation AND c.tail = g.tail))
+@query("g3_inject_front", "G3", f"""WITH {_FIRST}, c AS (SELECT * FROM cand WHERE idx <= 100), g AS (SELECT DISTINCT sample_id, head, relation, tail FROM gold_label WHERE label = 'direct_support'), m AS (SELECT g.*, row_number() OVER (PARTITION BY g.sample_id ORDER BY g.head, g.relation, g.tail) AS n FROM g ANTI JOIN c USING (sample_id, head, relation, tail)), f AS (SELECT c.sample_id, c.idx, row_number() OVER (PARTITION BY c.sample_id ORDER BY c.idx) AS n FROM c ANTI JOIN g USING (sample_id, head, relation, tail))
 SELECT c.sample_id, c.idx, coalesce(m.tail, c.tail) AS tail, m.tail IS NOT NULL AS injected FROM c LEFT JOIN f ON f.sample_id = c.sample_id AND f.idx = c.idx LEFT JOIN m ON m.sample_id = f.sample_id AND m.n = f.n""")
 def _(v: Views) -> DataFrame:
     return ranking.inject_gold(ranking.first_distinct(v.edges, 100), v.view("gold_label").where("label = 'direct_support'")).select(KEY, "idx", "tail", "injected")
 
 
-@query("g4_inject_back", "G4", f"""WITH {_FIRST}, c AS (SELECT * FROM cand WHERE idx <= 100), g AS (SELECT DISTINCT sample_id, head, relation, tail FROM gold_label WHERE label = 'direct_support'), m AS (SELECT g.*, row_number() OVER (PARTITION BY sample_id ORDER BY head, relation, tail) AS n FROM g WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.sample_id = g.sample_id AND c.head = g.head AND c.relation = g.relation AND c.tail = g.tail)), f AS (SELECT c.sample_id, c.idx, row_number() OVER (PARTITION BY c.sample_id ORDER BY c.idx DESC) AS n FROM c WHERE NOT EXISTS (SELECT 1 FROM g WHERE c.sample_id = g.sample_id AND c.head = g.head AND c.relation = g.relation AND c.tail = g.tail))
+@query("g4_inject_back", "G4", f"""WITH {_FIRST}, c AS (SELECT * FROM cand WHERE idx <= 100), g AS (SELECT DISTINCT sample_id, head, relation, tail FROM gold_label WHERE label = 'direct_support'), m AS (SELECT g.*, row_number() OVER (PARTITION BY g.sample_id ORDER BY g.head, g.relation, g.tail) AS n FROM g ANTI JOIN c USING (sample_id, head, relation, tail)), f AS (SELECT c.sample_id, c.idx, row_number() OVER (PARTITION BY c.sample_id ORDER BY c.idx DESC) AS n FROM c ANTI JOIN g USING (sample_id, head, relation, tail))
 SELECT f.sample_id, f.idx, m.tail FROM f JOIN m ON m.sample_id = f.sample_id AND m.n = f.n""")
 def _(v: Views) -> DataFrame:
     return ranking.inject_gold(ranking.first_distinct(v.edges, 100), v.view("gold_label").where("label = 'direct_support'"), from_back=True).where("injected").select(KEY, "idx", "tail")
@@ -399,7 +402,7 @@ def _(v: Views) -> DataFrame:
     return ranking.frequent(v.edges, "tail", 5).select(KEY, "tail", "n", "place")
 
 
-@query("h20_vectors", "H20 M1", "SELECT a.vec_id AS q, b.vec_id AS item, round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 5) AS score FROM embeddings a, embeddings b WHERE a.vec_id < 10 AND b.vec_id >= 10")
+@query("h20_vectors", "H20 M1", "SELECT a.vec_id AS q, b.vec_id AS item, round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 5) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0")
 def _(v: Views) -> DataFrame:
     e = v.table("embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("x"))
     q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("q"), F.col("x").alias("y"))  # stated queries
