@@ -1,14 +1,16 @@
 """Graph operators over edges keyed by sample: distances, shortest paths, propagation, features.
 
-Distances relax along edges in rounds. Each round is one join and one
-aggregate with map-side combine; a self-edge of cost 0 at every node keeps what
-is known, so that a round refers to the round before it once and the plan grows
-linearly. Where no cap is given, rounds are checkpointed to the shared folder
-until nothing changes.
+Distances grow by frontiers: a round joins only the nodes of the last round
+with their edges and keeps those that are new. Rounds are checkpointed to the
+shared folder, so the plan stays one round long, a lost executor costs one
+round, and the search ends when no node is new. Searches along edges and
+against them run together, as two ways of one table.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -37,35 +39,36 @@ def candidate_graph(edges: DataFrame, idx: str = "triple_id") -> DataFrame:
     return edges.groupBy(KEY, "head", "tail").agg(F.sort_array(F.collect_list(idx)).alias("ids"))
 
 
-def _relax(links: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
-    """One round; links carry a cost, keys name what distances are kept for besides the node."""
-    return known.withColumnRenamed("node", "src").join(links, [KEY, "src"]).groupBy(*keys, F.col("dst").alias("node")).agg(F.min(F.col("distance") + F.col("cost")).alias("distance"))
+def both_ways(links: DataFrame) -> DataFrame:
+    """Links as they are (way 0) and turned round (way 1)."""
+    return links.withColumn("way", F.lit(0)).unionByName(reversed_edges(links).withColumn("way", F.lit(1)))
 
 
 def distances(links: DataFrame, sources: DataFrame, depth: int | None = None, by_source: bool = False) -> DataFrame:
-    """(sample_id[, source], node, distance) along links (sample_id, src, dst) from sources (sample_id, node).
+    """(sample_id[, way][, source], node, distance) along links (sample_id[, way], src, dst) from sources (sample_id[, way], node).
 
-    Sources have distance 0 even where no edge touches them. With a depth, that
-    many rounds are planned lazily; without, rounds run until nothing changes.
+    Sources have distance 0 even where no edge touches them. Rounds run until
+    no node is new, or depth times. Where links have ways, so have the results;
+    sources without ways start in each.
     """
-    keys = [KEY, "source"] if by_source else [KEY]
-    start = sources.select(KEY, "node").where(F.col("node").isNotNull()).distinct()
+    ways = ["way"] if "way" in links.columns else []
+    start = sources.where(F.col("node").isNotNull())
+    if ways and "way" not in start.columns:
+        start = start.withColumn("way", F.explode(F.array(F.lit(0), F.lit(1))))
     if by_source:
         start = start.withColumn("source", F.col("node"))
-    known = start.withColumn("distance", F.lit(0)).select(*keys, "node", "distance")
-    nodes = links.select(KEY, F.explode(F.array("src", "dst")).alias("src")).unionByName(start.select(KEY, F.col("node").alias("src"))).distinct()
-    cost = links.withColumn("cost", F.lit(1)).unionByName(nodes.select(KEY, "src", F.col("src").alias("dst"), F.lit(0).alias("cost")))
-    if depth is not None:
-        for _ in range(depth):
-            known = _relax(cost, known, keys)
-        return known
-    cost, before = cost.checkpoint(), None
-    while True:
-        known = _relax(cost, known, keys).checkpoint()
-        total = known.agg(F.count(F.lit(1)).alias("n"), F.sum("distance").alias("d")).first()
-        if total == before:
-            return known
-        before = total
+    names = [KEY, *ways, *(["source"] if by_source else []), "node"]
+    links, known = links.checkpoint(), []
+    latest = start.select(*names).distinct().checkpoint()
+    while not latest.isEmpty():
+        known.append(latest.withColumn("distance", F.lit(len(known))))
+        if len(known) - 1 == depth:
+            break
+        ahead = latest.withColumnRenamed("node", "src").join(links, [KEY, *ways, "src"]).select(*[n for n in names if n != "node"], F.col("dst").alias("node")).distinct()
+        for seen in known:
+            ahead = ahead.join(seen, names, "left_anti")
+        latest = ahead.checkpoint()
+    return reduce(DataFrame.unionByName, known) if known else latest.withColumn("distance", F.lit(0))
 
 
 def with_hop(triples: DataFrame, found: DataFrame) -> DataFrame:
@@ -88,27 +91,40 @@ def path_edges(edges: DataFrame, pairs: DataFrame, depth: int | None = None) ->
     return out.select(KEY, "source", "target", "length", F.col("src").alias("head"), F.col("dst").alias("tail"))
 
 
-def shortest_path_triples(edges: DataFrame, topics: DataFrame, answers: DataFrame, depth: int | None = None, parallel: str = "all") -> DataFrame:
-    """(sample_id, triple_id): triples on the shorter direction(s) between topics and answers.
+def _pairs(edges: DataFrame, topics: DataFrame, answers: DataFrame, depth: int | None) -> tuple[DataFrame, DataFrame]:
+    """Pairs of topics and answers of the graph with the length of each shorter way, and the edges on these ways.
 
-    parallel "all" takes every triple between two nodes, "last" the greatest
-    triple_id. Pairs in both directions keep the globally shortest ("last") or
-    the shortest of the pair ("all"), ties both.
+    Pairs: (sample_id, way, source, node, distance), way 0 from topic to answer
+    and 1 back; of a pair that has both ways the shorter stays, of equal ones
+    both. A topic that is an answer has distance 0 to itself. Only topics are
+    searched from; edges that lead one step on form a graph without cycles, and
+    those from which an answer is reached in it are on a shortest path.
     """
-    out = _pair_paths(edges, topics, answers, depth, globally=parallel == "last")
-    triples = edges.select(KEY, "head", "tail", "triple_id") if parallel == "all" else edges.groupBy(KEY, "head", "tail").agg(F.max("triple_id").alias("triple_id"))
-    return out.select(KEY, "head", "tail").distinct().join(triples, [KEY, "head", "tail"]).select(KEY, "triple_id")
+    links = both_ways(directed(edges))
+    nodes = links.select(KEY, F.col("src").alias("node")).distinct()  # both ways: all nodes
+    far = distances(links, topics.select(KEY, "node").join(nodes, [KEY, "node"], "left_semi"), depth, by_source=True).checkpoint()
+    ends = far.join(answers.select(KEY, "node").distinct(), [KEY, "node"], "left_semi")
+    best = F.min("distance").over(W.partitionBy(KEY, "source", "node"))
+    ends = ends.withColumn("best", best).where("distance = best").drop("best").checkpoint()
+    state = [KEY, "way", "source"]
+    step = far.withColumnRenamed("node", "src").join(links, [KEY, "way", "src"])
+    step = step.join(far.select(*state, F.col("node").alias("dst"), (F.col("distance") - 1).alias("distance")), [*state, "dst", "distance"]).select(*state, "src", "dst").checkpoint()
+    # back from the answers along these steps; the state is part of the node, as steps of two searches differ
+    at = lambda c: F.struct("way", "source", F.col(c).alias("node"))
+    back = distances(step.select(KEY, at("dst").alias("src"), at("src").alias("dst")), ends.select(KEY, at("node").alias("node")))
+    used = step.join(back.select(KEY, "node.*").withColumnRenamed("node", "dst"), [*state, "dst"], "left_semi")
+    turned = F.col("way") == 1
+    return ends, used.select(KEY, F.when(turned, F.col("dst")).otherwise(F.col("src")).alias("head"), F.when(turned, F.col("src")).otherwise(F.col("dst")).alias("tail")).distinct()
 
 
-def _pair_paths(edges: DataFrame, topics: DataFrame, answers: DataFrame, depth: int | None, globally: bool) -> DataFrame:
-    nodes = edges.select(KEY, F.explode(F.array("head", "tail")).alias("node")).distinct()
-    q = topics.join(nodes, [KEY, "node"], "left_semi").select(KEY, F.col("node").alias("q"))
-    a = answers.join(nodes, [KEY, "node"], "left_semi").select(KEY, F.col("node").alias("a"))
-    pairs = q.join(a, KEY).where("q != a")  # within a sample: a few topics and answers
-    ways = pairs.select(KEY, "q", "a", F.col("q").alias("source"), F.col("a").alias("target")).unionByName(pairs.select(KEY, "q", "a", F.col("a").alias("source"), F.col("q").alias("target")))
-    found = path_edges(edges, ways.select(KEY, "source", "target").distinct(), depth).join(ways, [KEY, "source", "target"])
-    best = F.min("length").over(W.partitionBy(KEY, "q", "a"))
-    return found.withColumn("best", best).where("length = best").drop("best")
+def shortest_path_triples(edges: DataFrame, topics: DataFrame, answers: DataFrame, depth: int | None = None, parallel: str = "all") -> DataFrame:
+    """(sample_id, triple_id): triples on the shorter way of each topic and answer, both ways where they are equally long.
+
+    parallel "all" takes every triple between two nodes, "last" the greatest triple_id.
+    """
+    _, used = _pairs(edges, topics, answers, depth)
+    triples = edges.select(KEY, "head", "tail", "triple_id") if parallel == "all" else edges.groupBy(KEY, "head", "tail").agg(F.max("triple_id").alias("triple_id"))
+    return used.join(triples, [KEY, "head", "tail"]).select(KEY, "triple_id")
 
 
 def weak_labels(edges: DataFrame, topics: DataFrame, answers: DataFrame, depth: int | None = None) -> DataFrame:
@@ -118,18 +134,20 @@ def weak_labels(edges: DataFrame, topics: DataFrame, answers: DataFrame, depth:
 
 
 def max_path_length(edges: DataFrame, topics: DataFrame, answers: DataFrame, depth: int | None = None) -> DataFrame:
-    return _pair_paths(edges, topics, answers, depth, globally=True).groupBy(KEY).agg(F.max("length").alias("max_path_length"))
+    """(sample_id, max_path_length) of samples with a path; 0 where the topic is its only answer."""
+    ends, _ = _pairs(edges, topics, answers, depth)
+    return ends.groupBy(KEY).agg(F.max("distance").alias("max_path_length"))
 
 
 def directional_distances(edges: DataFrame, topics: DataFrame, cap: int = 6) -> DataFrame:
     """Edges with topic-to-head, topic-to-tail, head-to-topic and tail-to-topic distances, capped."""
-    links = directed(edges)
+    found = distances(both_ways(directed(edges)), topics.select(KEY, "node"), cap)
+    ways = [F.least(F.coalesce(F.min(F.when(F.col("way") == k, F.col("distance"))), F.lit(cap)), F.lit(cap)) for k in (0, 1)]
+    table = found.groupBy(KEY, "node").agg(ways[0].alias("_from"), ways[1].alias("_to"))
     out = edges
-    for name, found in (("from", distances(links, topics, cap)), ("to", distances(reversed_edges(links), topics, cap))):
-        for end in ("head", "tail"):
-            d = found.select(KEY, F.col("node").alias(end), F.col("distance").alias("_d"))
-            column = f"topic_to_{end}" if name == "from" else f"{end}_to_topic"
-            out = out.join(d, [KEY, end], "left").withColumn(column, F.least(F.coalesce("_d", F.lit(cap)), F.lit(cap))).drop("_d")
+    for end in ("head", "tail"):
+        out = out.join(table.withColumnRenamed("node", end), [KEY, end], "left")
+        out = out.withColumn(f"topic_to_{end}", F.coalesce("_from", F.lit(cap))).withColumn(f"{end}_to_topic", F.coalesce("_to", F.lit(cap))).drop("_from", "_to")
     return out
 
 

@@ -16,11 +16,29 @@ def _occurrence(rows: DataFrame, order: str) -> DataFrame:
     return rows.withColumn("occurrence", F.row_number().over(W.partitionBy(KEY, *TRIPLE).orderBy(order)))
 
 
-def align(results: DataFrame, raw: DataFrame, order: str = "rank", raw_order: str = "triple_id") -> DataFrame:
-    """results with raw_index: the k-th occurrence of a triple meets its k-th raw occurrence; null where there is none."""
+def align(results: DataFrame, raw: DataFrame, order: str = "rank", raw_order: str = "triple_id", strict: bool = True) -> DataFrame:
+    """results with raw_index: the k-th occurrence of a triple meets its k-th raw occurrence.
+
+    Where there is none, reading raw_index is an error; if not strict, it is null.
+    """
     left = _occurrence(results, order)
     right = _occurrence(raw.select(KEY, *TRIPLE, raw_order), raw_order).withColumnRenamed(raw_order, "raw_index")
-    return left.join(right, [KEY, *TRIPLE, "occurrence"], "left")
+    out = left.join(right, [KEY, *TRIPLE, "occurrence"], "left")
+    if not strict:
+        return out
+    said = F.raise_error(F.concat(F.lit("no raw triple for "), F.to_json(F.struct(KEY, *TRIPLE, "occurrence"))))
+    return out.withColumn("raw_index", F.when(F.col("raw_index").isNull(), said.cast("long")).otherwise(F.col("raw_index")).cast(raw.schema[raw_order].dataType))
+
+
+def alignment_counts(results: DataFrame, raw: DataFrame) -> DataFrame:
+    """(sample_id, raw_duplicates, conflicts, candidates): raw occurrences beyond the first, and the raw occurrences that each result leaves unused at its turn."""
+    same = raw.groupBy(KEY, *TRIPLE).agg(F.count(F.lit(1)).alias("n"))
+    duplicates = same.groupBy(KEY).agg(F.sum(F.col("n") - 1).alias("raw_duplicates"))
+    taken = results.groupBy(KEY, *TRIPLE).agg(F.count(F.lit(1)).alias("k")).join(same, [KEY, *TRIPLE], "left")
+    # n - 1, n - 2, ... for the 1st, 2nd, ... of k results
+    left = F.col("k") * F.col("n") - F.col("k") * (F.col("k") + 1) / 2
+    found = taken.groupBy(KEY).agg(F.sum(left).cast("long").alias("conflicts"), F.sum("k").alias("candidates"))
+    return found.join(duplicates, KEY, "left")
 
 
 def label_flags(candidates: DataFrame, labels: DataFrame) -> DataFrame:

@@ -129,21 +129,34 @@ def min_answer_coverage(rows: DataFrame, answers: DataFrame) -> DataFrame:
     return rows.select(KEY).distinct().join(total, KEY, "left").select(KEY, F.coalesce("loss", F.lit(0.0)).alias("loss"))
 
 
+def soft_ranks(rows: DataFrame, tau: float = 1.0, descending: bool = False) -> DataFrame:
+    """(sample_id, logit, soft_rank, n) of each distinct logit of a sample: 1 + the sum over its n rows of the sigmoid of the difference.
+
+    Equal logits count by their number; the differences are taken in pieces, so
+    memory is linear in a sample.
+    """
+    counts = rows.groupBy(KEY, "logit").agg(F.count(F.lit(1)).alias("m"))
+    sign = 1.0 if descending else -1.0
+
+    def run(table: pa.Table) -> pa.Table:
+        x, m = table["logit"].to_numpy(), table["m"].to_numpy().astype(np.float64)
+        step = max(1, (1 << 20) // max(1, len(x)))
+        with np.errstate(over="ignore"):
+            ranks = [(m / (1 + np.exp(-sign * (x - x[i : i + step, None]) / tau))).sum(axis=1) for i in range(0, len(x), step)]
+        return pa.table({KEY: table[KEY], "logit": table["logit"], "soft_rank": pa.array(1 + np.concatenate(ranks)), "n": pa.array(np.full(len(x), int(m.sum())))})
+
+    kind = rows.schema[KEY].dataType.simpleString()
+    return counts.where(F.col("logit").isNotNull()).groupBy(KEY).applyInArrow(run, f"{KEY} {kind}, logit double, soft_rank double, n long")
+
+
 def listwise_surrogate(rows: DataFrame, answers: DataFrame, k: int = 200, tau: float = 1.0, cap: float = 50.0, cover_weight: float = 0.5, descending: bool = False) -> DataFrame:
     """Soft-rank loss: P(in top k) from pairwise sigmoids, weighted BCE on touch, and coverage of answers.
 
     As defined, a higher score has a larger soft rank; descending turns that.
-    The pairs are within a sample, as an array of its logits.
     """
-    logits = rows.groupBy(KEY).agg(F.collect_list("logit").alias("all"))
-    sign = 1.0 if descending else -1.0
-    x = F.col("logit")
-    rank = 1.0 + F.aggregate(F.transform("all", lambda s: sigmoid(sign * (s - x) / tau)), F.lit(0.0), lambda a, v: a + v)
-    top = F.least(F.lit(float(k)), F.size("all").cast("double"))
-    p = sigmoid((top + 0.5 - F.col("soft_rank")) / tau)
+    p = sigmoid((F.least(F.lit(float(k)), F.col("n").cast("double")) + 0.5 - F.col("soft_rank")) / tau)
     own = W.partitionBy(KEY)
-    # the array ends with the projection, before anything is sorted or kept
-    out = rows.join(logits, KEY).withColumn("soft_rank", rank).withColumn("p", p).withColumn("n", F.size("all")).drop("all").withColumn("pos", F.sum("touch").over(own))
+    out = rows.join(soft_ranks(rows, tau, descending), [KEY, "logit"]).withColumn("p", p).withColumn("pos", F.sum("touch").over(own))
     weight = F.when(F.col("touch") > 0.5, F.least((F.col("n") - F.col("pos")) / F.greatest(F.col("pos"), F.lit(1e-6)), F.lit(cap))).otherwise(1.0)
     log = lambda v: F.ln(F.greatest(v, F.lit(1e-6)))
     edge = out.groupBy(KEY).agg(F.avg(-weight * (F.col("touch") * log(F.col("p")) + (1 - F.col("touch")) * log(1 - F.col("p")))).alias("edge"), F.max("pos").alias("pos"))

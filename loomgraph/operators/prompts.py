@@ -142,9 +142,13 @@ def generate(rows: DataFrame, prompt: str, generator: Generator, out: str = "pre
 
 
 def generate_twice(rows: DataFrame, prompt: str, generator: Generator, second: str = "Give your best answer.", out: str = "prediction") -> DataFrame:
-    """A second turn for the rows whose first answer is none; equal prompts are generated once."""
+    """A second turn for the rows whose first answer is none; equal prompts are generated once.
+
+    First answers are written to the shared folder before they are read twice:
+    a generator may be paid by the call, or answer differently the next time.
+    """
     unique = rows.select(prompt).distinct()
-    first = generate(unique, prompt, generator, out)
+    first = generate(unique, prompt, generator, out).checkpoint()
     again = text.no_answer(F.col(out))
     kept = first.where(~again)
     redo = generate(first.where(again).select(prompt, F.concat_ws("\n\n", prompt, out, F.lit(second)).alias("_second")), "_second", generator, out)

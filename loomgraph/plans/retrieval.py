@@ -147,6 +147,11 @@ def _(v: Views) -> DataFrame:
     return joins.align(results, v.edges, "place").select(KEY, "rank", "raw_index")
 
 
+@query("c2_alignment_counts", "C2", f"WITH {_DISTINCT}, r AS (SELECT sample_id, head, relation, tail, count(*) AS n FROM kg_edge GROUP BY 1, 2, 3, 4), d AS (SELECT sample_id, sum(n - 1)::BIGINT AS raw_duplicates FROM r GROUP BY 1) SELECT sample_id, any_value(d.raw_duplicates) AS raw_duplicates, sum(r.n - 1)::BIGINT AS conflicts, count(*) AS candidates FROM top JOIN r USING (sample_id, head, relation, tail) JOIN d USING (sample_id) WHERE rank < 500 GROUP BY 1")
+def _(v: Views) -> DataFrame:
+    return joins.alignment_counts(ranking.top_distinct(v.scored, 500), v.edges)
+
+
 _SOFT = "lab AS (SELECT sample_id, head, relation, tail, max(CASE WHEN label = 'direct_support' THEN 1 ELSE 0 END) AS d, max(CASE WHEN label = 'bridge' THEN 1 ELSE 0 END) AS b, max(CASE WHEN label = 'weak_support' THEN 1 ELSE 0 END) AS w FROM gold_label GROUP BY 1, 2, 3, 4), soft AS (SELECT e.*, coalesce(d, 0) AS d, coalesce(b, 0) AS b, coalesce(w, 0) AS w, CASE WHEN w = 1 THEN 0.3 WHEN b = 1 THEN 0.7 WHEN d = 1 THEN 1.0 ELSE 0.0 END::DOUBLE AS label FROM kg_edge e LEFT JOIN lab USING (sample_id, head, relation, tail))"
 
 
@@ -269,6 +274,44 @@ def _(v: Views) -> DataFrame:
     return graph.shortest_path_triples(v.edges, v.topics, v.answers.withColumnRenamed("answer", "node"))
 
 
+# every twelve customers are a chain with steps back and shortcuts; the topic is the first, the answers are the seventh and the last
+_CHAIN = f"far AS (SELECT sample_id, max(n) AS n FROM chain_node GROUP BY 1), link AS (SELECT DISTINCT sample_id, head AS src, tail AS dst FROM chain_edge), t0 AS (SELECT sample_id, node FROM chain_node WHERE n = 0), a0 AS (SELECT c.sample_id, c.node FROM chain_node c JOIN far USING (sample_id) WHERE c.n = 6 OR c.n = far.n)"
+
+
+def _chain(v: Views) -> tuple[DataFrame, DataFrame, DataFrame]:
+    nodes = v.view("chain_node")
+    last = nodes.groupBy(KEY).agg(F.max("n").alias("last"))
+    return v.view("chain_edge"), nodes.where("n = 0").select(KEY, "node"), nodes.join(last, KEY).where("n = 6 or n = last").select(KEY, "node")
+
+
+@query("d3_long_hops", "D2 D3 D4", f"WITH RECURSIVE {_CHAIN}, sym AS (SELECT * FROM link UNION SELECT sample_id, dst, src FROM link), {_walk('reach', 't0', 12, 'sym')} SELECT e.sample_id, e.triple_id, CAST(least(h.distance, t.distance) + 1 AS INT) AS hop FROM chain_edge e LEFT JOIN reach h ON h.sample_id = e.sample_id AND h.node = e.head LEFT JOIN reach t ON t.sample_id = e.sample_id AND t.node = e.tail")
+def _(v: Views) -> DataFrame:
+    edges, topics, _ = _chain(v)
+    return graph.with_hop(edges, graph.distances(graph.undirected(edges), topics)).select(KEY, "triple_id", "hop")
+
+
+# distances from each answer and to it, each under its own id, decide which links are on a shortest path
+_LONG = f"""{_CHAIN}, {_walk('fore', 't0', 12)}, {_walk('rear', 't0', 12, flip=True)}, ids AS (SELECT a0.sample_id, a0.node AS a FROM a0), x0 AS (SELECT sample_id || '|' || a AS sample_id, a AS node FROM ids), xl AS (SELECT i.sample_id || '|' || i.a AS sample_id, l.src, l.dst FROM link l JOIN ids i USING (sample_id)), {_walk('toa', 'x0', 12, 'xl', flip=True)}, {_walk('froma', 'x0', 12, 'xl')},
+pair AS (SELECT i.sample_id, i.a, f.distance AS f, b.distance AS b, least(f.distance, b.distance) AS best FROM ids i LEFT JOIN fore f ON f.sample_id = i.sample_id AND f.node = i.a LEFT JOIN rear b ON b.sample_id = i.sample_id AND b.node = i.a),
+used AS (SELECT p.sample_id, l.src AS head, l.dst AS tail FROM pair p JOIN link l USING (sample_id) JOIN fore s ON s.sample_id = p.sample_id AND s.node = l.src JOIN toa e ON e.sample_id = p.sample_id || '|' || p.a AND e.node = l.dst WHERE p.f = p.best AND s.distance + 1 + e.distance = p.best
+UNION SELECT p.sample_id, l.src, l.dst FROM pair p JOIN link l USING (sample_id) JOIN froma s ON s.sample_id = p.sample_id || '|' || p.a AND s.node = l.src JOIN rear e ON e.sample_id = p.sample_id AND e.node = l.dst WHERE p.b = p.best AND s.distance + 1 + e.distance = p.best)"""
+
+
+@query("d5_long_labels", "D5", f"WITH RECURSIVE {_LONG}, last AS (SELECT sample_id, head, tail, max(triple_id) AS triple_id FROM chain_edge GROUP BY 1, 2, 3) SELECT last.sample_id, last.triple_id FROM last JOIN used USING (sample_id, head, tail)")
+def _(v: Views) -> DataFrame:
+    return graph.weak_labels(*_chain(v)).where("label = 1").select(KEY, "triple_id")
+
+
+@query("d5_long_lengths", "D5", f"WITH RECURSIVE {_LONG} SELECT sample_id, CAST(max(best) AS INT) AS max_path_length FROM pair WHERE best IS NOT NULL GROUP BY 1")
+def _(v: Views) -> DataFrame:
+    return graph.max_path_length(*_chain(v))
+
+
+@query("d7_long_triples", "D6 D7", f"WITH RECURSIVE {_LONG} SELECT e.sample_id, e.triple_id FROM chain_edge e JOIN used USING (sample_id, head, tail)")
+def _(v: Views) -> DataFrame:
+    return graph.shortest_path_triples(*_chain(v))
+
+
 @query("d8_directions", "D8", f"WITH RECURSIVE {_LINK}, {_walk('fore', 'topic', 6)}, {_walk('back', 'topic', 6, flip=True)} SELECT e.sample_id, e.triple_id, CAST(coalesce(fh.distance, 6) AS INT) AS topic_to_head, CAST(coalesce(ft.distance, 6) AS INT) AS topic_to_tail, CAST(coalesce(bh.distance, 6) AS INT) AS head_to_topic, CAST(coalesce(bt.distance, 6) AS INT) AS tail_to_topic FROM kg_edge e LEFT JOIN fore fh ON fh.sample_id = e.sample_id AND fh.node = e.head LEFT JOIN fore ft ON ft.sample_id = e.sample_id AND ft.node = e.tail LEFT JOIN back bh ON bh.sample_id = e.sample_id AND bh.node = e.head LEFT JOIN back bt ON bt.sample_id = e.sample_id AND bt.node = e.tail")
 def _(v: Views) -> DataFrame:
     return graph.directional_distances(v.edges, v.topics).select(KEY, "triple_id", "topic_to_head", "topic_to_tail", "head_to_topic", "tail_to_topic")

@@ -114,9 +114,18 @@ def resumed(rows: DataFrame, done: DataFrame, key: str = "id") -> DataFrame:
 
 
 def shard(rows: DataFrame, key: str, shards: int, index: int) -> DataFrame:
-    """Rows of shard index: keys in order, dealt in turn."""
-    place = rows.select(key).distinct().withColumn("_n", F.row_number().over(W.orderBy(key)) - 1)
-    return rows.join(place.where(F.col("_n") % shards == index).select(key), key, "left_semi")
+    """Rows of shard index: keys in order, dealt in turn.
+
+    A key's place is its place in its range of keys plus the sizes of the
+    ranges before it, so only the sizes (one a partition) meet in one task. The
+    ranges are written to the shared folder, since they are cut by sampling.
+    """
+    ranges = rows.select(key).distinct().repartitionByRange(key).withColumn("_range", F.spark_partition_id()).checkpoint()
+    sizes = ranges.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))
+    before = F.coalesce(F.sum("_size").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    place = F.row_number().over(W.partitionBy("_range").orderBy(key)) - 1 + F.col("_before")
+    own = ranges.join(F.broadcast(sizes.select("_range", before.alias("_before"))), "_range").withColumn("_n", place)  # as many rows as partitions
+    return rows.join(own.where(F.col("_n") % shards == index).select(key), key, "left_semi")
 
 
 def merged_shards(shards: list[DataFrame], key: str = "id") -> DataFrame:

@@ -45,6 +45,18 @@ FROM (
   UNION ALL
   SELECT DISTINCT l_suppkey, l_partkey, 1, concat('P', CAST(l_partkey AS STRING)), 'part.brand', p_brand FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity >= 49 AND l_returnflag = 'R'
 ) g""",
+    "chain_edge": """
+SELECT sample_id, CAST(row_number() OVER (PARTITION BY sample_id ORDER BY head, tail, relation) - 1 AS INT) AS triple_id, head, relation, tail
+FROM (
+  SELECT a.sample_id, a.node AS head, 'next' AS relation, b.node AS tail FROM chain_node a JOIN chain_node b ON a.sample_id = b.sample_id AND b.n = a.n + 1 WHERE a.sample_id % 3 <> 2 OR a.n <> 9
+  UNION ALL
+  SELECT a.sample_id, a.node, 'again', b.node FROM chain_node a JOIN chain_node b ON a.sample_id = b.sample_id AND b.n = a.n + 1 WHERE a.n % 4 = a.sample_id % 4
+  UNION ALL
+  SELECT a.sample_id, a.node, 'back', b.node FROM chain_node a JOIN chain_node b ON a.sample_id = b.sample_id AND b.n = a.n - 3 WHERE a.n % 3 = a.sample_id % 3
+  UNION ALL
+  SELECT a.sample_id, a.node, 'leap', b.node FROM chain_node a JOIN chain_node b ON a.sample_id = b.sample_id AND b.n = a.n + 2 WHERE a.n % 5 = a.sample_id % 7
+) u""",
+    "chain_node": "SELECT CAST(floor(c_custkey / 12) AS BIGINT) AS sample_id, CAST(c_custkey % 12 AS INT) AS n, concat('C', CAST(c_custkey AS STRING)) AS node FROM customer",
     "episode_turn": """
 SELECT user_id AS episode_id, event_id AS turn, CASE WHEN event_type = 'purchase' THEN 'STOP' WHEN event_type = 'error' THEN 'INVALID' ELSE 'ADD_TRIPLE' END AS kind,
        CAST(json_k AS INT) + 1 AS triple_id
@@ -60,6 +72,8 @@ def oracle_view(name: str) -> str:
 def with_views(body: str) -> str:
     """A query with the views it names, and those they name, before it."""
     names = [n for n in VIEWS if re.search(rf"\b{n}\b", body)]
+    names += [n for n in VIEWS if n not in names and any(re.search(rf"\b{n}\b", VIEWS[m]) for m in names)]
+    names.sort(key=lambda n: any(re.search(rf"\b{m}\b", VIEWS[n]) for m in VIEWS if m != n))  # those that name no other first
     own = ", ".join(f"{n} AS ({oracle_view(n)})" for n in names)
     body = body.strip()
     if not own:
@@ -81,9 +95,9 @@ class Views:
 
     def view(self, name: str) -> DataFrame:
         if name not in self._made:
-            used = [t for t in TABLES if re.search(rf"\b(FROM|JOIN)\s+{t}\b", VIEWS[name])]
+            used = [t for t in (*TABLES, *VIEWS) if re.search(rf"\b(FROM|JOIN)\s+{t}\b", VIEWS[name])]
             sql = re.sub(rf"\b(FROM|JOIN)\s+({'|'.join(used)})\b", r"\1 {\2}", VIEWS[name])
-            self._made[name] = self.spark.sql(sql, **{t: self.table(t) for t in used})
+            self._made[name] = self.spark.sql(sql, **{t: self.view(t) if t in VIEWS else self.table(t) for t in used})
         return self._made[name]
 
     @cached_property
