@@ -202,6 +202,19 @@ def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def bucketed(df: DataFrame, column: str, name: str) -> DataFrame:
+    """df written in buckets of a column into the shared folder and read again, so that joins by that column don't move it.
+
+    Buckets need an entry in the catalog to be written and resolved; it goes at once, the files stay.
+    """
+    spark = df.sparkSession
+    table = f"loomgraph_{uuid.uuid4().hex}"
+    df.write.bucketBy(max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))), column).option("path", shared_path(spark, name)).saveAsTable(table)
+    out = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")
+    return out
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Removes a folder that no later plan reads."""
     jvm = spark.sparkContext._jvm

@@ -227,13 +227,23 @@ def test_token_counts(docs, rows, none):
     for k, text, *_ in rows:
         n = len(model.encode(text or ""))
         assert (got[k]["n_bytes"], got[k]["n_tokens"], got[k]["over_limit"]) == (len((text or "").encode()), n, n > 10)
-    counter = token_counts.PieceCounter(path)
-    for odd in ["", " ", "  a  b ", "▁a▁", "\n\na", "<s>x</s>", "a\t b"]:
-        raw = np.frombuffer(odd.encode(), np.uint8)
-        assert counter.counts(raw, np.array([0, len(raw)])).tolist() == [len(model.encode(odd))]
+    small = by_id(token_counts.count_tokens(docs, path, limit=10, block_bytes=300))
+    assert {k: tuple(r) for k, r in small.items()} == {k: tuple(r) for k, r in got.items()}
+    odd = ["", " ", "  a  b ", "▁a▁", "\n\na", "<s>x</s>", "a\t b", "▁", None, "a" * 5000, " " * 300]
+    more = docs.sparkSession.createDataFrame([(str(k), t, 1) for k, t in enumerate(odd)] + [(None, "a b", 2), ("0", "x", 3)], "name string, body string, n_tokens int")
+    found = sorted(((r["doc_id"] or "~", r["n_tokens"]) for r in token_counts.count_tokens(more, path, "name", "body").collect()))
+    assert found == sorted([(str(k), len(model.encode(t or ""))) for k, t in enumerate(odd)] + [("~", len(model.encode("a b"))), ("0", len(model.encode("x")))])
     assert token_counts.count_tokens(none, path).count() == 0
 
 
+def test_each_distinct_pre_token_is_counted_once(spark, docs, rows):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    stored, _ = blocks.stored(token_counts.frequency_blocks(docs, "doc_id", "text", block_bytes=300), "pre-tokens")
+    asked = token_counts.piece_numbers(stored, path, 5).groupBy("deal").agg({"asked": "max"}).collect()
+    distinct = {w for _, t, *_ in rows for w in re.findall(" *[^ ]+| +", " " + t.replace("▁", " ") if t else "")}
+    assert stored.count() > 3 and sum(r["max(asked)"] for r in asked) == len(distinct)
+
+
 def test_packing(docs, rows, none):
     path = public_tokenizers.path("word_bpe_49k.json")
     got = packing.pack(docs, path, "word", 1, capacity=512).collect()
