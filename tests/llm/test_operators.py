@@ -292,10 +292,55 @@ def test_compaction(spark, docs, none):
     before = store.version()
     assert store.append(none) == before + 1 and store.read(before).count() == docs.count()
     with pytest.raises(compaction.CommitConflict):
-        store._commit([], none.schema.json(), before)
+        store._commit([], [], none.schema.json(), before)
     assert compaction.compacted(none, blocks.shared_path(spark, "shards")).count() == 0
 
 
+def test_compaction_with_two_writers(spark, docs, monkeypatch):
+    root = blocks.shared_path(spark, "shards")
+    one, two = (compaction.ShardStore(spark, root, target=1 << 16, least=1 << 10) for _ in range(2))
+    part = docs.limit(40).cache()
+    one.append(part)
+    # the other writer commits between the look at the newest version and the commit: the arrival takes the next turn
+    commit, raced = one._commit, []
+
+    def late(new, gone, schema, after):
+        if not raced:
+            raced.append(two.append(part))
+        return commit(new, gone, schema, after)
+
+    monkeypatch.setattr(one, "_commit", late)
+    one.append(part)
+    assert one.read().count() == 3 * part.count()
+    # a merge whose shards another writer has taken is given up, and leaves no file
+    gone = one.shards()[:1]
+    two._commit([], gone, part.schema.json(), two.version())
+    left = one.read().count()
+    assert one._commit_merge([], gone, part.schema.json()) is None and one.read().count() == left < 3 * part.count()
+    # files written and not yet committed outlive a vacuum with a grace period, and a crash before the commit changes no version
+    folder = f"{root}/shards/other"
+    part.write.parquet(folder)
+    version = two.version()
+    two.vacuum()
+    assert one._commit_new(one._written(folder), part.schema.json()) == version + 1
+    assert two.read().count() == left + part.count() and one.read(version).count() == left
+    part.write.parquet(f"{root}/shards/crashed")
+    assert two.vacuum(grace=0) > 0 and two.read().count() == left + part.count()
+
+
+def test_versions_from_snapshots_and_steps(spark, docs):
+    store = compaction.ShardStore(spark, blocks.shared_path(spark, "shards"), target=1 << 22, least=1 << 10, fanout=3)
+    part = docs.limit(3).coalesce(1).cache()
+    sizes = []
+    for k in range(14):
+        store.append(part)
+        sizes.append((store.version(), 3 * (k + 1)))
+    assert store.version() > compaction.SNAPSHOT and all(store.read(v).count() == n for v, n in sizes[::4])
+    assert not store.plan(store.shards()) and len(store.shards()) < 9
+    store.vacuum(grace=0)
+    assert store.read().count() == 42
+
+
 # --- 6
 
 
