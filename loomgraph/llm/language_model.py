@@ -23,7 +23,6 @@ often as they come; other columns are not read.
 
 from __future__ import annotations
 
-import uuid
 import zlib
 
 import numpy as np
@@ -226,12 +225,8 @@ def learn_weights(histogram: list[tuple[int, float, float, float]], rounds: int
 def interpolated_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of docs."""
     blocks.bound_batches(docs.sparkSession)
-    spark = docs.sparkSession
-    deal = blocks.parts_of(spark)
-    # stored in buckets by block, so that later joins move the counts and not the blocks
-    table, path = f"loomgraph_blocks_{uuid.uuid4().hex}", blocks.shared_path(spark, "token-blocks")
-    token_blocks(docs, id_col, text_col, block_bytes).write.bucketBy(max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))), "block").option("path", path).saveAsTable(table)
-    stored = spark.table(table)
+    stored = blocks.bucketed(token_blocks(docs, id_col, text_col, block_bytes), "block", "token-blocks")  # so that later joins move the counts and not the blocks
+    deal = max(16, stored.count() // 2)  # each task adds up about two blocks' worth of entries
     counts, _ = blocks.stored(corpus_counts(stored, deal), "counts")
     totals = {r["kind"]: (r["v"], r["n"]) for r in counts.where("kind >= 2").groupBy("kind").agg(F.sum("distinct").alias("v"), F.sum("total").alias("n")).collect()}
     (v, n), (_, deleted) = totals.get(2, (0, 0)), totals.get(3, (0, 0))
