@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomgraph.functions.scores import log_share
+from loomgraph.sources.storage import checkpointed
 
 KEY = "sample_id"
 
@@ -58,8 +59,8 @@ def distances(links: DataFrame, sources: DataFrame, depth: int | None = None, by
     if by_source:
         start = start.withColumn("source", F.col("node"))
     names = [KEY, *ways, *(["source"] if by_source else []), "node"]
-    links, known = links.checkpoint(), []
-    latest = start.select(*names).distinct().checkpoint()
+    links, known = checkpointed(links), []
+    latest = checkpointed(start.select(*names).distinct())
     while not latest.isEmpty():
         known.append(latest.withColumn("distance", F.lit(len(known))))
         if len(known) - 1 == depth:
@@ -67,7 +68,7 @@ def distances(links: DataFrame, sources: DataFrame, depth: int | None = None, by
         ahead = latest.withColumnRenamed("node", "src").join(links, [KEY, *ways, "src"]).select(*[n for n in names if n != "node"], F.col("dst").alias("node")).distinct()
         for seen in known:
             ahead = ahead.join(seen, names, "left_anti")
-        latest = ahead.checkpoint()
+        latest = checkpointed(ahead)
     return reduce(DataFrame.unionByName, known) if known else latest.withColumn("distance", F.lit(0))
 
 
@@ -102,13 +103,14 @@ def _pairs(edges: DataFrame, topics: DataFrame, answers: DataFrame, depth: int |
     """
     links = both_ways(directed(edges))
     nodes = links.select(KEY, F.col("src").alias("node")).distinct()  # both ways: all nodes
-    far = distances(links, topics.select(KEY, "node").join(nodes, [KEY, "node"], "left_semi"), depth, by_source=True).checkpoint()
+    far = checkpointed(distances(links, topics.select(KEY, "node").join(nodes, [KEY, "node"], "left_semi"), depth, by_source=True))
     ends = far.join(answers.select(KEY, "node").distinct(), [KEY, "node"], "left_semi")
     best = F.min("distance").over(W.partitionBy(KEY, "source", "node"))
-    ends = ends.withColumn("best", best).where("distance = best").drop("best").checkpoint()
+    ends = checkpointed(ends.withColumn("best", best).where("distance = best").drop("best"))
     state = [KEY, "way", "source"]
     step = far.withColumnRenamed("node", "src").join(links, [KEY, "way", "src"])
-    step = step.join(far.select(*state, F.col("node").alias("dst"), (F.col("distance") - 1).alias("distance")), [*state, "dst", "distance"]).select(*state, "src", "dst").checkpoint()
+    step = step.join(far.select(*state, F.col("node").alias("dst"), (F.col("distance") - 1).alias("distance")), [*state, "dst", "distance"])
+    step = checkpointed(step.select(*state, "src", "dst"))
     # back from the answers along these steps; the state is part of the node, as steps of two searches differ
     at = lambda c: F.struct("way", "source", F.col(c).alias("node"))
     back = distances(step.select(KEY, at("dst").alias("src"), at("src").alias("dst")), ends.select(KEY, at("node").alias("node")))
@@ -224,6 +226,15 @@ def connectivity(pairs: list[tuple[str, str]]) -> float:
     return max(sizes.values()) / len(root)
 
 
+def encoded_triples(edges: DataFrame, entities: DataFrame) -> DataFrame:
+    """(sample_id, triple_id, h_id, r_id, t_id): ends by the sample's entities (node, entity_id), relations by their place in sorted order."""
+    relations = edges.select(KEY, "relation").distinct().withColumn("r_id", (F.row_number().over(W.partitionBy(KEY).orderBy("relation")) - 1).cast("int"))
+    out = edges.join(relations, [KEY, "relation"])
+    for end, name in (("head", "h_id"), ("tail", "t_id")):
+        out = out.join(entities.select(KEY, F.col("node").alias(end), F.col("entity_id").alias(name)), [KEY, end])
+    return out.select(KEY, "triple_id", "h_id", "r_id", "t_id")
+
+
 def reachable_answers(gold: DataFrame, topics: DataFrame, answers: DataFrame, retained: DataFrame, depth: int | None = None) -> DataFrame:
     """(sample_id, answer): answers in the undirected closure of the topic over gold triples.
 

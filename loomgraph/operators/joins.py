@@ -79,8 +79,8 @@ def map_paths(paths: DataFrame, candidates: DataFrame) -> DataFrame:
 
 
 def prepend_missing(targets: DataFrame, scored: DataFrame) -> DataFrame:
-    """scored (sample_id, triple, rank) with absent targets before it, in target order; place from 0."""
-    missing = targets.join(scored, [KEY, *TRIPLE], "left_anti").select(KEY, *TRIPLE, F.lit(0).alias("group"), F.col("place").alias("o"))
+    """scored (sample_id, triple, rank) with absent targets put before it one by one, so the last comes first; place from 0."""
+    missing = targets.join(scored, [KEY, *TRIPLE], "left_anti").select(KEY, *TRIPLE, F.lit(0).alias("group"), (-F.col("place")).alias("o"))
     both = missing.unionByName(scored.select(KEY, *TRIPLE, F.lit(1).alias("group"), F.col("rank").alias("o")))
     return both.select(KEY, *TRIPLE, (F.col("group") == 0).alias("added"), (F.row_number().over(W.partitionBy(KEY).orderBy("group", "o", *TRIPLE)) - 1).cast("int").alias("place"))
 
@@ -96,8 +96,13 @@ def attach_retrieval(samples: DataFrame, triples: DataFrame, mode: str = "strict
 
 
 def evidence(selected: DataFrame, candidates: DataFrame, default: float = 1.0) -> DataFrame:
-    """Selected triples, once each and in order, with the greatest score among equal candidates."""
-    best = candidates.groupBy(KEY, *TRIPLE).agg(F.max("score").alias("score"))
+    """Selected triples, once each and in order, with the greatest score among equal candidates.
+
+    A candidate without a score counts with its original_rank, without that
+    with its position, where there are such columns.
+    """
+    given = [F.col(c).cast("double") for c in ("score", "original_rank", "position") if c in candidates.columns]
+    best = candidates.groupBy(KEY, *TRIPLE).agg(F.max(F.coalesce(*given)).alias("score"))
     chosen = selected.groupBy(KEY, *TRIPLE).agg(F.min("place").alias("place"))
     return chosen.join(best, [KEY, *TRIPLE], "left").withColumn("score", F.coalesce("score", F.lit(default)))
 

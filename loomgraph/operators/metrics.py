@@ -276,6 +276,18 @@ def bad_samples(samples: DataFrame, rule: str, min_rollouts: int = 1, max_mean_f
     return out.withColumn("place", F.struct(F.col("mean_f1"), -F.col("n_rollouts"), F.col(KEY)))
 
 
+def drop_reason(retrieval: Column, union_reason: Column, question: Column, triples: Column, answers: Column) -> Column:
+    """Why a sample is dropped, by the first that holds; null if it is kept.
+
+    retrieval: whether there is a result; union_reason: why gold paths can't be
+    put among the candidates (null if they can); triples: their number.
+    """
+    return (
+        F.when(~F.coalesce(retrieval, F.lit(False)), "missing_kgqa_retrieval").when(union_reason.isNotNull(), F.coalesce(F.nullif(union_reason, F.lit("")), F.lit("invalid_gold_union")))
+        .when(text.safe_text(question) == "", "missing_question").when(F.coalesce(triples, F.lit(0)) == 0, "missing_triples").when(F.size(text.ensure_list(answers)) == 0, "missing_answers")
+    )
+
+
 def reason_counts(rows: DataFrame, reason: str = "reason") -> DataFrame:
     return rows.groupBy(reason).agg(F.count(F.lit(1)).alias("n"))
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions import text
+from loomgraph.sources.storage import checkpointed
 from loomgraph.operators import ranking
 
 KEY = "sample_id"
@@ -148,7 +149,7 @@ def generate_twice(rows: DataFrame, prompt: str, generator: Generator, second: s
     a generator may be paid by the call, or answer differently the next time.
     """
     unique = rows.select(prompt).distinct()
-    first = generate(unique, prompt, generator, out).checkpoint()
+    first = checkpointed(generate(unique, prompt, generator, out))
     again = text.no_answer(F.col(out))
     kept = first.where(~again)
     redo = generate(first.where(again).select(prompt, F.concat_ws("\n\n", prompt, out, F.lit(second)).alias("_second")), "_second", generator, out)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomgraph.functions import scores, text
@@ -33,19 +34,20 @@ def _(v: Views) -> DataFrame:
     return v.table("documents").select("doc_id", F.md5(text.normalize(F.col("text"))).alias("normal"))
 
 
-@query("h2_h4_lines", "H2 H4 H3", "SELECT id, count(DISTINCT line)::BIGINT AS n_lines, false AS none FROM qa_pred GROUP BY 1")
+@query("h2_h4_lines", "H2 H4 H3", "SELECT id, CASE WHEN id % 4 = 3 THEN 0 ELSE count(DISTINCT line) END::BIGINT AS n_lines, id % 4 IN (1, 3) AS none, id % 3 <> 1 AS double_check FROM qa_pred GROUP BY 1")
 def _(v: Views) -> DataFrame:
-    p = v.view("qa_pred").groupBy("id").agg(F.concat(F.array_join(F.collect_list("line"), "\n"), F.lit("\nANS: X\nans: None\nans: not available")).alias("p"))
-    plain = F.regexp_replace("p", "\nans: not available", "")
-    return p.select("id", F.size(text.answer_lines(F.col("p"))).cast("long").alias("n_lines"), text.no_answer(plain).alias("none"))
+    said = F.array_join(F.collect_list("line"), "\n")
+    i = F.col("id")
+    p = v.view("qa_pred").groupBy("id").agg(said.alias("said")).withColumn("p", F.when(i % 4 == 3, "I do not know").otherwise(F.concat("said", F.when(i % 4 == 1, "\nAns: Not available").when(i % 4 == 2, "\nANS: X\nans: None").otherwise(""))))
+    asked = F.when(i % 3 == 0, "WHEN was it ordered").when(i % 3 == 1, "who ordered it").otherwise("In which Year was it")
+    return p.select("id", F.size(text.answer_lines(F.col("p"))).cast("long").alias("n_lines"), text.no_answer(F.col("p")).alias("none"), text.needs_double_check(asked).alias("double_check"))
 
 
-@query("h5_years", "H5 G1 G2", "SELECT o_orderkey AS id, strftime(o_orderdate, '%Y') AS year, strftime(o_orderdate, '%Y-%m-%d') AS kept FROM orders")
+@query("h5_years", "H5 G1 G2", "WITH x AS (SELECT o_orderkey AS id, unnest([o_orderpriority, strftime(o_orderdate, '%Y-%m-%d'), o_orderstatus]) AS x, unnest([1, 2, 3]) AS i FROM orders) SELECT id, string_agg(CASE WHEN regexp_matches(x, '^[0-9]+-') THEN split_part(x, '-', 1) ELSE x END, ';' ORDER BY length(x) DESC, i) AS years, string_agg(x, ';' ORDER BY length(x) DESC, i) AS kept FROM x GROUP BY 1")
 def _(v: Views) -> DataFrame:
-    day = F.date_format("o_orderdate", "yyyy-MM-dd")
-    asked = text.order_answers(F.array(day, day), F.lit("When was it ordered?"))
-    other = text.order_answers(F.array(day, day), F.lit("who ordered it"))
-    return v.table("orders").select(F.col("o_orderkey").alias("id"), F.get(asked, F.lit(0)).alias("year"), F.get(other, F.lit(0)).alias("kept"))
+    given = F.array("o_orderpriority", F.date_format("o_orderdate", "yyyy-MM-dd"), "o_orderpriority", "o_orderstatus")
+    asked, other = (text.order_answers(given, F.lit(q)) for q in ("When was it ordered?", "who ordered it"))
+    return v.table("orders").select(F.col("o_orderkey").alias("id"), F.array_join(asked, ";").alias("years"), F.array_join(other, ";").alias("kept"))
 
 
 @query("h6_paths", "H6", "SELECT sample_id, path, max(CASE WHEN place = 0 THEN head END) AS first, max(CASE WHEN place = 1 THEN tail END) AS last, count(*) AS n FROM gold_path GROUP BY 1, 2 HAVING count(*) = 2")
@@ -80,13 +82,14 @@ def _(v: Views) -> DataFrame:
     return v.scored.select(KEY, "triple_id", F.round(scores.fuse(F.col("score"), second, 0.4, 0.6), 6).alias("fused"), F.round(scores.fuse_logits(F.col("logit"), second, 0.5), 6).alias("summed"))
 
 
-@query("h17_facets", "H17 E7 E8", "WITH e AS (SELECT sample_id, head AS n FROM gold_path UNION SELECT sample_id, tail FROM gold_path) SELECT a.sample_id, count(*) AS n_answers, count(e.n) AS n_hits, CASE WHEN count(e.n) > 0 THEN CASE WHEN count(*) = count(e.n) THEN 'f1,f2' ELSE 'f1' END ELSE '' END AS facets FROM kg_answer a LEFT JOIN e ON e.sample_id = a.sample_id AND e.n = a.answer WHERE EXISTS (SELECT 1 FROM e x WHERE x.sample_id = a.sample_id) GROUP BY 1 HAVING count(e.n) > 0")
+@query("h17_facets", "H17 E7 E8", "WITH e AS (SELECT sample_id, head AS n FROM gold_path WHERE sample_id % 4 <> 0 OR place = 1 UNION SELECT sample_id, tail FROM gold_path WHERE sample_id % 4 <> 0 OR place = 1) SELECT a.sample_id, count(*) AS n_answers, count(e.n) AS n_hits, round(count(e.n) / count(*), 6)::DOUBLE AS support, concat_ws(',', CASE WHEN a.sample_id % 4 <> 0 THEN 'f1' END, CASE WHEN count(*) = count(e.n) THEN 'f2' END) AS facets FROM kg_answer a LEFT JOIN e ON e.sample_id = a.sample_id AND e.n = a.answer WHERE EXISTS (SELECT 1 FROM e x WHERE x.sample_id = a.sample_id) GROUP BY 1")
 def _(v: Views) -> DataFrame:
-    e = v.view("gold_path").groupBy(KEY).agg(F.array_distinct(F.flatten(F.collect_list(F.array("head", "tail")))).alias("e"))
+    # a quarter of the samples selects nothing at its topic
+    e = v.view("gold_path").where("sample_id % 4 != 0 or place = 1").groupBy(KEY).agg(F.array_distinct(F.flatten(F.collect_list(F.array("head", "tail")))).alias("e"))
     rows = v.answers.groupBy(KEY).agg(F.sort_array(F.collect_list("answer")).alias("a")).join(e, KEY).join(v.topics, KEY)
     hits = metrics.answer_hits(F.col("e"), F.col("a"))
     facets = episodes.covered_facets(F.col("e"), F.col("node"), F.col("a"), F.array(F.lit("f1"), F.lit("f2")))
-    return rows.select(KEY, F.size("a").cast("long").alias("n_answers"), F.size(hits).cast("long").alias("n_hits"), F.array_join(facets, ",").alias("facets")).where("n_hits > 0")
+    return rows.select(KEY, F.size("a").cast("long").alias("n_answers"), F.size(hits).cast("long").alias("n_hits"), F.round(metrics.support_recall(F.col("e"), F.col("a")), 6).alias("support"), F.array_join(facets, ",").alias("facets"))
 
 
 @query("h19_cache_keys", "H19 A19", "SELECT c_custkey AS id, sha256('{\"c_custkey\":' || CAST(c_custkey AS VARCHAR) || ',\"c_name\":\"' || c_name || '\"}') AS key FROM customer")
@@ -143,10 +146,10 @@ def _(v: Views) -> DataFrame:
     return metrics.score_predictions(v.predictions).select("id", "matched", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
 
 
-@query("e11_report", "E11 B11", f"WITH {_MATCHED} SELECT count(*) AS n, round(100 * avg(matched / np), 5)::DOUBLE AS macro_precision, round(100 * avg(matched / ng), 5)::DOUBLE AS macro_recall, round(sum(matched) / sum(np), 6)::DOUBLE AS micro_precision, round(sum(matched) / sum(ng), 6)::DOUBLE AS micro_recall FROM s")
+@query("e11_report", "E11 B11", f"WITH {_MATCHED} SELECT count(*) AS n, round(100 * avg(matched / np), 5)::DOUBLE AS macro_precision, round(100 * avg(matched / ng), 5)::DOUBLE AS macro_recall, round(sum(matched) / sum(np), 6)::DOUBLE AS micro_precision, round(sum(matched) / sum(ng), 6)::DOUBLE AS micro_recall FROM s WHERE id % 4 >= 2 AND id % 5 <> 0")
 def _(v: Views) -> DataFrame:
-    rows = v.predictions.withColumn("a_entity_in_graph", F.array(F.lit("x"))).withColumn("max_path_length", F.lit(2))
-    out = metrics.report(metrics.score_predictions(metrics.select_samples(rows, hops=2, subset=True)))
+    rows = v.predictions.withColumn("a_entity_in_graph", F.when(F.col("id") % 5 != 0, F.array(F.lit("x"))).otherwise(F.array().cast("array<string>"))).withColumn("max_path_length", F.col("id") % 4 + 1)
+    out = metrics.report(metrics.score_predictions(metrics.select_samples(rows, hops=3, subset=True)))
     return out.select("n", F.round("macro_precision", 5).alias("macro_precision"), F.round("macro_recall", 5).alias("macro_recall"), F.round("micro_precision", 6).alias("micro_precision"), F.round("micro_recall", 6).alias("micro_recall"))
 
 
@@ -162,11 +165,11 @@ def _(v: Views) -> DataFrame:
     return v.predictions.select("id", metrics.legacy_hit(p, a, dc).alias("hit"), F.round(precision, 6).alias("precision"), F.round(metrics.legacy_accuracy(p, a), 6).alias("accuracy"))
 
 
-@query("e14_hallucination", "E14 C18", f"WITH {_MATCHED}, c AS (SELECT s.id, count(DISTINCT j.line) AS ok, max(np) AS np FROM s LEFT JOIN j USING (id) GROUP BY 1) SELECT id, CAST(ok AS INT) AS g_c, CAST(np - ok AS INT) AS g_w, round((ok - (np - ok)) / np, 6)::DOUBLE AS score FROM c")
+@query("e14_hallucination", "E14 C18", f"WITH {_MATCHED}, g AS (SELECT id, min(answer) AS a FROM qa_gold GROUP BY 1), l AS (SELECT p.id, p.line, p.id % 3 <> 0 AS good, EXISTS (SELECT 1 FROM j WHERE j.id = p.id AND j.line = p.line) AS hit, contains(lower(p.line), lower(g.a)) OR contains(lower(g.a), trim(split_part(lower(p.line), 'ans:', 2))) AS inside FROM p JOIN g USING (id)), c AS (SELECT id, any_value(good) AS good, count(*) AS n, count(*) FILTER (good AND hit) AS g_c, count(*) FILTER (good AND NOT hit) AS g_w, count(*) FILTER (NOT good AND inside) AS b_in, count(*) FILTER (NOT good AND NOT inside AND hit) AS b_c, count(*) FILTER (NOT good AND NOT inside AND NOT hit) AS b_w FROM l GROUP BY 1) SELECT id, CAST(g_c AS INT) AS g_c, CAST(g_w AS INT) AS g_w, CAST(b_in AS INT) AS b_in_graph, CAST(b_c AS INT) AS b_out_graph_c, CAST(b_w AS INT) AS b_out_graph_w, round(CASE WHEN good THEN g_c - g_w ELSE -1.0 * b_in - 1.5 * (b_c + b_w) END / n, 6)::DOUBLE AS score FROM c")
 def _(v: Views) -> DataFrame:
     rows = metrics.score_predictions(v.predictions)
-    h = metrics.hallucination(F.col("lines"), F.col("answers"), F.col("double_check"), F.lit(True), F.col("no_answer"), F.array(F.lit("zzz")))
-    return rows.withColumn("h", h).select("id", "h.g_c", "h.g_w", F.round("h.score", 6).alias("score"))
+    h = metrics.hallucination(F.col("lines"), F.col("answers"), F.col("double_check"), F.col("id") % 3 != 0, F.col("no_answer"), F.array(F.array_min("ground_truth")))
+    return rows.withColumn("h", h).select("id", "h.g_c", "h.g_w", "h.b_in_graph", "h.b_out_graph_c", "h.b_out_graph_w", F.round("h.score", 6).alias("score"))
 
 
 _LOG = "lg AS (SELECT CAST(user_id AS VARCHAR) AS sample_id, CASE WHEN event_type = 'purchase' THEN 1.0 WHEN event_type = 'error' THEN 0.0 ELSE 0.25 END AS f1 FROM events), ag AS (SELECT sample_id, count(*) AS n_rollouts, avg(f1) AS mean_f1, avg(CASE WHEN f1 <= 0 THEN 1.0 ELSE 0.0 END) AS zero_frac FROM lg GROUP BY 1)"
@@ -313,31 +316,49 @@ def _(v: Views) -> DataFrame:
     return episodes.replay_summaries(v.view("episode_turn"), truths(v))
 
 
-@query("s5_final_reward", "S5", "SELECT l_orderkey AS id, l_linenumber AS n, round(CASE WHEN l_returnflag = 'R' THEN 0 ELSE 0.8 * l_discount + 0.05 * l_tax END + 0.05 * 0.5 + 0.05 * -0.3 + 0.05 * (l_quantity / 50), 6)::DOUBLE AS score FROM lineitem")
+@query("s5_final_reward", "S5", "SELECT l_orderkey AS id, l_linenumber AS n, round(CASE WHEN l_returnflag = 'R' THEN 0 ELSE 0.8 * l_discount + 0.05 * l_tax END + 0.05 * (l_partkey % 11) / 10 + 0.05 * ((l_suppkey % 5) / 2 - 1) + 0.05 * (l_quantity / 50), 6)::DOUBLE + 0.0 AS score FROM lineitem")
 def _(v: Views) -> DataFrame:
-    score = episodes.final_reward(F.col("l_discount"), F.lit(0.5), F.lit(-0.3), F.col("l_quantity") / 50, F.col("l_tax"), F.col("l_returnflag") != "R")
+    score = episodes.final_reward(F.col("l_discount"), F.col("l_partkey") % 11 / 10, F.col("l_suppkey") % 5 / 2 - 1, F.col("l_quantity") / 50, F.col("l_tax"), F.col("l_returnflag") != "R")
     return v.table("lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("n"), F.round(score, 6).alias("score"))
 
 
-@query("h12_transmission", "H12", "SELECT l_orderkey AS id, l_linenumber AS n, CASE WHEN l_linenumber > 2 AND l_quantity < 10 THEN 'accepted_but_replay_empty' WHEN l_linenumber > 2 AND l_tax = 0 THEN 'accepted_but_remote_empty' WHEN l_linenumber <= 2 AND l_quantity < 10 THEN CASE WHEN l_discount > 0.05 THEN 'parsed_not_accepted' ELSE 'no_selection' END ELSE 'ok' END AS diagnosis FROM lineitem")
+@query("h12_transmission", "H12", "WITH x AS (SELECT l_orderkey AS id, l_linenumber AS n, l_linenumber > 2 AS taken, l_partkey % 3 = 0 AS told, l_discount > 0.05 AS parsed, l_quantity >= 10 AS played, l_tax <> 0 AS sent FROM lineitem) SELECT id, n, CASE WHEN taken AND NOT played THEN 'accepted_but_replay_empty' WHEN taken AND NOT sent THEN 'accepted_but_remote_empty' WHEN NOT taken AND NOT played THEN CASE WHEN parsed OR told THEN 'parsed_not_accepted' ELSE 'no_selection' END ELSE 'ok' END AS diagnosis FROM x")
 def _(v: Views) -> DataFrame:
-    d = episodes.transmission((F.col("l_linenumber") > 2).cast("int"), F.lit(0), (F.col("l_discount") > 0.05).cast("int"), (F.col("l_quantity") >= 10).cast("int"), (F.col("l_tax") != 0).cast("int"))
+    d = episodes.transmission((F.col("l_linenumber") > 2).cast("int"), (F.col("l_partkey") % 3 == 0).cast("int"), (F.col("l_discount") > 0.05).cast("int"), (F.col("l_quantity") >= 10).cast("int"), (F.col("l_tax") != 0).cast("int"))
     return v.table("lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("n"), d.alias("diagnosis"))
 
 
-@query("h8_h11_actions", "H8 H9 H10 H11", None)
+_SAID = "row_number() OVER (PARTITION BY episode_id ORDER BY turn) % 6"
+
+
+@query("h8_h11_actions", "H8 H9 H10 H11", f"WITH x AS (SELECT episode_id, turn, kind, triple_id, {_SAID} AS form FROM episode_turn), y AS (SELECT *, CASE WHEN kind = 'INVALID' THEN 0 WHEN kind = 'STOP' THEN 1 WHEN form = 5 THEN 0 ELSE 1 END AS acts FROM x) SELECT episode_id, sum(acts)::BIGINT AS n_actions, count(*) FILTER (kind = 'STOP') AS n_stops, sum(CASE WHEN kind = 'ADD_TRIPLE' AND acts = 1 THEN triple_id ELSE 0 END)::BIGINT AS ids, count(*) FILTER (kind = 'STOP' OR kind = 'ADD_TRIPLE' AND form IN (0, 1)) AS strict, count(*) FILTER (kind = 'ADD_TRIPLE' AND form = 3) AS tokens, max(turn) AS history, (list(CASE WHEN kind = 'INVALID' THEN NULL WHEN kind = 'STOP' THEN 'STOP' WHEN triple_id <= 50 THEN CAST(triple_id AS VARCHAR) WHEN form IN (0, 4) THEN 'STOP' END ORDER BY turn))[-1] AS agent FROM y GROUP BY 1")
 def _(v: Views) -> DataFrame:
+    """A dialogue an episode, its actions in six forms: strict objects, one with another key, a token, one after a thought, an object that is no action."""
+    import json
+
     import pyarrow as pa
 
-    from loomgraph.functions.actions import action_trace
+    from loomgraph.functions import actions
 
-    turn = F.when(F.col("kind") == "STOP", F.to_json(F.struct(F.lit("STOP").alias("action")))).when(F.col("kind") == "INVALID", F.lit("no idea")).otherwise(F.to_json(F.struct(F.lit("ADD_TRIPLE").alias("action"), "triple_id")))
-    lines = F.transform(F.sort_array(F.collect_list(F.struct("turn", turn.alias("x")))), lambda s: F.concat(F.lit("assistant\n"), s["x"]))
-    rows = v.view("episode_turn").groupBy("episode_id").agg(F.array_join(lines, "\n").alias("solution"))
+    form = F.row_number().over(W.partitionBy("episode_id").orderBy("turn")) % 6
+    rows = v.view("episode_turn").withColumn("form", form).groupBy("episode_id").agg(F.sort_array(F.collect_list(F.struct("turn", "kind", "triple_id", "form"))).alias("t"))
+
+    def said(t: dict) -> str:
+        n = t["triple_id"]
+        if t["kind"] != "ADD_TRIPLE":
+            return json.dumps({"action": "STOP"}) if t["kind"] == "STOP" else "no idea"
+        forms = ({"action": "ADD_TRIPLE", "triple_id": n}, {"triple_id": str(n)}, {"triple_id": float(n), "why": 1}, None, None, {"other": n})
+        return {3: f"I take {n} now", 4: f'<think>{{"action": 3}} STOP</think> so: {json.dumps({"action": "ADD_TRIPLE", "triple_id": n})}'}.get(t["form"]) or json.dumps(forms[t["form"]])
 
     def run(batches):
+        known = {k: (f"h{k}", "r", f"t{k}") for k in range(1, 51)}
         for batch in batches:
-            traces = [action_trace(s)[0] for s in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in traces], pa.int64()), pa.array([sum(p.action == "STOP" for p in t) for t in traces], pa.int64())], ["episode_id", "n_actions", "n_stops"])
-
-    return rows.mapInArrow(run, "episode_id long, n_actions long, n_stops long")
+            out = []
+            for episode, turns in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                text = "\n".join(f"Assistant \n{said(t)}\nuser\nnext 7" for t in turns) + "".join(f'\ntool\n{{"accepted_action_history": [{t["turn"]}]}}' for t in turns)
+                trace, _ = actions.action_trace(actions.solution_text(text, "assistant"), 1 << 30)
+                chosen = actions.agent_action(said(turns[-1]), known) if turns[-1]["form"] not in (1, 2, 5) or turns[-1]["kind"] != "ADD_TRIPLE" else actions.agent_action(f"[{turns[-1]['triple_id']}] (h, r, t)", known)
+                out.append((episode, len(trace), sum(p.action == "STOP" for p in trace), sum(p.action for p in trace if p.action != "STOP"), sum("fallback" not in p.source for p in trace), sum(p.source == actions.TOKEN for p in trace), actions.accepted_history(text)[0], None if chosen is None else str(chosen)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), [pa.int64()] * 7 + [pa.string()], strict=True)], ["episode_id", "n_actions", "n_stops", "ids", "strict", "tokens", "history", "agent"])
+
+    return rows.mapInArrow(run, "episode_id long, n_actions long, n_stops long, ids long, strict long, tokens long, history long, agent string")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions import scores
 from loomgraph.operators import graph, joins, metrics, ranking
 from loomgraph.plans.registry import query
-from loomgraph.plans.retrieval import _BOTH, _DISTINCT, _SCORED, KEY, TRIPLE, _walk, soft_rows
+from loomgraph.plans.retrieval import _BOTH, _DISTINCT, _FIRST, _SCORED, KEY, TRIPLE, _walk, soft_rows
 from loomgraph.sources.views import Views
 
 
@@ -54,6 +54,21 @@ def trajectories(edges: DataFrame, paths: DataFrame, answers: DataFrame, topics:
     return kept.select(KEY, "reason").distinct().join(ids, KEY).join(reached, KEY, "left")
 
 
+def path_trajectories(edges: DataFrame, paths: DataFrame, k: int = 100, budget: int = 100) -> DataFrame:
+    """(trajectory_id, sample_id, path, gold_path_indices): one trajectory for each path within the budget whose triples are all among the candidates."""
+    kept = paths.join(ranking.prefix_budget(paths, budget).select(KEY, "path"), [KEY, "path"], "left_semi")
+    filled = ranking.inject_gold(ranking.first_distinct(edges, k), kept.select(KEY, *TRIPLE).distinct()).where("ok")
+    rows = joins.map_paths(kept, filled).where("indices is not null")
+    return rows.select(F.concat(F.col(KEY).cast("string"), F.lit(":path"), F.col("path").cast("string")).alias("trajectory_id"), KEY, "path", F.col("indices").alias("gold_path_indices"))
+
+
+@query("g9_path_trajectories", "G9", f"""WITH {_FIRST}, u AS (SELECT sample_id, count(DISTINCT head || '|' || tail) AS total FROM gold_path GROUP BY 1), f AS (SELECT sample_id, head, relation, tail, min(path) AS path FROM gold_path GROUP BY 1, 2, 3, 4), s AS (SELECT p.sample_id, p.path, count(f.head) AS new FROM (SELECT DISTINCT sample_id, path FROM gold_path) p LEFT JOIN f USING (sample_id, path) GROUP BY 1, 2), r AS (SELECT *, sum(new) OVER (PARTITION BY sample_id ORDER BY path) AS cum FROM s), w AS (SELECT sample_id, path FROM r JOIN u USING (sample_id) WHERE total <= 12 OR cum <= 12)
+SELECT w.sample_id::VARCHAR || ':path' || w.path::VARCHAR AS trajectory_id, string_agg(c.idx::VARCHAR, ',' ORDER BY p.place) AS indices FROM w JOIN gold_path p USING (sample_id, path) JOIN cand c ON c.sample_id = p.sample_id AND c.head = p.head AND c.relation = p.relation AND c.tail = p.tail GROUP BY 1""")
+def _(v: Views) -> DataFrame:
+    out = path_trajectories(v.edges, v.view("gold_path"), 1 << 30, 12)
+    return out.select("trajectory_id", F.array_join(F.transform("gold_path_indices", lambda i: i.cast("string")), ",").alias("indices"))
+
+
 @query("flagship_answer_recall", "E2 M11", f"WITH {_DISTINCT}, k AS (SELECT unnest([50, 100, 200, 400]) AS k), e AS (SELECT sample_id, n, min(rank) AS rank FROM (SELECT sample_id, head AS n, rank FROM top WHERE rank < 500 UNION ALL SELECT sample_id, tail, rank FROM top WHERE rank < 500) GROUP BY 1, 2), a AS (SELECT k.k, a.sample_id, avg(CASE WHEN e.rank < k.k THEN 1.0 ELSE 0.0 END) AS r FROM kg_answer a CROSS JOIN k LEFT JOIN e ON e.sample_id = a.sample_id AND e.n = a.answer GROUP BY 1, 2) SELECT CAST(k AS INT) AS k, round(avg(r), 6)::DOUBLE AS ans_recall FROM a GROUP BY 1")
 def flagship(v: Views) -> DataFrame:
     found = retrieve(v.scored, v.topics)

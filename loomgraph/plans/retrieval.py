@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomgraph.functions import scores, text
-from loomgraph.operators import graph, joins, ranking
+from loomgraph.operators import graph, joins, metrics, ranking
 from loomgraph.plans.registry import query
 from loomgraph.sources import readers
 from loomgraph.sources.views import Views
@@ -77,6 +77,12 @@ def _(v: Views) -> DataFrame:
     return nodes.withColumn("entity_id", (F.row_number().over(W.partitionBy(KEY).orderBy("opaque", "node")) - 1).cast("int"))
 
 
+@query("b1_triples", "B1", "WITH n AS (SELECT DISTINCT sample_id, node FROM (SELECT sample_id, head AS node FROM kg_edge UNION ALL SELECT sample_id, tail FROM kg_edge)), e AS (SELECT sample_id, node, CAST(row_number() OVER (PARTITION BY sample_id ORDER BY CASE WHEN starts_with(node, 'P') THEN 1 ELSE 0 END, node) - 1 AS INT) AS id FROM n), r AS (SELECT sample_id, relation, CAST(row_number() OVER (PARTITION BY sample_id ORDER BY relation) - 1 AS INT) AS id FROM (SELECT DISTINCT sample_id, relation FROM kg_edge)) SELECT k.sample_id, k.triple_id, h.id AS h_id, r.id AS r_id, t.id AS t_id FROM kg_edge k JOIN e h ON h.sample_id = k.sample_id AND h.node = k.head JOIN e t ON t.sample_id = k.sample_id AND t.node = k.tail JOIN r ON r.sample_id = k.sample_id AND r.relation = k.relation")
+def _(v: Views) -> DataFrame:
+    nodes = v.edges.select(KEY, F.explode(F.array("head", "tail")).alias("node")).distinct().withColumn("opaque", F.startswith("node", F.lit("P")))
+    return graph.encoded_triples(v.edges, nodes.withColumn("entity_id", (F.row_number().over(W.partitionBy(KEY).orderBy("opaque", "node")) - 1).cast("int")))
+
+
 @query("b2_presence", "B2 B3 B15", "SELECT DISTINCT t.sample_id, a.sample_id IS NOT NULL AS answerable FROM topic t LEFT JOIN (SELECT DISTINCT a.sample_id FROM kg_answer a JOIN kg_edge e ON e.sample_id = a.sample_id AND (e.head = a.answer OR e.tail = a.answer)) a USING (sample_id)")
 def _(v: Views) -> DataFrame:
     touched = joins.touches_answer(v.edges, v.answers).where("touch = 1").select(KEY).distinct().withColumn("answerable", F.lit(True))
@@ -126,11 +132,28 @@ def _(v: Views) -> DataFrame:
     return ranking.limit_in_order(v.answers.select(KEY).distinct(), limits["train"], KEY)
 
 
-@query("b16_drop_reasons", "B16 E18", "SELECT reason, count(*) AS n FROM (SELECT CASE WHEN NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_suppkey = t.sample_id AND l_quantity = 50) THEN 'missing_retrieval' WHEN NOT EXISTS (SELECT 1 FROM kg_answer a WHERE a.sample_id = t.sample_id) THEN 'missing_answers' ELSE 'kept' END AS reason FROM topic t) GROUP BY 1")
+@query("b16_drop_reasons", "B16 E18", "WITH s AS (SELECT t.sample_id, EXISTS (SELECT 1 FROM lineitem l WHERE l.l_suppkey = t.sample_id AND l_quantity = 50) AS found, CASE WHEN t.sample_id % 11 = 5 THEN 'not_enough_slots' WHEN t.sample_id % 11 = 6 THEN '' END AS why, CASE WHEN t.sample_id % 10 = 3 THEN ' ' ELSE t.node END AS question, (SELECT count(*) FROM kg_edge e WHERE e.sample_id = t.sample_id AND e.relation = 'supplier.part' AND t.sample_id % 7 <> 2) AS triples, (SELECT count(*) FROM kg_answer a WHERE a.sample_id = t.sample_id AND t.sample_id % 13 <> 1) AS answers FROM topic t) SELECT CASE WHEN NOT found THEN 'missing_kgqa_retrieval' WHEN why <> '' THEN why WHEN why = '' THEN 'invalid_gold_union' WHEN trim(question) = '' THEN 'missing_question' WHEN triples = 0 THEN 'missing_triples' WHEN answers = 0 THEN 'missing_answers' ELSE 'kept' END AS reason, count(*) AS n FROM s GROUP BY 1")
+def _(v: Views) -> DataFrame:
+    has = v.table("lineitem").where("l_quantity = 50").select(F.col("l_suppkey").alias(KEY)).distinct().withColumn("found", F.lit(True))
+    n = v.edges.where("relation = 'supplier.part'").groupBy(KEY).agg(F.count(F.lit(1)).alias("n"))
+    lists = v.answers.groupBy(KEY).agg(F.collect_list("answer").alias("a"))
+    key = F.col(KEY)
+    why = F.when(key % 11 == 5, "not_enough_slots").when(key % 11 == 6, "")
+    rows = v.topics.join(has, KEY, "left").join(n, KEY, "left").join(lists, KEY, "left")
+    reason = metrics.drop_reason(F.col("found"), why, F.when(key % 10 == 3, " ").otherwise(F.col("node")), F.when(key % 7 != 2, F.col("n")), F.when(key % 13 != 1, F.col("a")))
+    return metrics.reason_counts(rows.select(F.coalesce(reason, F.lit("kept")).alias("reason")))
+
+
+@query("a18_export", "A18", "WITH g AS (SELECT CAST(c_custkey AS VARCHAR) AS key, CASE WHEN c_custkey % 3 = 0 THEN CAST(c_custkey + 1 AS VARCHAR) WHEN c_custkey % 3 = 1 THEN NULL ELSE CAST(c_custkey AS VARCHAR) END AS id, CASE WHEN c_custkey % 5 = 0 THEN '' ELSE c_name END AS question, c_mktsegment AS topic FROM customer WHERE c_custkey % 4 <> 1), o AS (SELECT CAST(c_custkey AS VARCHAR) AS id, c_mktsegment AS question, c_custkey % 6 = 0 AS named, c_custkey % 4 AS n FROM customer WHERE c_custkey % 7 <> 3), i AS (SELECT coalesce(id, key) AS id, arg_min(question, key) AS question, arg_min(topic, key) AS topic FROM g GROUP BY 1) SELECT a.id, coalesce(nullif(CASE WHEN g.key IS NOT NULL THEN g.question ELSE i.question END, ''), o.question) AS question, CASE WHEN o.named THEN 'own' ELSE CASE WHEN g.key IS NOT NULL THEN g.topic ELSE i.topic END END AS q_entity, CAST(coalesce(nullif(o.n, 0), 1) AS INT) AS max_path_length FROM (SELECT CAST(c_custkey AS VARCHAR) AS id FROM customer WHERE c_custkey % 2 = 1) a LEFT JOIN g ON g.key = a.id LEFT JOIN i ON i.id = a.id LEFT JOIN o ON o.id = a.id WHERE g.key IS NOT NULL OR i.id IS NOT NULL")
 def _(v: Views) -> DataFrame:
-    has = v.table("lineitem").where("l_quantity = 50").select(F.col("l_suppkey").alias(KEY)).distinct().withColumn("r", F.lit(1))
-    rows = v.topics.join(has, KEY, "left").join(v.answers.select(KEY).distinct().withColumn("a", F.lit(1)), KEY, "left")
-    return rows.select(F.when(F.col("r").isNull(), "missing_retrieval").when(F.col("a").isNull(), "missing_answers").otherwise("kept").alias("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+    c, k = v.table("customer"), F.col("c_custkey")
+    text_of = lambda x: x.cast("string")
+    inner = F.when(k % 3 == 0, text_of(k + 1)).when(k % 3 == 2, text_of(k))
+    subgraphs = c.where(k % 4 != 1).select(text_of(k).alias("key"), inner.alias("id"), F.when(k % 5 == 0, "").otherwise(F.col("c_name")).alias("question"), F.array("c_mktsegment").alias("topic_entities"), F.array(F.lit("x")).alias("answer_entities"))
+    none = F.array().cast("array<string>")
+    original = c.where(k % 7 != 3).select(text_of(k).alias("sample_id"), F.col("c_mktsegment").alias("question"), F.when(k % 6 == 0, F.array(F.lit("own"))).otherwise(none).alias("q_entity"), none.alias("a_entity"), (k % 4).cast("int").alias("max_path_length"))
+    out = readers.exported_results(c.where(k % 2 == 1).select(text_of(k).alias("id")), original, subgraphs)
+    return out.select("id", "question", F.get("q_entity", F.lit(0)).alias("q_entity"), "max_path_length")
 
 
 # --- joins
@@ -189,11 +212,10 @@ def _(v: Views) -> DataFrame:
     return out.select(KEY, "path", F.array_join(F.transform("indices", lambda i: i.cast("string")), ",").alias("indices"))
 
 
-@query("c7_prepend", "C7", f"WITH {_DISTINCT}, t AS (SELECT * FROM top WHERE rank < 100), m AS (SELECT DISTINCT g.sample_id, g.head, g.relation, g.tail, g.tail AS o FROM gold_label g WHERE label = 'direct_support' AND NOT EXISTS (SELECT 1 FROM t WHERE t.sample_id = g.sample_id AND t.head = g.head AND t.relation = g.relation AND t.tail = g.tail)) SELECT sample_id, sum(CASE WHEN g = 0 THEN 1 ELSE 0 END)::BIGINT AS added, count(*) AS n FROM (SELECT sample_id, 0 AS g FROM m UNION ALL SELECT sample_id, 1 FROM t) GROUP BY 1")
+@query("c7_prepend", "C7", f"WITH {_DISTINCT}, t AS (SELECT * FROM top WHERE rank < 100), g AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY tail) AS place FROM (SELECT DISTINCT sample_id, head, relation, tail FROM gold_label WHERE label = 'direct_support')), u AS (SELECT sample_id, head, relation, tail, 0 AS grp, -place AS o FROM g ANTI JOIN t USING (sample_id, head, relation, tail) UNION ALL SELECT sample_id, head, relation, tail, 1, rank FROM t) SELECT sample_id, head, relation, tail, grp = 0 AS added, CAST(row_number() OVER (PARTITION BY sample_id ORDER BY grp, o) - 1 AS INT) AS place FROM u")
 def _(v: Views) -> DataFrame:
     targets = v.view("gold_label").where("label = 'direct_support'").select(KEY, *TRIPLE).distinct().withColumn("place", F.row_number().over(W.partitionBy(KEY).orderBy("tail")).cast("int"))
-    out = joins.prepend_missing(targets, ranking.top_distinct(v.scored, 100))
-    return out.groupBy(KEY).agg(F.sum(F.col("added").cast("long")).alias("added"), F.count(F.lit(1)).alias("n"))
+    return joins.prepend_missing(targets, ranking.top_distinct(v.scored, 100))
 
 
 @query("c8_attach", "C8 C9", "SELECT t.sample_id, coalesce(g.tail, '') AS tail FROM topic t LEFT JOIN (SELECT * FROM gold_label WHERE label = 'direct_support') g USING (sample_id)")
@@ -201,10 +223,12 @@ def _(v: Views) -> DataFrame:
     return joins.attach_retrieval(v.topics, v.view("gold_label").where("label = 'direct_support'").select(KEY, *TRIPLE), "baseline").select(KEY, "tail")
 
 
-@query("c10_evidence", "C10 C11", f"WITH {_SCORED}, m AS (SELECT sample_id, head, relation, tail, max(score) AS score FROM scored GROUP BY 1, 2, 3, 4) SELECT g.sample_id, g.tail, round(coalesce(m.score, 1.0), 6) AS score FROM (SELECT DISTINCT sample_id, head, relation, tail FROM gold_label) g LEFT JOIN m USING (sample_id, head, relation, tail)")
+@query("c10_evidence", "C10 C11", f"WITH {_SCORED}, m AS (SELECT sample_id, head, relation, tail, max(CASE WHEN triple_id % 4 <> 1 THEN score WHEN triple_id % 8 <> 1 THEN triple_id / 2 ELSE triple_id + 1 END) AS score FROM scored GROUP BY 1, 2, 3, 4) SELECT g.sample_id, g.tail, round(coalesce(m.score, 1.0), 6) AS score FROM (SELECT DISTINCT sample_id, head, relation, tail FROM gold_label) g LEFT JOIN m USING (sample_id, head, relation, tail)")
 def _(v: Views) -> DataFrame:
     selected = v.view("gold_label").select(KEY, *TRIPLE, F.lit(0).alias("place"))
-    return joins.evidence(selected, v.scored).select(KEY, "tail", F.round("score", 6).alias("score"))
+    k = F.col("triple_id")
+    rows = v.scored.select(KEY, *TRIPLE, F.when(k % 4 != 1, F.col("score")).alias("score"), F.when(k % 8 != 1, k / 2).alias("original_rank"), (k + 1).alias("position"))
+    return joins.evidence(selected, rows).select(KEY, "tail", F.round("score", 6).alias("score"))
 
 
 @query("c11_first_match", "C11", f"WITH {_SCORED} SELECT sample_id, tail, round(logit, 6) AS logit FROM (SELECT g.sample_id, g.tail, e.logit, row_number() OVER (PARTITION BY g.sample_id, g.head, g.relation, g.tail ORDER BY e.triple_id) AS r FROM (SELECT DISTINCT sample_id, head, relation, tail FROM gold_label) g LEFT JOIN kg_edge e USING (sample_id, head, relation, tail)) WHERE r = 1")
@@ -231,10 +255,13 @@ def _(v: Views) -> DataFrame:
     return joins.exclude(rows, bad, "owner").select(F.col("id0").alias("id"))
 
 
-@query("c19_union_runs", "C19 K8", "WITH a AS (SELECT id, line, min(n) AS n FROM qa_pred GROUP BY 1, 2) SELECT id, string_agg(line, chr(10) ORDER BY n, line) AS prediction FROM a GROUP BY 1")
+@query("c19_union_runs", "C19 K8", "WITH x AS (SELECT id, line, 0 AS run, n FROM qa_pred WHERE n <= 2 UNION ALL SELECT id, line, 1, n FROM qa_pred WHERE n >= 2 AND id % 2 = 0), a AS (SELECT id, line, min(run * 10 + n) AS o FROM x GROUP BY 1, 2) SELECT id, string_agg(line, chr(10) ORDER BY o, line) AS prediction FROM a WHERE id IN (SELECT id FROM qa_pred WHERE n <= 2) GROUP BY 1")
 def _(v: Views) -> DataFrame:
-    run = v.view("qa_pred").groupBy("id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "line"))), lambda s: s["line"]), "\n").alias("prediction"))
-    return joins.union_predictions([run, run])
+    def run(rows: DataFrame) -> DataFrame:
+        lines = F.transform(F.sort_array(F.collect_list(F.struct("n", "line"))), lambda s: s["line"])
+        return rows.groupBy("id").agg(F.array_join(F.concat(lines, F.array(F.lit("and more"))), "\n").alias("prediction"))
+
+    return joins.union_predictions([run(v.view("qa_pred").where("n <= 2")), run(v.view("qa_pred").where("n >= 2 and id % 2 = 0"))])
 
 
 # --- graph
@@ -328,15 +355,19 @@ def _(v: Views) -> DataFrame:
     return graph.propagate(v.edges, v.topics, 2, 1).select(KEY, "node", *[F.round(c, 6).alias(c) for c in ("f1_t", "f2_t", "b1_t")])
 
 
-@query("d10_component_ratio", "D10", "SELECT sample_id, 1.0::DOUBLE AS ratio FROM kg_edge WHERE relation = 'supplier.part' GROUP BY 1")
+_PIECES = "link AS (SELECT sample_id, head AS src, tail AS dst FROM chain_edge WHERE triple_id % 3 <> 1 UNION SELECT sample_id, tail, head FROM chain_edge WHERE triple_id % 3 <> 1), near AS (SELECT DISTINCT sample_id, src AS a, src AS b FROM link UNION SELECT n.sample_id, n.a, l.dst FROM near n JOIN link l ON l.sample_id = n.sample_id AND l.src = n.b)"
+
+
+@query("d10_component_ratio", "D10", f"WITH RECURSIVE {_PIECES}, size AS (SELECT sample_id, a, count(*) AS n FROM near GROUP BY 1, 2) SELECT sample_id, round(max(n) / count(*), 6)::DOUBLE AS ratio FROM size GROUP BY 1")
 def _(v: Views) -> DataFrame:
-    return graph.component_ratio(v.edges.where("relation = 'supplier.part'"))
+    return graph.component_ratio(v.view("chain_edge").where("triple_id % 3 != 1")).select(KEY, F.round("ratio", 6).alias("ratio"))
 
 
-@query("d11_reachable", "D11", "SELECT DISTINCT a.sample_id, a.answer FROM kg_answer a JOIN gold_path p ON p.sample_id = a.sample_id AND p.tail = a.answer")
+@query("d11_reachable", "D11", "WITH g AS (SELECT * FROM gold_path WHERE sample_id % 3 <> 0 OR place = 1), t AS (SELECT DISTINCT sample_id FROM g WHERE place = 0) SELECT DISTINCT a.sample_id, a.answer FROM kg_answer a WHERE CASE WHEN a.sample_id IN (SELECT sample_id FROM t) THEN EXISTS (SELECT 1 FROM g WHERE g.sample_id = a.sample_id AND g.tail = a.answer AND g.place = 1) ELSE a.sample_id % 2 = 0 END")
 def _(v: Views) -> DataFrame:
-    gold = v.view("gold_path").select(KEY, *TRIPLE).distinct()
-    return graph.reachable_answers(gold, v.topics, v.answers, v.answers.where("false"))
+    # a third of the samples has no gold triple at its topic, and every second sample has retained paths
+    gold = v.view("gold_path").where("sample_id % 3 != 0 or place = 1").select(KEY, *TRIPLE).distinct()
+    return graph.reachable_answers(gold, v.topics, v.answers, v.answers.where("sample_id % 2 = 0"))
 
 
 @query("d12_structure", "D12", """WITH o AS (SELECT sample_id, head AS k, count(*) AS n FROM kg_edge GROUP BY 1, 2), i AS (SELECT sample_id, tail AS k, count(*) AS n FROM kg_edge GROUP BY 1, 2), r AS (SELECT sample_id, relation AS k, count(*) AS n FROM kg_edge GROUP BY 1, 2),

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from loomgraph import schema
 from loomgraph.functions.text import strip
+from loomgraph.sources.storage import checkpointed
 
 #: Other names of splits.
 SPLIT_NAMES = {"val": "validation"}
@@ -120,7 +121,7 @@ def shard(rows: DataFrame, key: str, shards: int, index: int) -> DataFrame:
     ranges before it, so only the sizes (one a partition) meet in one task. The
     ranges are written to the shared folder, since they are cut by sampling.
     """
-    ranges = rows.select(key).distinct().repartitionByRange(key).withColumn("_range", F.spark_partition_id()).checkpoint()
+    ranges = checkpointed(rows.select(key).distinct().repartitionByRange(key).withColumn("_range", F.spark_partition_id()))
     sizes = ranges.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))
     before = F.coalesce(F.sum("_size").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     place = F.row_number().over(W.partitionBy("_range").orderBy(key)) - 1 + F.col("_before")
@@ -145,11 +146,22 @@ def eval_subgraphs(results: DataFrame, k: int, need_answer: bool) -> DataFrame:
     return rows.select(F.col("sample_id").alias("id"), "question", F.col("q_entity_in_graph").alias("topic_entities"), F.slice(cleaned, 1, k).alias("triplets"))
 
 
-def exported_results(agent: DataFrame, original: DataFrame) -> DataFrame:
-    """Agent rows over the original retrieval: empty fields fall back, max_path_length to 1."""
-    o = original.select(F.col("sample_id").alias("id"), *[F.col(c).alias(f"_{c}") for c in ("question", "q_entity", "max_path_length")])
-    fallback = lambda a, b: F.when(F.size(F.coalesce(a, F.array().cast("array<string>"))) > 0, F.col(a)).otherwise(F.col(b))
-    return agent.join(o, "id", "left").select("id", F.coalesce(F.nullif("question", F.lit("")), "_question").alias("question"), fallback("topic_entities", "_q_entity").alias("q_entity"), F.coalesce("_max_path_length", F.lit(1)).alias("max_path_length"))
+def exported_results(agent: DataFrame, original: DataFrame, subgraphs: DataFrame) -> DataFrame:
+    """(id, question, q_entity, a_entity, max_path_length) of agent rows (id) that a subgraph describes.
+
+    A subgraph (key, id, question, topic_entities, answer_entities) belongs to
+    a row by its key, else by its inner id (the smallest key of several); rows
+    without one are left out. Its empty fields fall back to the original
+    retrieval's, which comes first for entities; max_path_length falls back to 1.
+    """
+    kept = ["question", "topic_entities", "answer_entities"]
+    by_key = subgraphs.select(F.col("key").alias("id"), F.struct(*kept).alias("_key"))
+    inner = subgraphs.groupBy(F.coalesce("id", "key").alias("id")).agg(F.min_by(F.struct(*kept), "key").alias("_inner"))
+    rows = agent.select("id").distinct().join(by_key, "id", "left").join(inner, "id", "left").withColumn("r", F.coalesce("_key", "_inner")).where("r is not null")
+    out = rows.join(original.select(F.col("sample_id").alias("id"), F.struct("question", "q_entity", "a_entity", "max_path_length").alias("o")), "id", "left")
+    none = lambda c: F.when(F.size(F.coalesce(c, F.array().cast("array<string>"))) > 0, c)
+    question = F.coalesce(F.nullif("r.question", F.lit("")), "o.question")
+    return out.select("id", question.alias("question"), F.coalesce(none(F.col("o.q_entity")), "r.topic_entities").alias("q_entity"), F.coalesce(none(F.col("o.a_entity")), "r.answer_entities").alias("a_entity"), F.coalesce(F.nullif("o.max_path_length", F.lit(0)), F.lit(1)).alias("max_path_length"))
 
 
 def feature_cache(rows: DataFrame, path: str) -> None:

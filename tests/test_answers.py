@@ -175,3 +175,16 @@ def test_bad_sample_rules(spark):
     assert metrics.bad_samples(per, "all_rollouts_zero", diagnoses=("ok",)).count() == 0
     with pytest.raises(ValueError, match="unknown rule"):
         metrics.bad_samples(per, "other")
+
+
+def test_generator_is_asked_once_a_prompt(spark, tmp_path):
+    def counting(batch):
+        for p in batch:
+            with open(tmp_path / "asked", "a") as f:
+                f.write(f"{p!r}\n")
+        return prompts.echo_generator(batch)
+
+    rows = spark.createDataFrame([(1, "Triplets:\n(a,r,b)"), (2, "nothing"), (3, "nothing")], "sample_id long, prompt string")
+    out = prompts.generate_twice(rows, "prompt", counting)
+    assert len(out.collect()) == 3
+    assert sorted((tmp_path / "asked").read_text().splitlines()) == sorted([repr("Triplets:\n(a,r,b)"), repr("nothing"), repr("nothing\n\nans: not available\n\nGive your best answer.")])

@@ -94,8 +94,10 @@ def test_eval_subgraphs_and_export(spark):
     t = {"head": " A ", "relation": "r", "tail": "B", "hop": 1, "score": 0.5}
     rows = spark.createDataFrame([("1", "q", ["A"], ["A"], ["B"], ["B"], None, [], [t, dict(t, head="A")]), ("2", "q", [], [], [], [], 3, [], [])], schema.RETRIEVAL_RESULT)
     assert [r["triplets"] for r in readers.eval_subgraphs(rows, 5, True).collect()] == [[["A", "r", "B"]]]
-    agent = spark.createDataFrame([("1", "", [])], "id string, question string, topic_entities array<string>")
-    assert readers.exported_results(agent, rows).collect()[0].asDict() == {"id": "1", "question": "q", "q_entity": ["A"], "max_path_length": 1}
+    agent = spark.createDataFrame([("1",), ("2",), ("3",), ("4",)], "id string")
+    graphs = spark.createDataFrame([("1", None, "", ["Z"], ["Y"]), ("x", "2", "asked", ["T"], ["U"]), ("y", "2", "later", [], []), ("4", "1", "new", ["N"], [])], "key string, id string, question string, topic_entities array<string>, answer_entities array<string>")
+    got = {r["id"]: tuple(r)[1:] for r in readers.exported_results(agent, rows, graphs).collect()}
+    assert got == {"1": ("q", ["A"], ["B"], 1), "2": ("asked", ["T"], ["U"], 3), "4": ("new", ["N"], [], 1)}
 
 
 def test_stream_of_episodes_equals_batch(spark, tmp_path):
