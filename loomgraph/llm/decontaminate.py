@@ -20,6 +20,7 @@ repeated documents get the same answer; an empty benchmark hits nothing.
 from __future__ import annotations
 
 import hashlib
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -137,10 +138,13 @@ def longest(test: TestSuffixes, position: np.ndarray, window: np.ndarray, doc: n
 _MATCH = pa.struct([("item_id", pa.string()), ("doc_word", pa.int64()), ("item_word", pa.int64()), ("n_words", pa.int64())])
 
 
+_WORD = re.compile(rb"[0-9A-Za-z\x80-\xFF]+")
+
+
 def _blocks_of(benchmark: DataFrame, item_col: str, text_col: str, block_words: int):
     rows, size = [], 0
     for r in benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).alias("t")).toLocalIterator():
-        n = len((r["t"] or "").split()) + 1
+        n = sum(1 for _ in _WORD.finditer((r["t"] or "").encode())) + 1
         if rows and size + n > block_words:
             yield rows
             rows, size = [], 0

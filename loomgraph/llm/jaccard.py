@@ -544,8 +544,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return placed.join(least, "component", "left").select("doc_id", "n_shingles", "class", F.coalesce("least", "doc_id").alias("component_id"))
 
 
-def _with_class(docs: DataFrame, text_col: str, width: int) -> DataFrame:
-    """docs with _class, null without shingles."""
+def _with_class(docs: DataFrame, text_col: str, width: int, name: str) -> DataFrame:
+    """docs with the class, null without shingles, under a new name."""
     at = docs.columns.index(text_col)
 
     def run(batches):
@@ -554,27 +554,33 @@ def _with_class(docs: DataFrame, text_col: str, width: int) -> DataFrame:
             for _, flat, bounds in _sets(batch, at, width):
                 sizes.append(np.diff(bounds))
                 marks.append(fingerprints(flat, bounds))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(marks), mask=np.concatenate(sizes) == 0)], [*batch.schema.names, "_class"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(marks), mask=np.concatenate(sizes) == 0)], [*batch.schema.names, name])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_class", T.LongType())]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of docs a component, all columns: that with the smallest id, null last; rows without shingles all stay.
 
-    Where ids are there and differ, rows are chosen by id; rows without an id or with a repeated one by id and class.
+    Where ids are there and differ, rows are chosen by id; rows without an id or
+    with a repeated one by id and class, of equal ones the first by text. Other
+    columns may have any names.
     """
+    mark = "_"
+    while any(c.lower().startswith(mark) for c in docs.columns):
+        mark += "_"
+    kind, part, first_id, place = (mark + x for x in ("class", "component", "id", "place"))
     placed, _ = blocks.stored(_placed(docs, id_col, text_col, WIDTH, NUMERATOR, DENOMINATOR), "placed")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "class")).alias("first")
-    best = placed.where(F.col("component").isNotNull()).groupBy("component").agg(first).select(F.col("component").alias("_component"), F.col("first.doc_id").alias("_id"), F.col("first.class").alias("_class"))
-    extra = placed.join(best, F.col("component") == F.col("_component")).where((F.col("doc_id") != F.col("_id")) | (F.col("class") != F.col("_class"))).select(F.col("doc_id").alias(id_col))
+    best = placed.where(F.col("component").isNotNull()).groupBy("component").agg(first).select(F.col("component").alias(part), F.col("first.doc_id").alias(first_id), F.col("first.class").alias(kind))
+    extra = placed.join(best, F.col("component") == F.col(part)).where((F.col("doc_id") != F.col(first_id)) | (F.col("class") != F.col(kind))).select(F.col("doc_id").alias(id_col))
     doubtful = placed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null").select(F.col("doc_id").alias(id_col))
     if doubtful.isEmpty():
         return docs.join(extra.distinct(), id_col, "left_anti").select(*docs.columns)
     named = docs.where(F.col(id_col).isNotNull())
     plain = named.join(extra.unionByName(doubtful).distinct(), id_col, "left_anti").select(*docs.columns)
     rows = named.join(doubtful, id_col, "left_semi").select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
-    rows = _with_class(rows, text_col, WIDTH)
-    chosen = rows.join(best, "_class").where(F.col(id_col).eqNullSafe(F.col("_id")))
-    chosen = chosen.withColumn("_place", F.row_number().over(W.partitionBy("_component").orderBy(text_col))).where("_place = 1")
-    return plain.unionByName(rows.where("_class is null").select(*docs.columns)).unionByName(chosen.select(*docs.columns))
+    rows, _ = blocks.stored(_with_class(rows, text_col, WIDTH, kind), "doubtful")
+    chosen = rows.join(best, kind).where(F.col(id_col).eqNullSafe(F.col(first_id)))
+    chosen = chosen.withColumn(place, F.row_number().over(W.partitionBy(part).orderBy(text_col))).where(F.col(place) == 1)
+    return plain.unionByName(rows.where(F.col(kind).isNull()).select(*docs.columns)).unionByName(chosen.select(*docs.columns))

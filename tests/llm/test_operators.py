@@ -218,6 +218,16 @@ def test_token_files_round_trip(spark, docs, rows, none):
     assert token_files.read_digests(spark, empty).count() == 0
 
 
+def test_benchmark_blocks_are_bounded_by_words(spark):
+    # words joined by hyphens are words too
+    rows = [(f"i{k}", "-".join(f"w{k}x{j}" for j in range(50))) for k in range(6)]
+    bench = spark.createDataFrame(rows, "item_id string, text string")
+    assert [len(b) for b in decontaminate._blocks_of(bench, "item_id", "text", 110)] == [2, 2, 2]
+    docs = spark.createDataFrame([(1, "a " + rows[5][1].upper() + " b"), (2, rows[0][1][:40])], "doc_id long, text string")
+    found = by_id(decontaminate.find_matches(docs, bench, block_words=60))
+    assert found[1]["n_hit"] == 50 and found[1]["item_ids"] == ["i5"] and found[1]["matches"][0]["n_words"] == 50 and found[2]["n_hit"] == 0
+
+
 def test_token_counts(docs, rows, none):
     import sentencepiece
 
