@@ -5,6 +5,14 @@ last return the columns of documents. Language ID rejects texts in which no
 language is found; toxicity rejects scores of 0.5 or more; the join keeps the
 smallest doc_id of each component; decontamination removes documents that hold
 a benchmark window.
+
+Defined cases: rows are decided one by one, so repeated rows share their fate
+but in the near-copies stage, of which one row a component stays, whatever its
+id; null, empty and letterless texts go at language ID, and would stay in the
+next three stages, as they are neither toxic nor copies nor contaminated; null
+ids are kept and never learned from; texts of any length are read whole; an
+empty table gives an empty table; other columns, of whatever names, are kept up
+to packing, which has columns of its own.
 """
 
 from __future__ import annotations
