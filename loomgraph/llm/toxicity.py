@@ -245,29 +245,50 @@ def _field(tag, word, n_words, gram, owner, size, begins, rounds):
     def unpack():
         return theta[: 1 << BITS], theta[1 << BITS], theta[-6:-2].reshape(2, 2), theta[-2:]
 
+    pieces = _pieces(begins)
     for k in range(1, rounds + 1):
         w, bias, transition, start = unpack()
-        u = (bias + _sums(owner, lambda part: w[gram[part]], n_words) / root)[word]  # noqa: B023
-        p, alpha, beta = marginals(u, begins, transition, start)
-        gap = np.bincount(word, weights=tag - p, minlength=n_words)
+        score = (bias + _sums(owner, lambda part: w[gram[part]], n_words) / root).astype(np.float64)  # noqa: B023
+        weigh, gap, pairs, starts = np.exp(transition), np.zeros(n_words), np.zeros((2, 2)), np.zeros(2)
+        for part in pieces:
+            own, head = word[part], begins[part]
+            u = score[own]
+            p, alpha, beta = marginals(u, head, transition, start)
+            gap += np.bincount(own, weights=tag[part] - p, minlength=n_words)
+            inner = np.flatnonzero(~head)
+            ahead = (beta[0, inner], beta[1, inner] * np.exp(np.clip(u[inner], -30, 30)))
+            rows = [[weigh[i, j] * alpha[i, inner - 1] * ahead[j] for j in (0, 1)] for i in (0, 1)]
+            total = rows[0][0] + rows[0][1] + rows[1][0] + rows[1][1]
+            pairs += [[(x / total).sum() for x in r] for r in rows]
+            starts += ((1 - p[head]).sum(), p[head].sum())
         g = np.zeros_like(theta)
         share = gap / root
         g[: 1 << BITS] = _sums(gram, lambda part: share[owner[part]], 1 << BITS)  # noqa: B023
         g[1 << BITS] = gap.sum()
-        e, weigh = np.exp(np.clip(u[before], -30, 30)), np.exp(transition)
-        ahead = (beta[0, before], beta[1, before] * e)
-        rows = [[weigh[i, j] * alpha[i, before - 1] * ahead[j] for j in (0, 1)] for i in (0, 1)]
-        total = rows[0][0] + rows[0][1] + rows[1][0] + rows[1][1]
-        g[-6:-2] = (seen - np.array([[(x / total).sum() for x in r] for r in rows])).ravel()
-        g[-2:] = first - np.array([(1 - p[begins]).sum(), p[begins].sum()])
+        g[-6:-2] = (seen - pairs).ravel()
+        g[-2:] = first - starts
         g = g * weight
         g[: 1 << BITS] -= 1e-4 * w
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         theta = theta + 0.25 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-6)
     w, bias, transition, start = unpack()
     model = ToxicModel(w.astype(np.float32), float(bias), transition.copy(), start.copy(), np.zeros(3))
-    u = (bias + _sums(owner, lambda part: w[gram[part]], n_words) / root)[word]
-    return model, marginals(u, begins, transition, start)[0]
+    score = bias + _sums(owner, lambda part: w[gram[part]], n_words) / root
+    return model, np.concatenate([marginals(score[word[part]], begins[part], transition, start)[0] for part in pieces])
+
+
+#: Tokens whose marginals the training holds at once, or one text's.
+PIECE = 1 << 16
+
+
+def _pieces(begins: np.ndarray) -> list[slice]:
+    """Runs of whole chains of about PIECE tokens."""
+    ends, cuts = np.append(np.flatnonzero(begins), len(begins)), [0]
+    while cuts[-1] < len(begins):
+        k = int(np.searchsorted(ends, cuts[-1] + PIECE, side="right")) - 1
+        k = k if ends[k] > cuts[-1] else k + 1
+        cuts.append(int(ends[k]))
+    return [slice(x, y) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 def tag_batches(model: ToxicModel | None, text_at: int, batches, limit: int = blocks.SLICE_BYTES // 2, spans: bool = True):
