@@ -60,12 +60,21 @@ def _power(kind: str, n: int) -> np.ndarray:
     return _powers[kind][:n]
 
 
-def span_hashes(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of symbols[s:e] for all spans; symbols are 64-bit codes of characters."""
+def prefix_sums(symbols: np.ndarray) -> np.ndarray:
+    """Sums from which sums_between takes the hash of any span; symbols are 64-bit codes."""
     n = len(symbols)
     total = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum(symbols * _power("up", n), out=total[1:])
-    h = (total[ends] - total[starts]) * _power("down", n + 1)[starts]
+    return total
+
+
+def sums_between(total: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    return (total[starts + sizes] - total[starts]) * _power("down", len(total))[starts]
+
+
+def span_hashes(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of symbols[s:e] for all spans; symbols are 64-bit codes of characters."""
+    h = sums_between(prefix_sums(symbols), starts, ends - starts)
     return _mix(h ^ ((ends - starts).astype(np.uint64) * _U(0xD6E8FEB86659FD93)))
 
 

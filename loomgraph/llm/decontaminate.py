@@ -1,15 +1,22 @@
 """Benchmark decontamination with suffix arrays over the training text.
 
 Each slice of documents is a shard. Its suffix array holds, in word order,
-every suffix that could match a test suffix (those whose first words are all
-words of the benchmark, as far as the shortest window goes; no other suffix can
-match). Each test suffix of the benchmark is binary-searched in every shard;
-the range it finds gives the locations, and runs of locations along one
-diagonal are the longest verbatim matches.
+every suffix of the runs of benchmark words that are as long as the shortest
+window (words that the benchmark lacks end a suffix, as the end of a document
+does: no match crosses either). The array is sorted by the first words and
+then by doubling, as far as the longest test suffix reaches.
+
+Each test suffix, one for each window of the benchmark, is binary-searched in
+every shard: by its first words, and within the range that has them by all its
+words. The common lengths with both neighbours of its place in the array give
+its longest match there; going outward, the least common length of adjacent
+suffixes gives the match at every other location. Matches that begin one word
+earlier in both texts are part of a longer one and left out.
 
 The benchmark travels to the executors in blocks of at most ``BLOCK_WORDS``
-words; a larger benchmark is several blocks, each searched in the same scan of
-the documents. Nothing is shuffled.
+words, one at a time: where it is more than one block, the documents and what
+was found so far are written to the shared folder between two blocks, and a
+block is removed from the executors after its scan. Nothing is shuffled.
 
 Defined cases: null and empty texts have no words; an item without words
 matches nothing; an item of fewer words than a window is one window; items
@@ -37,15 +44,18 @@ BLOCK_WORDS = 2_000_000
 
 @dataclass
 class TestSuffixes:
-    """Distinct windows of a block of the benchmark, and the items and places that hold each."""
+    """Test suffixes of a block of the benchmark, ordered by the windows they begin with."""
 
     width: int
     vocabulary: np.ndarray  # sorted word hashes; the id of a word is its place + 1
-    keys: np.ndarray  # big-endian ids of each window, padded with 0
-    length: np.ndarray
-    owners: np.ndarray  # items of window k: owners[bounds[k] : bounds[k + 1]]
-    places: np.ndarray
-    bounds: np.ndarray
+    words: np.ndarray  # word hashes of all items, one item after another
+    keys: np.ndarray  # distinct windows: big-endian ids, padded with 0
+    length: np.ndarray  # words of each window
+    bounds: np.ndarray  # suffixes of window k: bounds[k] up to bounds[k + 1]
+    at: np.ndarray  # first word of each suffix, among words
+    place: np.ndarray  # and within its item
+    rest: np.ndarray  # words from there to the item's end
+    item: np.ndarray
     items: list[str]
 
 
@@ -54,21 +64,27 @@ def test_suffixes(rows: list[tuple[str, str | None]], width: int = WINDOW) -> Te
     data = np.frombuffer(b"".join(raw), dtype=np.uint8)
     _, _, first, h = blocks.word_hashes(data, np.concatenate(([0], np.cumsum([len(x) for x in raw]))).astype(np.int64), blocks.ALNUM)
     vocabulary = np.unique(h)
-    ids = (np.searchsorted(vocabulary, h) + 1).astype(np.int64)
-    found: dict[tuple, list[tuple[int, int]]] = {}
+    ids = np.append(np.searchsorted(vocabulary, h) + 1, np.zeros(width, dtype=np.int64)).astype(np.uint32)
     names = sorted({i for i, _ in rows})
     number = {x: k for k, x in enumerate(names)}
-    for r, (item, _) in enumerate(rows):
-        own = ids[first[r] : first[r + 1]].tolist()
-        size = min(width, len(own))
-        for at in range(len(own) - size + 1 if own else 0):
-            found.setdefault(tuple(own[at : at + size]), []).append((number[item], at))
-    windows = list(found)
-    matrix = np.zeros((len(windows), width), dtype=">u4")
-    for k, w in enumerate(windows):
-        matrix[k, : len(w)] = w
-    pairs = [p for w in windows for p in found[w]]
-    return TestSuffixes(width, vocabulary, _key(matrix), np.array([len(w) for w in windows], dtype=np.int64), np.array([i for i, _ in pairs], dtype=np.int64), np.array([a for _, a in pairs], dtype=np.int64), np.cumsum([0, *(len(found[w]) for w in windows)]), names)
+    size = np.diff(first)
+    windows = np.where(size > 0, size - np.minimum(size, width) + 1, 0)
+    row = np.repeat(np.arange(len(rows)), windows)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)
+    at, length = first[row] + place, np.minimum(size, width)[row]
+    keys, which = np.unique(_key(_first_words(ids, at, length, width)), return_inverse=True)
+    order = np.argsort(which, kind="stable")
+    bounds = np.searchsorted(which[order], np.arange(len(keys) + 1))
+    item = np.array([number[i] for i, _ in rows], dtype=np.int64)[row] if rows else row
+    return TestSuffixes(width, vocabulary, h, keys, length[order][bounds[:-1]], bounds, at[order], place[order], (size[row] - place)[order], item[order], names)
+
+
+def _first_words(ids: np.ndarray, at: np.ndarray, length: np.ndarray, width: int) -> np.ndarray:
+    out = np.zeros((len(at), width), dtype=">u4")
+    for k in range(width):
+        inside = length > k
+        out[inside, k] = ids[at[inside] + k]
+    return out
 
 
 def _key(matrix: np.ndarray) -> np.ndarray:
@@ -76,9 +92,52 @@ def _key(matrix: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(matrix, dtype=">u4").view(f"S{4 * matrix.shape[1]}").ravel()
 
 
-def search(test: TestSuffixes, h: np.ndarray, first: np.ndarray):
-    """(word position, window) of every occurrence of a window in a shard of word hashes, documents beginning at first."""
-    none = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+def suffix_array(ids: np.ndarray, run: np.ndarray, of: np.ndarray, width: int, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes that begin at of, in the order of their first reach words or more (equal ones by place), and their first width words as keys.
+
+    A suffix is the next run words; with a word, of holds all later words of its run.
+    """
+    keys = _key(_first_words(ids, of, run[of], width))
+    order = np.argsort(keys, kind="stable")
+    suffix, keys = of[order], keys[order]
+    place = np.arange(len(suffix))
+    rank = np.zeros(len(ids) + 1, dtype=np.int64)  # place of the first equal suffix, from 1; 0 is the end
+    rank[suffix] = 1 + np.maximum.accumulate(np.where(np.append(True, keys[1:] != keys[:-1]), place, 0)) if len(suffix) else 0
+    while width < reach:
+        r = rank[suffix]
+        same = r[1:] == r[:-1]
+        tied = np.flatnonzero(np.append(same, False) | np.append(False, same))
+        p = suffix[tied]
+        more = run[p] > width
+        if not more.any():
+            break
+        pair = r[tied] * (len(suffix) + 1) + np.where(more, rank[np.where(more, p + width, len(ids))], 0)
+        order = np.argsort(pair, kind="stable")
+        p, pair = p[order], pair[order]
+        suffix[tied] = p
+        rank[p] = 1 + np.maximum.accumulate(np.where(np.append(True, pair[1:] != pair[:-1]), tied, 0))
+        width *= 2
+    return suffix, keys
+
+
+class _Spans:
+    """Common lengths of spans of word hashes, by hashes of their prefixes."""
+
+    def __init__(self, words: np.ndarray):
+        self.sums = blocks.prefix_sums(words)
+
+    def common(self, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
+        low, high = np.zeros(len(a), dtype=np.int64), most.astype(np.int64)
+        while (low < high).any():
+            middle = (low + high + 1) >> 1
+            same = blocks.sums_between(self.sums, a, middle) == blocks.sums_between(self.sums, b, middle)
+            low, high = np.where(same, middle, low), np.where(same, high, middle - 1)
+        return low
+
+
+def search(test: TestSuffixes, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word position, test suffix, words) of every maximal match in a shard of word hashes, documents beginning at first."""
+    none = tuple(np.zeros(0, dtype=np.int64) for _ in range(3))
     n = len(h)
     if not n or not len(test.length):
         return none
@@ -91,18 +150,14 @@ def search(test: TestSuffixes, h: np.ndarray, first: np.ndarray):
     stop[n] = True
     ends = np.flatnonzero(stop)
     position = np.arange(n)
-    run = ends[np.searchsorted(ends, position, side="right")] - position
+    of_run = np.searchsorted(ends, position, side="right")
+    run = ends[of_run] - position
     run[ids == 0] = 0
-    suffix = np.flatnonzero(run >= test.length.min())
+    words_of_run = np.bincount(of_run[ids > 0], minlength=len(ends) + 1)
+    suffix, keys = suffix_array(ids, run, np.flatnonzero((ids > 0) & (words_of_run[of_run] >= test.length.min())), test.width, int(test.rest.max()))
     if not len(suffix):
         return none
-    matrix = np.zeros((len(suffix), test.width), dtype=">u4")
-    for k in range(test.width):
-        inside = run[suffix] > k
-        matrix[inside, k] = ids[suffix[inside] + k]
-    keys = _key(matrix)
-    order = np.argsort(keys, kind="stable")
-    suffix, keys = suffix[order], keys[order]
+    # the range of the first words of each window
     low = np.searchsorted(keys, test.keys, side="left")
     full = test.length == test.width
     high = np.empty_like(low)
@@ -112,30 +167,58 @@ def search(test: TestSuffixes, h: np.ndarray, first: np.ndarray):
         for k, size in enumerate(test.length[~full]):
             top[k, size:] = 0xFFFFFFFF
         high[~full] = np.searchsorted(keys, _key(top), side="right")
-    count = high - low
-    window = np.repeat(np.arange(len(count)), count)
-    place = np.repeat(low, count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-    return suffix[place], window
-
-
-def longest(test: TestSuffixes, position: np.ndarray, window: np.ndarray, doc: np.ndarray):
-    """Maximal verbatim matches: (document, item, first word in the text, first word in the item, words)."""
-    n = (test.bounds[window + 1] - test.bounds[window]).astype(np.int64)
-    at = np.repeat(test.bounds[window], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-    p, d, size = np.repeat(position, n), np.repeat(doc, n), np.repeat(test.length[window], n)
-    item, place = test.owners[at], test.places[at]
-    order = np.lexsort((p, p - place, item, d))
-    p, d, size, item, place = (x[order] for x in (p, d, size, item, place))
-    if not len(p):
-        return d, item, p, place, size
-    new = np.ones(len(p), dtype=bool)
-    new[1:] = (d[1:] != d[:-1]) | (item[1:] != item[:-1]) | (p[1:] - place[1:] != p[:-1] - place[:-1]) | (p[1:] != p[:-1] + 1)
-    begin = np.flatnonzero(new)
-    last = np.append(begin[1:], len(p)) - 1
-    return d[begin], item[begin], p[begin], place[begin], p[last] - p[begin] + size[last]
+    found = np.flatnonzero(high > low)
+    if not len(found):
+        return none
+    count = test.bounds[found + 1] - test.bounds[found]
+    own = np.repeat(test.bounds[found] - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
+    low, high = np.repeat(low[found], count), np.repeat(high[found], count)
+    # within it, the place of the whole test suffix
+    spans = _Spans(np.concatenate((test.words, h)))
+    begin, rest, shift = test.at[own], test.rest[own], len(test.words)
+
+    def match(which, k):
+        p = suffix[k]
+        return spans.common(begin[which], shift + p, np.minimum(rest[which], run[p]))
+
+    lo, hi = low.copy(), high.copy()
+    while len(open_ := np.flatnonzero(lo < hi)):
+        middle = (lo[open_] + hi[open_]) >> 1
+        p, size = suffix[middle], match(open_, middle)
+        ended, short = size == rest[open_], size == run[suffix[middle]]
+        q = np.where(ended, begin[open_], begin[open_] + size)
+        mine = np.searchsorted(test.vocabulary, test.words[q]) + 1
+        less = ~ended & (short | (ids[np.where(short, p, p + size)] < mine))  # the array's suffix comes first
+        lo[open_], hi[open_] = np.where(less, middle + 1, lo[open_]), np.where(less, hi[open_], middle)
+    before, after = np.flatnonzero(lo > low), np.flatnonzero(lo < high)
+    left, right = np.zeros(len(own), dtype=np.int64), np.zeros(len(own), dtype=np.int64)
+    left[before], right[after] = match(before, lo[before] - 1), match(after, lo[after])
+    # common lengths of adjacent suffixes, in these ranges
+    inside = np.zeros(len(suffix) + 1, dtype=np.int64)
+    np.add.at(inside, low + 1, 1)
+    np.add.at(inside, high, -1)
+    k = np.flatnonzero(np.cumsum(inside) > 0)
+    adjacent = np.zeros(len(suffix), dtype=np.int64)
+    adjacent[k] = spans.common(shift + suffix[k - 1], shift + suffix[k], np.minimum(run[suffix[k - 1]], run[suffix[k]]))
+    places, sizes = [], []
+    for a, m, b, x, y in zip(low.tolist(), lo.tolist(), high.tolist(), left.tolist(), right.tolist(), strict=True):
+        size = np.empty(b - a, dtype=np.int64)
+        if m > a:
+            size[m - a - 1 :: -1] = np.minimum.accumulate(np.append(x, adjacent[m - 1 : a : -1]))
+        if m < b:
+            size[m - a :] = np.minimum.accumulate(np.append(y, adjacent[m + 1 : b]))
+        places.append(suffix[a:b])
+        sizes.append(size)
+    p, own, size = np.concatenate(places), np.repeat(own, high - low), np.concatenate(sizes)
+    starts = np.zeros(n + 1, dtype=bool)
+    starts[first] = True
+    maximal = starts[p] | (test.place[own] == 0)
+    maximal[~maximal] = h[p[~maximal] - 1] != test.words[test.at[own[~maximal]] - 1]
+    return p[maximal], own[maximal], size[maximal]
 
 
 _MATCH = pa.struct([("item_id", pa.string()), ("doc_word", pa.int64()), ("item_word", pa.int64()), ("n_words", pa.int64())])
+_MATCHES = "array<struct<item_id:string,doc_word:bigint,item_word:bigint,n_words:bigint>>"
 
 
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xFF]+")
@@ -150,71 +233,86 @@ def _blocks_of(benchmark: DataFrame, item_col: str, text_col: str, block_words:
             rows, size = [], 0
         rows.append((r["i"] or "", r["t"]))
         size += n
-    if rows:
-        yield rows
+    yield rows
+
+
+def _by_blocks(docs: DataFrame, benchmark: DataFrame, item_col: str, text_col: str, width: int, block_words: int, scan) -> DataFrame:
+    """docs after scan(docs, shared block, whether it is the last) of each block, written to the shared folder between two."""
+    spark, path = docs.sparkSession, None
+    found = _blocks_of(benchmark, item_col, text_col, block_words)
+    following = next(found)
+    while True:
+        rows, following = following, next(found, None)
+        shared = spark.sparkContext.broadcast(test_suffixes(rows, width))  # bounded by block_words
+        docs = scan(docs, shared, following is None)
+        if following is None:
+            return docs
+        earlier = path
+        docs, path = blocks.stored(docs, "decontamination")
+        shared.unpersist()
+        if earlier:
+            blocks.drop_path(spark, earlier)
 
 
 def find_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", width: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """doc_id, n_words, n_hit (words inside a window's occurrence), item_ids and the longest matches of every row of docs."""
+    """doc_id, n_words, n_hit (words inside a match), item_ids and the maximal matches of every row of docs."""
     blocks.bound_batches(docs.sparkSession)
-    context = docs.sparkSession.sparkContext
-    tests = [context.broadcast(test_suffixes(rows, width)) for rows in _blocks_of(benchmark, item_col, text_col, block_words)]  # bounded by block_words each
-
-    def run(batches):
-        for batch in batches:
-            data, offsets, _ = blocks.buffer_of(batch.column(1))
-            words, hits, items, matches = [], [], [], []
-            for i, j in blocks.slices(offsets):
-                part, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-                _, _, first, h = blocks.word_hashes(part, at, blocks.ALNUM)
-                cover = np.zeros(len(h) + 1, dtype=np.int64)
-                own: list[set] = [set() for _ in range(j - i)]
-                long: list[list] = [[] for _ in range(j - i)]
-                for shared in tests:
-                    test = shared.value
-                    position, window = search(test, h, first)
-                    if not len(position):
-                        continue
-                    np.add.at(cover, position, 1)
-                    np.add.at(cover, position + test.length[window], -1)
-                    doc = np.searchsorted(first, position, side="right") - 1
-                    for d, item, p, place, size in zip(*(x.tolist() for x in longest(test, position, window, doc)), strict=True):
-                        own[d].add(test.items[item])
-                        long[d].append({"item_id": test.items[item], "doc_word": p - int(first[d]), "item_word": place, "n_words": size})
-                hit = np.concatenate(([0], np.cumsum(np.cumsum(cover[:-1]) > 0)))
-                words.append(np.diff(first))
-                hits.append(hit[first[1:]] - hit[first[:-1]])
-                items += [sorted(x) for x in own]
-                matches += long
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.concatenate(words) if words else [], pa.int64()), pa.array(np.concatenate(hits) if hits else [], pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(matches, pa.list_(_MATCH))],
-                ["doc_id", "n_words", "n_hit", "item_ids", "matches"],
-            )
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    out = f"doc_id {kind}, n_words long, n_hit long, item_ids array<string>, matches array<struct<item_id:string,doc_word:bigint,item_word:bigint,n_words:bigint>>"
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, out)
+
+    def scan(rows: DataFrame, shared, last: bool) -> DataFrame:
+        def run(batches):
+            for batch in batches:
+                test = shared.value
+                data, offsets, _ = blocks.buffer_of(batch.column(1))
+                words, hits, items, matches = [], [], [], []
+                earlier = batch.column(4).to_pylist()
+                for i, j in blocks.slices(offsets):
+                    _, _, first, h = blocks.word_hashes(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], blocks.ALNUM)
+                    long = [list(x or ()) for x in earlier[i:j]]
+                    p, own, size = search(test, h, first)
+                    doc = np.searchsorted(first, p, side="right") - 1
+                    order = np.lexsort((test.place[own], p, test.item[own], doc))
+                    for d, x, a, b, c in zip(*(x[order].tolist() for x in (doc, test.item[own], p - first[doc], test.place[own], size)), strict=True):
+                        long[d].append({"item_id": test.items[x], "doc_word": a, "item_word": b, "n_words": c})
+                    cover = np.zeros(len(h) + 1, dtype=np.int64)
+                    at = np.array([(first[d] + m["doc_word"], m["n_words"]) for d, x in enumerate(long) for m in x], dtype=np.int64).reshape(-1, 2)
+                    np.add.at(cover, at[:, 0], 1)
+                    np.add.at(cover, at.sum(axis=1), -1)
+                    hit = np.concatenate(([0], np.cumsum(np.cumsum(cover[:-1]) > 0)))
+                    words.append(np.diff(first))
+                    hits.append(hit[first[1:]] - hit[first[:-1]])
+                    items += [sorted({m["item_id"] for m in x}) for x in long]
+                    matches += long
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), pa.nulls(batch.num_rows, pa.string()) if last else batch.column(1), pa.array(np.concatenate(words) if words else [], pa.int64()), pa.array(np.concatenate(hits) if hits else [], pa.int64()), pa.array(matches, pa.list_(_MATCH)), pa.array(items, pa.list_(pa.string()))],
+                    ["doc_id", "text", "n_words", "n_hit", "matches", "item_ids"],
+                )
+
+        kind = rows.schema["doc_id"].dataType.simpleString()
+        return rows.mapInArrow(run, f"doc_id {kind}, text string, n_words long, n_hit long, matches {_MATCHES}, item_ids array<string>")
+
+    empty = F.lit(None)
+    start = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), empty.cast("long").alias("n_words"), empty.cast("long").alias("n_hit"), empty.cast(_MATCHES).alias("matches"))
+    return _by_blocks(start, benchmark, item_col, text_col, width, block_words, scan).select("doc_id", "n_words", "n_hit", "item_ids", "matches")
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", width: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The rows of docs, all columns, in which no window of the benchmark occurs; in one scan."""
+    """The rows of docs, all columns, in which no window of the benchmark occurs."""
     blocks.bound_batches(docs.sparkSession)
-    context = docs.sparkSession.sparkContext
-    tests = [context.broadcast(test_suffixes(rows, width)) for rows in _blocks_of(benchmark, item_col, text_col, block_words)]  # bounded by block_words each
     column = docs.columns.index(text_col)
 
-    def run(batches):
-        for batch in batches:
-            data, offsets, _ = blocks.buffer_of(batch.column(column))
-            clean = np.ones(batch.num_rows, dtype=bool)
-            for i, j in blocks.slices(offsets):
-                _, _, first, h = blocks.word_hashes(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], blocks.ALNUM)
-                for shared in tests:
-                    position, _ = search(shared.value, h, first)
-                    clean[i + np.searchsorted(first, position, side="right") - 1] = False
-            yield batch.filter(pa.array(clean))
-
-    return docs.mapInArrow(run, docs.schema)
+    def scan(rows: DataFrame, shared, last: bool) -> DataFrame:
+        def run(batches):
+            for batch in batches:
+                data, offsets, _ = blocks.buffer_of(batch.column(column))
+                clean = np.ones(batch.num_rows, dtype=bool)
+                for i, j in blocks.slices(offsets):
+                    _, _, first, h = blocks.word_hashes(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], blocks.ALNUM)
+                    clean[i + np.searchsorted(first, search(shared.value, h, first)[0], side="right") - 1] = False
+                yield batch.filter(pa.array(clean))
+
+        return rows.mapInArrow(run, rows.schema)
+
+    return _by_blocks(docs, benchmark, item_col, text_col, width, block_words, scan)
 
 
 def items_digest(ids: list[str]) -> str:

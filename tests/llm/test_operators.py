@@ -218,6 +218,35 @@ def test_token_files_round_trip(spark, docs, rows, none):
     assert token_files.read_digests(spark, empty).count() == 0
 
 
+def test_suffix_arrays_and_longest_matches():
+    rng = np.random.default_rng(8)
+    for trial in range(30):
+        letters = [f"w{k}" for k in range(int(rng.integers(2, 6)))]
+        items = [(f"i{k}", " ".join(rng.choice(letters, int(rng.integers(0, 30))))) for k in range(5)]
+        docs = [list(rng.choice([*letters, "other"], int(rng.integers(0, 80)), p=[*[0.97 / len(letters)] * len(letters), 0.03])) for _ in range(8)] + [items[0][1].split()] * 3
+        width = int(rng.integers(2, 6))
+        test = decontaminate.test_suffixes(items, width)
+        raw = [" ".join(w).encode() for w in docs]
+        _, _, first, h = blocks.word_hashes(np.frombuffer(b"".join(raw), dtype=np.uint8), np.concatenate(([0], np.cumsum([len(x) for x in raw]))).astype(np.int64), blocks.ALNUM)
+        found = {(int(np.searchsorted(first, p, side="right")) - 1, test.items[test.item[s]], int(p - first[np.searchsorted(first, p, side="right") - 1]), int(test.place[s]), int(n)) for p, s, n in zip(*decontaminate.search(test, h, first), strict=True)}
+        want = set()
+        for d, w in enumerate(docs):
+            for name, text in items:
+                b = text.split()
+                for i in range(len(w)):
+                    for j in range(len(b)):
+                        n = 0
+                        while i + n < len(w) and j + n < len(b) and w[i + n] == b[j + n]:
+                            n += 1
+                        if n >= min(width, len(b)) and not (i and j and w[i - 1] == b[j - 1]):
+                            want.add((d, name, i, j, n))
+        assert found == want
+        ids = np.concatenate([*(np.append(rng.integers(1, 4, int(rng.integers(0, 40))), 0) for _ in range(6))])
+        run = np.array([int(np.flatnonzero(ids[k:] == 0)[0]) for k in range(len(ids))])
+        order, _ = decontaminate.suffix_array(ids, run, np.flatnonzero(ids), width, 100)
+        assert order.tolist() == sorted(np.flatnonzero(ids).tolist(), key=lambda k: (ids[k : k + run[k]].tolist(), k))
+
+
 def test_benchmark_blocks_are_bounded_by_words(spark):
     # words joined by hyphens are words too
     rows = [(f"i{k}", "-".join(f"w{k}x{j}" for j in range(50))) for k in range(6)]
