@@ -10,8 +10,10 @@ at 0.97 with 0.9999. Unrelated vectors share a bucket with about 1e-4.
 Equal vectors are one class with a count. A bucket of more than ``BLOCK``
 classes is cut into blocks, and each pair of blocks is a task's work of
 bounded size, so a bucket that holds a third of all vectors spreads out. A
-pair counts in the first table it shares. Pairs are never listed: a block pair
-gives each class its sum of links and a spanning forest.
+pair counts in the first table it shares, so of several buckets with the same
+members only the first is compared, and a vector travels with its keys of
+earlier tables only, in the element type of its column. Pairs are never listed:
+a block pair gives each class its sum of links and a spanning forest.
 
 Defined cases: vectors that are null, empty, zero, or hold a null or
 non-finite component, and rows with a null label, link with nothing (their own
@@ -68,8 +70,11 @@ def vector_classes(vectors: DataFrame, id_col: str, vector_col: str, label_col:
     return own, classes
 
 
-def link_counts(classes: DataFrame, threshold: float, tables: int, depth: int, cell: float, block: int) -> DataFrame:
-    """(class, links, other): links to add to a class, and links (class, other) that span what is found."""
+def link_counts(classes: DataFrame, element: np.dtype, threshold: float, tables: int, depth: int, cell: float, block: int) -> tuple[DataFrame, str]:
+    """(class, links, other): links to add to a class, and links (class, other) that span what is found; and a folder that it reads.
+
+    Components of vectors are exact in element.
+    """
 
     def hashed(batches):
         for batch in batches:
@@ -79,20 +84,22 @@ def link_counts(classes: DataFrame, threshold: float, tables: int, depth: int, c
             at = np.cumsum(sizes) - sizes
             for dim in np.unique(sizes).tolist():
                 rows = np.flatnonzero(sizes == dim)
-                x = _unit(flat[at[rows][:, None] + np.arange(dim)])
-                keys = bucket_keys(x, tables, depth, cell)
+                own = flat[at[rows][:, None] + np.arange(dim)]
+                keys = bucket_keys(_unit(own), tables, depth, cell)
+                x = own.astype(element)
                 pick = pa.array(rows)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pick), batch.column(1).take(pick), batch.column(2).take(pick), pa.array([r.tobytes() for r in x], pa.binary()), pa.array([k.tobytes() for k in keys], pa.binary()), pa.array(keys.view(np.int64).tolist(), pa.list_(pa.int64()))], ["class", "label_key", "n", "x", "keys", "buckets"])
 
-    unit, _ = blocks.stored(classes.select("class", "label_key", "n", "v").mapInArrow(hashed, "class long, label_key long, n long, x binary, keys binary, buckets array<long>"), "vectors")
+    unit, path = blocks.stored(classes.select("class", "label_key", "n", "v").mapInArrow(hashed, "class long, label_key long, n long, x binary, keys binary, buckets array<long>"), "vectors")
     entries = unit.select("class", "label_key", F.octet_length("x").alias("dim"), F.posexplode("buckets").alias("t", "bucket"))
     entries = entries.select("class", "t", F.xxhash64("label_key", "dim", "t", "bucket").alias("bucket"))
-    sizes = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    sizes = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.min("t").alias("t"), F.sum(F.xxhash64("class").cast("decimal(20,0)")).alias("s"), F.bit_xor(F.xxhash64("class")).alias("x")).where("m > 1")
+    sizes = sizes.groupBy("m", "s", "x").agg(F.min_by("bucket", F.struct("t", "bucket")).alias("bucket")).select("bucket", "m")  # one for each set of members
     shared = entries.join(sizes, "bucket").select("class", "t", "bucket", F.ceil(F.col("m") / block).cast("int").alias("nb"))
     shared = shared.withColumn("i", F.pmod(F.xxhash64("class", "t"), F.col("nb")).cast("int"))
     cells = shared.select("class", "t", "bucket", "i", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("j"))
     cells = cells.select("class", "t", F.xxhash64("bucket", F.least("i", "j"), F.greatest("i", "j")).alias("cell"), F.when(F.col("i") == F.col("j"), 2).when(F.col("i") < F.col("j"), 0).otherwise(1).alias("side"))
-    placed = cells.join(unit.select("class", "n", "x", "keys"), "class").select("cell", "t", "side", "class", "n", "x", "keys")
+    placed = cells.join(unit.select("class", "n", "x", "keys"), "class").select("cell", "t", "side", "class", "n", "x", F.expr("substring(keys, 1, 8 * t)").alias("keys"))
 
     def compare(t, side, ids, n, x, keys):
         """One cell: sums of links and a spanning forest."""
@@ -107,7 +114,7 @@ def link_counts(classes: DataFrame, threshold: float, tables: int, depth: int, c
         if t and len(i):
             new = np.ones(len(i), dtype=bool)
             for k in range(0, len(i), 1 << 16):
-                new[k : k + (1 << 16)] = ~(keys[i[k : k + (1 << 16)], :t] == keys[j[k : k + (1 << 16)], :t]).any(axis=1)
+                new[k : k + (1 << 16)] = ~(keys[i[k : k + (1 << 16)]] == keys[j[k : k + (1 << 16)]]).any(axis=1)
             i, j = i[new], j[new]
         if not len(i):
             return None
@@ -140,8 +147,8 @@ def link_counts(classes: DataFrame, threshold: float, tables: int, depth: int, c
             out = []
             for p, q in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
                 if q - p > 1:
-                    vectors = np.frombuffer(b"".join(x[p:q]), dtype=np.float64).reshape(q - p, -1)
-                    marks = np.frombuffer(b"".join(keys[p:q]), dtype=np.uint64).reshape(q - p, -1)
+                    vectors = _unit(np.frombuffer(b"".join(x[p:q]), dtype=element).reshape(q - p, -1).astype(np.float64))
+                    marks = np.frombuffer(b"".join(keys[p:q]), dtype=np.uint64).reshape(q - p, int(t[p]))
                     out += compare(int(t[p]), side[p:q], ids[p:q], n[p:q], vectors, marks) or []
             return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(3)], ["class", "links", "other"])
 
@@ -158,7 +165,7 @@ def link_counts(classes: DataFrame, threshold: float, tables: int, depth: int, c
         if held:
             yield work(pa.Table.from_batches(held).combine_chunks())
 
-    return placed.repartition(F.col("cell")).sortWithinPartitions("cell").mapInArrow(run, "class long, links long, other long")
+    return placed.repartition(F.col("cell")).sortWithinPartitions("cell").mapInArrow(run, "class long, links long, other long"), path
 
 
 def near_components(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD, tables: int = TABLES, depth: int = DEPTH, cell: float = CELL, block: int = BLOCK) -> DataFrame:
@@ -166,7 +173,10 @@ def near_components(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     blocks.bound_batches(vectors.sparkSession)
     own, classes = vector_classes(vectors, id_col, vector_col, label_col)
     classes, _ = blocks.stored(classes, "classes")
-    found, _ = blocks.stored(link_counts(classes, threshold, tables, depth, cell, block), "found")
+    element = np.dtype("f4" if "<float>" in vectors.schema[vector_col].dataType.simpleString() else "f8")
+    found, path = link_counts(classes, element, threshold, tables, depth, cell, block)
+    found, _ = blocks.stored(found, "found")
+    blocks.drop_path(vectors.sparkSession, path)
     parts = components(found.where("other is not null").select(F.col("class").alias("a"), F.col("other").alias("b")))
     linked = classes.select("class", "n", "first_id").join(found.groupBy("class").agg(F.sum("links").alias("links")), "class", "left").join(parts.select(F.col("node").alias("class"), "component"), "class", "left")
     linked = linked.select("class", "first_id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "class").alias("component"))

@@ -415,6 +415,11 @@ def test_near_vectors(spark):
         assert np.mean([got[k]["component_id"] == find(k) for k in got]) > 0.95
         assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got.values())
     assert near_vectors.near_components(table.where("false")).count() == 0
+    # the same vectors in single precision, and a link at recall 1: copies up to a factor
+    single = table.where("vec_id < 500").withColumn("embedding", F.col("embedding").cast("array<float>"))
+    got = {r["vec_id"]: r for r in near_vectors.near_components(single).collect()}
+    assert {got[k]["component_id"] for k in (1, 300, 301, 302, 303, 304, 400)} == {got[1]["component_id"]}
+    assert np.mean([got[k]["component_id"] == find(k) for k in got]) > 0.95
 
 
 # --- 8
