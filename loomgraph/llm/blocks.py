@@ -1,4 +1,4 @@
-"""Array views of text columns: word boundaries, rolling hashes and shared-folder tables.
+"""Array views of text columns: word boundaries, hashes of spans and shared-folder tables.
 
 Every operator of this subpackage that needs Python reads Arrow batches and
 works on whole byte buffers with numpy; nothing here loops over words.
@@ -8,6 +8,7 @@ always whole documents) bound the memory of a task.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import tempfile
 import uuid
@@ -40,45 +41,35 @@ def _mix(x: np.ndarray) -> np.ndarray:
 mix = _mix
 
 
-def table_of(n: int, seed: int = 1) -> np.ndarray:
-    """n fixed pseudo-random 64-bit values."""
-    with np.errstate(over="ignore"):
-        return _mix(np.arange(1, n + 1, dtype=np.uint64) * _U(0x9E3779B97F4A7C15) + _U(seed * 7919))
+#: Spans of at most so many bytes are hashed by lanes, longer ones one by one.
+LANED = 64
+_LANE_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers: dict[str, np.ndarray] = {}
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the bytes data[s:e] of all spans.
 
-
-def _power(kind: str, n: int) -> np.ndarray:
-    if len(_powers.get(kind, ())) < n:
-        size = max(n, SLICE_BYTES + (1 << 16))
-        base = np.full(size, _BASE if kind == "up" else _INVERSE, dtype=np.uint64)
-        base[0] = 1
-        _powers[kind] = np.multiply.accumulate(base)
-    return _powers[kind][:n]
-
-
-def prefix_sums(symbols: np.ndarray) -> np.ndarray:
-    """Sums from which sums_between takes the hash of any span; symbols are 64-bit codes."""
-    n = len(symbols)
-    total = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(symbols * _power("up", n), out=total[1:])
-    return total
-
-
-def sums_between(total: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    return (total[starts + sizes] - total[starts]) * _power("down", len(total))[starts]
-
-
-def span_hashes(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of symbols[s:e] for all spans; symbols are 64-bit codes of characters."""
-    h = sums_between(prefix_sums(symbols), starts, ends - starts)
-    return _mix(h ^ ((ends - starts).astype(np.uint64) * _U(0xD6E8FEB86659FD93)))
+    A span is mixed eight bytes at a time, each lane through a bijection that
+    is not linear, so that no structure of a word cancels out as it does in
+    sums of powers; a span of more than LANED bytes has a BLAKE2b digest.
+    """
+    size = ends - starts
+    lanes = np.ndarray(len(data) + 1, dtype="<u8", buffer=np.concatenate((data, np.zeros(8, dtype=np.uint8))), strides=(1,))
+    out = _mix(lanes[starts] & _LANE_MASKS[np.minimum(size, 8)] ^ _mix(size.astype(np.uint64) * _U(0xD6E8FEB86659FD93)))
+    long = size > LANED
+    for done in range(8, LANED, 8):
+        more = np.flatnonzero((size > done) & ~long)
+        if not len(more):
+            break
+        lane = lanes[starts[more] + done] & _LANE_MASKS[np.minimum(size[more] - done, 8)]
+        out[more] = _mix(out[more] * _U(0x9E3779B97F4A7C15) ^ lane)
+    if long.any():
+        view = memoryview(np.ascontiguousarray(data))
+        at = np.flatnonzero(long)
+        out[at] = [int.from_bytes(hashlib.blake2b(view[s:e], digest_size=8).digest(), "little") for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
+    return out
 
 
-BYTE_CODES = table_of(256)
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 NOT_SPACE = np.ones(256, dtype=bool)
@@ -132,7 +123,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray = NOT
     """Starts, ends, first word of each document and word hashes of a slice."""
     data = LOWER[data] if lower else data
     starts, ends, first = words(data, offsets, is_word)
-    return starts, ends, first, span_hashes(BYTE_CODES[data], starts, ends)
+    return starts, ends, first, span_hashes(data, starts, ends)
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> list[np.ndarray]:

@@ -120,17 +120,54 @@ def suffix_array(ids: np.ndarray, run: np.ndarray, of: np.ndarray, width: int, r
     return suffix, keys
 
 
+_PRIME = (1 << 61) - 1
+_BASE = 0x1E3779B97F4A7C15 % _PRIME
+_U = np.uint64
+
+
+def _fold(x: np.ndarray) -> np.ndarray:
+    """x modulo _PRIME, for x below 2^63."""
+    x = (x & _U(_PRIME)) + (x >> _U(61))
+    return np.where(x >= _U(_PRIME), x - _U(_PRIME), x)
+
+
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo _PRIME, by halves of 31 and 30 bits."""
+    a1, a0, b1, b0 = a >> _U(31), a & _U(0x7FFFFFFF), b >> _U(31), b & _U(0x7FFFFFFF)
+    middle = a0 * b1 + a1 * b0
+    high = _fold(_U(2) * a1 * b1 + (middle >> _U(30)))
+    return _fold(high + _fold(((middle & _U(0x3FFFFFFF)) << _U(31)) + a0 * b0))
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.ones(1, dtype=np.uint64)
+    while len(out) < n:
+        out = np.concatenate((out, _times(out, np.full(len(out), pow(base, len(out), _PRIME), dtype=np.uint64))))
+    return out[:n]
+
+
 class _Spans:
-    """Common lengths of spans of word hashes, by hashes of their prefixes."""
+    """Common lengths of spans of word hashes, by polynomials of their prefixes modulo a prime.
+
+    Modulo a power of two, regular sequences of two words would have equal polynomials.
+    """
 
     def __init__(self, words: np.ndarray):
-        self.sums = blocks.prefix_sums(words)
+        terms = _times(_fold(words >> _U(1)), _powers(_BASE, len(words)))
+        low, high = np.cumsum(terms & _U(0xFFFFFFFF)), np.cumsum(terms >> _U(32))
+        high = _fold(high)
+        sums = _fold(_fold(low) + _times(high, np.full(len(high), 1 << 32, dtype=np.uint64)))
+        self.sums = np.append(_U(0), sums)
+        self.down = _powers(pow(_BASE, -1, _PRIME), len(self.sums))
+
+    def _of(self, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+        return _times(_fold(self.sums[at + size] + (_U(_PRIME) - self.sums[at])), self.down[at])
 
     def common(self, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
         low, high = np.zeros(len(a), dtype=np.int64), most.astype(np.int64)
         while (low < high).any():
             middle = (low + high + 1) >> 1
-            same = blocks.sums_between(self.sums, a, middle) == blocks.sums_between(self.sums, b, middle)
+            same = self._of(a, middle) == self._of(b, middle)
             low, high = np.where(same, middle, low), np.where(same, high, middle - 1)
         return low
 

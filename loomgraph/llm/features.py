@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.blocks import BYTE_CODES, LOWER, remainder, span_hashes
+from loomgraph.llm.blocks import LOWER, remainder, span_hashes
 
 WORD_BYTES = np.zeros(256, dtype=bool)
 WORD_BYTES[0x61:0x7B] = True
@@ -30,19 +30,19 @@ def word_ngrams(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, orders:
     inside = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
     padded[np.repeat(base + 1, length) + inside] = data[np.repeat(starts, length) + inside]
     padded[base + length + 1] = ord("$")
-    codes, grams, owners = BYTE_CODES[padded], [], []
+    grams, owners = [], []
     for n in orders:
         count = np.maximum(length + 3 - n, 0)
         owner = np.repeat(np.arange(len(length), dtype=np.int32), count)
         at = np.repeat(base, count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-        grams.append((span_hashes(codes, at, at + n) >> np.uint64(64 - bits)).astype(np.int32))
+        grams.append((span_hashes(padded, at, at + n) >> np.uint64(64 - bits)).astype(np.int32))
         owners.append(owner)
     return np.concatenate(grams), np.concatenate(owners)
 
 
 def distinct_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
     """Starts and ends of one occurrence of each distinct word, and the word of each occurrence."""
-    _, at, inverse = np.unique(span_hashes(BYTE_CODES[data], starts, ends), return_index=True, return_inverse=True)
+    _, at, inverse = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
     return starts[at], ends[at], inverse
 
 

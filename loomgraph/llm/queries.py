@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import blocks, compaction, decontaminate, jaccard, language, language_model, near_vectors, packing, token_counts, token_files, toxicity
+from loomgraph.llm import blocks, compaction, decontaminate, jaccard, language, language_model, near_vectors, packing, periodic, token_counts, token_files, toxicity
 from loomgraph.llm.blocks import remainder
 
 
@@ -70,6 +70,18 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), "word", end_id=1)
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.periodic_runs(periodic.looped_texts(_table(spark, sf_dir, "documents")))
+    line = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    # the longest run; of equal ones the first, then the shortest period
+    best = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("less"), r["start"].alias("start"), r["period"].alias("period"))))
+    return found.select(
+        "doc_id", "n_words", F.size("runs").cast("long").alias("n_runs"), best["start"].alias("start"), (-best["less"]).alias("length"), best["period"].alias("period"),
+        F.floor(-best["less"] * 1000 / best["period"]).cast("long").alias("exponent_milli"),
+        F.sha2(F.concat(F.array_join(line, "\n"), F.when(F.size("runs") > 0, "\n").otherwise("")), 256).alias("runs_sha256"), F.sha2(F.coalesce("collapsed", F.lit("")), 256).alias("collapsed_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -82,6 +94,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_model": op8_language_model,
         "op9_jaccard": op9_jaccard,
         "op10_packing": op10_packing,
+        "op12_periodic_runs": op12_periodic_runs,
     }
 
 

@@ -104,7 +104,7 @@ def frequency_blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: i
             data, offsets, _ = blocks.buffer_of(batch.column(1))
             for i, j in blocks.slices(offsets, block_bytes):
                 flat, starts, ends, first = pre_tokens(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                _, at, token = np.unique(blocks.span_hashes(blocks.BYTE_CODES[flat], starts, ends), return_index=True, return_inverse=True)
+                _, at, token = np.unique(blocks.span_hashes(flat, starts, ends), return_index=True, return_inverse=True)
                 doc = np.repeat(np.arange(j - i), np.diff(first))
                 own, times = np.unique(doc * max(len(at), 1) + token, return_counts=True)
                 sizes = np.bincount(own // max(len(at), 1), minlength=j - i)
@@ -132,7 +132,7 @@ def piece_numbers(stored: DataFrame, path: str, deals: int) -> DataFrame:
             for k in range(batch.num_rows):  # one at a time: a row is a block
                 block, lengths, words = (batch.column(c)[k].as_py() for c in range(3))
                 data, starts, ends = _words(lengths, words)
-                to = ((blocks.span_hashes(blocks.BYTE_CODES[data], starts, ends) >> _U(32)) * _U(deals)) >> _U(32)
+                to = ((blocks.span_hashes(data, starts, ends) >> _U(32)) * _U(deals)) >> _U(32)
                 cut = np.searchsorted(to, np.arange(deals + 1, dtype=np.uint64))  # hashes are sorted
                 rows = [(d, block, squeeze((ends - starts)[cut[d] : cut[d + 1]].astype(np.uint32)), zstandard.compress(data[starts[cut[d]] : ends[cut[d + 1] - 1]].tobytes(), 3)) for d in np.flatnonzero(np.diff(cut)).tolist()]
                 if rows:
@@ -149,7 +149,7 @@ def piece_numbers(stored: DataFrame, path: str, deals: int) -> DataFrame:
         shift = np.cumsum([0, *(len(x[1]) for x in held)])
         data = np.concatenate([x[1] for x in held])
         starts, ends = (np.concatenate([x[c] + s for x, s in zip(held, shift[:-1], strict=True)]) for c in (2, 3))
-        _, at, token = np.unique(blocks.span_hashes(blocks.BYTE_CODES[data], starts, ends), return_index=True, return_inverse=True)
+        _, at, token = np.unique(blocks.span_hashes(data, starts, ends), return_index=True, return_inverse=True)
         whole = data.tobytes()
         pieces = piece_counts(path, [whole[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])[token]
         cut = np.cumsum([0, *(len(x[2]) for x in held)]).tolist()

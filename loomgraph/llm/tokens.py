@@ -15,7 +15,7 @@ import os
 
 import numpy as np
 
-from loomgraph.llm.blocks import span_hashes, table_of
+from loomgraph.llm.blocks import span_hashes
 
 _LETTER, _DIGIT, _SPACE, _OTHER, _UNSAFE = 1, 2, 3, 4, 5
 _TOP = 0x2100
@@ -36,7 +36,6 @@ def _classes() -> np.ndarray:
 
 
 _CLASS = _classes()
-_CODES = table_of(_TOP, 5)
 _LOWER = np.array([ord(chr(c).lower()) if _CLASS[c] == _LETTER and len(chr(c).lower()) == 1 else c for c in range(_TOP)], dtype=np.uint32)
 for _c in range(_TOP):  # a lower case outside the safe set
     if _LOWER[_c] >= _TOP or _CLASS[_LOWER[_c]] == _UNSAFE:
@@ -137,7 +136,7 @@ class PretokenEncoder:
             keep &= cls[starts] != _SPACE
         first = np.concatenate(([0], np.cumsum(keep)))[np.searchsorted(starts, edges)]
         starts, ends = starts[keep], ends[keep]
-        keys, where, inverse = np.unique(span_hashes(_CODES[small], starts, ends), return_index=True, return_inverse=True)
+        keys, where, inverse = np.unique(span_hashes(small.astype("<u2").view(np.uint8), 2 * starts, 2 * ends), return_index=True, return_inverse=True)
         got = self._lookup(keys.tolist(), starts[where], ends[where], text)
         size = np.fromiter(map(len, got), dtype=np.int64, count=len(got)) // 4
         flat = np.frombuffer(b"".join(got), dtype="<u4")

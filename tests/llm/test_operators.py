@@ -16,6 +16,14 @@ DDL = "doc_id long, text string, lang string, source string, score double, class
 UPPER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
 
+def twins(size=10):
+    """Two different sequences of 2^size letters whose sums with powers of any base are equal modulo 2^64 from size 10 on."""
+    one = "a"
+    for _ in range(size):
+        one += one.translate(str.maketrans("ab", "ba"))
+    return one, one.translate(str.maketrans("ab", "ba"))
+
+
 def texts():
     rng = np.random.default_rng(5)
     words = [f"w{k}" for k in range(400)]
@@ -29,6 +37,7 @@ def texts():
             for at in rng.choice(60, int(rng.integers(1, 4)), replace=False):
                 x[at] = f"x{rng.integers(1 << 30)}"
             out.append(" ".join(x))
+    out += [*twins(), *(" ".join(["x", w, "y"] * 5) for w in twins(11)), *(" ".join(w) for w in twins(11))]
     hot = " ".join(f"h{k}" for k in range(50))
     out += [hot + " " + " ".join(rng.choice(words, 12)) for _ in range(60)]  # a passage that many share
     out += [hot + f" tail{k}" for k in range(40)]  # and near copies of it
@@ -71,6 +80,21 @@ def test_packed_integers():
         assert (blocks.spread(blocks.squeeze(x), x.dtype) == x).all()
 
 
+def test_hashes_of_structured_spans_differ():
+    for size in (3, 6, 9, 10, 12):
+        a, b = twins(size)
+        data = np.frombuffer(f"{a} {b} {a}".encode(), np.uint8)
+        _, _, _, h = blocks.word_hashes(data, np.array([0, len(data)]))
+        assert h[0] == h[2] != h[1]
+        _, _, _, h = blocks.word_hashes(np.frombuffer(" ".join(a + b).encode(), np.uint8), np.array([0, 2 * len(a + b) - 1]))
+        same = next(k for k in range(len(a)) if a[k] != b[k])
+        assert decontaminate._Spans(h).common(np.array([0, 0]), np.array([len(a), 0]), np.array([len(a), 5])).tolist() == [same, 5]
+    every = [bytes([65 + k]) * n for k in range(5) for n in range(1, 200)]
+    ends = np.cumsum([len(x) for x in every])
+    h = blocks.span_hashes(np.frombuffer(b"".join(every), np.uint8), ends - [len(x) for x in every], ends)
+    assert len(set(h.tolist())) == len(every)
+
+
 def test_word_boundaries():
     data = np.frombuffer(b"ab c d", np.uint8)
     starts, ends, first = blocks.words(data, np.array([0, 1, 1, 6]), blocks.NOT_SPACE)
@@ -154,7 +178,7 @@ def _plain_words(text):
 
 def test_decontamination(spark, docs, rows, none):
     own = [t for _, t, *_ in rows if t]
-    items = [("b", own[9][4000:4200]), ("a", own[20]), ("a", "nothing like it"), ("short", "Two, WORDS"), ("empty", "!!!"), ("null", None), (None, own[25])]
+    items = [("b", own[9][4000:4200]), ("a", own[20]), ("a", "nothing like it"), ("short", "Two, WORDS"), ("empty", "!!!"), ("null", None), (None, own[25]), ("twin", " ".join(["x", twins(11)[0], "y"] * 5))]
     bench = spark.createDataFrame(items, "item_id string, text string")
     want = {}
     for k, text, *_ in rows:
