@@ -65,12 +65,12 @@ def linear_machine(x: np.ndarray, positive: np.ndarray, c: float = 10.0, rounds:
     return (alpha * y) @ x, float((alpha * y).sum())
 
 
-def bounded_sample(rows: DataFrame, id_col: str, by: str, per_class: int, folds: int = 5) -> tuple[list, dict]:
+def bounded_sample(rows: DataFrame, id_col: str, by: str, per_class: int, folds: int = 5, fold: int = 0) -> tuple[list, dict]:
     """Ids and classes of at most per_class rows of each class outside the held-out fold, by the order of a hash of the id; all sizes.
 
     A hash threshold from the class sizes bounds what comes to the driver.
     """
-    rows = rows.where(F.col(by).isNotNull() & (remainder(id_col, folds) != 0)).select(F.col(id_col).alias("id"), F.col(by).alias("y"))
+    rows = rows.where(F.col(by).isNotNull() & (remainder(id_col, folds) != fold)).select(F.col(id_col).alias("id"), F.col(by).alias("y"))
     sizes = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     keep = F.lit(False)
     for y, n in sizes.items():

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import blocks, compaction, decontaminate, jaccard, language, language_model, near_vectors, packing, periodic, token_counts, token_files, toxicity
+from loomgraph.llm import blocks, compaction, decontaminate, jaccard, language, language_model, near_vectors, packing, periodic, quality, token_counts, token_files, toxicity
 from loomgraph.llm.blocks import remainder
 
 
@@ -82,6 +82,12 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = quality.train(docs, _table(spark, sf_dir, "labels"))
+    return _held_out(quality.score(docs, model), 3, 1).select("doc_id", "held_out", "score", "predicted", "n_passages", "attention")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -95,6 +101,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_jaccard": op9_jaccard,
         "op10_packing": op10_packing,
         "op12_periodic_runs": op12_periodic_runs,
+        "op13_quality": op13_quality,
     }
 
 
