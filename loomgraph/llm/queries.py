@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import blocks, compaction, decontaminate, jaccard, language, language_model, near_vectors, packing, periodic, quality, token_counts, token_files, toxicity
+from loomgraph.llm import blocks, compaction, decontaminate, hard_negatives, jaccard, language, language_model, near_vectors, packing, periodic, quality, token_counts, token_files, toxicity
 from loomgraph.llm.blocks import remainder
 
 
@@ -70,6 +70,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), "word", end_id=1)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turned = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label=turned)
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = periodic.periodic_runs(periodic.looped_texts(_table(spark, sf_dir, "documents")))
     line = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
@@ -88,6 +93,25 @@ def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _held_out(quality.score(docs, model), 3, 1).select("doc_id", "held_out", "score", "predicted", "n_passages", "attention")
 
 
+HARD_NEGATIVES_SQL = """
+WITH v AS MATERIALIZED (
+    SELECT vec_id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS x
+    FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+s AS MATERIALIZED (
+    SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, CAST(list_inner_product(a.x, b.x) AS BIGINT) AS score
+    FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+),
+p AS (SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5),
+n AS (
+    SELECT p.*, s.other_id AS negative_id, s.score AS negative_score,
+        CAST(row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.other_id) AS INTEGER) AS rank
+    FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 80 * positive_score <= 100 * s.score AND s.score <= positive_score
+)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -100,6 +124,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_model": op8_language_model,
         "op9_jaccard": op9_jaccard,
         "op10_packing": op10_packing,
+        "op11_hard_negatives": op11_hard_negatives,
         "op12_periodic_runs": op12_periodic_runs,
         "op13_quality": op13_quality,
     }
@@ -109,4 +134,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         # the compacted shards hold each row once, unchanged
         "op4_compaction": "SELECT doc_id, lang, source, n_chars, CAST(strlen(text) AS BIGINT) AS n_bytes, md5(text) AS text_md5 FROM documents",
+        "op11_hard_negatives": HARD_NEGATIVES_SQL,
     }
