@@ -142,20 +142,24 @@ Candidates = dict[int, tuple[str, str, str]]
 
 
 def _line_choice(text: str, stated: dict, known: Candidates) -> Action:
-    """The first line that is STOP or begins with ``[n] (``."""
-    for line in text.splitlines():
-        if _word(line) == STOP:
-            return STOP
-        if (m := _NUMBERED.match(line)) and int(m[1]) in known:
-            return int(m[1])
-    return None
+    """The first line, if it is STOP or begins with ``[n] (``."""
+    line = next(iter(text.splitlines()), "").strip()
+    if line.upper() == STOP:
+        return STOP
+    m = _NUMBERED.match(line)
+    return int(m[1]) if m and int(m[1]) in known else None
+
+
+def _id(value) -> int | None:
+    """An agent's id: an integer, or digits in a string."""
+    return None if isinstance(value, float | bool) else _number(value)
 
 
 def _object_choice(text: str, stated: dict, known: Candidates) -> Action:
     """STOP or the id of the first object."""
     if _word(stated.get("action")) == STOP:
         return STOP
-    number = _number(stated.get("triple_id"))
+    number = _id(stated.get("triple_id"))
     return number if _word(stated.get("action")) == ADD and number in known else None
 
 
@@ -176,7 +180,7 @@ def _token_choice(text: str, stated: dict, known: Candidates) -> Action:
 
 def _missing_choice(text: str, stated: dict, known: Candidates) -> Action:
     """An id that is no candidate ends the selection."""
-    return STOP if _word(stated.get("action")) == ADD and _number(stated.get("triple_id")) is not None else None
+    return STOP if _word(stated.get("action")) == ADD and _id(stated.get("triple_id")) is not None else None
 
 
 def agent_action(text: str, candidates: Candidates) -> Action:

@@ -42,10 +42,16 @@ def alignment_counts(results: DataFrame, raw: DataFrame) -> DataFrame:
 
 
 def label_flags(candidates: DataFrame, labels: DataFrame) -> DataFrame:
-    """candidates with is_direct, is_bridge, is_weak; a label row without kind counts as bridge."""
+    """candidates with is_direct, is_bridge, is_weak.
+
+    A label without a kind counts for nothing, unless it is a triple alone
+    (boolean column bare, where labels have one): that is a bridge.
+    """
     known = labels.where(F.col("head").isNotNull() & F.col("relation").isNotNull() & F.col("tail").isNotNull())
+    if "bare" in labels.columns:
+        known = known.withColumn("label", F.when(F.col("bare"), "bridge").otherwise(F.col("label")))
     kinds = dict(zip(LABELS, ("is_direct", "is_bridge", "is_weak"), strict=True))
-    found = known.groupBy(KEY, *TRIPLE).agg(*[F.max(F.coalesce("label", F.lit("bridge")) == k).alias(c) for k, c in kinds.items()])
+    found = known.where(F.col("label").isin(*kinds)).groupBy(KEY, *TRIPLE).agg(*[F.max(F.col("label") == k).alias(c) for k, c in kinds.items()])
     out = candidates.join(found, [KEY, *TRIPLE], "left")
     return out.select(*candidates.columns, *[F.coalesce(c, F.lit(False)).alias(c) for c in kinds.values()])
 

@@ -46,9 +46,9 @@ def render(samples: DataFrame, triples: DataFrame, mode: str, system: str = "",
     m = Mode.parse(mode)
     rows = triples
     if m.kind == "rog":
+        if m.distinct_ends:  # within each list: a scored triple between the ends of a good one stays
+            rows = ranking.drop_same_ends(rows, within=("good",))
         rows = rows.withColumn("rank", F.row_number().over(ranking.W.partitionBy(KEY).orderBy(F.col("good").desc(), "rank")))
-        if m.distinct_ends:
-            rows = ranking.drop_same_ends(rows)
     if m.kind == "scored" and threshold:
         rows = rows.where(F.col("score") >= threshold)
     if m.kind == "rand":
@@ -69,28 +69,88 @@ def render(samples: DataFrame, triples: DataFrame, mode: str, system: str = "",
     return out.select(KEY, user.alias("user_query"), F.concat_ws("\n\n", F.lit(system), *pair).alias("all_query"))
 
 
-def selection_prompt(question: Column, candidates: Column, selected: Column, rules: str = "") -> Column:
-    """Candidates (idx, head, relation, tail), question, and the state as JSON: selected and remaining ids and the nodes reached."""
-    chosen = F.filter(candidates, lambda c: F.array_contains(selected, c["idx"]))
-    rest = F.filter(candidates, lambda c: ~F.array_contains(selected, c["idx"]))
-    nodes = F.array_sort(F.array_distinct(F.flatten(F.transform(chosen, lambda c: F.array(c["head"], c["tail"])))))
-    lines = F.array_join(F.transform(candidates, lambda c: text.indexed_text(c["idx"], c["head"], c["relation"], c["tail"])), "\n")
-    ids = lambda x: F.transform(x, lambda c: c["idx"])
-    state = F.to_json(F.struct(ids(chosen).alias("selected"), ids(rest).alias("remaining"), nodes.alias("current_nodes")))
-    return F.concat_ws("\n\n", F.concat(F.lit("Candidates:\n"), lines), F.concat(F.lit("Question: "), text.question_mark(question)), F.concat(F.lit("State: "), state), F.lit(rules))
+#: Texts and keys that agents are trained on. Fixed values.
+AGENT_SYSTEM = """You are a knowledge-graph action agent.
+Output exactly one JSON action and nothing else.
 
+Allowed outputs:
+{"action":"ADD_TRIPLE","triple_id":<id>}
+{"action":"STOP"}
 
-def messages(system: Column | str, user: Column, assistant: Column) -> Column:
-    """A training record; only the assistant's message carries loss."""
-    return F.array(*[F.struct(F.lit(r).alias("role"), (F.lit(c) if isinstance(c, str) else c).alias("content"), F.lit(w).alias("loss_weight")) for r, c, w in (("system", system, 0.0), ("user", user, 0.0), ("assistant", assistant, 1.0))])
+Rules:
+- Use only provided candidate triples.
+- Do not invent IDs or actions.
+- No explanation."""
+AGENT_INSTRUCTION = """Choose the best next action.
 
+Priority:
+1. semantic match
+2. direct answer
+3. connectivity unless intermediate expansion is required
+4. no repeated triple
+5. STOP only if no candidate improves progress"""
+STOP_RULE = "Output STOP only when no remaining candidate triple can improve answer coverage or connectivity."
+ENVIRONMENT_INSTRUCTION = """You are acting in an interactive KG environment.
+Given the current observation, output exactly one JSON action and nothing else.
+Valid outputs: {"action":"ADD_TRIPLE","triple_id":<id>} or {"action":"STOP"}."""
 
-def conversation(user: Column, system: str, example: tuple[str, str] | None = None) -> Column:
-    """System message, an example pair if there is one, the user's message."""
-    turns = [("system", F.lit(system))]
-    if example:
+
+def json_list(texts: Column) -> Column:
+    """A list of texts as JSON with a blank after each comma."""
+    quoted = F.transform(texts, lambda x: F.regexp_replace(F.to_json(F.array(x)), r"^\[|\]$", ""))
+    return F.concat(F.lit("["), F.array_join(quoted, ", "), F.lit("]"))
+
+
+def selection_state(candidates: Column, selected: Column, topics: Column) -> tuple[Column, Column]:
+    """(remaining candidates as numbered lines, the state as JSON) after some of the candidates (idx, head, relation, tail) were selected.
+
+    The state has the selected lines in the order of the candidates, and the topics and the ends of selected triples, sorted.
+    """
+    numbered = lambda c: text.indexed_text(c["idx"], c["head"], c["relation"], c["tail"])
+    taken = lambda c: F.array_contains(selected, c["idx"])
+    chosen, rest = F.filter(candidates, taken), F.filter(candidates, lambda c: ~taken(c))
+    ends = F.flatten(F.transform(chosen, lambda c: F.array(c["head"], c["tail"])))
+    nodes = F.array_sort(F.array_union(F.coalesce(topics, F.array().cast("array<string>")), ends))
+    state = F.concat(F.lit('{"selected_triples": '), json_list(F.transform(chosen, numbered)), F.lit(', "current_nodes": '), json_list(nodes), F.lit("}"))
+    return F.transform(rest, numbered), state
+
+
+def selection_prompt(question: Column, candidates: Column, selected: Column, topics: Column, stop_rule: str = STOP_RULE) -> Column:
+    """The candidates that remain, or (none), the question, the state, and the rules."""
+    rest, state = selection_state(candidates, selected, topics)
+    asked = F.trim(F.coalesce(question, F.lit("")))
+    asked = F.when(asked == "", asked).otherwise(text.question_mark(asked))
+    shown = F.filter(rest, lambda x: F.trim(x) != "")
+    lines = F.when(F.size(shown) > 0, F.array_join(shown, "\n")).otherwise("(none)")
+    return F.concat(F.lit("Candidate Triples:\n"), lines, F.lit("\n\nQuestion:\n"), asked, F.lit("\n\nstate:\n"), state, F.lit("\n\nAction Rules:\n- Do not repeat triples\n- " + stop_rule))
+
+
+def observation(question: Column, candidates: Column, selected: Column, topics: Column, stop_rule: str = STOP_RULE) -> Column:
+    """What an interactive environment shows of the same state: one JSON object."""
+    rest, state = selection_state(candidates, selected, topics)
+    one = lambda x: F.regexp_replace(F.to_json(F.array(F.coalesce(x, F.lit("")))), r"^\[|\]$", "")
+    rules = F.concat(F.lit('{"allow_stop": true, "do_not_repeat_triples": true, "stop_condition": '), one(F.lit(stop_rule)), F.lit("}"))
+    first = F.when(F.size(topics) > 0, F.get(topics, F.lit(0)))
+    return F.concat(F.lit('{"question": '), one(question), F.lit(', "topic_entity": '), one(first), F.lit(', "state": '), state, F.lit(', "candidate_triples": '), json_list(rest), F.lit(', "action_rules": '), rules, F.lit("}"))
+
+
+def messages(system: Column | str, user: Column, assistant: Column, instruction: str = "") -> Column:
+    """A training record, without a system message if that is empty; only the assistant's message carries loss."""
+    if instruction:
+        user = F.when(F.coalesce(user, F.lit("")) == "", F.lit(instruction)).otherwise(F.concat(F.lit(instruction + "\n"), user))
+    turns = [("system", system, 0.0), ("user", user, 0.0), ("assistant", assistant, 1.0)]
+    return F.array(*[F.struct(F.lit(r).alias("role"), (F.lit(c) if isinstance(c, str) else c).alias("content"), F.lit(w).alias("loss_weight")) for r, c, w in turns if not (isinstance(c, str) and not c)])
+
+
+def conversation(user: Column, system: str = "", example: tuple[str, str] | None = None, mode: str = "sys_icl") -> Column:
+    """The messages of a chat, by substrings of mode: sys for the system message (where there is one) and the user's, icl for an example pair."""
+    turns = [("system", F.lit(system))] if "sys" in mode and system else []
+    if "icl" in mode and example:
         turns += [("user", F.lit(example[0])), ("assistant", F.lit(example[1]))]
-    return F.array(*[F.struct(F.lit(r).alias("role"), c.alias("content")) for r, c in [*turns, ("user", user)]])
+    turns += [("user", user)] if "sys" in mode else []
+    if not turns:
+        return F.array().cast("array<struct<role:string,content:string>>")
+    return F.array(*[F.struct(F.lit(r).alias("role"), c.alias("content")) for r, c in turns])
 
 
 class Generator(Protocol):

@@ -39,9 +39,10 @@ def first_distinct(rows: DataFrame, k: int, order: str = "triple_id") -> DataFra
     return first.withColumn("idx", F.row_number().over(W.partitionBy(KEY).orderBy(order)).cast("int")).where(F.col("idx") <= k)
 
 
-def drop_same_ends(rows: DataFrame, rank: str = "rank") -> DataFrame:
-    """The first triple of each unordered pair of ends."""
-    return rows.groupBy(KEY, F.least("head", "tail").alias("_a"), F.greatest("head", "tail").alias("_b")).agg(F.min_by(F.struct(*[c for c in rows.columns if c != KEY]), rank).alias("_r")).select(KEY, "_r.*")
+def drop_same_ends(rows: DataFrame, rank: str = "rank", within: tuple[str, ...] = ()) -> DataFrame:
+    """The first triple of each unordered pair of ends, of a sample or of each of its lists."""
+    kept = F.struct(*[c for c in rows.columns if c not in (KEY, *within)])
+    return rows.groupBy(KEY, *within, F.least("head", "tail").alias("_a"), F.greatest("head", "tail").alias("_b")).agg(F.min_by(kept, rank).alias("_r")).select(KEY, *within, "_r.*")
 
 
 def prefix_budget(path_triples: DataFrame, k: int) -> DataFrame:

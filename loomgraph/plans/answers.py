@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomgraph.functions import scores, text
-from loomgraph.operators import episodes, joins, metrics, models, prompts, ranking
+from loomgraph.operators import episodes, joins, metrics, models, prompts, ranking, rollouts
 from loomgraph.plans.registry import query
 from loomgraph.plans.retrieval import _DISTINCT, _EXAMPLES, _FIRST, _SCORED, _SOFT, KEY, TRIPLE, pairwise, soft_rows
 from loomgraph.sources.views import Views
@@ -255,13 +255,57 @@ def _(v: Views) -> DataFrame:
     return prompts.render(samples, ranking.top_distinct(v.scored, 500), "scored_5_rev").join(v.edges.select(KEY).distinct(), KEY, "left_semi").select(KEY, F.md5("user_query").alias("user_query"))
 
 
-@query("k2_records", "K2 K3", f"WITH {_FIRST} SELECT sample_id, count(*) AS n_candidates, 3::INT AS n_messages FROM cand WHERE idx <= 20 GROUP BY 1")
+def evidence(v: Views) -> DataFrame:
+    """The triples of gold paths, in their order, and the best scored ones, as two lists (good or not) of each sample."""
+    place = F.row_number().over(W.partitionBy(KEY).orderBy("path", "place"))
+    good = v.view("gold_path").select(KEY, *TRIPLE, place.alias("rank"), F.lit(1.0).alias("score"), F.lit(True).alias("good"))
+    return good.unionByName(ranking.top_distinct(v.scored, 500).select(KEY, *TRIPLE, "rank", "score", F.lit(False).alias("good")))
+
+
+_MODES = ("rog_8", "rog_8_rmht", "rog_6_rmht_firstq", "scored_7_firstq", "noevi", "noevi_firstq")
+_SHOWN = "coalesce(string_agg('(' || head || ',' || relation || ',' || tail || ')', chr(10) ORDER BY idx), '')"
+
+
+def _mode_sql(mode: str) -> str:
+    """SELECT (sample_id, mode, user_query) of a mode, from ev (sample_id, good, o, triple) and q (sample_id, q)."""
+    kind, *rest = mode.split("_")
+    k = int(rest[0]) if kind != "noevi" else 0
+    good = "" if kind == "rog" else "WHERE good = 1"  # good is 0 for path triples: they come first
+    ends = "QUALIFY row_number() OVER (PARTITION BY sample_id, good, least(head, tail), greatest(head, tail) ORDER BY o) = 1" if "rmht" in mode else ""
+    lines = f"SELECT sample_id, {_SHOWN} AS t FROM (SELECT sample_id, head, relation, tail, row_number() OVER (PARTITION BY sample_id ORDER BY min((good, o))) AS idx FROM (SELECT * FROM ev {good} {ends}) GROUP BY 1, 2, 3, 4 QUALIFY idx <= {k}) GROUP BY 1"
+    parts = ["q", "'Triplets:' || chr(10) || coalesce(t, '')" if kind != "noevi" else "''"]
+    text = " || chr(10) || chr(10) || ".join(parts if "firstq" in mode else parts[::-1]) if mode != "noevi" else "q"
+    return f"SELECT q.sample_id, '{mode}' AS mode, md5({text}) AS user_query FROM q LEFT JOIN ({lines}) USING (sample_id)"
+
+
+@query("k1_modes", "K1", f"WITH {_DISTINCT}, ev AS MATERIALIZED (SELECT sample_id, head, relation, tail, 0 AS good, row_number() OVER (PARTITION BY sample_id ORDER BY path, place) AS o FROM gold_path UNION ALL SELECT sample_id, head, relation, tail, 1, rank FROM top WHERE rank < 500), q AS (SELECT sample_id, 'Question:' || chr(10) || 'brands of ' || node || '?' AS q FROM topic) " + " UNION ALL ".join(map(_mode_sql, _MODES)))
+def _(v: Views) -> DataFrame:
+    from functools import reduce
+
+    samples = v.topics.select(KEY, F.concat(F.lit("brands of "), "node").alias("question"))
+    rows = evidence(v)
+    shown = [prompts.render(samples, rows if m.startswith("rog") else rows.where("not good"), m).select(KEY, F.lit(m).alias("mode"), F.md5("user_query").alias("user_query")) for m in _MODES]
+    return reduce(DataFrame.unionByName, shown)
+
+
+_JSON = "'[' || coalesce(string_agg('\"' || {} || '\"', ', ' ORDER BY {}), '') || ']'"
+_LINE = "idx::VARCHAR || '|' || head || '|' || relation || '|' || tail"
+
+
+@query("k2_records", "K2 K3 B8", f"""WITH {_FIRST}, c AS (SELECT * FROM cand WHERE idx <= 20), s AS (SELECT * FROM c WHERE idx % 5 = sample_id % 7), r AS (SELECT c.* FROM c ANTI JOIN s USING (sample_id, idx)),
+n AS (SELECT sample_id, head AS x FROM s UNION SELECT sample_id, tail FROM s UNION SELECT sample_id, node FROM topic),
+a AS (SELECT sample_id, string_agg({_LINE}, chr(10) ORDER BY idx) AS lines FROM r GROUP BY 1), b AS (SELECT sample_id, {_JSON.format(_LINE, 'idx')} AS chosen FROM s GROUP BY 1), d AS (SELECT sample_id, {_JSON.format('x', 'x')} AS nodes FROM n GROUP BY 1),
+u AS (SELECT c.sample_id, {{instruction}} || chr(10) || 'Candidate Triples:' || chr(10) || coalesce(any_value(lines), '(none)') || chr(10) || chr(10) || 'Question:' || chr(10) || 'which brands?' || chr(10) || chr(10) || 'state:' || chr(10) || '{{{{"selected_triples": ' || coalesce(any_value(chosen), '[]') || ', "current_nodes": ' || any_value(nodes) || '}}}}' || chr(10) || chr(10) || 'Action Rules:' || chr(10) || '- Do not repeat triples' || chr(10) || '- ' || {{rule}} AS body FROM c LEFT JOIN a USING (sample_id) LEFT JOIN b USING (sample_id) JOIN d USING (sample_id) GROUP BY 1)
+SELECT sample_id, md5(body) AS user_content, md5({{system}} || body || '{{{{"action":"STOP"}}}}') AS record, 4::INT AS n_turns FROM u""".format(**{k: "'" + x.replace("'", "''") + "'" for k, x in (("instruction", prompts.AGENT_INSTRUCTION), ("rule", prompts.STOP_RULE), ("system", prompts.AGENT_SYSTEM))}))
 def _(v: Views) -> DataFrame:
     rows = ranking.first_distinct(v.edges, 20).groupBy(KEY).agg(F.sort_array(F.collect_list(F.struct("idx", *TRIPLE))).alias("c"))
-    shown = prompts.selection_prompt(F.lit("which brands"), F.col("c"), F.array(F.lit(1), F.lit(2)))
-    out = rows.withColumn("m", prompts.messages("select triples", shown, F.to_json(F.struct(F.lit("STOP").alias("action")))))
-    lines = F.regexp_count(F.get("m", F.lit(1))["content"], F.lit(r"(?m)^\d+\|"))
-    return out.select(KEY, lines.cast("long").alias("n_candidates"), F.size("m").alias("n_messages"))
+    rows = rows.join(v.topics.groupBy(KEY).agg(F.collect_list("node").alias("topics")), KEY)
+    chosen = F.filter(F.transform("c", lambda c: c["idx"]), lambda i: i % 5 == F.col(KEY) % 7)
+    shown = prompts.selection_prompt(F.lit("which brands"), F.col("c"), chosen, F.col("topics"))
+    stop = F.to_json(F.struct(F.lit("STOP").alias("action")))
+    out = rows.withColumn("m", prompts.messages(prompts.AGENT_SYSTEM, shown, stop, prompts.AGENT_INSTRUCTION))
+    out = out.withColumn("chat", prompts.conversation(F.get("m", F.lit(1))["content"], prompts.AGENT_SYSTEM, ("example", "STOP")))
+    return out.select(KEY, F.md5(F.get("m", F.lit(1))["content"]).alias("user_content"), F.md5(F.array_join(F.transform("m", lambda m: m["content"]), "")).alias("record"), F.size("chat").alias("n_turns"))
 
 
 @query("k4_generation", "K4 K5 K6 U3 A20", None)
@@ -294,6 +338,41 @@ def _(v: Views) -> DataFrame:
     return episodes.machine_runs(v.view("episode_turn"), truths(v))
 
 
+def scripted_agent(prompts_: list[str], draws: list[int]) -> list[str]:
+    """A deterministic stand-in: by the number in the question it repeats itself, says nothing, names what isn't there, or takes the next candidate, four or all."""
+    out = []
+    for p in prompts_:
+        kind = int(p.split("brands of S")[1].split("?")[0]) % 5
+        first = p.split("Candidate Triples:\n")[1].split("|", 1)[0]
+        chosen = p.split('"selected_triples": [')[1].split('], "current_nodes"')[0].count("|") // 3
+        stop = not first.isdigit() or kind == 3 and chosen == 4
+        said = {0: "[1] (the first)", 1: "no idea", 2: '{"action": "ADD_TRIPLE", "triple_id": 100000}'}.get(kind) or ("STOP" if stop else f'{{"action": "ADD_TRIPLE", "triple_id": {first}}}')
+        out.append(said)
+    return out
+
+
+def rollout_samples(v: Views, k: int = 100) -> DataFrame:
+    """(sample_id, question, candidates, topics): the first k distinct triples of each sample."""
+    lists = ranking.first_distinct(v.edges, k).groupBy(KEY).agg(F.sort_array(F.collect_list(F.struct("idx", *TRIPLE))).alias("candidates"))
+    topics = v.topics.groupBy(KEY).agg(F.sort_array(F.collect_list("node")).alias("topics"))
+    return lists.join(topics, KEY).select(KEY, F.concat(F.lit("brands of "), F.get("topics", F.lit(0))).alias("question"), "candidates", "topics")
+
+
+@query("s1_rollouts", "S1 K7 H9 G6", f"""WITH {_FIRST}, n AS (SELECT sample_id, least(count(*), 100) AS n, sample_id % 5 AS kind FROM cand GROUP BY 1), r AS (SELECT unnest([0, 1]) AS rollout),
+e AS (SELECT sample_id, rollout, n, kind, CASE kind WHEN 0 THEN 1 WHEN 3 THEN least(n, 4) WHEN 4 THEN least(n, 6) ELSE 0 END AS chosen FROM n CROSS JOIN r)
+SELECT sample_id, rollout::INT AS rollout, array_to_string(range(1, chosen + 1), ',') AS selected, CASE kind WHEN 0 THEN 4 WHEN 3 THEN chosen + 1 WHEN 4 THEN least(n + 1, 6) ELSE 1 END::INT AS n_steps,
+    CASE kind WHEN 0 THEN 'stalled_after_duplicate' WHEN 1 THEN 'parse_none' WHEN 2 THEN 'stop' WHEN 3 THEN 'stop' ELSE CASE WHEN n < 6 THEN 'stop' ELSE 'max_steps' END END AS done_reason, CASE kind WHEN 0 THEN 3 ELSE 0 END::INT AS duplicates,
+    CASE WHEN rollout = 0 THEN array_to_string(range(1, chosen + 1), ',') END AS together
+FROM e""")
+def _(v: Views) -> DataFrame:
+    """Two rollouts of every sample with the scripted agent, and what they have together beside the first."""
+    found = rollouts.Rollouts(rollout_samples(v), scripted_agent, n_rollouts=2, max_steps=6, max_stalled=3).run()
+    text_of = lambda c: F.array_join(F.transform(c, lambda i: i.cast("string")), ",")
+    both = ranking.rollout_union(rollouts.selections(found)).groupBy(KEY).agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "idx"))), lambda s: s["idx"]).alias("ids"))
+    out = found.join(both, KEY, "left").withColumn("together", F.when(F.col("rollout") == 0, F.coalesce(text_of(F.col("ids")), F.lit(""))))
+    return out.select(KEY, "rollout", text_of(F.col("selected")).alias("selected"), "n_steps", "done_reason", "duplicates", "together")
+
+
 @query("s2_stream_events", "S2 U2", None)
 def _(v: Views) -> DataFrame:
     from loomgraph.streaming.episodes import episode_events

@@ -427,8 +427,13 @@ def _(v: Views) -> DataFrame:
     return ranking.first_over(rows, "q", 60)
 
 
-@query("f10_rebuilt", "F10 A18", f"""WITH {_DISTINCT}, sel AS (SELECT DISTINCT sample_id, head, relation, tail FROM gold_label WHERE label = 'direct_support'), pool AS (SELECT * FROM top WHERE rank < 150), a AS (SELECT sample_id, head, relation, tail, 0 AS g, row_number() OVER (PARTITION BY sample_id ORDER BY tail) AS o FROM sel UNION ALL SELECT p.sample_id, p.head, p.relation, p.tail, 1, p.rank FROM pool p ANTI JOIN sel s USING (sample_id, head, relation, tail)), k AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY g, o) - 1 AS rank FROM a)
-SELECT k.sample_id, CAST(k.rank AS INT) AS rank, k.tail, round(CASE WHEN g = 0 THEN greatest(1.0 - k.rank * 0.001, 0.9) ELSE p.score END, 6)::DOUBLE AS score FROM k LEFT JOIN pool p USING (sample_id, head, relation, tail) WHERE k.rank < 100""")
+# one key a triple, and tables that are made once: anti joins don't depend on the order of joins
+_NAMED = "sample_id || '|' || head || '|' || relation || '|' || tail AS k"
+_SUPPORTED = f"g AS MATERIALIZED (SELECT DISTINCT sample_id, head, relation, tail, {_NAMED} FROM gold_label WHERE label = 'direct_support')"
+
+
+@query("f10_rebuilt", "F10 A18", f"""WITH {_DISTINCT.replace('top AS (', 'top AS MATERIALIZED (')}, {_SUPPORTED}, pool AS MATERIALIZED (SELECT sample_id, head, relation, tail, score, rank, {_NAMED} FROM top WHERE rank < 150), a AS (SELECT sample_id, k, tail, 0 AS g, row_number() OVER (PARTITION BY sample_id ORDER BY tail) AS o FROM g UNION ALL SELECT sample_id, k, tail, 1, rank FROM pool WHERE k NOT IN (SELECT k FROM g)), r AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY g, o) - 1 AS rank FROM a)
+SELECT r.sample_id, CAST(r.rank AS INT) AS rank, r.tail, round(CASE WHEN g = 0 THEN greatest(1.0 - r.rank * 0.001, 0.9) ELSE p.score END, 6)::DOUBLE AS score FROM r LEFT JOIN pool p USING (k) WHERE r.rank < 100""")
 def _(v: Views) -> DataFrame:
     chosen = v.view("gold_label").where("label = 'direct_support'").select(KEY, *TRIPLE).distinct()
     chosen = chosen.withColumn("place", F.row_number().over(W.partitionBy(KEY).orderBy("tail")).cast("int"))
@@ -436,8 +441,9 @@ def _(v: Views) -> DataFrame:
     return ranking.rebuilt_scores(chosen, pool, 100).select(KEY, "rank", "tail", F.round("score", 6).alias("score"))
 
 
-@query("g3_inject_front", "G3", f"""WITH {_FIRST}, c AS (SELECT * FROM cand WHERE idx <= 100), g AS (SELECT DISTINCT sample_id, head, relation, tail FROM gold_label WHERE label = 'direct_support'), m AS (SELECT g.*, row_number() OVER (PARTITION BY g.sample_id ORDER BY g.head, g.relation, g.tail) AS n FROM g ANTI JOIN c USING (sample_id, head, relation, tail)), f AS (SELECT c.sample_id, c.idx, row_number() OVER (PARTITION BY c.sample_id ORDER BY c.idx) AS n FROM c ANTI JOIN g USING (sample_id, head, relation, tail))
-SELECT c.sample_id, c.idx, coalesce(m.tail, c.tail) AS tail, m.tail IS NOT NULL AS injected FROM c LEFT JOIN f ON f.sample_id = c.sample_id AND f.idx = c.idx LEFT JOIN m ON m.sample_id = f.sample_id AND m.n = f.n""")
+@query("g3_inject_front", "G3", f"""WITH {_FIRST}, c AS MATERIALIZED (SELECT *, {_NAMED} FROM cand WHERE idx <= 100), {_SUPPORTED}, m AS MATERIALIZED (SELECT sample_id, tail, row_number() OVER (PARTITION BY sample_id ORDER BY head, relation, tail) AS n FROM g WHERE k NOT IN (SELECT k FROM c)), f AS MATERIALIZED (SELECT sample_id, idx, row_number() OVER (PARTITION BY sample_id ORDER BY idx) AS n FROM c WHERE k NOT IN (SELECT k FROM g)),
+x AS MATERIALIZED (SELECT f.sample_id || '|' || f.idx AS slot, m.tail FROM f JOIN m ON m.sample_id || '|' || m.n = f.sample_id || '|' || f.n)
+SELECT c.sample_id, c.idx, coalesce(x.tail, c.tail) AS tail, x.tail IS NOT NULL AS injected FROM c LEFT JOIN x ON x.slot = c.sample_id || '|' || c.idx""")
 def _(v: Views) -> DataFrame:
     return ranking.inject_gold(ranking.first_distinct(v.edges, 100), v.view("gold_label").where("label = 'direct_support'")).select(KEY, "idx", "tail", "injected")
 

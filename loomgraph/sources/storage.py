@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,7 +13,8 @@ def shared_root(spark: SparkSession) -> str:
     known = spark.sparkContext._jsc.sc().getCheckpointDir()
     root = spark.conf.get("spark.checkpoint.dir", None) or (known.get() if known.isDefined() else None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="loomgraph-")
     if not known.isDefined():
@@ -24,3 +26,35 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """df, written to the shared folder now; its lineage ends there."""
     shared_root(df.sparkSession)
     return df.checkpoint()
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_root(spark)}/loomgraph/{name}-{uuid.uuid4().hex}"
+
+
+def _files(spark: SparkSession, folder: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def finished_parts(spark: SparkSession, folder: str) -> list[str]:
+    """The numbered parts of a table in a folder that were written to their end, in order."""
+    path, files = _files(spark, folder)
+    if not files.exists(path):
+        return []
+    marker = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    found = sorted(x.getPath().toString() for x in files.listStatus(path) if x.isDirectory())
+    return [x for x in found if files.exists(marker(f"{x}/_SUCCESS"))]
+
+
+def write_part(df: DataFrame, folder: str, number: int | None = None) -> str:
+    """Writes df as the next part of a table, or a given one over what an unfinished run left of it."""
+    number = len(finished_parts(df.sparkSession, folder)) if number is None else number
+    path = f"{folder}/part={number:06d}"
+    df.write.mode("overwrite").parquet(path)
+    return path
+
+
+def drop_folder(spark: SparkSession, folder: str) -> None:
+    path, files = _files(spark, folder)
+    files.delete(path, True)

@@ -9,7 +9,7 @@ from loomgraph.plans import QUERIES
 from loomgraph.sources.views import TABLES
 
 #: A sample of each section; bench and the driver run all of them.
-NAMES = ["b1_dictionary", "c2_alignment", "c5_path_mapping", "d8_directions", "d9_propagation", "f3_top_distinct", "f5_prefix_budget", "g3_inject_front", "e2_recall_table", "e10_scores", "m8_listwise", "k1_prompts", "s3_step_counts", "m11_retrieval"]
+NAMES = ["b1_dictionary", "c2_alignment", "c5_path_mapping", "d8_directions", "d9_propagation", "f3_top_distinct", "f5_prefix_budget", "g3_inject_front", "e2_recall_table", "e10_scores", "m8_listwise", "k1_prompts", "k1_modes", "k2_records", "f10_rebuilt", "s3_step_counts", "m11_retrieval"]
 
 
 @pytest.fixture(scope="module")
