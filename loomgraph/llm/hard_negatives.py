@@ -286,7 +286,8 @@ def annulus_search(index: Index, items: DataFrame, k: int) -> DataFrame:
         asked = active.select("item", "x", "label", "same", "floor", "ceiling", F.coalesce(bar, F.col("floor")).alias("bar"))
         pack, pack_kind = _packs(index, radius, before)
         match, match_kind = _matches(k, radius, before)
-        pairs = asked.mapInArrow(pack, pack_kind).join(index.chunks, "cell")
+        # merged: packs are many times their queries, which Spark's estimate for a broadcast doesn't know
+        pairs = asked.mapInArrow(pack, pack_kind).hint("merge").join(index.chunks, "cell")
         found = pairs.mapInArrow(match, match_kind)
         found = found.withColumn("r", F.row_number().over(Window.partitionBy("item").orderBy("neg", "id"))).where(F.col("r") <= k)
         found = found.groupBy("item").agg(F.collect_list(F.struct("neg", "id")).alias("more"))  # k at most
