@@ -1,5 +1,6 @@
 """Text, metrics, actions, episodes and prompts on small cases."""
 
+import re
 import pytest
 from loomgraph.functions import actions, scores, text
 from loomgraph.operators import episodes, metrics, models, prompts
@@ -36,23 +37,20 @@ def test_format_reward(spark):
         assert one(spark, text.format_reward(F.lit(body), text.answer_lines(F.lit(body)))) == want
 
 
+def plain(text):
+    words = re.sub(r"[^\w\s]", "", text.lower()).split()
+    return " ".join(w for w in words if w not in ("a", "an", "the"))
+
+
 def greedy(lines, answers, double):
-    """The same matching in plain Python."""
-    import re
-    import string
-
-    def norm(s):
-        s = "".join(c for c in s.lower() if c not in string.punctuation)
-        return " ".join(re.sub(r"\b(a|an|the)\b", " ", s).split())
-
-    left, n = sorted(lines, key=len, reverse=True), 0
-    for a in answers:
-        for p in left:
-            if norm(a) in norm(p) or (double and (norm(p.split("ans:")[-1].strip()) in norm(a) or norm(p) in norm(a))):
-                n += 1
-                left.remove(p)
-                break
-    return n
+    """Lines that are taken: answer by answer the first free column of its row in the matrix of matches, longest lines first."""
+    lines = sorted(lines, key=lambda x: -len(x))
+    tails = [plain(p.rpartition("ans:")[2]) for p in lines]
+    fits = [[plain(a) in plain(p) or double and (t in plain(a) or plain(p) in plain(a)) for p, t in zip(lines, tails, strict=True)] for a in answers]
+    taken = set()
+    for row in fits:
+        taken |= set([k for k, fit in enumerate(row) if fit and k not in taken][:1])
+    return len(taken)
 
 
 @pytest.mark.parametrize("double", [False, True])
