@@ -1,21 +1,23 @@
 """Graph operators over edges keyed by sample: distances, shortest paths, propagation, features.
 
 Distances grow by frontiers: a round joins only the nodes of the last round
-with their edges and keeps those that are new. Rounds are checkpointed to the
-shared folder, so the plan stays one round long, a lost executor costs one
-round, and the search ends when no node is new. Searches along edges and
+with their edges and keeps those that are new. What reached a node is a set of
+sources, packed 64 to a number, so that a node is one row for all of them. Each
+round is a part of one table in the shared folder; a round reads its frontier (the
+last part), the links, which stay where they lie, and the table of what was
+seen, which is compacted every few rounds: two joins and two aggregates, however
+deep the search is. A lost executor costs one round. Searches along edges and
 against them run together, as two ways of one table.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomgraph.functions.scores import log_share
+from loomgraph.sources import storage
 from loomgraph.sources.storage import checkpointed
 
 KEY = "sample_id"
@@ -45,6 +47,18 @@ def both_ways(links: DataFrame) -> DataFrame:
     return links.withColumn("way", F.lit(0)).unionByName(reversed_edges(links).withColumn("way", F.lit(1)))
 
 
+#: Rounds after which the table of what was seen is written anew, and sources a number holds.
+COMPACT, BITS = 12, 64
+
+
+def reached(frontier: DataFrame, links: DataFrame, seen: DataFrame, keys: list[str]) -> DataFrame:
+    """The next frontier: (keys, word, node, bits) of the sources that get to a node for the first time."""
+    ahead = frontier.withColumnRenamed("node", "src").join(links, [*keys, "src"]).groupBy(*keys, "word", F.col("dst").alias("node")).agg(F.bit_or("bits").alias("bits"))
+    had = seen.groupBy(*keys, "word", "node").agg(F.bit_or("bits").alias("had"))
+    new = F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("had", F.lit(0).cast("long"))))
+    return ahead.join(had, [*keys, "word", "node"], "left").select(*keys, "word", "node", new.alias("bits")).where(F.col("bits") != 0)
+
+
 def distances(links: DataFrame, sources: DataFrame, depth: int | None = None, by_source: bool = False) -> DataFrame:
     """(sample_id[, way][, source], node, distance) along links (sample_id[, way], src, dst) from sources (sample_id[, way], node).
 
@@ -52,24 +66,41 @@ def distances(links: DataFrame, sources: DataFrame, depth: int | None = None, by
     no node is new, or depth times. Where links have ways, so have the results;
     sources without ways start in each.
     """
-    ways = ["way"] if "way" in links.columns else []
+    spark = links.sparkSession
+    keys = [KEY, *(["way"] if "way" in links.columns else [])]
     start = sources.where(F.col("node").isNotNull())
-    if ways and "way" not in start.columns:
+    if "way" in keys and "way" not in start.columns:
         start = start.withColumn("way", F.explode(F.array(F.lit(0), F.lit(1))))
+    start = start.select(*keys, "node").distinct()
     if by_source:
-        start = start.withColumn("source", F.col("node"))
-    names = [KEY, *ways, *(["source"] if by_source else []), "node"]
-    links, known = checkpointed(links), []
-    latest = checkpointed(start.select(*names).distinct())
-    while not latest.isEmpty():
-        known.append(latest.withColumn("distance", F.lit(len(known))))
-        if len(known) - 1 == depth:
-            break
-        ahead = latest.withColumnRenamed("node", "src").join(links, [KEY, *ways, "src"]).select(*[n for n in names if n != "node"], F.col("dst").alias("node")).distinct()
-        for seen in known:
-            ahead = ahead.join(seen, names, "left_anti")
-        latest = checkpointed(ahead)
-    return reduce(DataFrame.unionByName, known) if known else latest.withColumn("distance", F.lit(0))
+        place = F.row_number().over(W.partitionBy(*keys).orderBy("node")) - 1
+        start = checkpointed(start.withColumn("_n", place).select(*keys, "node", F.floor(F.col("_n") / BITS).cast("int").alias("word"), (F.col("_n") % BITS).alias("bit")))
+        first = start.select(*keys, "word", "node", F.expr("shiftleft(1L, bit)").alias("bits"))
+    else:
+        first = start.select(*keys, F.lit(0).alias("word"), "node", F.lit(1).cast("long").alias("bits"))
+    links = checkpointed(links.select(*keys, "src", "dst").repartition(*keys, "src"))  # a round's join finds them in place
+    folder = storage.new_folder(spark, "distances")
+    parts = [storage.write_part(first.withColumn("distance", F.lit(0)), f"{folder}/rounds", 0)]
+    schema = spark.read.parquet(parts[0]).schema
+    read = lambda *paths: spark.read.schema(schema).parquet(*paths)
+    base, since = [], [parts[0]]
+    while not (frontier := read(parts[-1])).isEmpty() and len(parts) - 1 != depth:
+        k = len(parts)
+        new = reached(frontier.drop("distance"), links, read(*base, *since), keys)
+        parts.append(storage.write_part(new.withColumn("distance", F.lit(k)), f"{folder}/rounds", k))
+        since.append(parts[-1])
+        if len(since) > COMPACT:
+            whole = read(*base, *since).groupBy(*keys, "word", "node").agg(F.bit_or("bits").alias("bits")).withColumn("distance", F.lit(0))
+            after = storage.write_part(whole, f"{folder}/seen", k)
+            for path in base:
+                storage.drop_folder(spark, path)
+            base, since = [after], []
+    out = read(*parts)
+    if not by_source:
+        return out.select(*keys, "node", "distance")
+    on = F.filter(F.sequence(F.lit(0), F.lit(BITS - 1)), lambda i: F.getbit("bits", i) == 1)
+    named = start.withColumnRenamed("node", "source")
+    return out.withColumn("bit", F.explode(on)).join(named, [*keys, "word", "bit"]).select(*keys, "source", "node", "distance")
 
 
 def with_hop(triples: DataFrame, found: DataFrame) -> DataFrame:
@@ -194,15 +225,37 @@ def structural_features(edges: DataFrame) -> DataFrame:
     return out
 
 
-def component_ratio(edges: DataFrame) -> DataFrame:
-    """(sample_id, ratio): nodes of the largest undirected component over all nodes, a grouped fold over small selections."""
-    import pandas as pd
+def _star(links: DataFrame, large: bool) -> DataFrame:
+    """A round over links (sample_id, u, v), u > v: neighbours of a node (the larger ones, or the smaller ones and itself) are tied to the least of them."""
+    pair = lambda a, b: F.struct(F.col(a).alias("u"), F.col(b).alias("v"))
+    around = links.select(KEY, F.explode(F.array(pair("u", "v"), pair("v", "u"))).alias("e")).select(KEY, "e.u", "e.v") if large else links
+    least = around.groupBy(KEY, "u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+    tied = around.join(least, [KEY, "u"])
+    if large:
+        return tied.where("v > u").select(KEY, F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return tied.select(KEY, F.explode(F.array(pair("v", "m"), pair("u", "m"))).alias("e")).select(KEY, "e.u", "e.v").where("u <> v").distinct()
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({KEY: [rows[KEY].iloc[0]], "ratio": [connectivity(list(zip(rows["head"], rows["tail"], strict=True)))]})
 
-    kind = edges.schema[KEY].dataType.simpleString()
-    return edges.select(KEY, "head", "tail").groupBy(KEY).applyInPandas(fold, f"{KEY} {kind}, ratio double")
+def components(edges: DataFrame) -> DataFrame:
+    """(sample_id, node, component): the least node that links in either direction reach, of every node of edges (head, tail).
+
+    Large and small stars of all samples together, until nothing moves; a
+    sample is in no single group, whatever its size. Rows with a null end are left out.
+    """
+    ends = edges.where(F.col("head").isNotNull() & F.col("tail").isNotNull())
+    nodes = ends.select(KEY, F.explode(F.array("head", "tail")).alias("node")).distinct()
+    current = checkpointed(ends.where("head <> tail").select(KEY, F.greatest("head", "tail").alias("u"), F.least("head", "tail").alias("v")).distinct())
+    known = None
+    while (mark := current.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(KEY, "u", "v").cast("decimal(20,0)")).alias("h")).first()) != known:
+        known = mark
+        current = checkpointed(_star(_star(current, True), False))
+    return nodes.join(current.select(KEY, F.col("u").alias("node"), F.col("v").alias("_v")), [KEY, "node"], "left").select(KEY, "node", F.coalesce("_v", "node").alias("component"))
+
+
+def component_ratio(edges: DataFrame) -> DataFrame:
+    """(sample_id, ratio): nodes of the largest undirected component over all nodes; 0 for a sample without whole edges."""
+    sizes = components(edges).groupBy(KEY, "component").agg(F.count(F.lit(1)).alias("n")).groupBy(KEY).agg((F.max("n") / F.sum("n")).alias("ratio"))
+    return edges.select(KEY).distinct().join(sizes, KEY, "left").select(KEY, F.coalesce("ratio", F.lit(0.0)).alias("ratio"))
 
 
 def connectivity(pairs: list[tuple[str, str]]) -> float:

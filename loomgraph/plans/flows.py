@@ -71,7 +71,7 @@ def _(v: Views) -> DataFrame:
 
 @query("flagship_answer_recall", "E2 M11", f"WITH {_DISTINCT}, k AS (SELECT unnest([50, 100, 200, 400]) AS k), e AS (SELECT sample_id, n, min(rank) AS rank FROM (SELECT sample_id, head AS n, rank FROM top WHERE rank < 500 UNION ALL SELECT sample_id, tail, rank FROM top WHERE rank < 500) GROUP BY 1, 2), a AS (SELECT k.k, a.sample_id, avg(CASE WHEN e.rank < k.k THEN 1.0 ELSE 0.0 END) AS r FROM kg_answer a CROSS JOIN k LEFT JOIN e ON e.sample_id = a.sample_id AND e.n = a.answer GROUP BY 1, 2) SELECT CAST(k AS INT) AS k, round(avg(r), 6)::DOUBLE AS ans_recall FROM a GROUP BY 1")
 def flagship(v: Views) -> DataFrame:
-    found = retrieve(v.scored, v.topics)
+    found = ranking.top_distinct(v.scored, 500)  # recall needs ranks, not hops
     return metrics.answer_recall(found, v.answers).groupBy("k").agg(F.round(F.avg("recall"), 6).alias("ans_recall"))
 
 

@@ -1,8 +1,12 @@
 """Hand-derived values on seven edges, topic A, answer C."""
 
+import random
+from collections import deque
+
 import pytest
 from loomgraph.operators import graph, ranking
 from loomgraph.plans.flows import retrieve, trajectories
+from loomgraph.sources import storage
 from pyspark.sql import functions as F
 
 EDGES = [(0, "A", "r1", "B", 0.9), (1, "B", "r2", "C", 0.8), (2, "A", "r3", "B", 0.8), (3, "C", "r4", "D", 0.3), (4, "D", "r5", "A", 0.2), (5, "E", "r6", "F", 0.1), (6, "B", "r2", "C", 0.7)]
@@ -132,3 +136,58 @@ def test_trajectories_keep_answers_far_from_the_topic(spark):
     paths = edges.select("sample_id", F.lit(0).alias("path"), F.col("triple_id").alias("place"), "head", "relation", "tail")
     start, answers = spark.createDataFrame([(1, "N0")], "sample_id long, node string"), spark.createDataFrame([(1, "N9")], "sample_id long, answer string")
     assert trajectories(edges, paths, answers, start).first()["answers"] == ["N9"]
+
+
+def test_many_sources_of_one_sample(spark):
+    """More sources than a number holds: every distance of every source, against a search from each."""
+    rnd = random.Random(4)
+    pairs = {(rnd.randrange(90), rnd.randrange(90)) for _ in range(160)}
+    links = spark.createDataFrame([(s, f"n{a}", f"n{b}") for s in (1, 2) for a, b in pairs if s == 1 or a % 2], "sample_id long, src string, dst string")
+    sources = spark.createDataFrame([(s, f"n{k}") for s in (1, 2) for k in range(0, 90, s)] + [(2, None), (3, "alone")], "sample_id long, node string")
+    got = {(r["sample_id"], r["source"], r["node"]): r["distance"] for r in graph.distances(links, sources, by_source=True).collect()}
+    want = {(3, "alone", "alone"): 0}
+    for s in (1, 2):
+        ahead = {}
+        for a, b in pairs:
+            if s == 1 or a % 2:
+                ahead.setdefault(a, []).append(b)
+        for k in range(0, 90, s):
+            far, queue = {k: 0}, deque([k])
+            while queue:
+                x = queue.popleft()
+                for y in ahead.get(x, ()):
+                    if y not in far:
+                        far[y] = far[x] + 1
+                        queue.append(y)
+            want |= {(s, f"n{k}", f"n{y}"): d for y, d in far.items()}
+    assert got == want
+    capped = {k: r for k, r in want.items() if r <= 2}
+    assert {(r["sample_id"], r["source"], r["node"]): r["distance"] for r in graph.distances(links, sources, 2, by_source=True).collect()} == capped
+
+
+def test_a_long_chain_and_a_round_of_constant_size(spark, tmp_path):
+    n = 120
+    edges = spark.createDataFrame([(1, f"c{k:03}", "r", f"c{k + 1:03}", k) for k in range(n)], "sample_id long, head string, relation string, tail string, triple_id int")
+    topic = spark.createDataFrame([(1, "c000")], "sample_id long, node string")
+    got = {r["node"]: r["distance"] for r in graph.distances(graph.directed(edges), topic).collect()}
+    assert got == {f"c{k:03}": k for k in range(n + 1)}
+    plans = []
+    for parts in (2, 2 * graph.COMPACT):
+        rows = spark.createDataFrame([(1, 0, "c000", 1, 0)], "sample_id long, word int, node string, bits long, distance int")
+        paths = [storage.write_part(rows, f"{tmp_path}/p{parts}", k) for k in range(parts)]
+        plan = graph.reached(rows.drop("distance"), graph.directed(edges), spark.read.parquet(*paths), ["sample_id"])._jdf.queryExecution().executedPlan().toString()
+        plans.append((plan.count("Join"), plan.count("HashAggregate"), plan.count("FileScan")))
+    assert plans[0] == plans[1] and plans[0][0] == 2
+
+
+def test_components_of_all_samples_together(spark):
+    rows = [(1, "a", "b"), (1, "c", "b"), (1, "d", "e"), (1, "f", "f"), (2, "a", "z"), (2, "z", "y"), (3, None, "q")]
+    table = spark.createDataFrame(rows, "sample_id long, head string, tail string")
+    got = {(r["sample_id"], r["node"]): r["component"] for r in graph.components(table).collect()}
+    assert got == {(1, "a"): "a", (1, "b"): "a", (1, "c"): "a", (1, "d"): "d", (1, "e"): "d", (1, "f"): "f", (2, "a"): "a", (2, "z"): "a", (2, "y"): "a"}
+    assert {r["sample_id"]: r["ratio"] for r in graph.component_ratio(table).collect()} == {1: 0.5, 2: 1.0, 3: 0.0}
+    # a star, a long path and a ring, of one sample
+    wide = spark.range(20_000).selectExpr("1L AS sample_id", "concat('n', if(id < 8000, 0, id)) AS head", "concat('n', if(id < 19000, id + 1, 8000)) AS tail")
+    ratio = graph.component_ratio(wide).first()["ratio"]
+    pairs = [(r["head"], r["tail"]) for r in wide.collect()]
+    assert ratio == pytest.approx(graph.connectivity(pairs)) and "Python" not in graph.components(table)._jdf.queryExecution().executedPlan().toString()
