@@ -7,9 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomgraph.functions import scores, text
-from loomgraph.operators import episodes, joins, metrics, models, prompts, ranking, rollouts
+from loomgraph.operators import episodes, graph, joins, metrics, models, prompts, ranking, rollouts, training
 from loomgraph.plans.registry import query
 from loomgraph.plans.retrieval import _DISTINCT, _EXAMPLES, _FIRST, _SCORED, _SOFT, KEY, TRIPLE, pairwise, soft_rows
+from loomgraph.sources.storage import checkpointed
 from loomgraph.sources.views import Views
 
 _NORM = "trim(regexp_replace(regexp_replace(regexp_replace(lower({0}), '[!-/:-@\\[-`{{-~]', '', 'g'), '\\b(a|an|the)\\b', ' ', 'g'), '\\s+', ' ', 'g'))"
@@ -119,12 +120,35 @@ def _(v: Views) -> DataFrame:
     return metrics.recall_table(ranked, v.answers, v.view("gold_path"), v.view("gold_label"))
 
 
-@query("e3_rerank_metrics", "E3 U4", f"""WITH {_SOFT}, x AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY logit DESC, triple_id) - 1 AS rank FROM soft), k AS (SELECT unnest([50, 100, 200]) AS k), p AS (SELECT k.k, sample_id, sum(CASE WHEN rank < k.k AND label > 0 THEN 1.0 ELSE 0 END) / nullif(sum(CASE WHEN label > 0 THEN 1.0 ELSE 0 END), 0) AS pr, avg(CASE WHEN rank < k.k THEN label END) AS ml FROM x CROSS JOIN k GROUP BY 1, 2),
-e AS (SELECT sample_id, n, min(rank) AS rank FROM (SELECT sample_id, head AS n, rank FROM x UNION ALL SELECT sample_id, tail, rank FROM x) GROUP BY 1, 2), a AS (SELECT k.k, a.sample_id, avg(CASE WHEN e.rank < k.k THEN 1.0 ELSE 0.0 END) AS r FROM kg_answer a CROSS JOIN k LEFT JOIN e ON e.sample_id = a.sample_id AND e.n = a.answer GROUP BY 1, 2)
-SELECT CAST(p.k AS INT) AS k, round(avg(pr), 6)::DOUBLE AS positive_recall, round(avg(ml), 6)::DOUBLE AS mean_label, (SELECT round(avg(r), 6) FROM a WHERE a.k = p.k)::DOUBLE AS answer_recall, (SELECT round(avg(CASE WHEN r = 1 THEN 1.0 ELSE 0.0 END), 6) FROM a WHERE a.k = p.k)::DOUBLE AS full_cov FROM p GROUP BY p.k""")
+_RERANK = f"""WITH {_SOFT}, sp AS (SELECT DISTINCT sample_id, head, relation, tail FROM gold_path), x AS (SELECT soft.*, sp.head IS NOT NULL AS short, row_number() OVER (PARTITION BY soft.sample_id ORDER BY logit DESC, triple_id) - 1 AS rank FROM soft LEFT JOIN sp USING (sample_id, head, relation, tail)), k AS (SELECT unnest([50, 100, 200]) AS k),
+p AS (SELECT k.k, sample_id, sum(CASE WHEN rank < k.k AND label > 0 THEN 1.0 ELSE 0 END) / nullif(sum(CASE WHEN label > 0 THEN 1.0 ELSE 0 END), 0) AS pr, sum(CASE WHEN rank < k.k AND short THEN 1.0 ELSE 0 END) / nullif(sum(CASE WHEN short THEN 1.0 ELSE 0 END), 0) AS sr, avg(CASE WHEN rank < k.k THEN label END) AS ml FROM x CROSS JOIN k GROUP BY 1, 2),
+e AS (SELECT sample_id, n, min(rank) AS rank FROM (SELECT sample_id, head AS n, rank FROM x UNION ALL SELECT sample_id, tail, rank FROM x) GROUP BY 1, 2), a AS (SELECT k.k, a.sample_id, avg(CASE WHEN e.rank < k.k THEN 1.0 ELSE 0.0 END) AS r FROM kg_answer a CROSS JOIN k LEFT JOIN e ON e.sample_id = a.sample_id AND e.n = a.answer GROUP BY 1, 2),
+m AS (SELECT CAST(p.k AS INT) AS k, avg(pr) AS positive_recall, avg(sr) AS shortest_recall, avg(ml) AS mean_label, (SELECT avg(r) FROM a WHERE a.k = p.k) AS answer_recall, (SELECT avg(CASE WHEN r = 1 THEN 1.0 ELSE 0.0 END) FROM a WHERE a.k = p.k) AS full_cov FROM p GROUP BY p.k)"""
+
+
+def reranked(v: Views) -> DataFrame:
+    """The metrics of all triples ranked by their logit; a triple of a gold path is on a shortest one."""
+    short = v.view("gold_path").select(KEY, *TRIPLE).distinct().withColumn("is_shortest", F.lit(True))
+    rows = ranking.rank_by_score(soft_rows(v), "logit").join(short, [KEY, *TRIPLE], "left").withColumn("is_shortest", F.coalesce("is_shortest", F.lit(False)))
+    return metrics.rerank_metrics(rows, v.answers)
+
+
+_FIVE = ("positive_recall", "shortest_recall", "mean_label", "answer_recall", "full_cov")
+
+
+@query("e3_rerank_metrics", "E3", f"{_RERANK} SELECT k, {', '.join(f'round({c}, 6)::DOUBLE AS {c}' for c in _FIVE)} FROM m")
+def _(v: Views) -> DataFrame:
+    return reranked(v).select("k", *[F.round(c, 6).alias(c) for c in _FIVE])
+
+
+@query("e3_target_metric", "E3 U4", f"{_RERANK}, t AS (SELECT k, 'answer_recall' AS mode, answer_recall AS x FROM m UNION ALL SELECT k, 'full_cov', full_cov FROM m UNION ALL SELECT k, 'mix', 0.3 * answer_recall + 0.7 * full_cov FROM m) SELECT k, mode, round(x, 6)::DOUBLE AS target FROM t")
 def _(v: Views) -> DataFrame:
-    rows = ranking.rank_by_score(soft_rows(v), "logit").withColumn("is_shortest", F.lit(False))
-    return metrics.rerank_metrics(rows, v.answers).select("k", *[F.round(c, 6).alias(c) for c in ("positive_recall", "mean_label", "answer_recall", "full_cov")])
+    """The value that picks a checkpoint, by each rule."""
+    from functools import reduce
+
+    rows = checkpointed(reranked(v))
+    found = [metrics.target_metric(rows, mode, k, 0.3).select("k", F.lit(mode).alias("mode"), F.round("target", 6).alias("target")) for mode in metrics.TARGET_METRICS for k in (50, 100, 200)]
+    return reduce(DataFrame.unionByName, found)
 
 
 @query("e4_statistics", "E4", f"WITH {_SOFT}, n AS (SELECT sample_id, sum(CASE WHEN label > 0 THEN 1 ELSE 0 END) AS n FROM soft GROUP BY 1) SELECT CAST(floor(quantile_cont(n, 0.5)) AS INT) AS median_relevant, CAST(floor(avg(n)) AS INT) AS mean_relevant, CAST(max(n) AS BIGINT) AS max_relevant FROM n")
@@ -240,6 +264,22 @@ def _(v: Views) -> DataFrame:
     return models.score_rows(rows, "features", models.Perceptron.seeded((64, 32, 1))).select("vec_id", F.round("logit", 6).alias("logit"))
 
 
+def scorer_rows(v: Views) -> DataFrame:
+    """(sample_id, triple_id, triple, features, label, is_shortest): structure, stage-1 score and soft labels of every triple."""
+    rows = graph.structural_features(soft_rows(v)).withColumn("score", scores.sigmoid(F.col("logit")))
+    shares = ["score", "h_out", "t_out", "h_in", "t_in", "h_mentions", "t_mentions", "relation_count", "pair_repeats"]
+    return rows.select(KEY, "triple_id", *TRIPLE, F.array(*[F.col(c).cast("double") for c in shares]).alias("features"), "label", F.lit(False).alias("is_shortest"))
+
+
+@query("m10_training", "M10", None)
+def _(v: Views) -> DataFrame:
+    """Three epochs of a scorer on two thirds of the samples, the checkpoint picked on the others."""
+    rows = checkpointed(scorer_rows(v))
+    held = F.pmod(F.crc32(F.col(KEY).cast("string")), F.lit(3)) == 0
+    trained = training.train_scorer(rows.where(~held), training.by_rerank_metric(rows.where(held), v.answers, "mix", 100), (9, 16, 1), training.Adam(rate=0.01), epochs=3, patience=2, batches=4)
+    return trained.history.select("epoch", F.round("loss", 6).alias("loss"), F.round("metric", 6).alias("metric"), "best_epoch", "patient")
+
+
 @query("m1_encoder", "M1", None)
 def _(v: Views) -> DataFrame:
     out = models.encode_texts(v.table("benchmark").select("item_id", "text"), "text", models.hashing_encoder(16))
