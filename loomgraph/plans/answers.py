@@ -417,7 +417,7 @@ def _(v: Views) -> DataFrame:
 def _(v: Views) -> DataFrame:
     from loomgraph.streaming.episodes import episode_events
 
-    return episode_events(v.view("episode_turn").join(truths(v), "episode_id"))
+    return episode_events(v.view("episode_turn"), truths(v))
 
 
 @query("s3_replay_steps", "S3 U1", None)

@@ -166,7 +166,7 @@ def test_many_sources_of_one_sample(spark):
 
 
 def test_a_long_chain_and_a_round_of_constant_size(spark, tmp_path):
-    n = 120
+    n = 60
     edges = spark.createDataFrame([(1, f"c{k:03}", "r", f"c{k + 1:03}", k) for k in range(n)], "sample_id long, head string, relation string, tail string, triple_id int")
     topic = spark.createDataFrame([(1, "c000")], "sample_id long, node string")
     got = {r["node"]: r["distance"] for r in graph.distances(graph.directed(edges), topic).collect()}

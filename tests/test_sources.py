@@ -100,18 +100,41 @@ def test_eval_subgraphs_and_export(spark):
     assert got == {"1": ("q", ["A"], ["B"], 1), "2": ("asked", ["T"], ["U"], 3), "4": ("new", ["N"], [], 1)}
 
 
-def test_stream_of_episodes_equals_batch(spark, tmp_path):
-    ddl = "episode_id long, turn long, kind string, triple_id int, candidates array<struct<idx:int,head:string,relation:string,tail:string>>, topic string, answers array<string>, support array<int>, soft_limit int"
-    candidates = [(1, "A", "r", "B"), (2, "B", "s", "C")]
-    turns = [(e, k, kind, i, candidates, "A", ["C"], [1, 2], 14) for e in (1, 2) for k, (kind, i) in enumerate([("ADD_TRIPLE", 1), ("INVALID", None), ("ADD_TRIPLE", 2), ("STOP", None), ("ADD_TRIPLE", 1)])]
-    rows = spark.createDataFrame(turns, ddl)
+TRUTHS = "episode_id long, candidates array<struct<idx:int,head:string,relation:string,tail:string>>, topic string, answers array<string>, support array<int>, soft_limit int"
+TURNS = "episode_id long, turn long, kind string, triple_id int"
+
+
+def episode_tables(spark):
+    candidates = [(1, "A", "r", "B"), (2, "B", "s", "C"), (3, "X", "s", "Y")]
+    said = {1: [("ADD_TRIPLE", 1), ("INVALID", None), ("ADD_TRIPLE", 2), ("STOP", None), ("ADD_TRIPLE", 1)], 2: [("ADD_TRIPLE", 3), ("ADD_TRIPLE", 3), ("ADD_TRIPLE", 9), ("ADD_TRIPLE", 1), ("ADD_TRIPLE", 2)], 3: [("ADD_TRIPLE", 1)] * 5}
+    truths = spark.createDataFrame([(e, candidates, "A", ["C"], [1, 2], 14) for e in (1, 2, 4)], TRUTHS)  # 3 has none, 4 no turns
+    return spark.createDataFrame([(e, k, *t) for e, ts in said.items() for k, t in enumerate(ts)], TURNS), truths
+
+
+def test_stream_of_episodes_equals_batch_with_a_restart_between(spark, tmp_path):
+    rows, truths = episode_tables(spark)
     source = str(tmp_path / "in")
-    for k in range(5):  # a file, and so a micro-batch, for each turn
-        rows.where(F.col("turn") == k).coalesce(1).write.mode("append").json(source)
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).json(source)
-    call_log(episode_events(stream), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(120)
-    batch = episode_events(rows)
+    stream = lambda: episode_events(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).json(source), truths)
+    for part in ((0, 1), (2,), (3, 4)):
+        for k in part:  # a file, and so a micro-batch, for each turn
+            rows.where(F.col("turn") == k).coalesce(1).write.mode("append").json(source)
+        call_log(stream(), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(120)  # a new query each time, over the same state
+    batch = episode_events(rows, truths)
     got = spark.read.schema(batch.schema).json(str(tmp_path / "out"))
     key = lambda r: (r["episode_id"], r["turn"])
     assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, batch.collect()), key=str)
     assert [r["event"] for r in sorted(batch.where("episode_id = 1").collect(), key=key)] == ["accepted", "invalid", "accepted", "stop"]
+    assert [r["event"] for r in sorted(batch.where("episode_id = 2").collect(), key=key)] == ["accepted", "duplicate", "invalid", "accepted", "accepted"]
+    assert {r["event"] for r in batch.where("episode_id = 3").collect()} == {"invalid"}
+
+
+def test_silent_episodes_end(spark, tmp_path):
+    rows, truths = episode_tables(spark)
+    source = str(tmp_path / "in")
+    for k in range(3):
+        own = rows.where(F.col("turn") == k).where("episode_id <> 2" if k else "true")
+        own.coalesce(1).write.mode("append").json(source)
+    stream = episode_events(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).json(source), truths, idle=1)
+    call_log(stream, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(120)
+    got = [r for r in spark.read.schema(stream.schema).json(str(tmp_path / "out")).collect() if r["episode_id"] == 2]
+    assert [(r["turn"], r["event"], r["history"], r["done"]) for r in sorted(got, key=lambda r: r["event"])] == [(0, "accepted", "3", False), (0, "idle", "3", True)]
