@@ -3,7 +3,7 @@
 Output is read in three steps: ``messages`` cuts a dialogue at its role lines,
 ``objects`` finds the JSON objects of a text, and ``SHAPES`` is the table of
 objects that state an action. JSON inside text needs a scanner, so this is
-plain Python, to be called for Arrow batches.
+plain Python, to be called for Arrow batches or as a table function.
 """
 
 from __future__ import annotations
@@ -14,6 +14,10 @@ from collections.abc import Iterator
 from itertools import pairwise
 from typing import NamedTuple
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
+
 Action = int | str | None
 
 #: Action words, role lines, source tags, and tokens of up to three digits or of any number.
@@ -136,6 +140,27 @@ def canonical_triple(text: str) -> str:
     return f"({', '.join(x.strip() for x in bars.groups())})" if bars else plain
 
 
+@udtf(returnType="place int, action string, triple_id long, source string, segment string, dialogue boolean", useArrow=False)
+class ActionTrace:
+    """The actions of a text as rows; a text without one has none. ``most`` actions at most."""
+
+    def eval(self, text: str, most: int = 256):
+        trace, dialogue = action_trace(text, most)
+        for place, p in enumerate(trace):
+            stop = p.action == STOP
+            yield place, STOP if stop else ADD, None if stop or p.action >= 1 << 63 else p.action, p.source, p.segment, dialogue
+
+
+def action_rows(rows: DataFrame, text: str, most: int = 256) -> DataFrame:
+    """rows with a row for each action of their text."""
+    return rows.lateralJoin(ActionTrace(F.col(text).outer(), F.lit(most)))
+
+
+def register_functions(spark: SparkSession) -> None:
+    """action_trace(text, most) as a table function of SQL."""
+    spark.udtf.register("action_trace", ActionTrace)
+
+
 # --- an agent's choice among numbered candidates -------------------------------------------------------------------------
 
 Candidates = dict[int, tuple[str, str, str]]

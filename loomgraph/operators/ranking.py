@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomgraph.operators.containment import contained
+
 KEY = "sample_id"
 TRIPLE = ["head", "relation", "tail"]
 
@@ -161,9 +163,10 @@ def merge_group(rows: DataFrame, side: str = "head", order: str = "rank") -> Dat
 def seeded_sample(rows: DataFrame, k: int, seed: int, tie: str = "triple_id", without: DataFrame | None = None) -> DataFrame:
     """k rows of each sample by the order of a hash of seed and row; without: drops triples whose end holds an answer."""
     if without is not None:
-        answers = without.groupBy(KEY).agg(F.collect_set("answer").alias("_a"))
-        holds = F.exists("_a", lambda a: F.contains("head", a) | F.contains("tail", a))
-        rows = rows.join(answers, KEY, "left").where(~F.coalesce(holds, F.lit(False))).drop("_a")
+        ends = rows.select(KEY, F.explode(F.array("head", "tail")).alias("text")).distinct().withColumn("id", F.col("text"))
+        held = contained(ends, without.select(KEY, F.col("answer").alias("pattern")), [KEY], pairs=False)
+        for end in ("head", "tail"):
+            rows = rows.join(held.select(KEY, F.col("id").alias(end)), [KEY, end], "left_anti")
     order = W.partitionBy(KEY).orderBy(F.xxhash64(F.lit(seed), *TRIPLE), tie)
     return rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
 

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomgraph.functions import scores, text
-from loomgraph.operators import episodes, graph, joins, metrics, models, prompts, ranking, rollouts, training
+from loomgraph.operators import containment, episodes, graph, joins, metrics, models, prompts, ranking, rollouts, training
 from loomgraph.plans.registry import query
 from loomgraph.plans.retrieval import _DISTINCT, _EXAMPLES, _FIRST, _SCORED, _SOFT, KEY, TRIPLE, pairwise, soft_rows
 from loomgraph.sources.storage import checkpointed
@@ -447,6 +447,41 @@ def _(v: Views) -> DataFrame:
     return v.table("lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("n"), d.alias("diagnosis"))
 
 
+_SAYS = """CASE WHEN kind = 'STOP' THEN '{{"action": "STOP"}}' WHEN kind = 'INVALID' THEN 'no idea' ELSE CASE form WHEN 0 THEN '{{"action": "ADD_TRIPLE", "triple_id": ' || {id} || '}}'
+    WHEN 1 THEN '{{"triple_id": "' || {id} || '"}}' WHEN 2 THEN '{{"why": 1, "triple_id": ' || {id} || '.0}}' WHEN 3 THEN 'I take ' || {id} || ' now' WHEN 4 THEN '<think>{{"action": 3}} STOP</think> so: {{"action": "ADD_TRIPLE", "triple_id": ' || {id} || '}}' ELSE '{{"other": ' || {id} || '}}' END END"""
+
+
+@query("h10_action_rows", "H8 H10 U1", f"""WITH x AS (SELECT *, row_number() OVER (PARTITION BY episode_id ORDER BY turn) AS n FROM episode_turn), y AS (SELECT *, n % 6 AS form FROM x), z AS (SELECT * FROM y WHERE kind = 'STOP' OR kind = 'ADD_TRIPLE' AND form <> 5)
+SELECT episode_id, CAST(row_number() OVER (PARTITION BY episode_id ORDER BY turn) - 1 AS INT) AS place, kind AS action, CASE WHEN kind = 'ADD_TRIPLE' THEN triple_id END::BIGINT AS triple_id,
+    CASE WHEN kind = 'STOP' THEN 'json_action' ELSE CASE form WHEN 3 THEN 'token_fallback' WHEN 0 THEN 'json_action_sft' WHEN 1 THEN 'json_action_sft' ELSE 'json_action_sft_fallback' END END AS source,
+    md5(CASE WHEN kind = 'ADD_TRIPLE' AND form = 3 THEN triple_id::VARCHAR WHEN kind = 'ADD_TRIPLE' AND form = 4 THEN substr({_SAYS.format(id='triple_id::VARCHAR')}, 35) ELSE {_SAYS.format(id='triple_id::VARCHAR')} END) AS segment FROM z""")
+def _(v: Views) -> DataFrame:
+    """Every action of every dialogue as a row, by the table function."""
+    from loomgraph.functions import actions
+
+    numbered = v.view("episode_turn").withColumn("form", F.row_number().over(W.partitionBy("episode_id").orderBy("turn")) % 6)
+    said = numbered.select("episode_id", "turn", F.concat(F.lit("Assistant \n"), F.expr(_SAYS.format(id="cast(triple_id AS string)")), F.lit("\nuser\nnext 7")).alias("said"))
+    dialogues = said.groupBy("episode_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "said"))), lambda s: s["said"]), "\n").alias("text"))
+    return actions.action_rows(dialogues, "text", 1 << 30).select("episode_id", "place", "action", "triple_id", "source", F.md5("segment").alias("segment"))
+
+
+@query("c16_contained", "C16", "SELECT p.id, p.n, lower(g.answer) AS pattern FROM qa_pred p JOIN (SELECT DISTINCT id, answer FROM qa_gold) g ON g.id = p.id AND contains(lower(p.line), lower(g.answer))")
+def _(v: Views) -> DataFrame:
+    """Every pair of a predicted line and an answer of its question that it holds."""
+    lines = v.view("qa_pred").select(F.col("id").alias("q"), F.col("n").cast("long").alias("id"), F.lower("line").alias("text"))
+    found = containment.contained(lines, v.view("qa_gold").select(F.col("id").alias("q"), F.lower("answer").alias("pattern")), ["q"])
+    return found.select(F.col("q").alias("id"), F.col("id").alias("n"), "pattern")
+
+
+@query("c18_members", "C18", "WITH e AS (SELECT DISTINCT p_size AS k, lower(split_part(p_name, ' ', 1)) AS e FROM part WHERE p_partkey % 3 = 0), l AS (SELECT p_partkey AS id, p_size AS k, lower(p_name) AS line, lower(left(p_name, 4)) AS a FROM part) SELECT id FROM l WHERE EXISTS (SELECT 1 FROM e WHERE e.k = l.k AND (contains(l.line, e.e) OR contains(e.e, l.a)))")
+def _(v: Views) -> DataFrame:
+    """Part names that hold the first word of a third of the parts of their size, or begin within one."""
+    parts = v.table("part")
+    entities = parts.where("p_partkey % 3 = 0").select(F.col("p_size").alias("k"), F.split("p_name", " ")[0].alias("entity"))
+    lines = parts.select(F.col("p_size").alias("k"), F.col("p_partkey").alias("id"), F.col("p_name").alias("line"), F.left("p_name", F.lit(4)).alias("answer"))
+    return containment.fuzzy_members(lines, entities, ["k"]).select("id")
+
+
 _SAID = "row_number() OVER (PARTITION BY episode_id ORDER BY turn) % 6"
 
 

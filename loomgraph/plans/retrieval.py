@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions import scores, text
 from loomgraph.operators import graph, joins, metrics, ranking
 from loomgraph.plans.registry import query
-from loomgraph.sources import readers
+from loomgraph.sources import readers, storage
 from loomgraph.sources.views import Views
 
 KEY = "sample_id"
@@ -37,9 +37,27 @@ def _(v: Views) -> DataFrame:
     return readers.scan_split(rows, "F").unionByName(readers.scan_split(rows, "O"))
 
 
-@query("a2_identifiers", "A2 A14", "SELECT DISTINCT trim(p_brand) AS entity FROM part WHERE trim(p_brand) <> ''")
+def as_lines(rows: DataFrame, name: str) -> str:
+    """A folder with the texts of the one column of rows, a line each, in their order."""
+    path = storage.new_folder(rows.sparkSession, name)
+    rows.write.text(path)
+    return path
+
+
+@query("a2_identifiers", "A2", "SELECT DISTINCT trim(p_brand) AS entity FROM part WHERE trim(p_brand) <> ''")
+def _(v: Views) -> DataFrame:
+    padded = v.table("part").select(F.when(F.col("p_partkey") % 5 == 0, "  ").otherwise(F.concat(F.lit("  "), "p_brand", F.lit("\t"))).alias("line"))
+    return readers.entity_identifiers(v.spark, as_lines(padded.unionByName(v.table("part").select(F.col("p_brand").alias("line"))), "identifiers"))
+
+
+@query("a14_exclude_list", "A14 C15", "SELECT o_orderkey::VARCHAR AS id FROM orders WHERE o_orderkey % 3 <> 0 OR o_orderkey % 2 = 0")
 def _(v: Views) -> DataFrame:
-    return v.table("part").select(text.strip(F.col("p_brand")).alias("entity")).where("entity != ''").distinct()
+    """Orders without those that two files of ids leave out; one file has comments and blank lines."""
+    ids = v.table("orders").select(F.col("o_orderkey").cast("string").alias("id"), F.col("o_orderkey").alias("k"))
+    third = ids.where("k % 3 = 0 AND k % 2 <> 0")
+    noted = third.where("k % 5 = 0").select(F.explode(F.array(F.concat(F.lit("# "), "id"), F.lit(" "), F.concat(F.lit(" "), "id"))).alias("line"))
+    left_out = readers.exclude_list(v.spark, [as_lines(third.where("k % 5 <> 0").select(F.col("id").alias("line")), "excluded"), as_lines(noted, "excluded")])
+    return ids.join(left_out, "id", "left_anti").select("id")
 
 
 @query("a10_training_view", "A10", "WITH s AS (SELECT DISTINCT sample_id FROM gold_label WHERE label = 'direct_support'), k AS (SELECT sample_id FROM s ORDER BY sample_id LIMIT 50), n AS (SELECT sample_id, count(*) AS n FROM kg_answer GROUP BY 1) SELECT k.sample_id, CAST(c.copy AS INT) AS copy FROM k LEFT JOIN n USING (sample_id) JOIN (SELECT 0 AS copy UNION ALL SELECT 1 UNION ALL SELECT 2) c ON c.copy = 0 OR n.n >= 2")
@@ -48,16 +66,25 @@ def _(v: Views) -> DataFrame:
     return readers.training_view(cache, v.answers, limit=50, extra_copies=2)
 
 
-@query("a12_bad_lines", "A12 A11", "SELECT event_id, CASE WHEN event_id % 7 = 0 THEN NULL ELSE CAST(json_extract_string(props, '$.k') AS INT) END AS k FROM events")
+@query("a12_bad_lines", "A12 A11", "SELECT event_id, event_type, CAST(json_extract_string(props, '$.k') AS INT) AS k, 0::BIGINT AS bad FROM events WHERE event_id % 7 <> 0 UNION ALL SELECT -1, 'unread', NULL, count(*) FROM events WHERE event_id % 7 = 0")
 def _(v: Views) -> DataFrame:
-    lines = v.table("events").select("event_id", F.when(F.col("event_id") % 7 == 0, F.lit("{broken")).otherwise(F.col("props")).alias("line"))
-    parsed = F.from_json("line", "k int, bad string", {"columnNameOfCorruptRecord": "bad"})
-    return lines.withColumn("r", parsed).select("event_id", F.when(F.col("r.bad").isNull(), F.col("r.k")).alias("k"))
+    """Events written as JSON lines and read again with broken lines between."""
+    rows = v.table("events").select("event_id", "event_type", F.get_json_object("props", "$.k").cast("int").alias("k"))
+    path = storage.new_folder(v.spark, "records")
+    readers.write_records(rows.where("event_id % 7 <> 0"), path)
+    rows.where("event_id % 7 = 0").select(F.concat(F.lit('{"event_id": '), "event_id", F.lit(', "k"')).alias("line")).write.mode("append").text(path)
+    good, bad = readers.read_records(v.spark, path, "event_id long, event_type string, k int")
+    lost = bad.groupBy().agg(F.count(F.lit(1)).alias("bad")).select(F.lit(-1).cast("long").alias("event_id"), F.lit("unread").alias("event_type"), F.lit(None).cast("int").alias("k"), "bad")
+    return good.select("event_id", "event_type", "k", F.lit(0).cast("long").alias("bad")).unionByName(lost)
 
 
-@query("a13_log_steps", "A13", "SELECT CAST(floor(event_id / 256) AS INT) AS step, count(*) AS n FROM events WHERE floor(event_id / 256) BETWEEN 3 AND 20 GROUP BY 1")
+@query("a13_log_steps", "A13", "WITH n AS (SELECT event_id, event_type, row_number() OVER (ORDER BY event_id) AS line_no FROM events) SELECT line_no, CAST((line_no - 1) // 256 AS INT) AS step, event_id, event_type FROM n WHERE (line_no - 1) // 256 BETWEEN 3 AND 20")
 def _(v: Views) -> DataFrame:
-    return readers.log_steps(v.table("events").withColumn("line_no", F.col("event_id") + 1), 256, 3, 20).groupBy("step").agg(F.count(F.lit(1)).alias("n"))
+    """Events as a log of JSON lines in several files, numbered through all of them."""
+    path = storage.new_folder(v.spark, "log")
+    readers.write_records(v.table("events").select("event_id", "event_type").repartitionByRange(6, "event_id").sortWithinPartitions("event_id"), path)
+    rows = readers.log_records(v.spark, path, "event_id long, event_type string", 256, 3, 20)
+    return rows.select("line_no", "step", "record.event_id", "record.event_type")
 
 
 @query("a15_resume", "A15 C6", "SELECT o_orderkey AS id FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')")

@@ -103,6 +103,59 @@ def parse_records(lines: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
     return parsed.where(~bad).select(*[F.col(f"r.{n}") for n in names]), parsed.where(bad).select("line")
 
 
+#: Splits whose counts may be broadcast; with more of them the lines are joined by shuffling.
+BROADCAST_SPLITS = 50_000
+
+
+def numbered_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(file, line_no, folder_line_no, line): lines as they lie in their files, counted from 1 in each, and through all files by name.
+
+    Lines are counted a split of a file, where Spark reads them anyway; the sums
+    before each split come from the table of splits, and a line's number is that sum and its
+    place in the split. Files are read twice, in parallel, and no line is sorted.
+    Empty lines count; a line longer than a split belongs to the split it begins in.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.col("value").alias("line"))
+    counts = checkpointed(lines.groupBy("file", "split").agg(F.count(F.lit(1)).alias("n")))
+    by_file = W.partitionBy("file").orderBy("split").rowsBetween(W.unboundedPreceding, -1)
+    within = counts.withColumn("in_file", F.coalesce(F.sum("n").over(by_file), F.lit(0)))
+    files = counts.groupBy("file").agg(F.sum("n").alias("lines"))
+    files = files.withColumn("in_folder", F.coalesce(F.sum("lines").over(W.orderBy("file").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("file", "in_folder")  # a row a file
+    before = within.join(files, "file").select("file", "split", "in_file", "in_folder")
+    if counts.count() <= BROADCAST_SPLITS:
+        before = F.broadcast(before)
+
+    def run(batches):
+        last, seen = None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            # a task reads its splits one after another, each from its first line to its last
+            files, splits = batch.column(0).dictionary_encode(), batch.column(1).to_numpy()
+            code = files.indices.to_numpy()
+            new = np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (splits[1:] != splits[:-1])))
+            place = np.arange(batch.num_rows) - np.repeat(new, np.diff(np.append(new, batch.num_rows)))
+            head = (batch.column(0)[0].as_py(), int(splits[0]))
+            if head == last:
+                place[: new[1] if len(new) > 1 else batch.num_rows] += seen
+            last, seen = (batch.column(0)[batch.num_rows - 1].as_py(), int(splits[-1])), int(place[-1]) + 1
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(place)], ["file", "split", "line", "place"])
+
+    placed = lines.mapInArrow(run, "file string, split long, line string, place long")
+    out = placed.join(before, ["file", "split"])
+    in_file = F.col("in_file") + F.col("place") + 1
+    return out.select("file", in_file.alias("line_no"), (F.col("in_folder") + in_file).alias("folder_line_no"), "line")
+
+
+def log_records(spark: SparkSession, path: str, kind: str, chunk: int, first: int = 0, last: int | None = None) -> DataFrame:
+    """(line_no, step, record) of a log of JSON lines, cut to the steps from first to last; a line that can't be read is an error."""
+    rows = log_steps(numbered_lines(spark, path).withColumn("line_no", F.col("folder_line_no")), chunk, first, last)
+    return rows.select("line_no", "step", F.from_json("line", kind, {"mode": "FAILFAST"}).alias("record"))
+
+
 def log_steps(log: DataFrame, chunk: int, first: int = 0, last: int | None = None) -> DataFrame:
     """log (line_no from 1) with step = (line_no - 1) div chunk, cut to the steps from first to last."""
     out = log.withColumn("step", F.floor((F.col("line_no") - 1) / chunk).cast("int")).where(F.col("step") >= first)
