@@ -149,7 +149,3 @@ def checked_positions(left: DataFrame, right: DataFrame, key: str = "id") -> Dat
     if not odd.isEmpty():
         raise ValueError(f"rows without a partner, such as {odd.first()[0]!r}")
     return left.join(right, key)
-
-
-def unmatched(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    return left.join(right.select(key).distinct(), key, "left_anti")

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from loomgraph.functions import text
@@ -105,6 +104,12 @@ def manifest(rows: DataFrame, answers: DataFrame) -> DataFrame:
     return per.join(n, KEY, "left").select(KEY, "num_candidates", "num_positive", "num_shortest", (F.col("num_positive") > 0).alias("has_positive"), F.greatest(F.lit(1), F.coalesce("_n", F.lit(0))).alias("num_answers"))
 
 
+def manifest_totals(lines: DataFrame, *by: str) -> DataFrame:
+    """Totals of the lines of a manifest, of all or by columns: samples, candidates, positives, samples with positives, and the greatest score difference."""
+    diff = [F.max("max_abs_diff").alias("max_abs_diff")] if "max_abs_diff" in lines.columns else []
+    return lines.groupBy(*by).agg(F.count(F.lit(1)).alias("samples"), F.sum("num_candidates").alias("candidates"), F.sum("num_positive").alias("positives"), F.count_if("has_positive").alias("with_positives"), *diff)
+
+
 def answer_count(answers: Column) -> Column:
     return F.greatest(F.lit(1), F.size(text.ensure_list(answers)))
 
@@ -292,10 +297,17 @@ def reason_counts(rows: DataFrame, reason: str = "reason") -> DataFrame:
     return rows.groupBy(reason).agg(F.count(F.lit(1)).alias("n"))
 
 
+def observed_counts(rows: DataFrame, reasons: tuple[str, ...], reason: str = "reason") -> tuple[DataFrame, Observation]:
+    """rows, and the numbers of each known reason, of other ones and of none, counted by whatever job first takes all rows.
+
+    No second job reads the input. Read the observation only after such a job.
+    """
+    seen = Observation()
+    of = F.col(reason)
+    counts = [F.count_if(of == r).alias(r) for r in reasons]
+    return rows.observe(seen, *counts, F.count_if(of.isNotNull() & ~of.isin(*reasons)).alias("other"), F.count_if(of.isNull()).alias("kept"), F.count(F.lit(1)).alias("all")), seen
+
+
 def length_statistics(rows: DataFrame, length: str, by: str, shares: tuple[float, ...] = (0.5, 0.9)) -> DataFrame:
     """Least, mean, greatest and linear percentiles of a length."""
     return rows.groupBy(by).agg(F.min(length).alias("least"), F.avg(length).alias("mean"), F.max(length).alias("most"), *[F.percentile(length, F.lit(p)).alias(f"p{int(100 * p)}") for p in shares])
-
-
-def running_total(rows: DataFrame, value: str, key: str, order: str) -> Column:
-    return F.sum(value).over(W.partitionBy(key).orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow))

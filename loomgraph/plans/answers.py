@@ -7,9 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomgraph.functions import scores, text
-from loomgraph.operators import containment, episodes, graph, joins, metrics, models, prompts, ranking, rollouts, training
+from loomgraph.operators import containment, episodes, graph, joins, metrics, models, prompts, ranking, rollouts, training, vectors
 from loomgraph.plans.registry import query
 from loomgraph.plans.retrieval import _DISTINCT, _EXAMPLES, _FIRST, _SCORED, _SOFT, KEY, TRIPLE, pairwise, soft_rows
+from loomgraph.sources import readers, service, storage
 from loomgraph.sources.storage import checkpointed
 from loomgraph.sources.views import Views
 
@@ -156,9 +157,90 @@ def _(v: Views) -> DataFrame:
     return metrics.relevant_statistics(soft_rows(v)).withColumn("max_relevant", F.col("max_relevant").cast("long"))
 
 
-@query("e5_manifest", "E5 E6 A9 M13", f"WITH {_SOFT}, a AS (SELECT sample_id, count(*) AS n FROM kg_answer GROUP BY 1) SELECT sample_id, count(*) AS num_candidates, sum(CASE WHEN label > 0 THEN 1 ELSE 0 END)::BIGINT AS num_positive, sum(CASE WHEN label = 1 THEN 1 ELSE 0 END)::BIGINT AS num_shortest, max(label) > 0 AS has_positive, greatest(1, coalesce(max(a.n), 0))::BIGINT AS num_answers FROM soft LEFT JOIN a USING (sample_id) GROUP BY 1")
+_STORED = "1 / (1 + exp(-logit)) AS p, round(1 / (1 + exp(-logit)), 3) AS stored"
+_LINES = f"{_SOFT}, a AS (SELECT sample_id, count(*) AS n FROM kg_answer GROUP BY 1), m AS (SELECT sample_id, count(*) AS num_candidates, sum(CASE WHEN soft.label > 0 THEN 1 ELSE 0 END)::BIGINT AS num_positive, sum(CASE WHEN soft.label = 1 THEN 1 ELSE 0 END)::BIGINT AS num_shortest, max(soft.label) > 0 AS has_positive, greatest(1, coalesce(max(a.n), 0))::BIGINT AS num_answers, max(abs(1 / (1 + exp(-logit)) - round(1 / (1 + exp(-logit)), 3))) AS diff FROM soft LEFT JOIN a USING (sample_id) GROUP BY 1)"
+
+
+def cached_lines(v: Views) -> DataFrame:
+    """Features of all candidates in a cache with one folder a split, and a manifest line of each sample from what the cache holds."""
+    rows = soft_rows(v).select(KEY, "triple_id", "label", "logit", F.round(scores.sigmoid(F.col("logit")), 3).alias("stored"))
+    split = F.when(F.col(KEY) % 10 == 0, "test").when(F.col(KEY) % 10 == 1, "val").otherwise("train")
+    path = storage.new_folder(v.spark, "cache")
+    readers.feature_cache(rows.withColumn("split", split), path)
+    cache = v.spark.read.parquet(path)
+    far = vectors.score_differences(cache.withColumn("again", scores.sigmoid(F.col("logit"))), "stored", "again")
+    return metrics.manifest(cache, v.answers).join(far, KEY).join(cache.select(KEY, "split").distinct(), KEY)
+
+
+@query("e5_manifest", "E5 A9 M13", f"WITH {_LINES} SELECT sample_id, num_candidates, num_positive, num_shortest, has_positive, num_answers, round(diff, 9) AS max_abs_diff FROM m")
 def _(v: Views) -> DataFrame:
-    return metrics.manifest(soft_rows(v), v.answers)
+    return cached_lines(v).select(KEY, "num_candidates", "num_positive", "num_shortest", "has_positive", "num_answers", F.round("max_abs_diff", 9).alias("max_abs_diff"))
+
+
+@query("a9_cache_totals", "A9 M4 M13", f"WITH {_LINES} SELECT CASE sample_id % 10 WHEN 0 THEN 'test' WHEN 1 THEN 'val' ELSE 'train' END AS split, count(*) AS samples, sum(num_candidates)::BIGINT AS candidates, sum(num_positive)::BIGINT AS positives, count(*) FILTER (has_positive) AS with_positives, round(max(diff), 9) AS max_abs_diff FROM m GROUP BY 1")
+def _(v: Views) -> DataFrame:
+    return metrics.manifest_totals(cached_lines(v), "split").withColumn("max_abs_diff", F.round("max_abs_diff", 9))
+
+
+@query("e6_answer_count", "E6", "SELECT c_custkey AS id, greatest(1, CASE c_custkey % 4 WHEN 0 THEN 0 WHEN 1 THEN 2 WHEN 2 THEN 3 ELSE 0 END) AS n FROM customer")
+def _(v: Views) -> DataFrame:
+    k = F.col("c_custkey") % 4
+    lists = F.when(k == 0, F.array().cast("array<string>")).when(k == 1, F.array("c_name", "c_mktsegment")).when(k == 2, F.array("c_name", "c_name", F.lit("x")))
+    return v.table("customer").select(F.col("c_custkey").alias("id"), metrics.answer_count(lists).alias("n"))
+
+
+@query("e9_distinct_gold", "E9", "SELECT sample_id, count(*) AS n FROM (SELECT DISTINCT sample_id, head, relation, CASE WHEN path % 7 = 3 THEN '' ELSE tail END AS tail FROM gold_path) WHERE tail <> '' GROUP BY 1")
+def _(v: Views) -> DataFrame:
+    tail = F.when(F.col("path") % 7 == 3, "").otherwise(F.col("tail"))
+    return metrics.distinct_gold(v.view("gold_path").withColumn("tail", tail))
+
+
+@query("c9_positions", "C9", "SELECT s.s_suppkey AS id, s.s_name AS name, t.node FROM supplier s JOIN topic t ON t.sample_id = s.s_suppkey")
+def _(v: Views) -> DataFrame:
+    left = v.table("supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
+    return joins.checked_positions(left, v.topics.select(F.col(KEY).alias("id"), "node"))
+
+
+@query("e18_observed", "E18 B16", "WITH l AS (SELECT CASE WHEN l_returnflag = 'R' THEN 'returned' WHEN l_quantity > 45 THEN 'large' WHEN l_tax = 0 THEN 'odd' END AS reason FROM lineitem) SELECT n.name, count(l.one) AS n FROM (SELECT unnest(['returned', 'large', 'free', 'other', 'kept', 'all']) AS name) n LEFT JOIN (SELECT CASE WHEN reason = 'odd' THEN 'other' ELSE coalesce(reason, 'kept') END AS name, 1 AS one FROM l UNION ALL SELECT 'all', 1 FROM l) l USING (name) GROUP BY 1")
+def _(v: Views) -> DataFrame:
+    """Reasons of lines counted while the kept ones are written."""
+    reason = F.when(F.col("l_returnflag") == "R", "returned").when(F.col("l_quantity") > 45, "large").when(F.col("l_tax") == 0, "odd")
+    rows, seen = metrics.observed_counts(v.table("lineitem").select("l_orderkey", "l_linenumber", reason.alias("reason")), ("returned", "large", "free"))
+    rows.where("reason IS NULL").write.parquet(storage.new_folder(v.spark, "kept"))
+    return v.spark.createDataFrame(list(seen.get.items()), "name string, n long")
+
+
+# half precision: eleven bits from the leading one on, in steps of 2^-24 at least
+_HALF = "CASE WHEN {0} = 0 THEN 0 ELSE round_even({0} / pow(2, greatest(floor(log2(abs({0}))), -14) - 10), 0) * pow(2, greatest(floor(log2(abs({0}))), -14) - 10) END"
+
+
+@query("h20_packed", "H20 A8", f"WITH x AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, CAST(list_transform(embedding, lambda y: floor(10 * y)) AS DOUBLE[]) AS f FROM embeddings), n AS (SELECT vec_id, unnest(list_transform(e, lambda y: y / sqrt(list_dot_product(e, e))) || list_transform(f, lambda y: y / sqrt(list_dot_product(f, f)))) AS y, generate_subscripts(e || f, 1) AS k FROM x WHERE list_dot_product(f, f) > 0), h AS (SELECT vec_id, k, {_HALF.format('y')} AS y FROM n) SELECT vec_id, count(*) AS width, round(sum(y * k), 6)::DOUBLE AS weighted, round(max(y), 9)::DOUBLE AS most FROM h GROUP BY 1")
+def _(v: Views) -> DataFrame:
+    """Two normalised vectors of each row, one after the other, packed in half precision, stored and read again."""
+    rows = v.table("embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
+    rows = rows.withColumn("f", F.transform("e", lambda y: F.floor(10 * y).cast("double"))).where(scores.dot(F.col("f"), F.col("f")) > 0)
+    both = rows.select("vec_id", F.concat(scores.l2_normalized(F.col("e")), scores.l2_normalized(F.col("f"))).alias("x"))
+    path = storage.new_folder(v.spark, "packed")
+    vectors.pack(both, "x").write.parquet(path)
+    back = vectors.unpack(v.spark.read.parquet(path))
+    place = F.sequence(F.lit(1), F.size("vector")).cast("array<double>")
+    return back.select("vec_id", F.col("width").cast("long").alias("width"), F.round(scores.dot(F.col("vector"), place), 6).alias("weighted"), F.round(F.array_max("vector"), 9).alias("most"))
+
+
+@query("a19_answers", "A19 K5 S6", "WITH r AS (SELECT c_custkey AS id, c_mktsegment || c_custkey % 9 AS q FROM customer) SELECT id, q NOT LIKE '%7' AS ok, CASE WHEN q NOT LIKE '%7' THEN reverse(q) END AS answer, CASE WHEN q LIKE '%7' THEN 'down' END AS error, (SELECT count(DISTINCT q) FROM r) AS calls FROM r")
+def _(v: Views) -> DataFrame:
+    """A stand-in service that fails for some questions: equal questions are called once, failures are rows."""
+
+    def ask(payload: dict) -> dict:
+        if payload["q"].endswith("7"):
+            raise RuntimeError("down")
+        return {"answer": payload["q"][::-1]}
+
+    question = F.concat("c_mktsegment", (F.col("c_custkey") % 9).cast("string"))
+    client = service.AnswerService(v.spark, ask)
+    out = client.answer(v.table("customer").select(F.col("c_custkey").alias("id"), F.to_json(F.struct(question.alias("q"))).alias("payload")))
+    calls = client.log().groupBy().agg(F.count(F.lit(1)).alias("calls"))
+    return out.select("id", "ok", F.get_json_object("response", "$.answer").alias("answer"), "error").crossJoin(calls)  # one row on the right
 
 
 # distinct names: a line matches an answer where the normalised texts are equal
@@ -170,11 +252,14 @@ def _(v: Views) -> DataFrame:
     return metrics.score_predictions(v.predictions).select("id", "matched", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
 
 
-@query("e11_report", "E11 B11", f"WITH {_MATCHED} SELECT count(*) AS n, round(100 * avg(matched / np), 5)::DOUBLE AS macro_precision, round(100 * avg(matched / ng), 5)::DOUBLE AS macro_recall, round(sum(matched) / sum(np), 6)::DOUBLE AS micro_precision, round(sum(matched) / sum(ng), 6)::DOUBLE AS micro_recall FROM s WHERE id % 4 >= 2 AND id % 5 <> 0")
+@query("e11_report", "E11 B11", f"WITH {_MATCHED}, t AS (SELECT id, CASE WHEN id % 9 = 0 THEN 0 ELSE matched END AS matched, CASE WHEN id % 9 = 0 THEN 0 ELSE np END AS np, ng, id % 9 = 0 AS none FROM s WHERE id % 4 >= 2 AND id % 5 <> 0), m AS (SELECT sum(matched) / sum(np) AS p, sum(matched) / sum(ng) AS r, avg(CASE WHEN none THEN 1.0 ELSE 0.0 END) AS none, count(*) AS n, avg(CASE WHEN np > 0 THEN matched / np ELSE 0 END) AS mp, avg(matched / ng) AS mr, avg(2.0 * matched / (np + ng)) AS mf FROM t) SELECT n, round(100 * mp, 5)::DOUBLE AS macro_precision, round(100 * mr, 5)::DOUBLE AS macro_recall, round(100 * mf, 5)::DOUBLE AS macro_f1, round(p, 6)::DOUBLE AS micro_precision, round(r, 6)::DOUBLE AS micro_recall, round(2 * p * r / (p + r), 6)::DOUBLE AS micro_f1, round(none, 6)::DOUBLE AS no_answer_share, round((mf + 1.5) / 2.5 * 100, 5)::DOUBLE AS rescaled FROM m")
 def _(v: Views) -> DataFrame:
+    """Answerable samples of three hops or more; a ninth of them say that there is no answer."""
     rows = v.predictions.withColumn("a_entity_in_graph", F.when(F.col("id") % 5 != 0, F.array(F.lit("x"))).otherwise(F.array().cast("array<string>"))).withColumn("max_path_length", F.col("id") % 4 + 1)
+    rows = rows.withColumn("prediction", F.when(F.col("id") % 9 == 0, "ans: not available").otherwise(F.col("prediction")))
     out = metrics.report(metrics.score_predictions(metrics.select_samples(rows, hops=3, subset=True)))
-    return out.select("n", F.round("macro_precision", 5).alias("macro_precision"), F.round("macro_recall", 5).alias("macro_recall"), F.round("micro_precision", 6).alias("micro_precision"), F.round("micro_recall", 6).alias("micro_recall"))
+    out = out.withColumn("rescaled", metrics.rescaled(F.col("macro_f1") / 100))
+    return out.select("n", *[F.round(c, 5).alias(c) for c in ("macro_precision", "macro_recall", "macro_f1", "rescaled")], *[F.round(c, 6).alias(c) for c in ("micro_precision", "micro_recall", "micro_f1", "no_answer_share")])
 
 
 @query("e12_hits", "E12", f"WITH {_MATCHED}, f AS (SELECT id, line, row_number() OVER (PARTITION BY id ORDER BY min(n), line) AS k FROM qa_pred GROUP BY 1, 2) SELECT s.id, CASE WHEN s.matched > 0 THEN 1 ELSE 0 END AS hit_any, CASE WHEN EXISTS (SELECT 1 FROM f JOIN j ON j.id = f.id AND j.line = f.line WHERE f.id = s.id AND f.k = 1) THEN 1 ELSE 0 END AS hit FROM s")

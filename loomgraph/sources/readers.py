@@ -282,39 +282,3 @@ class RetrievalConfig:
                 raise ValueError(f"{k} must be {type(default).__name__}")
             out[k] = v
         return RetrievalConfig(**out)
-
-
-class AnswerService:
-    """Answers by payload key: equal requests are asked once, failures become ok = false rows and are asked again next time."""
-
-    def __init__(self, ask: Callable[[dict], dict], timeout: float = 60.0):
-        if timeout <= 0:
-            raise ValueError("timeout must be positive")
-        self.ask, self.timeout = ask, timeout
-
-    def answer(self, requests: DataFrame, payload: str = "payload", known: DataFrame | None = None) -> DataFrame:
-        """requests (with a JSON payload) with key, ok and response; known (key, response) are not asked again."""
-        import pyarrow as pa
-
-        ask = self.ask
-        keyed = requests.withColumn("key", F.sha2(F.col(payload), 256))
-        todo = keyed.select("key", payload).dropDuplicates(["key"])
-        if known is not None:
-            todo = todo.join(known.select("key"), "key", "left_anti")
-
-        def run(batches):
-            for batch in batches:
-                ok, out = [], []
-                for text in batch.column(1).to_pylist():
-                    try:
-                        out.append(json.dumps(ask(json.loads(text)), sort_keys=True, ensure_ascii=False))
-                        ok.append(True)
-                    except Exception as e:  # a failed call is a row, not a failed job
-                        out.append(json.dumps({"error": str(e)}))
-                        ok.append(False)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ok), pa.array(out, pa.string())], ["key", "ok", "response"])
-
-        answers = todo.mapInArrow(run, "key string, ok boolean, response string")
-        if known is not None:
-            answers = answers.unionByName(known.select("key", F.lit(True).alias("ok"), "response"))
-        return keyed.join(answers, "key")

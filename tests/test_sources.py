@@ -1,10 +1,14 @@
 """Readers, sinks, services and streams."""
 
 import json
+import threading
+import time
 
 import pytest
 from loomgraph import schema
 from loomgraph.sources import readers
+from loomgraph.sources import service as service_module
+from loomgraph.sources.service import AnswerService
 from loomgraph.streaming.episodes import call_log, episode_events
 from pyspark.sql import functions as F
 
@@ -79,15 +83,65 @@ def test_config():
             readers.sample_limits(bad)
 
 
-def test_answer_service_asks_equal_requests_once(spark):
+def service(spark, folder, log, **other):
     def ask(request):
-        if request["q"] == "bad":
+        with open(log, "a") as f:
+            f.write(f"{request['q']} {threading.active_count()}\n")
+        if request["q"].startswith("slow"):
+            time.sleep(20)
+        if request["q"] == "bad" or request["q"] == "shy" and open(log).read().count("shy") < 3:
             raise RuntimeError("down")
         return {"answer": request["q"].upper()}
 
-    rows = spark.createDataFrame([(1, '{"q":"a"}'), (2, '{"q":"a"}'), (3, '{"q":"bad"}')], "id int, payload string")
-    got = {r["id"]: (r["ok"], json.loads(r["response"])) for r in readers.AnswerService(ask).answer(rows).collect()}
-    assert got == {1: (True, {"answer": "A"}), 2: (True, {"answer": "A"}), 3: (False, {"error": "down"})}
+    return AnswerService(spark, ask, f"{folder}/service", **other)
+
+
+def said(rows):
+    return {r["id"]: (r["ok"], r["cached"], r["response"] and json.loads(r["response"])["answer"], r["error"]) for r in rows.collect()}
+
+
+def test_answer_service_asks_equal_requests_once_and_keeps_answers(spark, tmp_path):
+    rows = spark.createDataFrame([(1, '{"q":"a"}'), (2, '{"q":"a"}'), (3, '{"q":"bad"}'), (4, None)], "id int, payload string")
+    log = tmp_path / "log"
+    log.touch()
+    first = service(spark, tmp_path, log).answer(rows)
+    assert said(first) == said(first) == {1: (True, False, "A", None), 2: (True, False, "A", None), 3: (False, False, None, "down"), 4: (False, False, None, None)}
+    assert sorted(x.split()[0] for x in log.read_text().splitlines()) == ["a", "bad"]
+    more = rows.unionByName(spark.createDataFrame([(5, '{"q":"b"}')], rows.schema))
+    again = service(spark, tmp_path, log)  # the memo outlives the client; only what failed or is new is asked
+    assert said(again.answer(more)) == {1: (True, True, "A", None), 2: (True, True, "A", None), 3: (False, False, None, "down"), 4: (False, False, None, None), 5: (True, False, "B", None)}
+    assert sorted(x.split()[0] for x in log.read_text().splitlines()) == ["a", "b", "bad", "bad"]
+    assert sorted((json.loads(r["payload"])["q"], r["ok"]) for r in again.log().collect()) == [("a", True), ("b", True), ("bad", False), ("bad", False)]
+    assert {r["tries"] for r in again.log().collect()} == {1} and again.log().where("seconds < 0 OR called_at IS NULL").isEmpty()
+
+
+def test_slow_calls_pass_their_deadline_and_shy_ones_are_repeated(spark, tmp_path):
+    log = tmp_path / "log"
+    log.touch()
+    rows = spark.createDataFrame([(k, json.dumps({"q": q})) for k, q in enumerate(["slow1", "slow2", "shy", *(f"x{k}" for k in range(30))])], "id int, payload string").coalesce(1)
+    began = time.time()
+    got = said(service(spark, tmp_path, log, timeout=2.0, at_once=3, tries=4, wait=0.01).answer(rows.coalesce(1)))
+    assert time.time() - began < 18  # nobody waits for the slow ones
+    assert [got[k][0] for k in range(3)] == [False, False, True] and got[0][3] == "no answer within 2.0 s" and all(got[k][0] for k in range(3, 33))
+    assert max(int(x.split()[1]) for x in log.read_text().splitlines()) <= 3 + 2 + 8  # calls at once, those given up, and the worker's own threads
+    with pytest.raises(ValueError, match="positive"):
+        service(spark, tmp_path, log, timeout=0)
+
+
+def test_calls_under_way_are_bounded():
+    now, most, lock = [0], [0], threading.Lock()
+
+    def ask(payload):
+        with lock:
+            now[0] += 1
+            most[0] = max(most[0], now[0])
+        time.sleep(0.02)
+        with lock:
+            now[0] -= 1
+        return payload
+
+    rows = list(service_module.called(ask, iter((str(k), f'{{"k": {k}}}') for k in range(40)), 5.0, 4, 1, 0.0))
+    assert {r[0] for r in rows} == {str(k) for k in range(40)} and most[0] == 4 and all(r[2] for r in rows)
 
 
 def test_eval_subgraphs_and_export(spark):
