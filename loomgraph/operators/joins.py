@@ -149,3 +149,21 @@ def checked_positions(left: DataFrame, right: DataFrame, key: str = "id") -> Dat
     if not odd.isEmpty():
         raise ValueError(f"rows without a partner, such as {odd.first()[0]!r}")
     return left.join(right, key)
+
+
+def assembled(samples: DataFrame, scores: DataFrame, embedded: DataFrame, skip_no_path: bool = True) -> DataFrame:
+    """samples (sample_id, n_entities, q_entity_ids, a_entity, a_entity_ids) that can be trained on.
+
+    Those without an embedding are left out, and (skip_no_path: not in tests) those without a path:
+    max_path_length of scores null or 0. Answers are listed once; topic_one_hot has [other, topic] of every
+    entity. A sample without scores is an error.
+    """
+    lost = samples.join(scores.select(KEY), KEY, "left_anti")
+    if not lost.isEmpty():
+        raise ValueError(f"no triple scores of {lost.first()[KEY]!r}")
+    out = samples.join(embedded.select(KEY).distinct(), KEY, "left_semi").join(scores.select(KEY, "max_path_length"), KEY)
+    out = out.where(F.coalesce("max_path_length", F.lit(0)) != 0) if skip_no_path else out
+    topic = lambda i: F.array_contains("q_entity_ids", i).cast("double")
+    places = F.when(F.col("n_entities") > 0, F.sequence(F.lit(0), F.col("n_entities") - 1)).otherwise(F.array().cast("array<int>"))
+    hot = F.transform(places, lambda i: F.array(1.0 - topic(i), topic(i)))
+    return out.withColumns({"a_entity": F.array_distinct("a_entity"), "a_entity_ids": F.array_distinct("a_entity_ids"), "topic_one_hot": hot})

@@ -520,6 +520,48 @@ def _(v: Views) -> DataFrame:
     return episodes.replay_summaries(v.view("episode_turn"), truths(v))
 
 
+# Selections among part.brand edges are stars around brands: an action is connected if its brand was chosen before, and
+# components are brands with their parts, so that rewards have a closed form.
+_STARS = """br AS (SELECT sample_id, head, tail AS brand, row_number() OVER (PARTITION BY sample_id ORDER BY min(triple_id)) AS idx FROM kg_edge WHERE relation = 'part.brand' GROUP BY 1, 2, 3), c AS MATERIALIZED (SELECT * FROM br WHERE idx <= 100),
+ep AS (SELECT DISTINCT user_id AS episode_id, user_id % (SELECT count(*) FROM supplier) + 1 AS sample_id FROM events),
+sup AS MATERIALIZED (SELECT DISTINCT c.sample_id, c.idx FROM c JOIN gold_path g ON g.sample_id = c.sample_id AND g.head = c.head AND g.relation = 'part.brand' AND g.tail = c.brand), ns AS (SELECT sample_id, count(*) AS support FROM sup GROUP BY 1),
+tn AS (SELECT *, row_number() OVER (PARTITION BY episode_id ORDER BY turn) - 1 AS step FROM episode_turn), st AS (SELECT episode_id, min(step) AS step FROM tn WHERE kind = 'STOP' GROUP BY 1),
+act AS MATERIALIZED (SELECT tn.episode_id, ep.sample_id, tn.step, c.idx, c.brand, row_number() OVER (PARTITION BY tn.episode_id, c.idx ORDER BY tn.step) AS times FROM tn JOIN ep USING (episode_id) LEFT JOIN st USING (episode_id) LEFT JOIN c ON c.sample_id = ep.sample_id AND c.idx = tn.triple_id AND tn.kind = 'ADD_TRIPLE' WHERE st.step IS NULL OR tn.step < st.step),
+sel AS MATERIALIZED (SELECT s.*, sup.idx IS NOT NULL AS good FROM act s LEFT JOIN sup USING (sample_id, idx) WHERE s.idx IS NOT NULL AND times = 1),
+z AS (SELECT s.episode_id, s.step, s.sample_id, s.brand, s.good, p.brand AS pb, count(p.step) AS k FROM sel s LEFT JOIN sel p ON p.episode_id = s.episode_id AND p.step < s.step GROUP BY ALL),
+y AS (SELECT episode_id, step, sample_id, good, coalesce(sum(k), 0) AS n, count(pb) AS b, coalesce(max(k), 0) AS m, coalesce(max(CASE WHEN pb = brand THEN k END), 0) AS own FROM z GROUP BY ALL),
+x AS (SELECT y.*, CASE WHEN own = 0 THEN -1.5 ELSE (1.5 * CASE WHEN good THEN 1.0 / support ELSE 0 END + 0.2 * greatest(0, (greatest(m, own + 1) + 1) / (n + 1 + b) - (m + 1) / (n + b)) + 0.025) / log2(n + 2) - 0.05 * greatest(0, n + 1 - 14) END AS reward FROM y LEFT JOIN ns USING (sample_id)),
+steps AS MATERIALIZED (SELECT act.episode_id, act.step, coalesce(x.reward, -2.0) AS reward, CASE WHEN act.idx IS NULL THEN 'invalid_action' WHEN act.times > 1 THEN 'duplicate_action' WHEN x.own = 0 THEN 'disconnected_action' WHEN x.good THEN 'support_gain' ELSE 'frontier_expand' END AS reason FROM act LEFT JOIN x ON act.times = 1 AND act.idx IS NOT NULL AND x.episode_id = act.episode_id AND x.step = act.step)"""
+
+
+def star_truths(v: Views) -> DataFrame:
+    """Truths whose candidates are the first part.brand edges of a sample."""
+    n = v.table("supplier").agg(F.count(F.lit(1)).alias("n"))
+    users = v.table("events").select(F.col("user_id").alias("episode_id")).distinct().crossJoin(n).select("episode_id", (F.col("episode_id") % F.col("n") + 1).alias(KEY))  # one row on the right
+    cands = ranking.first_distinct(v.edges.where("relation = 'part.brand'"), 100)
+    lists = cands.groupBy(KEY).agg(F.sort_array(F.collect_list(F.struct("idx", *TRIPLE))).alias("candidates"))
+    support = cands.join(v.view("gold_path").select(KEY, *TRIPLE).distinct(), [KEY, *TRIPLE], "left_semi").groupBy(KEY).agg(F.sort_array(F.collect_list("idx")).alias("support"))
+    answers = v.answers.groupBy(KEY).agg(F.sort_array(F.collect_list("answer")).alias("answers"))
+    out = users.join(lists, KEY, "left").join(support, KEY, "left").join(answers, KEY, "left").join(v.topics.withColumnRenamed("node", "topic"), KEY, "left")
+    return out.select("episode_id", "candidates", "topic", "answers", "support", F.lit(14).alias("soft_limit"))
+
+
+@query("s3_star_rewards", "S3 U1 S2", f"WITH {_STARS} SELECT episode_id, CAST(step AS INT) AS step, round(reward, 6)::DOUBLE AS reward, reason FROM steps")
+def _(v: Views) -> DataFrame:
+    found = episodes.replay_steps(v.view("episode_turn"), star_truths(v)).where("reason <> 'stop_action'")
+    return found.select("episode_id", "step", F.round("reward", 6).alias("reward"), "reason")
+
+
+@query("s4_star_gates", "S4 S3 C13", f"""WITH {_STARS}, e AS (SELECT DISTINCT episode_id, sample_id FROM tn JOIN ep USING (episode_id)), na AS (SELECT sample_id, count(*) AS answers FROM kg_answer GROUP BY 1), w AS (SELECT episode_id, brand, count(*) AS k, sum(CASE WHEN good THEN 1 ELSE 0 END) AS g FROM sel GROUP BY 1, 2),
+t AS (SELECT e.episode_id, e.sample_id, coalesce(sum(k), 0) AS n, coalesce((max(k) + 1) / (sum(k) + count(brand)), 0) AS conn, coalesce(sum(g), 0) AS g, count(a.answer) AS hits FROM e LEFT JOIN w USING (episode_id) LEFT JOIN kg_answer a ON a.sample_id = e.sample_id AND a.answer = w.brand GROUP BY 1, 2),
+r AS (SELECT t.*, coalesce(hits / answers, 0) AS a, coalesce(g / support, 0) AS s, answers, st.step IS NOT NULL AS stopped FROM t LEFT JOIN na USING (sample_id) LEFT JOIN ns USING (sample_id) LEFT JOIN st USING (episode_id)),
+o AS (SELECT *, (hits >= 1 OR a >= 1) AND n >= 2 AND conn >= 0.6 AS allowed FROM r)
+SELECT episode_id, CAST(n AS INT) AS n_selected, round(coalesce((SELECT sum(reward) FROM steps WHERE steps.episode_id = o.episode_id), 0), 6)::DOUBLE AS step_reward_sum, stopped AS stop_seen, round(CASE WHEN stopped THEN -0.3 + 0.8 * a + 0.5 * s + 0.1 * conn - CASE WHEN allowed THEN 0 ELSE 3 END - CASE WHEN answers > 0 AND a < 1 THEN 2.5 * (1 - a) ELSE 0 END ELSE 0 END, 6)::DOUBLE AS stop_reward, allowed, round(a, 6)::DOUBLE AS answer_recall, round(s, 6)::DOUBLE AS support_recall, round(conn, 6)::DOUBLE AS connectivity FROM o""")
+def _(v: Views) -> DataFrame:
+    found = episodes.replay_summaries(v.view("episode_turn"), star_truths(v))
+    return found.select("episode_id", "n_selected", "stop_seen", "allowed", *[F.round(c, 6).alias(c) for c in ("step_reward_sum", "stop_reward", "answer_recall", "support_recall", "connectivity")])
+
+
 @query("s5_final_reward", "S5", "SELECT l_orderkey AS id, l_linenumber AS n, round(CASE WHEN l_returnflag = 'R' THEN 0 ELSE 0.8 * l_discount + 0.05 * l_tax END + 0.05 * (l_partkey % 11) / 10 + 0.05 * ((l_suppkey % 5) / 2 - 1) + 0.05 * (l_quantity / 50), 6)::DOUBLE + 0.0 AS score FROM lineitem")
 def _(v: Views) -> DataFrame:
     score = episodes.final_reward(F.col("l_discount"), F.col("l_partkey") % 11 / 10, F.col("l_suppkey") % 5 / 2 - 1, F.col("l_quantity") / 50, F.col("l_tax"), F.col("l_returnflag") != "R")

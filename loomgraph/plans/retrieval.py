@@ -116,6 +116,19 @@ def _(v: Views) -> DataFrame:
     return v.topics.select(KEY).join(touched, KEY, "left").fillna(False, ["answerable"])
 
 
+@query("b3_assembled", "B3", "WITH s AS (SELECT s_suppkey AS sample_id, 3 + s_suppkey % 4 AS n FROM supplier WHERE s_suppkey % 5 <> 2 AND s_suppkey % 3 <> 0 AND s_suppkey % 7 <> 1) SELECT sample_id, CAST(1 + sample_id % 2 AS INT) AS max_path_length, array_to_string(list_transform(range(0, n), lambda i: CASE WHEN i = sample_id % 3 OR i = 1 THEN '0,1' ELSE '1,0' END), ';') AS hot, (SELECT count(*) FROM kg_answer a WHERE a.sample_id = s.sample_id) AS answers FROM s")
+def _(v: Views) -> DataFrame:
+    """Samples with embeddings and paths; every answer is listed twice before."""
+    key = F.col(KEY)
+    lists = v.answers.groupBy(KEY).agg(F.collect_list("answer").alias("a"))
+    twice = F.coalesce(F.concat("a", "a"), F.array().cast("array<string>"))
+    rows = v.topics.join(lists, KEY, "left").select(KEY, (3 + key % 4).cast("int").alias("n_entities"), F.array((key % 3).cast("int"), F.lit(1)).alias("q_entity_ids"), twice.alias("a_entity"), F.array().cast("array<int>").alias("a_entity_ids"))
+    length = F.when(key % 3 == 0, 0).when(key % 7 != 1, 1 + key % 2).cast("int")
+    out = joins.assembled(rows, v.topics.select(KEY, length.alias("max_path_length")), v.topics.where(key % 5 != 2))
+    hot = F.array_join(F.transform("topic_one_hot", lambda x: F.array_join(F.transform(x, lambda y: y.cast("int").cast("string")), ",")), ";")
+    return out.select(KEY, "max_path_length", hot.alias("hot"), F.size("a_entity").cast("long").alias("answers"))
+
+
 @query("b4_normalised_triples", "B4 B5 B7 H21", "SELECT sample_id, triple_id, concat(CAST(triple_id AS VARCHAR), '|', head, '|', relation, '|', tail) AS indexed, concat('(', head, ', ', relation, ', ', tail, ')') AS shown, concat('what is ', tail, '?') AS question FROM kg_edge")
 def _(v: Views) -> DataFrame:
     rows = v.edges.select(KEY, "triple_id", *[text.safe_text(F.concat(F.lit("\t "), c, F.lit(" \n"))).alias(c) for c in TRIPLE])
