@@ -9,6 +9,7 @@ from loomgraph.functions import scores
 from loomgraph.operators import graph, joins, metrics, ranking
 from loomgraph.plans.registry import query
 from loomgraph.plans.retrieval import _BOTH, _DISTINCT, _FIRST, _SCORED, KEY, TRIPLE, _walk, soft_rows
+from loomgraph.sources.storage import checkpointed
 from loomgraph.sources.views import Views
 
 
@@ -54,6 +55,55 @@ def trajectories(edges: DataFrame, paths: DataFrame, answers: DataFrame, topics:
     return kept.select(KEY, "reason").distinct().join(ids, KEY).join(reached, KEY, "left")
 
 
+def union_mapping(edges: DataFrame, paths: DataFrame, answers: DataFrame, topics: DataFrame, k: int = 100, budget: int = 100, named: DataFrame | None = None) -> DataFrame:
+    """(sample_id, valid, reason, budget_reason, gold_indices, per_path, answers) of every sample with candidates.
+
+    Paths within the budget; their union written into the first k candidates; its ids, and those of
+    each path in its order; the answers it reaches. reason says why a sample is not valid: no path
+    has a triple, no path fits, too few slots, or the first path that asks for a triple more often
+    than the candidates have it. named: (sample_id, answer) of retained paths, for samples whose gold
+    triples don't touch the topic.
+    """
+    kept = ranking.prefix_budget(paths, budget)
+    own = paths.join(kept.select(KEY, "path"), [KEY, "path"], "left_semi")
+    gold = own.select(KEY, *TRIPLE).distinct()
+    filled = checkpointed(ranking.inject_gold(ranking.first_distinct(edges, k), gold))
+    fits = filled.groupBy(KEY).agg(F.bool_and("ok").alias("fits"))
+    ids = filled.where("ok").join(gold, [KEY, *TRIPLE], "left_semi").groupBy(KEY).agg(F.sort_array(F.collect_list("idx")).alias("gold_indices"))
+    mapped = joins.map_paths(own, filled.where("ok"))
+    each = mapped.groupBy(KEY).agg(F.min(F.when(F.col("indices").isNull(), F.col("path"))).alias("lost"), F.sort_array(F.collect_list(F.struct("path", "indices"))).alias("per_path"))
+    reached = graph.reachable_answers(gold, topics, answers, named if named is not None else answers.where("false")).groupBy(KEY).agg(F.sort_array(F.collect_list("answer")).alias("answers"))
+    told, budgets = paths.select(KEY).distinct().withColumn("told", F.lit(True)), kept.select(KEY, F.col("reason").alias("budget_reason")).distinct()
+    out = fits
+    for table in (told, budgets, ids, each, reached):
+        out = out.join(table, KEY, "left")
+    reason = (
+        F.when(F.col("told").isNull(), "empty_gold_union").when(F.col("budget_reason").isNull(), "no_prefix_fits_within_budget")
+        .when(~F.col("fits"), "insufficient_non_gold_slots_for_replacement").when(F.col("lost").isNotNull(), F.concat(F.lit("path_triple_mapping_failed:path_index="), F.col("lost").cast("string")))
+    )
+    out = out.withColumn("reason", reason).withColumn("valid", F.col("reason").isNull())
+    return out.select(KEY, "valid", "reason", "budget_reason", *[F.when(F.col("valid"), F.col(c)).alias(c) for c in ("gold_indices", "per_path", "answers")])
+
+
+_KEYED = "sample_id || '|' || head || '|' || relation || '|' || tail AS k"
+
+
+@query("g5_union_mapping", "G5 D11 G3", f"""WITH {_FIRST}, c AS MATERIALIZED (SELECT *, {_KEYED} FROM cand WHERE idx <= 20), gp AS MATERIALIZED (SELECT *, {_KEYED} FROM gold_path WHERE sample_id % 4 <> 3),
+u AS (SELECT sample_id, count(DISTINCT k) AS total FROM gp GROUP BY 1), f AS (SELECT sample_id, k, min(path) AS path FROM gp GROUP BY 1, 2), s AS (SELECT p.sample_id, p.path, count(f.k) AS new FROM (SELECT DISTINCT sample_id, path FROM gp) p LEFT JOIN f USING (sample_id, path) GROUP BY 1, 2), r AS (SELECT *, sum(new) OVER (PARTITION BY sample_id ORDER BY path) AS cum FROM s), w AS MATERIALIZED (SELECT sample_id, path, total FROM r JOIN u USING (sample_id) WHERE total <= 24 OR cum <= 24),
+o AS MATERIALIZED (SELECT gp.* FROM gp SEMI JOIN w USING (sample_id, path)), g AS MATERIALIZED (SELECT DISTINCT sample_id, head, relation, tail, k FROM o),
+m AS MATERIALIZED (SELECT sample_id, k, row_number() OVER (PARTITION BY sample_id ORDER BY head, relation, tail) AS n FROM g WHERE k NOT IN (SELECT k FROM c)), fr AS MATERIALIZED (SELECT sample_id, idx, row_number() OVER (PARTITION BY sample_id ORDER BY idx) AS n FROM c WHERE k NOT IN (SELECT k FROM g)),
+bad AS (SELECT sample_id, max(n) > coalesce((SELECT max(n) FROM fr WHERE fr.sample_id = m.sample_id), 0) AS bad FROM m GROUP BY 1), pos AS MATERIALIZED (SELECT sample_id, k, idx FROM c WHERE k IN (SELECT k FROM g) UNION ALL SELECT m.sample_id, m.k, fr.idx FROM m JOIN fr ON m.sample_id || '|' || m.n = fr.sample_id || '|' || fr.n),
+ids AS (SELECT sample_id, string_agg(idx::VARCHAR, ',' ORDER BY idx) AS gold_indices FROM pos GROUP BY 1), per AS (SELECT o.sample_id, path, path::VARCHAR || ':' || string_agg(idx::VARCHAR, ',' ORDER BY place) AS one FROM o JOIN pos USING (k) GROUP BY 1, 2), pp AS (SELECT sample_id, string_agg(one, ';' ORDER BY path) AS per_path FROM per GROUP BY 1),
+an AS (SELECT a.sample_id, string_agg(answer, ',' ORDER BY answer) AS answers FROM kg_answer a WHERE EXISTS (SELECT 1 FROM g WHERE g.sample_id = a.sample_id AND (g.head = a.answer OR g.tail = a.answer)) GROUP BY 1),
+t AS (SELECT x.sample_id, CASE WHEN u.total IS NULL THEN 'empty_gold_union' WHEN coalesce(bad, false) THEN 'insufficient_non_gold_slots_for_replacement' END AS reason, CASE WHEN u.total <= 24 THEN 'all_paths_within_budget' WHEN u.total > 24 THEN 'prefix_paths_within_budget' END AS budget_reason FROM (SELECT DISTINCT sample_id FROM c) x LEFT JOIN u USING (sample_id) LEFT JOIN bad USING (sample_id))
+SELECT t.sample_id, reason IS NULL AS valid, reason, budget_reason, CASE WHEN reason IS NULL THEN gold_indices END AS gold_indices, CASE WHEN reason IS NULL THEN per_path END AS per_path, CASE WHEN reason IS NULL THEN answers END AS answers FROM t LEFT JOIN ids USING (sample_id) LEFT JOIN pp USING (sample_id) LEFT JOIN an USING (sample_id)""")
+def _(v: Views) -> DataFrame:
+    out = union_mapping(v.edges, v.view("gold_path").where(F.col(KEY) % 4 != 3), v.answers, v.topics, k=20, budget=24)
+    text_of = lambda c: F.array_join(F.transform(c, lambda i: i.cast("string")), ",")
+    per = F.array_join(F.transform("per_path", lambda p: F.concat(p["path"].cast("string"), F.lit(":"), text_of(p["indices"]))), ";")
+    return out.select(KEY, "valid", "reason", "budget_reason", text_of(F.col("gold_indices")).alias("gold_indices"), per.alias("per_path"), F.array_join("answers", ",").alias("answers"))
+
+
 def path_trajectories(edges: DataFrame, paths: DataFrame, k: int = 100, budget: int = 100) -> DataFrame:
     """(trajectory_id, sample_id, path, gold_path_indices): one trajectory for each path within the budget whose triples are all among the candidates."""
     kept = paths.join(ranking.prefix_budget(paths, budget).select(KEY, "path"), [KEY, "path"], "left_semi")

@@ -5,7 +5,7 @@ from collections import deque
 
 import pytest
 from loomgraph.operators import graph, ranking
-from loomgraph.plans.flows import retrieve, trajectories
+from loomgraph.plans.flows import retrieve, trajectories, union_mapping
 from loomgraph.sources import storage
 from pyspark.sql import functions as F
 
@@ -191,3 +191,20 @@ def test_components_of_all_samples_together(spark):
     ratio = graph.component_ratio(wide).first()["ratio"]
     pairs = [(r["head"], r["tail"]) for r in wide.collect()]
     assert ratio == pytest.approx(graph.connectivity(pairs)) and "Python" not in graph.components(table)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_union_mapping_says_why_a_sample_is_left_out(spark):
+    rows = [(s, k, f"h{k}", "r", f"t{k}") for s in range(1, 7) for k in range(4)]
+    edges = spark.createDataFrame(rows, "sample_id long, triple_id int, head string, relation string, tail string")
+    # 1: one triple is not among the candidates; 2: no paths; 3: one path, too long; 4: too few slots; 5: a triple twice in a path; 6: the second path overflows
+    told = {1: [["h1", "t1"], ["z", "t9"]], 3: [[f"x{k}" for k in range(8)]], 4: [["q1", "q2", "q3", "q4", "q5"]], 5: [["h0", "h0"]], 6: [["h3", "h2"], ["a", "b", "c", "d", "e"], ["h1"]]}
+    paths = [(s, p, place, h, "r", h.replace("h", "t")) for s, own in told.items() for p, heads in enumerate(own) for place, h in enumerate(heads)]
+    table = spark.createDataFrame(paths, "sample_id long, path int, place int, head string, relation string, tail string")
+    topics = spark.createDataFrame([(s, "h3") for s in range(1, 7)], "sample_id long, node string")
+    answers = spark.createDataFrame([(s, "t3") for s in range(1, 7)], "sample_id long, answer string")
+    got = {r["sample_id"]: r for r in union_mapping(edges, table, answers, topics, k=4, budget=6).collect()}
+    reasons = {k: r["reason"] for k, r in got.items()}
+    assert reasons == {1: None, 2: "empty_gold_union", 3: "no_prefix_fits_within_budget", 4: "insufficient_non_gold_slots_for_replacement", 5: "path_triple_mapping_failed:path_index=0", 6: None}
+    assert got[1]["gold_indices"] == [1, 2, 3, 4] and [tuple(p) for p in got[1]["per_path"]] == [(0, [2, 1]), (1, [4, 3])]
+    assert got[6]["budget_reason"] == "prefix_paths_within_budget" and [tuple(p) for p in got[6]["per_path"]] == [(0, [4, 3])] and got[6]["answers"] == ["t3"]
+    assert got[5]["gold_indices"] is None and not got[5]["valid"]
