@@ -189,6 +189,12 @@ def test_silent_episodes_end(spark, tmp_path):
         own = rows.where(F.col("turn") == k).where("episode_id <> 2" if k else "true")
         own.coalesce(1).write.mode("append").json(source)
     stream = episode_events(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).json(source), truths, idle=1)
-    call_log(stream, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(120)
-    got = [r for r in spark.read.schema(stream.schema).json(str(tmp_path / "out")).collect() if r["episode_id"] == 2]
+    query, until, got = call_log(stream, str(tmp_path / "out"), str(tmp_path / "ck"), once=False), time.time() + 90, []
+    try:  # timers run as long as the query does
+        while len(got) < 2 and time.time() < until and query.isActive:
+            time.sleep(1)
+            if (tmp_path / "out" / "_spark_metadata").exists():
+                got = [r for r in spark.read.schema(stream.schema).json(str(tmp_path / "out")).collect() if r["episode_id"] == 2]
+    finally:
+        query.stop()
     assert [(r["turn"], r["event"], r["history"], r["done"]) for r in sorted(got, key=lambda r: r["event"])] == [(0, "accepted", "3", False), (0, "idle", "3", True)]
