@@ -28,7 +28,7 @@ def test_stages(spark, data_dir):
 
 
 def test_registry():
-    assert len(corpus_pipeline.STAGES) == 5 and sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))
+    assert len(corpus_pipeline.STAGES) == 5 and sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 14))
 
 
 def test_compaction_query(spark, data_dir):
