@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -12,6 +14,20 @@ KEY = "sample_id"
 TRIPLE = ["head", "relation", "tail"]
 
 
+def beside(rows: DataFrame, table: DataFrame, *on: str) -> DataFrame:
+    """rows with the other columns of the one row of table that has their sample and columns ``on``; null where there is none.
+
+    A left join for tables with one row a key. Where both sides are dealt by sample to equally many parts, as
+    views and what windows and groups make of them are, rows stay where they are; a join by more keys would deal them anew.
+    """
+    keys = [KEY, *on]
+    values = [c for c in table.columns if c not in keys]
+    known = table.where(reduce(Column.__and__, [F.col(c).isNotNull() for c in keys])).select(*keys, *values, F.lit(False).alias("_own"))
+    both = rows.select("*", F.lit(True).alias("_own")).unionByName(known, allowMissingColumns=True)
+    own = W.partitionBy(*keys)
+    return both.withColumns({c: F.max(c).over(own) for c in values}).where("_own").select(*rows.columns, *values)
+
+
 def _occurrence(rows: DataFrame, order: str) -> DataFrame:
     return rows.withColumn("occurrence", F.row_number().over(W.partitionBy(KEY, *TRIPLE).orderBy(order)))
 
@@ -52,7 +68,7 @@ def label_flags(candidates: DataFrame, labels: DataFrame) -> DataFrame:
         known = known.withColumn("label", F.when(F.col("bare"), "bridge").otherwise(F.col("label")))
     kinds = dict(zip(LABELS, ("is_direct", "is_bridge", "is_weak"), strict=True))
     found = known.where(F.col("label").isin(*kinds)).groupBy(KEY, *TRIPLE).agg(*[F.max(F.col("label") == k).alias(c) for k, c in kinds.items()])
-    out = candidates.join(found, [KEY, *TRIPLE], "left")
+    out = beside(candidates, found, *TRIPLE)
     return out.select(*candidates.columns, *[F.coalesce(c, F.lit(False)).alias(c) for c in kinds.values()])
 
 
@@ -122,9 +138,10 @@ def first_match(keys: DataFrame, original: DataFrame, order: str = "rank") -> Da
 def touches_answer(candidates: DataFrame, answers: DataFrame) -> DataFrame:
     """candidates with touch: 1 where head or tail is an answer."""
     a = answers.select(KEY, "answer").distinct()
-    ends = candidates.select(KEY, "triple_id", F.explode(F.array("head", "tail")).alias("answer"))
-    hit = ends.join(a, [KEY, "answer"], "left_semi").select(KEY, "triple_id").distinct().withColumn("touch", F.lit(1.0))
-    return candidates.join(hit, [KEY, "triple_id"], "left").withColumn("touch", F.coalesce("touch", F.lit(0.0)))
+    out = candidates
+    for end in ("head", "tail"):
+        out = beside(out, a.select(KEY, F.col("answer").alias(end), F.lit(1.0).alias(f"_{end}")), end)
+    return out.select(*candidates.columns, F.coalesce("_head", "_tail", F.lit(0.0)).alias("touch"))
 
 
 def exclude(rows: DataFrame, excluded: DataFrame, column: str, fallback: str | None = None) -> DataFrame:

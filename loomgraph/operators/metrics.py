@@ -54,19 +54,12 @@ def full_coverage(ranked: DataFrame, answers: DataFrame, k: int) -> DataFrame:
 
 def rerank_metrics(rows: DataFrame, answers: DataFrame, cutoffs: tuple[int, ...] = (50, 100, 200)) -> DataFrame:
     """(k, positive_recall, shortest_recall, answer_recall, full_cov, mean_label) over rows (sample_id, triple, rank, label, is_shortest)."""
-    per = []
-    for k in cutoffs:
-        top = F.col("rank") < k
-        per.append(
-            rows.groupBy(KEY).agg(
-                F.try_divide(F.sum(F.when(top & (F.col("label") > 0), 1.0).otherwise(0.0)), F.sum(F.when(F.col("label") > 0, 1.0).otherwise(0.0))).alias("positive_recall"),
-                F.try_divide(F.sum(F.when(top & F.col("is_shortest"), 1.0).otherwise(0.0)), F.sum(F.when(F.col("is_shortest"), 1.0).otherwise(0.0))).alias("shortest_recall"),
-                F.avg(F.when(top, F.col("label"))).alias("mean_label"),
-            ).groupBy(F.lit(k).alias("k")).agg(*[mean_or(F.col(c)).alias(c) for c in ("positive_recall", "shortest_recall", "mean_label")])
-        )
-    out = per[0]
-    for p in per[1:]:
-        out = out.unionByName(p)
+    label, short = F.col("label") > 0, F.col("is_shortest")
+    share = lambda part, whole: F.try_divide(F.sum(F.when(part, 1.0).otherwise(0.0)), F.sum(F.when(whole, 1.0).otherwise(0.0)))
+    # the rows are read once for all cutoffs
+    sums = [F.struct(F.lit(k).alias("k"), share((F.col("rank") < k) & label, label).alias("positive_recall"), share((F.col("rank") < k) & short, short).alias("shortest_recall"), F.avg(F.when(F.col("rank") < k, F.col("label"))).alias("mean_label")) for k in cutoffs]
+    per = rows.groupBy(KEY).agg(*[c.alias(f"_{i}") for i, c in enumerate(sums)]).select(F.explode(F.array(*[F.col(f"_{i}") for i in range(len(cutoffs))])).alias("m")).select("m.*")
+    out = per.groupBy("k").agg(*[mean_or(F.col(c)).alias(c) for c in ("positive_recall", "shortest_recall", "mean_label")])
     recall = answer_recall(rows, answers, cutoffs)
     cover = recall.groupBy("k").agg(F.avg("recall").alias("answer_recall"), F.avg(F.when(F.col("recall") == 1.0, 1.0).otherwise(0.0)).alias("full_cov"))
     return out.join(cover, "k", "left")

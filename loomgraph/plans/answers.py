@@ -129,8 +129,8 @@ m AS (SELECT CAST(p.k AS INT) AS k, avg(pr) AS positive_recall, avg(sr) AS short
 
 def reranked(v: Views) -> DataFrame:
     """The metrics of all triples ranked by their logit; a triple of a gold path is on a shortest one."""
-    short = v.view("gold_path").select(KEY, *TRIPLE).distinct().withColumn("is_shortest", F.lit(True))
-    rows = ranking.rank_by_score(soft_rows(v), "logit").join(short, [KEY, *TRIPLE], "left").withColumn("is_shortest", F.coalesce("is_shortest", F.lit(False)))
+    short = v.dealt("gold_path").select(KEY, *TRIPLE).distinct().withColumn("is_shortest", F.lit(True))
+    rows = joins.beside(ranking.rank_by_score(soft_rows(v), "logit"), short, *TRIPLE).withColumn("is_shortest", F.coalesce("is_shortest", F.lit(False)))
     return metrics.rerank_metrics(rows, v.answers)
 
 
