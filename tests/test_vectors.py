@@ -70,3 +70,19 @@ def test_whole_gold_triples_are_counted_once(spark):
     rows = spark.createDataFrame([(1, "a", "r", "b"), (1, "a", "r", "b"), (1, "a", "", "b"), (1, "c", "r", "d"), (2, "", "r", "d")], "sample_id long, head string, relation string, tail string")
     assert [tuple(r) for r in metrics.distinct_gold(rows).collect()] == [(1, 2)]
     assert spark.range(1).select(metrics.rescaled(F.lit(-1.5)).alias("x")).first()["x"] == 0
+
+
+def test_all_scores_of_blocks(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK", 3)
+    rng = np.random.default_rng(5)
+    rows = [(k, rng.normal(size=4 if k % 6 else 5).tolist()) for k in range(20)] + [(20, None), (21, [1.0, None, 2.0, 3.0]), (22, []), (23, [math.inf, 0.0, 0.0, 1.0])]
+    table = spark.createDataFrame(rows, "id long, v array<double>").repartition(3)
+    got = {(r["q"], r["item"]): r["score"] for r in vectors.all_scores(table.where("id % 2 = 0"), table, "id", "v").collect()}
+    assert len(got) == 12 * 24
+    for (a, b), s in got.items():
+        x, y = dict(rows)[a], dict(rows)[b]
+        if x is None or y is None or None in x or None in y or len(x) != len(y):
+            assert s is None
+        else:
+            want = sum(p * q for p, q in zip(x, y, strict=True))
+            assert s == pytest.approx(want) or math.isnan(s) and math.isnan(want)
