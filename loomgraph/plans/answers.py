@@ -11,7 +11,7 @@ from loomgraph.operators import containment, episodes, graph, joins, metrics, mo
 from loomgraph.plans.registry import query
 from loomgraph.plans.retrieval import _DISTINCT, _EXAMPLES, _FIRST, _SCORED, _SOFT, KEY, TRIPLE, pairwise, soft_rows
 from loomgraph.sources import readers, service, storage
-from loomgraph.sources.storage import checkpointed
+from loomgraph.sources.storage import checkpointed, stored
 from loomgraph.sources.views import Views
 
 _NORM = "trim(regexp_replace(regexp_replace(regexp_replace(lower({0}), '[!-/:-@\\[-`{{-~]', '', 'g'), '\\b(a|an|the)\\b', ' ', 'g'), '\\s+', ' ', 'g'))"
@@ -359,7 +359,7 @@ def scorer_rows(v: Views) -> DataFrame:
 @query("m10_training", "M10", None)
 def _(v: Views) -> DataFrame:
     """Three epochs of a scorer on two thirds of the samples, the checkpoint picked on the others."""
-    rows = checkpointed(scorer_rows(v))
+    rows = stored(scorer_rows(v))
     held = F.pmod(F.crc32(F.col(KEY).cast("string")), F.lit(3)) == 0
     trained = training.train_scorer(rows.where(~held), training.by_rerank_metric(rows.where(held), v.answers, "mix", 100), (9, 16, 1), training.Adam(rate=0.01), epochs=3, patience=2, batches=4)
     return trained.history.select("epoch", F.round("loss", 6).alias("loss"), F.round("metric", 6).alias("metric"), "best_epoch", "patient")

@@ -1,6 +1,7 @@
 """What is dealt by sample stays where it is, with the rows of a left join; the edges equal their SQL."""
 
 from loomgraph.operators import graph, joins, metrics
+from loomgraph.sources import storage
 from loomgraph.sources.views import Views
 from pyspark.sql import functions as F
 
@@ -38,3 +39,14 @@ def test_metrics_read_their_rows_once(spark):
     answers = spark.createDataFrame([(1, "t2")], "sample_id long, answer string")
     few, many = (metrics.rerank_metrics(rows, answers, k)._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") for k in ((1,), (1, 2, 3)))
     assert few == many
+
+
+def test_buckets_are_joined_where_they_lie(spark):
+    rows = spark.range(200).selectExpr("id % 7 AS sample_id", "concat('n', id % 11) AS src", "id AS dst", "array(id * 0.5, 1.0) AS features")
+    kept = storage.stored(rows)
+    assert kept.dtypes == rows.dtypes and sorted(kept.collect()) == sorted(rows.collect()) and any(x.endswith(".parquet") for x in kept.inputFiles())
+    table = storage.bucketed(rows, "sample_id", "src", parts=3)
+    assert sorted(table.collect()) == sorted(rows.collect())
+    few = rows.select("sample_id", "src").distinct().hint("merge")
+    plan = table.join(few, ["sample_id", "src"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hash") == 1 and "Bucketed: true" in plan and table.join(few, ["sample_id", "src"]).count() == 200
