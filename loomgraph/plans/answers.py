@@ -633,7 +633,8 @@ def _(v: Views) -> DataFrame:
 
     def run(batches):
         known = {k: (f"h{k}", "r", f"t{k}") for k in range(1, 51)}
-        for batch in batches:
+        # the turns of a batch are objects of Python: so many dialogues at a time
+        for batch in (whole.slice(at, 64) for whole in batches for at in range(0, whole.num_rows, 64)):
             out = []
             for episode, turns in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 text = "\n".join(f"Assistant \n{said(t)}\nuser\nnext 7" for t in turns) + "".join(f'\ntool\n{{"accepted_action_history": [{t["turn"]}]}}' for t in turns)
