@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,17 +13,9 @@ TRIPLE = ["head", "relation", "tail"]
 
 
 def beside(rows: DataFrame, table: DataFrame, *on: str) -> DataFrame:
-    """rows with the other columns of the one row of table that has their sample and columns ``on``; null where there is none.
-
-    A left join for tables with one row a key. Where both sides are dealt by sample to equally many parts, as
-    views and what windows and groups make of them are, rows stay where they are; a join by more keys would deal them anew.
-    """
+    """rows with the other columns of the one row of table that has their sample and columns ``on``; null where there is none."""
     keys = [KEY, *on]
-    values = [c for c in table.columns if c not in keys]
-    known = table.where(reduce(Column.__and__, [F.col(c).isNotNull() for c in keys])).select(*keys, *values, F.lit(False).alias("_own"))
-    both = rows.select("*", F.lit(True).alias("_own")).unionByName(known, allowMissingColumns=True)
-    own = W.partitionBy(*keys)
-    return both.withColumns({c: F.max(c).over(own) for c in values}).where("_own").select(*rows.columns, *values)
+    return rows.join(table, keys, "left").select(*rows.columns, *[c for c in table.columns if c not in keys])
 
 
 def _occurrence(rows: DataFrame, order: str) -> DataFrame:
