@@ -208,3 +208,42 @@ def test_union_mapping_says_why_a_sample_is_left_out(spark):
     assert got[1]["gold_indices"] == [1, 2, 3, 4] and [tuple(p) for p in got[1]["per_path"]] == [(0, [2, 1]), (1, [4, 3])]
     assert got[6]["budget_reason"] == "prefix_paths_within_budget" and [tuple(p) for p in got[6]["per_path"]] == [(0, [4, 3])] and got[6]["answers"] == ["t3"]
     assert got[5]["gold_indices"] is None and not got[5]["valid"]
+
+
+def test_ways_are_searched_back_from_their_ends(spark, monkeypatch):
+    """Random graphs against brute force; links are stored once, and no search leaves what leads to an end."""
+    rng, rows, asked, wanted = random.Random(3), [], [], []
+    for k in range(6):
+        pairs = [(f"N{rng.randrange(9)}", f"N{rng.randrange(9)}") for _ in range(14)] + [(f"X{j}", f"X{j + 1}") for j in range(40)]
+        rows += [(k, n, h, "r", t) for n, (h, t) in enumerate(pairs)]
+        asked += [(k, f"N{n}") for n in (0, 1)] + [(k, "lone")]
+        wanted += [(k, f"N{n}") for n in (1, 2, 3)] + [(k, "lone")]
+    edges = spark.createDataFrame(rows, "sample_id long, triple_id int, head string, relation string, tail string")
+    topics, answers = (spark.createDataFrame(x, "sample_id long, node string") for x in (asked, wanted))
+    inf, every, last, longest = 99, set(), set(), {}
+    for k in range(6):
+        own = [r for r in rows if r[0] == k]
+        nodes = sorted({e for r in own for e in (r[2], r[4])})
+        d = {(a, b): 0 if a == b else inf for a in nodes for b in nodes}
+        for _ in nodes:
+            for _, _, h, _, t in own:
+                for a in nodes:
+                    d[a, t] = min(d[a, t], d[a, h] + 1)
+        for q in (n for s, n in asked if s == k and n in nodes):
+            for a in (n for s, n in wanted if s == k and n in nodes):
+                best = min(d[q, a], d[a, q])
+                if best == inf:
+                    continue
+                longest[k] = max(longest.get(k, 0), best)
+                for u, v in ((q, a), (a, q)):
+                    if d[u, v] == best:
+                        on = [(h, t, n) for _, n, h, _, t in own if d[u, h] + 1 + d[t, v] == best]
+                        every |= {(k, n) for _, _, n in on}
+                        last |= {(k, max(n for h, t, n in on if (h, t) == e)) for e in {(h, t) for h, t, _ in on}}
+    stored, real = [], graph.bucketed
+    monkeypatch.setattr(graph, "bucketed", lambda df, *keys, parts=None: stored.append(df.count()) or real(df, *keys, parts=parts))
+    ids = lambda df: {(r["sample_id"], r["triple_id"]) for r in df.collect()}
+    assert ids(graph.shortest_path_triples(edges, topics, answers)) == every
+    assert stored[0] == len(rows) and stored[1] <= 4 * len([r for r in rows if r[2].startswith("N")])
+    assert ids(graph.weak_labels(edges, topics, answers, zeros=False)) == last == ids(graph.weak_labels(edges, topics, answers).where("label = 1"))
+    assert {r["sample_id"]: r["max_path_length"] for r in graph.max_path_length(edges, topics, answers).collect()} == longest
