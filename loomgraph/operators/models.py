@@ -165,9 +165,13 @@ def listwise_surrogate(rows: DataFrame, answers: DataFrame, k: int = 200, tau: f
     return edge.join(cover, KEY, "left").select(KEY, F.when(F.col("pos") < 0.5, 0.0).otherwise(F.col("edge") + cover_weight * F.coalesce("cover", F.lit(0.0))).alias("loss"))
 
 
-def pairwise_logistic(examples: DataFrame, logits: DataFrame) -> DataFrame:
-    """Mean of log(1 + exp(negative - positive)) over a sample's positive and negative examples (at most max_pos x max_neg pairs)."""
-    rows = examples.join(logits.select(KEY, "triple_id", "logit"), [KEY, "triple_id"])
-    pos = rows.where("side = 'pos'").select(KEY, F.col("logit").alias("p"))
-    neg = rows.where("side = 'neg'").select(KEY, F.col("logit").alias("n"))
-    return pos.join(neg, KEY).groupBy(KEY).agg(F.avg(F.ln(1 + F.exp(F.col("n") - F.col("p")))).alias("loss"))
+def pairwise_logistic(examples: DataFrame, logits: DataFrame | None = None) -> DataFrame:
+    """Mean of log(1 + exp(negative - positive)) over a sample's positive and negative examples (at most max_pos x max_neg pairs).
+
+    logits: of the examples, where they have no column logit of their own.
+    """
+    rows = examples if logits is None else examples.join(logits.select(KEY, "triple_id", "logit"), [KEY, "triple_id"])
+    of = lambda side: F.collect_list(F.when(F.col("side") == side, F.struct("logit")))
+    sides = rows.groupBy(KEY).agg(of("pos").alias("p"), of("neg").alias("n"))
+    pairs = sides.select(KEY, F.explode("p").alias("p"), "n").select(KEY, "p", F.explode("n").alias("n"))
+    return pairs.groupBy(KEY).agg(F.avg(F.ln(1 + F.exp(F.col("n.logit") - F.col("p.logit")))).alias("loss"))

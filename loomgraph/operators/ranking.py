@@ -84,8 +84,8 @@ def inject_gold(candidates: DataFrame, gold: DataFrame, from_back: bool = False)
     return out.select(KEY, "idx", *[F.when(replaced, F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) for c in TRIPLE], replaced.alias("injected"), "ok")
 
 
-def pairwise_examples(rows: DataFrame, max_pos: int = 32, max_neg: int = 32, min_topic_distance: int = 1, hard_top_k: int = 50, hard_share: float = 0.1, mid: tuple[int, int] | None = (49, 249)) -> DataFrame:
-    """(sample_id, triple_id, side, place) of the positives and hard negatives for pairwise learning.
+def pairwise_examples(rows: DataFrame, max_pos: int = 32, max_neg: int = 32, min_topic_distance: int = 1, hard_top_k: int = 50, hard_share: float = 0.1, mid: tuple[int, int] | None = (49, 249), keep: tuple[str, ...] = ()) -> DataFrame:
+    """(sample_id, triple_id, side, place), and columns to keep, of the positives and hard negatives for pairwise learning.
 
     rows: sample_id, triple_id (0-based position), label, is_bridge,
     topic_distance (least of the four), rank_norm. Positives are label 1 and
@@ -101,16 +101,19 @@ def pairwise_examples(rows: DataFrame, max_pos: int = 32, max_neg: int = 32, min
     bridge_place = F.row_number().over(W.partitionBy(KEY, "is_bridge").orderBy(F.col("rank_norm").desc(), "triple_id"))
     rows = rows.withColumn("place", place).withColumn("bridge_place", bridge_place)
     positive = F.col("near") | (F.col("few") & F.col("is_bridge") & (F.col("bridge_place") <= max_pos))
-    pos = rows.where(positive).withColumn("place", F.row_number().over(own.orderBy("triple_id"))).where(F.col("place") <= max_pos)
     hard = F.least(F.lit(hard_top_k), F.greatest(F.lit(1), F.floor(F.col("n") * hard_share)))
     top = F.col("place") <= hard
     inside = F.lit(False)
     if mid:
         low, high = (F.least(F.lit(m), F.col("n") - 1) for m in mid)
         inside = F.col("triple_id").between(low, high)
-    neg = rows.where((F.col("label") == 0.0) & (inside | top)).withColumn("band", F.when(inside, 0).otherwise(1))
-    neg = neg.withColumn("place", F.row_number().over(own.orderBy("band", "triple_id"))).where(F.col("place") <= max_neg)
-    return pos.select(KEY, "triple_id", F.lit("pos").alias("side"), "place").unionByName(neg.select(KEY, "triple_id", F.lit("neg").alias("side"), "place"))
+    # both sides are numbered in one pass over the rows
+    negative = (F.col("label") == 0.0) & (inside | top)
+    rows = rows.withColumns({"_pos": F.coalesce(positive, F.lit(False)), "_neg": F.coalesce(negative, F.lit(False)), "band": F.when(inside, 0).otherwise(1)})
+    rows = rows.withColumn("_pos_place", F.row_number().over(W.partitionBy(KEY, "_pos").orderBy("triple_id"))).withColumn("_neg_place", F.row_number().over(W.partitionBy(KEY, "_neg").orderBy("band", "triple_id")))
+    side = lambda name, most: F.struct(F.lit(name).alias("side"), F.col(f"_{name}_place").alias("place"), (F.col(f"_{name}") & (F.col(f"_{name}_place") <= most)).alias("taken"))
+    taken = F.filter(F.array(side("pos", max_pos), side("neg", max_neg)), lambda s: s["taken"])
+    return rows.where("_pos or _neg").select(KEY, "triple_id", *keep, F.explode(taken).alias("s")).select(KEY, "triple_id", "s.side", "s.place", *keep)
 
 
 def prefix_states(trajectories: DataFrame, stop_copies: int = 1) -> DataFrame:

@@ -339,8 +339,7 @@ def _(v: Views) -> DataFrame:
 
 @query("m9_pairwise", "M9", f"WITH {_EXAMPLES}, y AS (SELECT ex.sample_id, ex.side, soft.logit FROM ex JOIN soft USING (sample_id, triple_id)) SELECT p.sample_id, round(avg(ln(1 + exp(g.logit - p.logit))), 5)::DOUBLE AS loss FROM y p JOIN y g ON g.sample_id = p.sample_id AND g.side = 'neg' WHERE p.side = 'pos' GROUP BY 1")
 def _(v: Views) -> DataFrame:
-    rows = soft_rows(v)
-    return models.pairwise_logistic(pairwise(rows), rows).select(KEY, F.round("loss", 5).alias("loss"))
+    return models.pairwise_logistic(pairwise(soft_rows(v), keep=("logit",))).select(KEY, F.round("loss", 5).alias("loss"))
 
 
 @query("m2_m3_scorers", "M2 M3", None)

@@ -5,6 +5,7 @@ import math
 import pytest
 
 from loomgraph.operators import graph, joins, metrics
+from loomgraph.plans import QUERIES
 from loomgraph.sources import storage
 from loomgraph.sources.views import Views
 
@@ -50,3 +51,8 @@ def test_structure_is_joined_once_an_end(spark, data_dir):
     share = lambda n, most: math.log(1 + n) / math.log(1 + most)
     assert [got[1][c] for c in ("h_out", "t_out", "h_in", "t_in")] == pytest.approx([1, 0, share(1, 2), 1])
     assert [got[0]["h_mentions"], got[1]["t_mentions"], got[3]["h_out"], got[1]["pair_repeats"], got[0]["pair_repeats"]] == pytest.approx([1, share(2, 4), 0, 1, 0])
+
+
+def test_pairwise_loss_makes_its_edges_once(spark, data_dir):
+    made = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression [l_partkey")
+    assert made(QUERIES["m9_pairwise"](spark, data_dir)) == made(Views(spark, data_dir).edges) == 1
