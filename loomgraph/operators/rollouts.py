@@ -15,6 +15,7 @@ step draws a reply of its own, as a generator at a temperature does.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 from typing import Protocol
 
 import pyarrow as pa
@@ -54,7 +55,7 @@ class Rollouts:
             raise ValueError("a rollout has a step at least")
         self.spark, self.generator, self.sampled = samples.sparkSession, generator, sampled
         self.folder = (folder or storage.new_folder(self.spark, "rollouts")).rstrip("/")
-        self.samples = samples.select(KEY, "question", "candidates", "topics")
+        self._given = samples.select(KEY, "question", "candidates", "topics")
         self.n_rollouts, self.max_steps, self.max_stalled = n_rollouts, max_steps, max_stalled
         self.prompt = prompt_of(system, instruction)
         key = samples.schema[KEY].dataType.simpleString()
@@ -63,6 +64,11 @@ class Rollouts:
 
     # --- tables of the folder
 
+    @cached_property
+    def samples(self) -> DataFrame:
+        """The samples, made once for the start and all rounds."""
+        return storage.stored(self._given)
+
     def _table(self, name: str, schema: str) -> DataFrame:
         """All rounds of a table that were written to their end."""
         there = storage.finished_parts(self.spark, f"{self.folder}/{name}")

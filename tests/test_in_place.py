@@ -5,7 +5,9 @@ import math
 import pytest
 
 from loomgraph.operators import graph, joins, metrics
+from loomgraph.operators.rollouts import Rollouts
 from loomgraph.plans import QUERIES
+from loomgraph.plans.answers import listed
 from loomgraph.sources import storage
 from loomgraph.sources.views import Views
 
@@ -56,3 +58,20 @@ def test_structure_is_joined_once_an_end(spark, data_dir):
 def test_pairwise_loss_makes_its_edges_once(spark, data_dir):
     made = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression [l_partkey")
     assert made(QUERIES["m9_pairwise"](spark, data_dir)) == made(Views(spark, data_dir).edges) == 1
+
+
+def test_truths_make_their_candidates_once(spark, data_dir):
+    made = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression [l_partkey")
+    assert made(QUERIES["s4_stop_gate"](spark, data_dir)) == 1
+    cands = spark.createDataFrame([(1, 2, "A", "r", "B"), (1, 1, "B", "r", "C"), (2, 1, "A", "r", "B")], "sample_id long, idx int, head string, relation string, tail string")
+    gold = spark.createDataFrame([(1, "A", "r", "B"), (1, "A", "r", "B"), (2, "X", "r", "B")], "sample_id long, head string, relation string, tail string")
+    got = {r["sample_id"]: ([c["idx"] for c in r["candidates"]], r["support"]) for r in listed(cands, gold).collect()}
+    assert got == {1: ([1, 2], [2]), 2: ([1], None)}
+
+
+def test_rollouts_make_their_samples_once(spark):
+    made = spark.createDataFrame([(1, "q", [(1, "A", "r", "B")], ["A"])], "sample_id long, question string, candidates array<struct<idx:int,head:string,relation:string,tail:string>>, topics array<string>")
+    run = Rollouts(made.repartition(3, "sample_id"), lambda asked, draws: ["STOP"] * len(asked))
+    states = spark.createDataFrame([(1, [], 0)], "sample_id long, chosen array<int>, draw long")
+    assert "RepartitionByExpression" not in run._asked(states)._jdf.queryExecution().optimizedPlan().toString()
+    assert [r["done_reason"] for r in run.run().collect()] == ["stop"]
