@@ -442,15 +442,21 @@ def _(v: Views) -> DataFrame:
 # --- episodes
 
 
+def listed(cands: DataFrame, gold: DataFrame) -> DataFrame:
+    """(sample_id, candidates, support): candidates in order and the idx of those that are gold, null where none is, in one pass."""
+    marked = joins.beside(cands.select(KEY, "idx", *TRIPLE), gold.select(KEY, *TRIPLE).distinct().withColumn("_gold", F.lit(True)), *TRIPLE)
+    support = F.sort_array(F.collect_list(F.when(F.col("_gold"), F.col("idx"))))
+    return marked.groupBy(KEY).agg(F.sort_array(F.collect_list(F.struct("idx", *TRIPLE))).alias("candidates"), F.when(F.size(support) > 0, support).alias("support"))
+
+
 def truths(v: Views) -> DataFrame:
     """(episode_id, candidates, topic, answers, support, soft_limit) of each user, from the sample of its number."""
     n = v.table("supplier").agg(F.count(F.lit(1)).alias("n"))
     users = v.table("events").select(F.col("user_id").alias("episode_id")).distinct().crossJoin(n).select("episode_id", (F.col("episode_id") % F.col("n") + 1).alias(KEY))  # one row on the right
     cands = ranking.first_distinct(v.edges, 100)
-    lists = cands.groupBy(KEY).agg(F.sort_array(F.collect_list(F.struct("idx", *TRIPLE))).alias("candidates"))
-    support = cands.join(v.view("gold_path").select(KEY, *TRIPLE).distinct(), [KEY, *TRIPLE], "left_semi").groupBy(KEY).agg(F.sort_array(F.collect_list("idx")).alias("support"))
+    lists = listed(cands, v.view("gold_path"))
     answers = v.answers.groupBy(KEY).agg(F.sort_array(F.collect_list("answer")).alias("answers"))
-    out = users.join(lists, KEY, "left").join(support, KEY, "left").join(answers, KEY, "left").join(v.topics.withColumnRenamed("node", "topic"), KEY, "left")
+    out = users.join(lists, KEY, "left").join(answers, KEY, "left").join(v.topics.withColumnRenamed("node", "topic"), KEY, "left")
     return out.select("episode_id", "candidates", "topic", "answers", "support", F.lit(14).alias("soft_limit"))
 
 
@@ -538,10 +544,9 @@ def star_truths(v: Views) -> DataFrame:
     n = v.table("supplier").agg(F.count(F.lit(1)).alias("n"))
     users = v.table("events").select(F.col("user_id").alias("episode_id")).distinct().crossJoin(n).select("episode_id", (F.col("episode_id") % F.col("n") + 1).alias(KEY))  # one row on the right
     cands = ranking.first_distinct(v.edges.where("relation = 'part.brand'"), 100)
-    lists = cands.groupBy(KEY).agg(F.sort_array(F.collect_list(F.struct("idx", *TRIPLE))).alias("candidates"))
-    support = cands.join(v.view("gold_path").select(KEY, *TRIPLE).distinct(), [KEY, *TRIPLE], "left_semi").groupBy(KEY).agg(F.sort_array(F.collect_list("idx")).alias("support"))
+    lists = listed(cands, v.view("gold_path"))
     answers = v.answers.groupBy(KEY).agg(F.sort_array(F.collect_list("answer")).alias("answers"))
-    out = users.join(lists, KEY, "left").join(support, KEY, "left").join(answers, KEY, "left").join(v.topics.withColumnRenamed("node", "topic"), KEY, "left")
+    out = users.join(lists, KEY, "left").join(answers, KEY, "left").join(v.topics.withColumnRenamed("node", "topic"), KEY, "left")
     return out.select("episode_id", "candidates", "topic", "answers", "support", F.lit(14).alias("soft_limit"))
 
 
