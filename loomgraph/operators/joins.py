@@ -130,7 +130,7 @@ def touches_answer(candidates: DataFrame, answers: DataFrame) -> DataFrame:
     a = answers.select(KEY, "answer").distinct()
     out = candidates
     for end in ("head", "tail"):
-        out = beside(out, a.select(KEY, F.col("answer").alias(end), F.lit(1.0).alias(f"_{end}")), end)
+        out = beside(out, a.select(KEY, F.col("answer").alias(end), F.lit(1.0).alias(f"_{end}")).hint("shuffle_hash"), end)  # a sample has few answers
     return out.select(*candidates.columns, F.coalesce("_head", "_tail", F.lit(0.0)).alias("touch"))
 
 

@@ -118,8 +118,8 @@ def answer_touch_bce(rows: DataFrame, answers: DataFrame, cap: float = 50.0, boo
 
 
 def _touching(rows: DataFrame, answers: DataFrame) -> DataFrame:
-    ends = rows.select(KEY, "triple_id", F.explode(F.array_distinct(F.array("head", "tail"))).alias("answer"))
-    return answers.select(KEY, "answer").distinct().join(ends, [KEY, "answer"]).join(rows.drop("head", "relation", "tail"), [KEY, "triple_id"])
+    ends = rows.select(*[c for c in rows.columns if c not in ("head", "relation", "tail")], F.explode(F.array_distinct(F.array("head", "tail"))).alias("answer"))
+    return ends.join(answers.select(KEY, "answer").distinct().hint("shuffle_hash"), [KEY, "answer"])
 
 
 def min_answer_coverage(rows: DataFrame, answers: DataFrame) -> DataFrame:
@@ -155,11 +155,14 @@ def listwise_surrogate(rows: DataFrame, answers: DataFrame, k: int = 200, tau: f
     As defined, a higher score has a larger soft rank; descending turns that.
     """
     p = sigmoid((F.least(F.lit(float(k)), F.col("n").cast("double")) + 0.5 - F.col("soft_rank")) / tau)
-    own = W.partitionBy(KEY)
-    out = rows.join(soft_ranks(rows, tau, descending), [KEY, "logit"]).withColumn("p", p).withColumn("pos", F.sum("touch").over(own))
-    weight = F.when(F.col("touch") > 0.5, F.least((F.col("n") - F.col("pos")) / F.greatest(F.col("pos"), F.lit(1e-6)), F.lit(cap))).otherwise(1.0)
+    out = rows.join(soft_ranks(rows, tau, descending).hint("shuffle_hash"), [KEY, "logit"]).withColumn("p", p)
     log = lambda v: F.ln(F.greatest(v, F.lit(1e-6)))
-    edge = out.groupBy(KEY).agg(F.avg(-weight * (F.col("touch") * log(F.col("p")) + (1 - F.col("touch")) * log(1 - F.col("p")))).alias("edge"), F.max("pos").alias("pos"))
+    # rows that touch an answer have one weight a sample, the others 1: two sums, and no pass over a sample's rows to tell them the weight
+    cost, touched = -(F.col("touch") * log(F.col("p")) + (1 - F.col("touch")) * log(1 - F.col("p"))), F.col("touch") > 0.5
+    total = lambda c: F.coalesce(F.sum(F.when(c, cost)), F.lit(0.0))
+    sums = out.groupBy(KEY).agg(total(touched).alias("_on"), total(~touched).alias("_off"), F.count(cost).alias("_m"), F.max("n").alias("n"), F.sum("touch").alias("pos"))
+    weight = F.least((F.col("n") - F.col("pos")) / F.greatest(F.col("pos"), F.lit(1e-6)), F.lit(cap))
+    edge = sums.select(KEY, ((weight * F.col("_on") + F.col("_off")) / F.col("_m")).alias("edge"), "pos")
     miss = _touching(out, answers).groupBy(KEY, "answer").agg(F.product(1 - F.col("p")).alias("q"))
     cover = miss.groupBy(KEY).agg(F.avg(-log(1 - F.col("q"))).alias("cover"))
     return edge.join(cover, KEY, "left").select(KEY, F.when(F.col("pos") < 0.5, 0.0).otherwise(F.col("edge") + cover_weight * F.coalesce("cover", F.lit(0.0))).alias("loss"))

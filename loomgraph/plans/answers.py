@@ -334,7 +334,9 @@ def _(v: Views) -> DataFrame:
 
 @query("m8_listwise", "M8", f"WITH {_TOUCH}, t AS (SELECT * FROM tc), r AS (SELECT a.sample_id, a.triple_id, a.y, 1 + sum(1 / (1 + exp(-(a.x - b.x)))) AS sr, count(*) AS n FROM t a JOIN t b USING (sample_id) GROUP BY 1, 2, 3), p AS (SELECT *, 1 / (1 + exp(-(least(20.0, n) + 0.5 - sr))) AS p, sum(y) OVER (PARTITION BY sample_id) AS pos FROM r), e AS (SELECT sample_id, max(pos) AS pos, avg(-(CASE WHEN y > 0.5 THEN least((n - pos) / greatest(pos, 1e-6), 50) ELSE 1 END) * (y * ln(greatest(p, 1e-6)) + (1 - y) * ln(greatest(1 - p, 1e-6)))) AS edge FROM p GROUP BY 1), c AS (SELECT a.sample_id, a.answer, product(1 - p.p) AS q FROM kg_answer a JOIN t ON t.sample_id = a.sample_id AND (t.head = a.answer OR t.tail = a.answer) JOIN p ON p.sample_id = t.sample_id AND p.triple_id = t.triple_id GROUP BY 1, 2), d AS (SELECT sample_id, avg(-ln(greatest(1 - q, 1e-6))) AS cover FROM c GROUP BY 1) SELECT e.sample_id, round(CASE WHEN pos < 0.5 THEN 0 ELSE edge + 0.5 * coalesce(cover, 0) END, 4)::DOUBLE AS loss FROM e LEFT JOIN d USING (sample_id)")
 def _(v: Views) -> DataFrame:
-    return models.listwise_surrogate(_touched(v), v.answers, 20).select(KEY, F.round("loss", 4).alias("loss"))
+    with storage.in_place(v.spark):
+        rows, _ = storage.laid(joins.touches_answer(v.edges.select(KEY, "triple_id", "head", "tail", "logit"), v.answers), KEY, v.deals)
+        return stored(models.listwise_surrogate(rows, v.answers, 20).select(KEY, F.round("loss", 4).alias("loss")))
 
 
 @query("m9_pairwise", "M9", f"WITH {_EXAMPLES}, y AS (SELECT ex.sample_id, ex.side, soft.logit FROM ex JOIN soft USING (sample_id, triple_id)) SELECT p.sample_id, round(avg(ln(1 + exp(g.logit - p.logit))), 5)::DOUBLE AS loss FROM y p JOIN y g ON g.sample_id = p.sample_id AND g.side = 'neg' WHERE p.side = 'pos' GROUP BY 1")
