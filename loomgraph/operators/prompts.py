@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions import text
-from loomgraph.sources.storage import checkpointed
+from loomgraph.sources.storage import checkpointed, stored
 from loomgraph.operators import ranking
 
 KEY = "sample_id"
@@ -207,7 +207,9 @@ def generate_twice(rows: DataFrame, prompt: str, generator: Generator, second: s
 
     First answers are written to the shared folder before they are read twice:
     a generator may be paid by the call, or answer differently the next time.
+    So are the rows, which are read for their prompts and again for the answers.
     """
+    rows = stored(rows)
     unique = rows.select(prompt).distinct()
     first = checkpointed(generate(unique, prompt, generator, out))
     again = text.no_answer(F.col(out))

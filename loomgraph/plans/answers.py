@@ -437,7 +437,7 @@ def _(v: Views) -> DataFrame:
 @query("k4_generation", "K4 K5 K6 U3 A20", None)
 def _(v: Views) -> DataFrame:
     samples = v.topics.select(KEY, F.concat(F.lit("brands of "), "node").alias("question"))
-    shown = prompts.render(samples, ranking.top_distinct(v.scored, 500), "scored_3")
+    shown = prompts.render(samples, ranking.top_distinct(v.scored, 500), "scored_3").select(KEY, "user_query")
     return prompts.generate_twice(shown, "user_query", prompts.with_retry(prompts.echo_generator)).select(KEY, "prediction")
 
 
