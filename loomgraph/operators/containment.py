@@ -46,7 +46,7 @@ def contained(texts: DataFrame, patterns: DataFrame, keys: list[str], block: int
     many_patterns, many_texts = _spread(patterns, keys, block, "blocks"), _spread(texts, keys, deal, "deals")
 
     def parted(rows: DataFrame, salt: Column) -> DataFrame:
-        rows = rows.join(many_patterns, keys, "left").join(many_texts, keys, "left")
+        rows = rows.join(many_patterns.hint("shuffle_hash"), keys, "left").join(many_texts.hint("shuffle_hash"), keys, "left")  # keys with many are few
         return rows.withColumns({"blocks": F.coalesce("blocks", F.lit(1)), "deals": F.coalesce("deals", F.lit(1))}).withColumn("salt", salt)
 
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))

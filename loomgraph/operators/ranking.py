@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomgraph.operators.containment import contained
+from loomgraph.sources.storage import laid
 
 KEY = "sample_id"
 TRIPLE = ["head", "relation", "tail"]
@@ -163,13 +164,14 @@ def merge_group(rows: DataFrame, side: str = "head", order: str = "rank") -> Dat
     return merged.select(KEY, text.alias(side), *keys, F.get("m", F.lit(0))["o"].alias("place")).select(KEY, *TRIPLE, "place")
 
 
-def seeded_sample(rows: DataFrame, k: int, seed: int, tie: str = "triple_id", without: DataFrame | None = None) -> DataFrame:
-    """k rows of each sample by the order of a hash of seed and row; without: drops triples whose end holds an answer."""
+def seeded_sample(rows: DataFrame, k: int, seed: int, tie: str = "triple_id", without: DataFrame | None = None, parts: int | None = None) -> DataFrame:
+    """k rows of each sample by the order of a hash of seed and row; without: drops triples whose end holds an answer. parts: rows lie by sample in so many."""
     if without is not None:
         ends = rows.select(KEY, F.explode(F.array("head", "tail")).alias("text")).distinct().withColumn("id", F.col("text"))
         held = contained(ends, without.select(KEY, F.col("answer").alias("pattern")), [KEY], pairs=False)
+        held = laid(held.repartition(parts, KEY), KEY, parts)[0] if parts else held
         for end in ("head", "tail"):
-            rows = rows.join(held.select(KEY, F.col("id").alias(end)), [KEY, end], "left_anti")
+            rows = rows.join(held.select(KEY, F.col("id").alias(end)).hint("shuffle_hash"), [KEY, end], "left_anti")  # few ends hold an answer
     order = W.partitionBy(KEY).orderBy(F.xxhash64(F.lit(seed), *TRIPLE), tie)
     return rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
 
