@@ -217,14 +217,18 @@ _HALF = "CASE WHEN {0} = 0 THEN 0 ELSE round_even({0} / pow(2, greatest(floor(lo
 @query("h20_packed", "H20 A8", f"WITH x AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, CAST(list_transform(embedding, lambda y: floor(10 * y)) AS DOUBLE[]) AS f FROM embeddings), n AS (SELECT vec_id, unnest(list_transform(e, lambda y: y / sqrt(list_dot_product(e, e))) || list_transform(f, lambda y: y / sqrt(list_dot_product(f, f)))) AS y, generate_subscripts(e || f, 1) AS k FROM x WHERE list_dot_product(f, f) > 0), h AS (SELECT vec_id, k, {_HALF.format('y')} AS y FROM n) SELECT vec_id, count(*) AS width, round(sum(y * k), 6)::DOUBLE AS weighted, round(max(y), 9)::DOUBLE AS most FROM h GROUP BY 1")
 def _(v: Views) -> DataFrame:
     """Two normalised vectors of each row, one after the other, packed in half precision, stored and read again."""
-    rows = v.table("embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
-    rows = rows.withColumn("f", F.transform("e", lambda y: F.floor(10 * y).cast("double"))).where(scores.dot(F.col("f"), F.col("f")) > 0)
+    # tenfold in the elements' own precision, as SQL has it: single precision takes 10 * -0.1 to -1; from 2^23 on it has no fractions
+    whole = lambda y: F.when(F.abs(y) < 1 << 23, F.floor(y).cast("double")).otherwise(y.cast("double"))
+    rows = v.table("embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"), F.transform("embedding", lambda y: whole(F.lit(10).cast("float") * y)).alias("f"))
+    rows = rows.where(scores.dot(F.col("f"), F.col("f")) > 0)
     both = rows.select("vec_id", F.concat(scores.l2_normalized(F.col("e")), scores.l2_normalized(F.col("f"))).alias("x"))
     path = storage.new_folder(v.spark, "packed")
     vectors.pack(both, "x").write.parquet(path)
     back = vectors.unpack(v.spark.read.parquet(path))
     place = F.sequence(F.lit(1), F.size("vector")).cast("array<double>")
-    return back.select("vec_id", F.col("width").cast("long").alias("width"), F.round(scores.dot(F.col("vector"), place), 6).alias("weighted"), F.round(F.array_max("vector"), 9).alias("most"))
+    per = back.select("vec_id", F.col("width").cast("long").alias("width"), scores.dot(F.col("vector"), place).alias("weighted"), F.array_max("vector").alias("most"))
+    # rows of one id count as one
+    return per.groupBy("vec_id").agg(F.sum("width").alias("width"), F.round(F.sum("weighted"), 6).alias("weighted"), F.round(F.max("most"), 9).alias("most"))
 
 
 @query("a19_answers", "A19 K5 S6", "WITH r AS (SELECT c_custkey AS id, c_mktsegment || c_custkey % 9 AS q FROM customer) SELECT id, q NOT LIKE '%7' AS ok, CASE WHEN q NOT LIKE '%7' THEN reverse(q) END AS answer, CASE WHEN q LIKE '%7' THEN 'down' END AS error, (SELECT count(DISTINCT q) FROM r) AS calls FROM r")

@@ -2,9 +2,11 @@
 
 import math
 
+import duckdb
 import numpy as np
 import pytest
 from loomgraph.operators import joins, metrics, vectors
+from loomgraph.plans import QUERIES
 from loomgraph.sources import readers
 from pyspark.sql import functions as F
 
@@ -86,3 +88,14 @@ def test_all_scores_of_blocks(spark, monkeypatch):
         else:
             want = sum(p * q for p, q in zip(x, y, strict=True))
             assert s == pytest.approx(want) or math.isnan(s) and math.isnan(want)
+
+
+def test_packed_vectors_are_made_in_single_precision_and_counted_by_id(spark, tmp_path):
+    whole = [-0.9, -0.8, -0.6, -0.4, -0.3, -0.2, -0.1, 0.7, 0.9]  # tenfold whole in single precision only
+    rows = [(k, [0.25, x, 0.5]) for k, x in enumerate(whole)] + [(90, [0.31, 0.2]), (90, [-0.5]), (None, [1.5, 2.5]), (91, [0.05, 0.01]), (92, []), (93, None), (94, [3e9, -0.3]), (95, [math.inf, 1.0])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    got = [tuple(r) for r in QUERIES["h20_packed"](spark, str(tmp_path)).select("vec_id", "width", "weighted", "most").collect()]
+    want = con.execute(f"SELECT vec_id, width, weighted, most FROM ({QUERIES['h20_packed'].sql})").fetchall()
+    assert sorted(map(str, got)) == sorted(map(str, want)) and len(want) == len(whole) + 4
