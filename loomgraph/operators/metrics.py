@@ -53,16 +53,30 @@ def full_coverage(ranked: DataFrame, answers: DataFrame, k: int) -> DataFrame:
 
 
 def rerank_metrics(rows: DataFrame, answers: DataFrame, cutoffs: tuple[int, ...] = (50, 100, 200)) -> DataFrame:
-    """(k, positive_recall, shortest_recall, answer_recall, full_cov, mean_label) over rows (sample_id, triple, rank, label, is_shortest)."""
-    label, short = F.col("label") > 0, F.col("is_shortest")
+    """(k, positive_recall, shortest_recall, mean_label, answer_recall, full_cov) over rows (sample_id, triple, rank, label, is_shortest).
+
+    The rows are read once, for all cutoffs and the ends below the greatest of them: at most two a rank. A sample without rows reaches
+    none of its answers, one without answers counts for triples only.
+    """
+    label, short, most = F.col("label") > 0, F.col("is_shortest"), max(cutoffs)
     share = lambda part, whole: F.try_divide(F.sum(F.when(part, 1.0).otherwise(0.0)), F.sum(F.when(whole, 1.0).otherwise(0.0)))
-    # the rows are read once for all cutoffs
     sums = [F.struct(F.lit(k).alias("k"), share((F.col("rank") < k) & label, label).alias("positive_recall"), share((F.col("rank") < k) & short, short).alias("shortest_recall"), F.avg(F.when(F.col("rank") < k, F.col("label"))).alias("mean_label")) for k in cutoffs]
-    per = rows.groupBy(KEY).agg(*[c.alias(f"_{i}") for i, c in enumerate(sums)]).select(F.explode(F.array(*[F.col(f"_{i}") for i in range(len(cutoffs))])).alias("m")).select("m.*")
-    out = per.groupBy("k").agg(*[mean_or(F.col(c)).alias(c) for c in ("positive_recall", "shortest_recall", "mean_label")])
-    recall = answer_recall(rows, answers, cutoffs)
-    cover = recall.groupBy("k").agg(F.avg("recall").alias("answer_recall"), F.avg(F.when(F.col("recall") == 1.0, 1.0).otherwise(0.0)).alias("full_cov"))
-    return out.join(cover, "k", "left")
+    ends = F.collect_list(F.when(F.col("rank") < most, F.struct("rank", "head", "tail")))
+    per = rows.groupBy(KEY).agg(*[c.alias(f"_{i}") for i, c in enumerate(sums)], ends.alias("_ends"))
+    known = answers.groupBy(KEY).agg(F.collect_set(F.struct("answer")).alias("_answers"))  # a null answer is one, which nothing reaches
+
+    def reached(k: int) -> Column:
+        below = F.filter("_ends", lambda e: e["rank"] < k)
+        nodes = F.concat(F.transform(below, lambda e: e["head"]), F.transform(below, lambda e: e["tail"]))
+        hits = F.array_intersect(F.transform("_answers", lambda a: a["answer"]), F.filter(nodes, F.isnotnull))
+        return F.when(F.size("_answers") > 0, F.coalesce(F.size(hits), F.lit(0)) / F.size("_answers"))
+
+    both = per.withColumn("_there", F.lit(1)).join(known, KEY, "full")
+    means = [F.struct(F.lit(k).alias("k"), *[F.col(f"_{i}")[c].alias(c) for c in ("positive_recall", "shortest_recall", "mean_label")], reached(k).alias("recall")) for i, k in enumerate(cutoffs)]
+    each = both.select("_there", F.explode(F.array(*means)).alias("m")).select("_there", "m.*")
+    full = F.when(F.col("recall").isNotNull(), F.when(F.col("recall") == 1.0, 1.0).otherwise(0.0))
+    out = each.groupBy("k").agg(F.count("_there").alias("_n"), *[mean_or(F.col(c)).alias(c) for c in ("positive_recall", "shortest_recall", "mean_label")], F.avg("recall").alias("answer_recall"), F.avg(full).alias("full_cov"))
+    return out.where("_n > 0").drop("_n")
 
 
 def _mixed(beta: float) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions import scores, text
 from loomgraph.operators import containment, episodes, graph, joins, metrics, models, prompts, ranking, rollouts, training, vectors
 from loomgraph.plans.registry import query
-from loomgraph.plans.retrieval import _DISTINCT, _EXAMPLES, _FIRST, _SCORED, _SOFT, KEY, TRIPLE, pairwise, soft_rows
+from loomgraph.plans.retrieval import _DISTINCT, _EXAMPLES, _FIRST, _SCORED, _SOFT, KEY, TRIPLE, pairwise, soft_labelled, soft_rows
 from loomgraph.sources import readers, service, storage
 from loomgraph.sources.storage import checkpointed, stored
 from loomgraph.sources.views import Views
@@ -127,11 +127,18 @@ e AS (SELECT sample_id, n, min(rank) AS rank FROM (SELECT sample_id, head AS n,
 m AS (SELECT CAST(p.k AS INT) AS k, avg(pr) AS positive_recall, avg(sr) AS shortest_recall, avg(ml) AS mean_label, (SELECT avg(r) FROM a WHERE a.k = p.k) AS answer_recall, (SELECT avg(CASE WHEN r = 1 THEN 1.0 ELSE 0.0 END) FROM a WHERE a.k = p.k) AS full_cov FROM p GROUP BY p.k)"""
 
 
-def reranked(v: Views) -> DataFrame:
-    """The metrics of all triples ranked by their logit; a triple of a gold path is on a shortest one."""
+def ranked_rows(v: Views) -> DataFrame:
+    """(sample_id, triple, rank, label, is_shortest): all triples by their logit, equal ones by their texts, which is the order of their ids; a triple of a gold path is on a shortest one."""
     short = v.dealt("gold_path").select(KEY, *TRIPLE).distinct().withColumn("is_shortest", F.lit(True))
-    rows = joins.beside(ranking.rank_by_score(soft_rows(v), "logit"), short, *TRIPLE).withColumn("is_shortest", F.coalesce("is_shortest", F.lit(False)))
-    return metrics.rerank_metrics(rows, v.answers)
+    rows = joins.beside(soft_labelled(v.loose, v.dealt("gold_label")), short.hint("shuffle_hash"), *TRIPLE)  # few triples are of a path
+    place = F.row_number().over(W.partitionBy(KEY).orderBy(F.desc("logit"), *TRIPLE))
+    return rows.select(KEY, *TRIPLE, (place - 1).cast("int").alias("rank"), "label", F.coalesce("is_shortest", F.lit(False)).alias("is_shortest"))
+
+
+def reranked(v: Views) -> DataFrame:
+    """The metrics of all triples ranked by their logit, stored: the triples are dealt by sample once, and labels, paths and answers joined where they lie."""
+    with storage.in_place(v.spark):
+        return checkpointed(metrics.rerank_metrics(ranked_rows(v), v.answers))
 
 
 _FIVE = ("positive_recall", "shortest_recall", "mean_label", "answer_recall", "full_cov")
@@ -147,7 +154,7 @@ def _(v: Views) -> DataFrame:
     """The value that picks a checkpoint, by each rule."""
     from functools import reduce
 
-    rows = checkpointed(reranked(v))
+    rows = reranked(v)
     found = [metrics.target_metric(rows, mode, k, 0.3).select("k", F.lit(mode).alias("mode"), F.round("target", 6).alias("target")) for mode in metrics.TARGET_METRICS for k in (50, 100, 200)]
     return reduce(DataFrame.unionByName, found)
 

@@ -75,3 +75,19 @@ def test_rollouts_make_their_samples_once(spark):
     states = spark.createDataFrame([(1, [], 0)], "sample_id long, chosen array<int>, draw long")
     assert "RepartitionByExpression" not in run._asked(states)._jdf.queryExecution().optimizedPlan().toString()
     assert [r["done_reason"] for r in run.run().collect()] == ["stop"]
+
+
+def test_rerank_metrics_read_rows_once_and_count_samples_without_rows_or_answers(spark):
+    rows = [(1, "a", "r", "b", 0, 1.0, True), (1, "b", "r", "c", 1, 0.0, False), (1, "c", "r", None, 2, 0.3, False), (2, "x", "r", "y", 0, 0.0, False), (3, "u", "r", "w", 0, 0.7, False)]
+    rows = spark.createDataFrame(rows, "sample_id long, head string, relation string, tail string, rank int, label double, is_shortest boolean")
+    answers = spark.createDataFrame([(1, "b"), (1, "b"), (1, "c"), (1, None), (1, "z"), (3, "w"), (4, "q"), (None, "q")], "sample_id long, answer string")
+    out = metrics.rerank_metrics(rows, answers, (1, 2, 9))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 2  # rows and answers
+    got = {r["k"]: [r[c] for c in ("positive_recall", "shortest_recall", "mean_label", "answer_recall", "full_cov")] for r in out.collect()}
+    # answers: sample 1 has b, c, null and z; 3 has w; 4 and the null sample have no rows
+    assert got[1] == pytest.approx([0.75, 1, 1.7 / 3, (1 / 4 + 1) / 4, 1 / 4])
+    assert got[2] == pytest.approx([0.75, 1, (0.5 + 0.7) / 3, (2 / 4 + 1) / 4, 1 / 4])
+    assert got[9] == pytest.approx([1, 1, (1.3 / 3 + 0.7) / 3, (2 / 4 + 1) / 4, 1 / 4])
+    assert metrics.rerank_metrics(rows.where("false"), answers).count() == 0
+    none = metrics.rerank_metrics(rows, answers.where("false"), (9,)).first()
+    assert none["answer_recall"] is None and none["full_cov"] is None and none["positive_recall"] == 1
