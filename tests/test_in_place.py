@@ -4,10 +4,10 @@ import math
 
 import pytest
 
-from loomgraph.operators import graph, joins, metrics
+from loomgraph.operators import graph, joins, metrics, ranking
 from loomgraph.operators.rollouts import Rollouts
 from loomgraph.plans import QUERIES
-from loomgraph.plans.answers import listed
+from loomgraph.plans.answers import listed, ranked_rows, soft_rows
 from loomgraph.sources import storage
 from loomgraph.sources.views import Views
 
@@ -91,3 +91,17 @@ def test_rerank_metrics_read_rows_once_and_count_samples_without_rows_or_answers
     assert metrics.rerank_metrics(rows.where("false"), answers).count() == 0
     none = metrics.rerank_metrics(rows, answers.where("false"), (9,)).first()
     assert none["answer_recall"] is None and none["full_cov"] is None and none["positive_recall"] == 1
+
+
+def test_reranked_triples_are_dealt_once_and_ranked_as_their_ids_rank_them(spark, data_dir):
+    v = Views(spark, data_dir)
+    with storage.in_place(spark):
+        rows = ranked_rows(v)
+        plan = metrics.rerank_metrics(rows, v.answers)._jdf.queryExecution()
+        deals = [x for x in plan.executedPlan().toString().splitlines() if "Exchange hashpartitioning(sample_id" in x and "ENSURE_REQUIREMENTS" in x]
+    assert plan.optimizedPlan().toString().count("RepartitionByExpression [l_partkey") == 1
+    # the sets of labels and of answers are made before these are dealt; no join deals anything
+    assert len(deals) == 2
+    one = ["sample_id", "head", "relation", "tail", "rank", "label"]
+    want = ranking.rank_by_score(soft_rows(v), "logit").select(*one)
+    assert rows.count() == want.count() and rows.select(*one).exceptAll(want).isEmpty()
