@@ -52,17 +52,26 @@ def full_coverage(ranked: DataFrame, answers: DataFrame, k: int) -> DataFrame:
     return answer_recall(ranked, answers, (k,)).select(KEY, F.when(F.col("recall") == 1.0, 1.0).otherwise(0.0).alias("full_cov"))
 
 
-def rerank_metrics(rows: DataFrame, answers: DataFrame, cutoffs: tuple[int, ...] = (50, 100, 200)) -> DataFrame:
+def rerank_totals(rows: DataFrame) -> DataFrame:
+    """(sample_id, positives, shorts): what rerank_metrics needs to know of all rows (sample_id, label, is_shortest), whatever ranks them."""
+    n = lambda c: F.sum(F.when(c, 1.0).otherwise(0.0))
+    return rows.groupBy(KEY).agg(n(F.col("label") > 0).alias("positives"), n(F.col("is_shortest")).alias("shorts"))
+
+
+def rerank_metrics(rows: DataFrame, answers: DataFrame, cutoffs: tuple[int, ...] = (50, 100, 200), totals: DataFrame | None = None) -> DataFrame:
     """(k, positive_recall, shortest_recall, mean_label, answer_recall, full_cov) over rows (sample_id, triple, rank, label, is_shortest).
 
     The rows are read once, for all cutoffs and the ends below the greatest of them: at most two a rank. A sample without rows reaches
-    none of its answers, one without answers counts for triples only.
+    none of its answers, one without answers counts for triples only. totals: of all rows, where these are only those below the greatest cutoff.
     """
     label, short, most = F.col("label") > 0, F.col("is_shortest"), max(cutoffs)
-    share = lambda part, whole: F.try_divide(F.sum(F.when(part, 1.0).otherwise(0.0)), F.sum(F.when(whole, 1.0).otherwise(0.0)))
-    sums = [F.struct(F.lit(k).alias("k"), share((F.col("rank") < k) & label, label).alias("positive_recall"), share((F.col("rank") < k) & short, short).alias("shortest_recall"), F.avg(F.when(F.col("rank") < k, F.col("label"))).alias("mean_label")) for k in cutoffs]
+    n = lambda c: F.sum(F.when(c, 1.0).otherwise(0.0))
+    sums = [F.struct(n((F.col("rank") < k) & label).alias("positives"), n((F.col("rank") < k) & short).alias("shorts"), F.avg(F.when(F.col("rank") < k, F.col("label"))).alias("mean_label")) for k in cutoffs]
     ends = F.collect_list(F.when(F.col("rank") < most, F.struct("rank", "head", "tail")))
-    per = rows.groupBy(KEY).agg(*[c.alias(f"_{i}") for i, c in enumerate(sums)], ends.alias("_ends"))
+    all_ = [] if totals is not None else [n(label).alias("positives"), n(short).alias("shorts")]
+    per = rows.groupBy(KEY).agg(*[c.alias(f"_{i}") for i, c in enumerate(sums)], ends.alias("_ends"), *all_)
+    if totals is not None:
+        per = per.join(totals.withColumnRenamed(KEY, "_of"), F.col(KEY).eqNullSafe(F.col("_of"))).drop("_of")
     known = answers.groupBy(KEY).agg(F.collect_set(F.struct("answer")).alias("_answers"))  # a null answer is one, which nothing reaches
 
     def reached(k: int) -> Column:
@@ -72,7 +81,8 @@ def rerank_metrics(rows: DataFrame, answers: DataFrame, cutoffs: tuple[int, ...]
         return F.when(F.size("_answers") > 0, F.coalesce(F.size(hits), F.lit(0)) / F.size("_answers"))
 
     both = per.withColumn("_there", F.lit(1)).join(known, KEY, "full")
-    means = [F.struct(F.lit(k).alias("k"), *[F.col(f"_{i}")[c].alias(c) for c in ("positive_recall", "shortest_recall", "mean_label")], reached(k).alias("recall")) for i, k in enumerate(cutoffs)]
+    share = lambda i, c: F.try_divide(F.col(f"_{i}")[c], F.col(c))
+    means = [F.struct(F.lit(k).alias("k"), share(i, "positives").alias("positive_recall"), share(i, "shorts").alias("shortest_recall"), F.col(f"_{i}")["mean_label"].alias("mean_label"), reached(k).alias("recall")) for i, k in enumerate(cutoffs)]
     each = both.select("_there", F.explode(F.array(*means)).alias("m")).select("_there", "m.*")
     full = F.when(F.col("recall").isNotNull(), F.when(F.col("recall") == 1.0, 1.0).otherwise(0.0))
     out = each.groupBy("k").agg(F.count("_there").alias("_n"), *[mean_or(F.col(c)).alias(c) for c in ("positive_recall", "shortest_recall", "mean_label")], F.avg("recall").alias("answer_recall"), F.avg(full).alias("full_cov"))

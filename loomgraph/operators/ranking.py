@@ -19,6 +19,13 @@ def rank_by_score(rows: DataFrame, score: str = "score", tie: str = "triple_id",
     return rows.withColumn(name, (F.row_number().over(order) - 1).cast("int"))
 
 
+def best_by_score(rows: DataFrame, k: int, score: str = "score", tie: str = "triple_id", name: str = "rank") -> DataFrame:
+    """The k first of rank_by_score; a number alone is compared with k, so that each task cuts its rows to the k best of a sample before they are dealt."""
+    order = W.partitionBy(KEY).orderBy(F.col(score).desc(), F.col(tie))
+    best = rows.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k)
+    return best.withColumn(name, (F.col("_n") - 1).cast("int")).drop("_n")
+
+
 def rank_share(rows: DataFrame, rank: str = "rank") -> DataFrame:
     """1 - rank / (n - 1); 1 where a sample has one row."""
     n = F.count(F.lit(1)).over(W.partitionBy(KEY))

@@ -192,11 +192,16 @@ def train_scorer(
 
 
 def by_rerank_metric(rows: DataFrame, answers: DataFrame, mode: str = "answer_recall", k: int = 200, beta: float = 0.5) -> Callable[[Perceptron], float]:
-    """The metric that picks a checkpoint: of rows (sample_id, triple_id, head, relation, tail, features, label, is_shortest) ranked by a model."""
+    """The metric that picks a checkpoint: of rows (sample_id, triple_id, head, relation, tail, features, label, is_shortest) ranked by a model.
+
+    What no model changes is counted once. Rows that lie by sample are cut to the k best of each before they travel to be ranked.
+    """
+    totals = storage.checkpointed(metrics.rerank_totals(rows))
+    answers = storage.checkpointed(answers)
 
     def of(model: Perceptron) -> float:
-        ranked = ranking.rank_by_score(score_rows(rows, "features", model), "logit")
-        found = metrics.target_metric(metrics.rerank_metrics(ranked, answers, (k,)), mode, k, beta).first()
+        best = ranking.best_by_score(score_rows(rows, "features", model), k, "logit")
+        found = metrics.target_metric(metrics.rerank_metrics(best, answers, (k,), totals), mode, k, beta).first()
         return float(found["target"] or 0.0) if found else 0.0
 
     return of

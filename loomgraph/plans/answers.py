@@ -362,18 +362,23 @@ def _(v: Views) -> DataFrame:
 
 
 def scorer_rows(v: Views) -> DataFrame:
-    """(sample_id, triple_id, triple, features, label, is_shortest): structure, stage-1 score and soft labels of every triple."""
-    rows = graph.structural_features(soft_rows(v)).withColumn("score", scores.sigmoid(F.col("logit")))
+    """(sample_id, triple_id, triple, features, label, is_shortest): structure, stage-1 score and soft labels of every triple, stored by sample; to be called in_place()."""
+    soft, name = storage.laid(soft_rows(v).select(KEY, "triple_id", *TRIPLE, "logit", "label"), KEY, v.deals)
+    rows = graph.structural_features(soft).withColumn("score", scores.sigmoid(F.col("logit")))
     shares = ["score", "h_out", "t_out", "h_in", "t_in", "h_mentions", "t_mentions", "relation_count", "pair_repeats"]
-    return rows.select(KEY, "triple_id", *TRIPLE, F.array(*[F.col(c).cast("double") for c in shares]).alias("features"), "label", F.lit(False).alias("is_shortest"))
+    rows = rows.select(KEY, "triple_id", *TRIPLE, F.array(*[F.col(c).cast("double") for c in shares]).alias("features"), "label", F.lit(False).alias("is_shortest"))
+    out, _ = storage.laid(rows, KEY, v.deals)
+    storage.drop_laid(v.spark, name)
+    return out
 
 
 @query("m10_training", "M10", None)
 def _(v: Views) -> DataFrame:
     """Three epochs of a scorer on two thirds of the samples, the checkpoint picked on the others."""
-    rows = stored(scorer_rows(v))
     held = F.pmod(F.crc32(F.col(KEY).cast("string")), F.lit(3)) == 0
-    trained = training.train_scorer(rows.where(~held), training.by_rerank_metric(rows.where(held), v.answers, "mix", 100), (9, 16, 1), training.Adam(rate=0.01), epochs=3, patience=2, batches=4)
+    with storage.in_place(v.spark):
+        rows = scorer_rows(v)
+        trained = training.train_scorer(rows.where(~held), training.by_rerank_metric(rows.where(held), v.answers, "mix", 100), (9, 16, 1), training.Adam(rate=0.01), epochs=3, patience=2, batches=4)
     return trained.history.select("epoch", F.round("loss", 6).alias("loss"), F.round("metric", 6).alias("metric"), "best_epoch", "patient")
 
 

@@ -6,8 +6,11 @@ import zlib
 
 import numpy as np
 import pytest
-from loomgraph.operators import training
-from loomgraph.operators.models import Perceptron
+from loomgraph.operators import graph, metrics, ranking, training
+from loomgraph.operators.models import Perceptron, score_rows
+from loomgraph.plans.answers import scorer_rows, soft_rows
+from loomgraph.sources import storage
+from loomgraph.sources.views import Views
 from pyspark.sql import functions as F
 
 WIDTHS = (3, 5, 4, 1)
@@ -130,3 +133,31 @@ def test_rank_metric_of_a_model(spark):
     down = Perceptron([(np.array([[0.0], [-1.0], [0.0]]), np.zeros(1))])
     of = training.by_rerank_metric(table, answers, "answer_recall", 5)
     assert (of(up), of(down)) == (0.5, 0.5) and training.by_rerank_metric(table, answers, "full_cov", 7)(up) == 1.0
+
+
+def test_scorer_rows_lie_by_sample_and_equal_joined_ones(spark, data_dir):
+    v = Views(spark, data_dir)
+    with storage.in_place(spark):
+        rows = scorer_rows(v)
+        plan = rows.groupBy("sample_id").count()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Bucketed: true" in plan
+    plain = graph.structural_features(soft_rows(v))
+    shares = ("h_out", "t_out", "h_in", "t_in", "h_mentions", "t_mentions", "relation_count", "pair_repeats")
+    want = plain.select("sample_id", "triple_id", "head", "relation", "tail", F.array(1 / (1 + F.exp(-F.col("logit"))), *shares).alias("features"), "label", F.lit(False).alias("is_shortest"))
+    assert rows.columns == want.columns and rows.count() == want.count() and rows.exceptAll(want).isEmpty()
+
+
+def test_rows_are_cut_to_the_best_before_they_are_dealt(spark):
+    rows = spark.createDataFrame([(k % 3 if k else None, k, "h" if k % 4 else "a", "r", f"t{k}", [float(k % 7), 1.0], float(k % 5 == 0), k % 11 == 0) for k in range(200)], "sample_id long, triple_id int, head string, relation string, tail string, features array<double>, label double, is_shortest boolean")
+    answers = spark.createDataFrame([(0, "a"), (0, "t9"), (1, "t190"), (2, None), (5, "a")], "sample_id long, answer string")
+    model = Perceptron([(np.array([[1.0], [0.5]]), np.zeros(1))])
+    scored = score_rows(rows.repartition(3), "features", model)
+    best = ranking.best_by_score(scored, 9, "logit")
+    assert "WindowGroupLimit" in best._jdf.queryExecution().executedPlan().toString()
+    whole = ranking.rank_by_score(scored, "logit")
+    assert sorted(map(str, best.collect())) == sorted(map(str, whole.where("rank < 9").collect()))
+    want = metrics.rerank_metrics(whole, answers, (4, 9)).orderBy("k").collect()
+    got = metrics.rerank_metrics(best, answers, (4, 9), metrics.rerank_totals(rows)).orderBy("k").collect()
+    assert [list(r) for r in got] == [pytest.approx(list(r)) for r in want]
+    for mode in metrics.TARGET_METRICS:
+        assert training.by_rerank_metric(rows, answers, mode, 9, 0.3)(model) == pytest.approx(metrics.target_metric(metrics.rerank_metrics(whole, answers, (9,)), mode, 9, 0.3).first()["target"])
